@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, pii, quality
+from lectern.llm import bpe, chat, decontaminate, langid, pii, quality, toxicity
 from lectern.runtime import load
 
 
@@ -20,6 +21,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def _fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold(4) != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +39,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels").where(_fold(5) != 0))
+    found = toxicity.score_documents(docs, model)
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -37,5 +57,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_chat, op6_bpe, op8_decontamination, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_chat, op4_language, op6_bpe, op7_toxicity, op8_decontamination, op9_quality)}
 ORACLES: dict[str, str] = {}
