@@ -1,11 +1,13 @@
 """BPE encoding and decoding with a public tokenizer file, long texts by tree concatenation.
 
-A text of more than ``leaf`` characters is cut into leaves that are encoded as one
-parallel batch. Neighbours are then joined pairwise up a tree: a window around the join
-is encoded again, and grown, until on each side a run of its tokens equals, in id and
-place, the tokens that the halves have there; the join takes the left tokens up to that
-run, the window's between the runs, and the right tokens after. A window that reaches
-both ends is the whole text, so the result is always that of encoding it at once.
+A text of more than ``leaf`` characters is cut into leaves at fixed places, whatever
+stands there, and each leaf is encoded on its own. Neighbours are then joined pairwise up
+a tree: a window around the join is encoded again, and grown, until on each side a run of
+its pieces equals, in ids and place, the pieces that the halves have there; the join takes
+the left pieces up to that run, the window's between the runs, and the right pieces after.
+A window that reaches both ends is the whole text, so the result is always that of
+encoding it at once. Pieces are the tokenizer's words, or its tokens where a chunk needs
+the library. Shorter texts are encoded word by word with a cache.
 
 Defined cases: null is an empty text and has no tokens (hash of the empty string);
 repeated rows and ids each keep their own row; an empty table gives an empty result.
@@ -13,6 +15,10 @@ repeated rows and ids each keep their own row; an empty table gives an empty res
 
 from __future__ import annotations
 
+import json
+import re
+from itertools import chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -20,86 +26,156 @@ from tokenizers import Tokenizer
 from lectern.llm.arrow import column, keyed_texts, map_rows, sha, texts
 
 LEAF = 16_384
-#: Characters on each side of a join that are encoded again first, and tokens that must agree.
+#: Characters on each side of a join that are encoded again first, and pieces that must agree.
 REACH, RUN = 48, 4
-#: Texts in one call of the tokenizer.
-CALL = 64
+#: Texts handled at once, and words kept in a worker's cache.
+CALL, CACHE = 64, 300_000
 
-_loaded: dict[int, Tokenizer] = {}
+#: Texts of these characters take the short way: but for case they are their own normal
+#: form, one character each, so the tokenizer's normalizer and splitter have few cases.
+_PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-zß-öø-ÿ0-9]+")
+_CHUNKS = re.compile("[^ \n]+")
 
+#: A piece: (start, end, ids) of a stretch of text.
+Piece = tuple[int, int, tuple[int, ...]]
 
-def tokenizer(data: str) -> Tokenizer:
-    """The tokenizer of a JSON file's text, built once per worker."""
-    key = hash(data)
-    if key not in _loaded:
-        t = Tokenizer.from_str(data)
-        t.no_truncation()
-        t.no_padding()
-        _loaded[key] = t
-    return _loaded[key]
+
+def _byte_characters() -> dict[int, str]:
+    """Translation of plain characters to the characters that stand for their UTF-8 bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-Tokens = list[tuple[int, int, int]]
+class _Words(dict):
+    """Ids of a plain word, kept once found."""
 
+    def __init__(self, model):
+        self.model = model
+        self.bytes = _byte_characters()
 
-def _tokens(encoding, base: int) -> Tokens:
-    return [(i, a + base, b + base) for i, (a, b) in zip(encoding.ids, encoding.offsets)]
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
+        if len(word) < 64:
+            self[word] = ids
+        return ids
 
 
-def _agree(window: Tokens, side: Tokens, low: int, high: int, last: bool) -> tuple[int, int] | None:
-    """Ends (in window, in side) of RUN equal tokens that lie within [low, high]; the last or the first such run."""
-    where = {}
-    for k, token in enumerate(side):
-        if token[1] >= low and token[2] <= high:
-            where.setdefault(token, []).append(k)
-    order = range(len(window) - RUN, -1, -1) if last else range(len(window) - RUN + 1)
-    for w in order:
-        for s in where.get(window[w], ()):
-            if window[w : w + RUN] == side[s : s + RUN] and side[s + RUN - 1][2] <= high:
-                return (w + RUN, s + RUN) if last else (w, s)
+class Encoder:
+    """A public tokenizer with a cache of words.
+
+    The tokenizer drops blanks before it merges and its special strings hold none, so a
+    text's ids are those of its chunks between blanks, in order. What is not plain goes
+    through the library, chunk by chunk or whole.
+    """
+
+    def __init__(self, data: str):
+        self.library = Tokenizer.from_str(data)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
+        self.known = _is_known(json.loads(data))
+        self.words = _Words(self.library.model)
+
+    def is_plain(self, text: str) -> bool:
+        return self.known and _PLAIN.fullmatch(text) is not None and not self.special.search(text)
+
+    def short(self, text: str) -> list[int]:
+        """Ids of a text, word by word or chunk by chunk."""
+        if self.is_plain(text):
+            if len(self.words) > CACHE:
+                self.words.clear()
+            return list(chain.from_iterable(map(self.words.__getitem__, _WORDS.findall(text.lower()))))
+        if not self.known:
+            return self.library.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        odd: list[str] = []
+        for chunk in _CHUNKS.findall(text):
+            if not self.is_plain(chunk):
+                odd.append(chunk)
+                continue
+            if odd:
+                ids += self.library.encode(" ".join(odd), add_special_tokens=False).ids
+                odd = []
+            ids.extend(chain.from_iterable(map(self.words.__getitem__, _WORDS.findall(chunk.lower()))))
+        if odd:
+            ids += self.library.encode(" ".join(odd), add_special_tokens=False).ids
+        return ids
+
+    def pieces(self, text: str, base: int = 0) -> list[Piece]:
+        """Pieces of a text that is cut at any place, with their places from ``base``."""
+        words = self.words
+        if self.is_plain(text):
+            return [(base + m.start(), base + m.end(), words[m.group()]) for m in _WORDS.finditer(text.lower())]
+        out: list[Piece] = []
+        for c in _CHUNKS.finditer(text):
+            at = base + c.start()
+            if self.is_plain(c.group()):
+                out += [(at + m.start(), at + m.end(), words[m.group()]) for m in _WORDS.finditer(c.group().lower())]
+            else:
+                e = self.library.encode(c.group(), add_special_tokens=False)
+                out += [(at + a, at + b, (i,)) for i, (a, b) in zip(e.ids, e.offsets)]
+        return out
+
+    def long(self, text: str, leaf: int = LEAF) -> list[int]:
+        """Ids of a long text by tree concatenation."""
+        cuts = [*range(0, len(text), leaf), len(text)]
+        level = [(a, b, self.pieces(text[a:b], a)) for a, b in zip(cuts, cuts[1:])]
+        while len(level) > 1:
+            above = [(a, d, self.join(text, x, y, a, b, d)) for (a, b, x), (_, d, y) in zip(level[::2], level[1::2])]
+            level = above + level[len(above) * 2 :]
+        return [i for _, _, ids in level[0][2] for i in ids] if level else []
+
+    def join(self, text: str, left: list[Piece], right: list[Piece], start: int, at: int, stop: int) -> list[Piece]:
+        """Pieces of text[start:stop] from those of text[start:at] and text[at:stop]."""
+        reach = REACH
+        while True:
+            a, b = max(start, at - reach), min(stop, at + reach)
+            window = self.pieces(text[a:b], a)
+            near = left[-4 * reach :]
+            # Away from the window's own cuts and from the halves' cut, pieces can settle.
+            head = (0, -len(near)) if a == start else agree(window, near, a + reach // 4, at - reach // 4, last=False)
+            tail = (len(window), len(right)) if b == stop else agree(window, right[: 4 * reach], at + reach // 4, b - reach // 4, last=True)
+            if head and tail and head[0] <= tail[0]:
+                before = [] if a == start else left[: len(left) - len(near) + head[1]]
+                return before + window[head[0] : tail[0]] + right[tail[1] :]
+            reach *= 2
+
+    def encode(self, many: list[str], leaf: int = LEAF) -> list[list[int]]:
+        """Ids of each text, as the library encodes it without special tokens."""
+        return [self.short(x) if len(x) <= leaf else self.long(x, leaf) for x in many]
+
+
+def agree(window: list[Piece], side: list[Piece], low: int, high: int, last: bool) -> tuple[int, int] | None:
+    """Indices (in window, in side) where RUN equal pieces within [low, high] begin, or end for the last such run."""
+    where = {p: k for k, p in enumerate(side) if p[0] >= low and p[1] <= high}
+    for w in range(len(window) - RUN, -1, -1) if last else range(len(window) - RUN + 1):
+        s = where.get(window[w])
+        if s is not None and window[w : w + RUN] == side[s : s + RUN] and side[s + RUN - 1][1] <= high:
+            return (w + RUN, s + RUN) if last else (w, s)
     return None
 
 
-def join(t: Tokenizer, text: str, left: Tokens, right: Tokens, start: int, at: int, stop: int) -> Tokens:
-    """Tokens of text[start:stop] from those of text[start:at] and text[at:stop]."""
-    reach = REACH
-    while True:
-        a, b = max(start, at - reach), min(stop, at + reach)
-        window = _tokens(t.encode(text[a:b], add_special_tokens=False), a)
-        # Away from the window's own cuts and from the halves' cut, tokens can settle.
-        left_end = (0, 0) if a == start else _agree(window, left[-4 * reach :], a + reach // 4, at - reach // 4, last=False)
-        right_from = (len(window), len(right)) if b == stop else _agree(window, right[: 4 * reach], at + reach // 4, b - reach // 4, last=True)
-        if left_end and right_from and left_end[0] <= right_from[0]:
-            lw, ls = left_end
-            rw, rs = right_from
-            base = max(0, len(left) - 4 * reach)
-            head = [] if a == start else left[: base + ls]
-            tail = [] if b == stop else right[rs:]
-            return head + window[lw:rw] + tail
-        reach *= 2
-
-
-def encode_long(t: Tokenizer, text: str, leaf: int = LEAF) -> list[int]:
-    """Ids of a long text by tree concatenation."""
-    cuts = [*range(0, len(text), leaf), len(text)]
-    leaves = t.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
-    level = [(a, b, _tokens(e, a)) for a, b, e in zip(cuts, cuts[1:], leaves)]
-    while len(level) > 1:
-        above = [(a, d, join(t, text, x, y, a, b, d)) for (a, b, x), (_, d, y) in zip(level[::2], level[1::2])]
-        level = above + level[len(above) * 2 :]
-    return [i for i, _, _ in level[0][2]] if level else []
-
-
-def encode(t: Tokenizer, many: list[str], leaf: int = LEAF) -> list[list[int]]:
-    """Ids of each text, as the library encodes it without special tokens."""
-    short = [k for k, x in enumerate(many) if len(x) <= leaf]
-    out: list[list[int]] = [[]] * len(many)
-    for k, e in zip(short, t.encode_batch_fast([many[k] for k in short], add_special_tokens=False)):
-        out[k] = e.ids
-    for k, x in enumerate(many):
-        if len(x) > leaf:
-            out[k] = encode_long(t, x, leaf)
-    return out
+def _is_known(spec: dict) -> bool:
+    """Whether the tokenizer normalizes and splits as the short way for plain chunks assumes."""
+    kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    # Fixed value: the split pattern of the public vocabulary file.
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return kinds == ["NFC", "Replace", "Lowercase"] and splits == [("Split", pattern), ("ByteLevel", None)]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder(data: str) -> Encoder:
+    """The encoder of a JSON file's text, built once per worker."""
+    key = hash(data)
+    if key not in _encoders:
+        _encoders[key] = Encoder(data)
+    return _encoders[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, leaf: int = LEAF, keep_ids: bool = True) -> DataFrame:
@@ -111,17 +187,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, leaf: int = LEAF, keep_id
         data = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def per_task():
-        t = tokenizer(data.value)
-        named = list(map(str, range(t.get_vocab_size())))
+        t = encoder(data.value)
+        named = list(map(str, range(t.library.get_vocab_size())))
 
         def one(batch: pa.RecordBatch) -> dict:
             many = texts(batch)
             n, ids_sha, decoded_sha, kept = [], [], [], []
             for k in range(0, len(many), CALL):
-                ids = encode(t, many[k : k + CALL], leaf)
+                ids = t.encode(many[k : k + CALL], leaf)
                 n += map(len, ids)
                 ids_sha += [sha(" ".join([named[i] for i in x])) for x in ids]
-                decoded_sha += [sha(x) for x in t.decode_batch(ids, skip_special_tokens=False)]
+                decoded_sha += [sha(x) for x in t.library.decode_batch(ids, skip_special_tokens=False)]
                 if keep_ids:
                     kept += ids
             out = {"doc_id": column(batch, "doc_id"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}

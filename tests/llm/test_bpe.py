@@ -8,7 +8,8 @@ from lectern.llm import bpe
 from lectern.llm.arrow import sha
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-T = bpe.tokenizer(open(PATH, encoding="utf-8").read())
+E = bpe.Encoder(open(PATH, encoding="utf-8").read())
+T = E.library
 PIECES = ["a", "the ", "international", "'s", "''", "don't ", " ", "\n", "é", "é", "<|endoftext|>", "<|", "123", "!?", "Σ", "İ", "日本", "🙂", "‍", "aaaa"]
 
 
@@ -20,14 +21,20 @@ def whole(text):
 @given(st.lists(st.sampled_from(PIECES), max_size=120), st.integers(5, 60))
 def test_tree_equals_whole(pieces, leaf):
     text = "".join(pieces)
-    assert bpe.encode(T, [text], leaf) == [whole(text)]
+    assert E.encode([text], leaf) == [whole(text)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]), st.sampled_from("'sStTrReE <|>09\u0301\u212b")), max_size=40), st.integers(3, 50))
+def test_any_text_equals_library(text, leaf):
+    assert E.encode([text], leaf) == [whole(text)] and E.encode([text]) == [whole(text)]
 
 
 def test_long_without_spaces():
     rng = random.Random(1)
     for alphabet in ("a", "ab", "etaoin", "0123", "!?"):
         text = "".join(rng.choice(alphabet) for _ in range(3000))
-        assert bpe.encode(T, [text], 200) == [whole(text)]
+        assert E.encode([text], 200) == [whole(text)]
 
 
 def test_documents(spark):
