@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, langid, pii, quality, toxicity
+from lectern.llm import bpe, chat, decontaminate, langid, neardup, pii, quality, toxicity
 from lectern.runtime import load
 
 
@@ -57,5 +57,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_chat, op4_language, op6_bpe, op7_toxicity, op8_decontamination, op9_quality)}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_chat, op4_language, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup)}
 ORACLES: dict[str, str] = {}
