@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, langid, neardup, pii, quality, toxicity
+from lectern.llm import bpe, chat, decontaminate, langid, neardup, pii, quality, suffix, toxicity
 from lectern.runtime import load
 
 
@@ -32,6 +32,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.deduplicated(load(spark, sf_dir, "documents"), keep_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,5 +66,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_chat, op4_language, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup)}
 ORACLES: dict[str, str] = {}
