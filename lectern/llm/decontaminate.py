@@ -156,27 +156,56 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield block
 
 
+def _automata(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(SuffixAutomaton(block, window)) for block in _blocks(benchmark, block_words)]
+
+
+def _hits(words: list[list[bytes]], automata: list) -> tuple[list[np.ndarray], list[set]]:
+    """Per text: whether each word is hit, and the items."""
+    hits = [np.zeros(len(w) + 1, np.int64) for w in words]
+    items: list[set] = [set() for _ in words]
+    for automaton in automata:
+        scan = automaton.value.scan
+        for w, h, i in zip(words, hits, items):
+            scan(w, h, i)
+    return [np.cumsum(h[:-1]) > 0 for h in hits], items
+
+
+def is_contaminated(n_hit: int, n_words: int, coverage: int = COVERAGE) -> bool:
+    return n_hit > 0 and coverage * n_hit >= n_words
+
+
+def filtered(docs: DataFrame, benchmark: DataFrame, ddl: str, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` (columns ``ddl``) that are not contaminated."""
+    automata = _automata(docs, benchmark, window, block_words)
+
+    def per_task():
+        def one(batch: pa.RecordBatch) -> dict:
+            hits, _ = _hits([words_of(t) for t in texts(batch)], automata)
+            kept = batch.filter(pa.array([not is_contaminated(int(h.sum()), len(h), coverage) for h in hits], pa.bool_()))
+            return dict(zip(kept.schema.names, kept.columns))
+
+        return one
+
+    return map_rows(docs, per_task, ddl)
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     spans are the [start, end) word ranges that windows cover.
     """
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(SuffixAutomaton(block, window)) for block in _blocks(benchmark, block_words)]
+    automata = _automata(docs, benchmark, window, block_words)
 
     def per_task():
         def one(batch: pa.RecordBatch) -> dict:
             words = [words_of(t) for t in texts(batch)]
-            hits = [np.zeros(len(w) + 1, np.int64) for w in words]
-            items: list[set] = [set() for _ in words]
-            for automaton in automata:
-                scan = automaton.value.scan
-                for w, h, i in zip(words, hits, items):
-                    scan(w, h, i)
+            hits, items = _hits(words, automata)
             n, n_hit, spans = [len(w) for w in words], [], []
             for h in hits:
                 if h.any():
-                    on = np.concatenate(([0], np.cumsum(h[:-1]) > 0, [0])).astype(np.int8)
+                    on = np.concatenate(([0], h, [0])).astype(np.int8)
                     starts, stops = np.flatnonzero(np.diff(on) == 1), np.flatnonzero(np.diff(on) == -1)
                     spans.append([{"start": int(a), "end": int(b)} for a, b in zip(starts, stops)])
                     n_hit.append(int((stops - starts).sum()))
@@ -186,7 +215,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             return {
                 "doc_id": column(batch, "doc_id"), "n_words": n, "n_hit": n_hit, "n_items": [len(i) for i in items],
                 "items_sha256": [sha(",".join(sorted(i))) for i in items],
-                "contaminated": [h > 0 and coverage * h >= k for h, k in zip(n_hit, n)], "spans": spans,
+                "contaminated": [is_contaminated(h, k, coverage) for h, k in zip(n_hit, n)], "spans": spans,
             }
 
         return one

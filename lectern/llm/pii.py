@@ -128,7 +128,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256, base spans and mentions (seeds and candidates with contexts)."""
+    """doc_id, th (hash of the text), counts, base_sha256, base spans and mentions (seeds and candidates with contexts)."""
 
     def per_task():
         def one(batch: pa.RecordBatch) -> dict:
@@ -146,17 +146,17 @@ def scan(docs: DataFrame) -> DataFrame:
                         for a, b, k in found
                     ]
                 )
-            return {"doc_id": column(batch, "doc_id"), "base_sha256": digests, "base": spans, "mentions": mentions} | {
+            return {"doc_id": column(batch, "doc_id"), "th": column(batch, "th"), "base_sha256": digests, "base": spans, "mentions": mentions} | {
                 f"n_{name}": [c[k] for c in counts] for k, name in enumerate(KINDS)
             }
 
         return one
 
     ddl = (
-        "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start: int, kind: int, end: int>>, "
+        "doc_id long, th long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start: int, kind: int, end: int>>, "
         "mentions array<struct<start: int, end: int, seed: int, shapes: array<int>, instance: string, contexts: array<string>>>"
     )
-    return map_rows(keyed_texts(docs), per_task, ddl)
+    return map_rows(keyed_texts(docs).withColumn("th", F.xxhash64("text")), per_task, ddl)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -188,7 +188,7 @@ def trusted_contexts(mentions: DataFrame, support: int = SUPPORT, trust: float =
 
 
 def find(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, counts, base_sha256, base (spans), added (spans) and row, a number that names the row."""
+    """doc_id, th (hash of the text), counts, base_sha256, base (spans), added (spans) and row, a number that names the row."""
     rows = cut(scan(docs).withColumn("row", F.monotonically_increasing_id()))
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     contexts_ = trusted_contexts(mentions, support, trust, rounds)
@@ -217,3 +217,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
             out += [text[done:a], f"[{KINDS[k].upper()}]"]
         done = max(done, b)
     return "".join([*out, text[done:]])
+
+
+def added_by_text(found: DataFrame) -> DataFrame:
+    """(doc_id, th, added), once for rows alike, of find()'s rows that have added spans."""
+    return found.where(F.col("added").isNotNull()).select("doc_id", "th", "added").dropDuplicates(["doc_id", "th"])
