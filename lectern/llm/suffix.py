@@ -3,15 +3,17 @@
 A byte is removed if it lies in a LENGTH-byte string that also starts in a document with a
 smaller doc_id. Every LENGTH-byte suffix head (window) is placed by its leading token: the
 ANCHOR bytes inside the window whose hash is least, which equal windows share. Neighbouring
-windows mostly share their token too, so one segment of text carries them all and the text
-travels a few times, not once for every suffix. Splitters sampled from tokens range-partition
-the segments. A bucket sorts its segments by token, drops tokens of a single document, and
-sorts what is left by multikey quicksort: first whole segments, so that copies fall into one
-class with one least doc_id, then, where a token has several classes, their windows. Equal
-windows always share a token and a token never straddles two buckets, so the comparison
-across a boundary is settled by the splitters themselves: ties go to one side.
+windows mostly share their token too, so one segment of text carries them all.
 
-The ranges found go back to their documents, which travel once, compressed, and are cut.
+First the tokens' hashes alone are compared, and each part of the documents learns which of
+its tokens stand in other documents too. Only segments of those travel, range-partitioned by
+token with splitters sampled from tokens. A bucket sorts its segments by token and then by
+multikey quicksort: first whole segments, so that copies fall into one class with one least
+doc_id, then, where a token has several classes, their windows. Equal windows always share a
+token and a token never straddles two buckets, so the comparison across a boundary is settled
+by the splitters themselves: ties go to one side.
+
+The ranges found go back to their documents, which travel compressed, and are cut.
 
 Defined cases: a null text is empty; a document shorter than LENGTH keeps everything; rows
 with a null doc_id neither lose bytes nor take them from others; rows that share a doc_id
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 from lectern.llm.arrow import BATCH_ROWS
 from lectern.runtime import cut, ship
 
-LENGTH, ANCHOR = 50, 12
-#: Bytes of text whose windows are placed at once.
-PIECE = 1 << 22
+LENGTH, ANCHOR = 50, 20
+#: Bytes of text whose windows are placed at once, of segments in one lot, and segments whose windows are unrolled at once.
+PIECE, LOT, UNROLL = 1 << 21, 1 << 23, 1 << 15
 #: Documents, and tokens of each, that the splitters are sampled from.
 SAMPLE_DOCS, SAMPLE_TOKENS = 4000, 64
 
@@ -47,8 +50,13 @@ def _words(buf: np.ndarray, order: str) -> np.ndarray:
     return np.ndarray((max(0, len(buf) - 7),), f"{order}u8", buf, strides=(1,))
 
 
-def runs(buf: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, token place) of maximal runs of valid windows with one token.
+def _token_words() -> list[int]:
+    """Offsets of 8-byte words that cover a token."""
+    return [*range(0, ANCHOR - 8, 8), ANCHOR - 8]
+
+
+def runs(buf: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, token place, token hash) of maximal runs of valid windows with one token.
 
     valid: whether the window at each place counts; the token of a window is the ANCHOR
     bytes with the least hash in it, the leftmost of equals.
@@ -56,13 +64,16 @@ def runs(buf: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple[np.n
     span = length - ANCHOR + 1
     n = len(buf)
     if n < length or not valid.any():
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     v = _words(np.concatenate([buf, np.zeros(ANCHOR + 8, np.uint8)]), "<")
-    h = v[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= (v[ANCHOR - 8 : n + ANCHOR - 8].astype(np.uint64) ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    h = np.zeros(n, np.uint64)
+    for at in _token_words():
+        h ^= v[at : n + at]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
-    least = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
+    least = h & ~_LOW
+    least |= np.arange(n, dtype=np.uint64)
     width = 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -74,7 +85,7 @@ def runs(buf: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple[np.n
     same[1:] = valid[1:] & valid[:-1] & (place[1:] == place[:-1])
     first = np.flatnonzero(valid & ~same)
     ends = valid & ~np.append(same[1:], False)
-    return first, np.flatnonzero(ends) - first + 1, place[first]
+    return first, np.flatnonzero(ends) - first + 1, place[first], h[place[first]]
 
 
 def tokens_at(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -135,10 +146,13 @@ def removed_ranges(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, d
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     words = _words(buf, ">")
     # Tokens, and those that stand in more than one document.
-    a, b = words[base + offset].astype(np.uint64), words[base + offset + ANCHOR - 8].astype(np.uint64)
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    symbols = [words[base + offset + at].astype(np.uint64) for at in _token_words()]
+    order = np.lexsort(symbols[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for x in symbols:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    del symbols
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(order)))
     several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
@@ -175,16 +189,22 @@ def removed_ranges(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, d
         order, start = multikey_sort(token[seg] * 64 + (offset[seg] - j), of_window, np.full(len(where), -(-length // 8)))
         low = np.minimum.reduceat(least[k][order], start)
         holder[(first[k] + j)[order]] = np.repeat(low, np.diff(np.append(start, len(order))))
-    # Back to every segment.
-    gone = doc[np.repeat(np.arange(len(doc)), n_windows)] > holder[_expand(first[kind], n_windows)]
-    seg = np.repeat(np.arange(len(doc)), n_windows)
-    j = _expand(np.zeros(len(doc), np.int64), n_windows)
-    edge = np.ones(len(seg), bool)
-    edge[1:] = (seg[1:] != seg[:-1]) | ~gone[:-1]
-    begin = np.flatnonzero(gone & edge)
-    last = np.ones(len(seg), bool)
-    last[:-1] = (seg[1:] != seg[:-1]) | ~gone[1:]
-    return kept[seg[begin]], j[begin], j[np.flatnonzero(gone & last)] + 1
+    # Back to every segment: alone, all its windows or none; else window by window.
+    alone = ~shared[kind]
+    whole = np.flatnonzero(alone & (doc > least[kind]))
+    found = [(kept[whole], np.zeros(len(whole), np.int64), n_windows[whole])]
+    rest = np.flatnonzero(~alone)
+    for at in range(0, len(rest), UNROLL):
+        k = rest[at : at + UNROLL]
+        seg = np.repeat(k, n_windows[k])
+        j = _expand(np.zeros(len(k), np.int64), n_windows[k])
+        gone = doc[seg] > holder[first[kind[seg]] + j]
+        fresh = np.ones(len(seg), bool)
+        fresh[1:] = seg[1:] != seg[:-1]
+        begin = np.flatnonzero(gone & (fresh | np.append(True, ~gone[:-1])))
+        last = np.flatnonzero(gone & (np.append(fresh[1:], True) | np.append(~gone[1:], True)))
+        found.append((kept[seg[begin]], j[begin], j[last] + 1))
+    return tuple(np.concatenate([x[i] for x in found]) for i in range(3))
 
 
 def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -221,15 +241,22 @@ class _Blobs:
         return out
 
 
-#: Windows, token offset, index in the next two, place in the document; doc_ids; tags; bytes.
-_SEGMENTS = _Blobs("u1", "u1", "u2", "u4", "i8", "u4", "u1")
+#: Windows, token offset, index in the next but one, place in the document; doc_ids; tags; bytes.
+_SEGMENTS = _Blobs("u1", "u1", "u4", "u4", "i8", "u4", "u1")
+#: Parts, token hashes inside a bucket, whether in several documents of the part.
+_TOKENS = _Blobs("u4", "u4", "u1")
+#: Keys of tokens: bucket and hash.
+_KEYS = _Blobs("u8")
 #: doc_id, tag, first and last byte + 1.
 _RANGES = _Blobs("i8", "u4", "u4", "u4")
 #: doc_ids, whether null, tags, sizes, bytes.
 _TEXTS = _Blobs("i8", "u1", "u4", "i8", "u1")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+Doc = tuple[int, int, bytes]
+
+
+def _pieces(docs: Iterator[Doc], length: int) -> Iterator[tuple]:
     """(buf, valid, doc, tag, start in doc, start in buf) with texts joined, and long ones cut, to about PIECE bytes.
 
     A long text's parts overlap by length - 1 bytes, so each window is whole in one part.
@@ -240,26 +267,30 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
         sizes = np.array([len(h[3]) for h in held])
         buf = np.frombuffer(b"".join(h[3] for h in held), np.uint8)
         ends = np.cumsum(sizes)
-        valid = np.zeros(len(buf) + 1, np.int64)
+        valid = np.zeros(len(buf) + 1, np.int8)
         long = sizes >= length
         np.add.at(valid, (ends - sizes)[long], 1)
         np.add.at(valid, (ends - length + 1)[long], -1)
-        return (buf, np.cumsum(valid[:-1]) > 0, *(np.array([h[k] for h in held], np.int64) for k in range(3)), ends - sizes)
+        return (buf, np.cumsum(valid[:-1], dtype=np.int8) > 0, *(np.array([h[k] for h in held], np.int64) for k in range(3)), ends - sizes)
+
+    for doc, tag, raw in docs:
+        for at in range(0, max(1, len(raw) - length + 1), PIECE):
+            part = raw[at : at + PIECE + length - 1]
+            held.append((doc, tag, at, part))
+            total += len(part)
+            if total >= PIECE:
+                yield shut()
+                held, total = [], 0
+    if held:
+        yield shut()
+
 
+def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[Doc]:
+    """Documents with an id, from (doc_id, tag, text)."""
     for b in batches:
         for doc, tag, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-            if doc is None:
-                continue
-            raw = text.encode("utf-8", "surrogatepass")
-            for at in range(0, max(1, len(raw) - length + 1), PIECE):
-                part = raw[at : at + PIECE + length - 1]
-                held.append((doc, tag, at, part))
-                total += len(part)
-                if total >= PIECE or len(held) >= 60_000:
-                    yield shut()
-                    held, total = [], 0
-    if held:
-        yield shut()
+            if doc is not None:
+                yield doc, tag, text.encode("utf-8", "surrogatepass")
 
 
 def splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
@@ -267,8 +298,8 @@ def splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
     ids = cut(rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buf, valid, *_ in _pieces(batches, length):
-            _, _, place = runs(buf, valid, length)
+        for buf, valid, *_ in _pieces(_docs(batches), length):
+            _, _, place, _ = runs(buf, valid, length)
             step = max(1, len(place) // (SAMPLE_TOKENS * 200))
             yield pa.RecordBatch.from_arrays([pa.array([tokens_at(buf, place[::step]).tobytes()], pa.binary())], ["tokens"])
 
@@ -277,40 +308,144 @@ def splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
     return np.unique(tokens[(np.arange(1, buckets) * len(tokens)) // buckets]) if len(tokens) else tokens
 
 
-def placed_segments(rows: DataFrame, split: np.ndarray, length: int) -> DataFrame:
-    """(bucket, blob) of all segments."""
-    shared = rows.sparkSession.sparkContext.broadcast(split)  # one token a bucket
+def _key(token_hash: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, hash inside the bucket) of tokens."""
+    h = (token_hash ^ (token_hash >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return (h % np.uint64(buckets)).astype(np.int64), h >> np.uint64(32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buf, valid, doc, tag, at, begin in _pieces(batches, length):
-            first, count, place = runs(buf, valid, length)
+
+def _split(values: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, its places) from an order that sorts the values."""
+    names, cuts = np.unique(values[order], return_index=True)
+    for name, lo, hi in zip(names.tolist(), cuts, [*cuts[1:], len(order)]):
+        yield name, order[lo:hi]
+
+
+def _table(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([y for _, y in rows], pa.binary())], [name, "blob"])
+
+
+def shared_tokens(rows: DataFrame, parts: int, buckets: int, length: int) -> DataFrame:
+    """(part, blob) of the keys of tokens in a part's documents that stand in other documents too.
+
+    Keys are hashes, so a few tokens may be named wrongly; none is left out.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buf, valid, doc, _, _, begin in _pieces(_docs(batches), length):
+            first, _, _, h = runs(buf, valid, length)
             if not len(first):
                 continue
-            bucket = np.searchsorted(shared.value, tokens_at(buf, place), side="right")
+            bucket, inner = _key(h, buckets)
             owner = np.searchsorted(begin, first, side="right") - 1
-            order = np.argsort(bucket, kind="stable")
-            names, cuts = np.unique(bucket[order], return_index=True)
-            blobs = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-                k = order[lo:hi]
-                own, index = np.unique(owner[k], return_inverse=True)
-                text = buf[_expand(first[k], count[k] + length - 1)]
-                blobs.append(_SEGMENTS.pack(count[k], place[k] - first[k], index, at[owner[k]] + first[k] - begin[owner[k]], doc[own], tag[own], text))
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            part = part_of(doc, parts)[owner]
+            order = np.lexsort((owner, inner, part, bucket))
+            bucket, inner, part, owner = bucket[order], inner[order], part[order], owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (inner[1:] != inner[:-1])
+            start = np.flatnonzero(new)
+            several = doc[np.minimum.reduceat(owner, start)] != doc[np.maximum.reduceat(owner, start)]
+            bucket, inner, part = bucket[start], inner[start], part[start]
+            yield _table([(b, _TOKENS.pack(part[k], inner[k], several[k])) for b, k in _split(bucket, np.arange(len(start)))], "bucket")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _gathered(batches):
+            columns = [_TOKENS.unpack(x) for x in blobs]
+            part, inner, several = (np.concatenate([c[k] for c in columns]) for k in range(3))
+            order = np.argsort(inner, kind="stable")
+            part, inner, several = part[order], inner[order], several[order] > 0
+            start = np.flatnonzero(np.append(True, inner[1:] != inner[:-1]))
+            size = np.diff(np.append(start, len(inner)))
+            keep = np.repeat((size > 1) | np.logical_or.reduceat(several, start), size)
+            part, keys = part[keep].astype(np.int64), inner[keep].astype(np.uint64) | np.uint64(bucket << 32)
+            if len(part):
+                yield _table([(p, _KEYS.pack(keys[k])) for p, k in _split(part, np.argsort(part, kind="stable"))], "part")
+
+    return rows.mapInArrow(hashes, "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(compare, "part int, blob binary")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number, blobs) of every bucket of a task."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for number, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.setdefault(number, []).append(blob)
+    for number in list(held):
+        yield number, held.pop(number)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], Iterator[bytes]]]:
+    """(blobs of kind 0, iterator of blobs of kind 1) of every part, from rows sorted by part and kind."""
+    rows = ((p, k, x) for b in batches for p, k, x in zip(*(b.column(i).to_pylist() for i in range(3))))
+    for _, own in groupby(rows, key=lambda r: r[0]):
+        first, texts = [], iter(())
+        for row in own:
+            if row[1]:
+                texts = chain([row[2]], (r[2] for r in own))
+                break
+            first.append(row[2])
+        yield first, texts
+
+
+def _together(small: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    both = small.select("part", F.lit(0).alias("kind"), "blob").unionByName(texts.select("part", F.lit(1).alias("kind"), "blob"))
+    return both.repartition(parts, "part").sortWithinPartitions("part", "kind")
+
+
+def placed_segments(keys: DataFrame, texts: DataFrame, split: np.ndarray, parts: int, buckets: int, length: int) -> DataFrame:
+    """(bucket, blob) of the segments whose token is among their part's keys."""
+    shared = keys.sparkSession.sparkContext.broadcast(split)  # one token a bucket
+
+    def unpacked(blobs: Iterator[bytes]) -> Iterator[Doc]:
+        for doc, null, tag, raw in (d for x in blobs for d in _unpacked(x)):
+            if not null:
+                yield doc, tag, raw
 
-    return rows.mapInArrow(run, "bucket int, blob binary")
+    def lot(held: list[tuple]) -> pa.RecordBatch:
+        bucket, count, offset, doc, tag, at, text = (np.concatenate([h[k] for h in held]) for k in range(7))
+        size = count + length - 1
+        base = np.concatenate(([0], np.cumsum(size)[:-1]))
+        rows = []
+        for b, k in _split(bucket, np.argsort(bucket, kind="stable")):
+            both, index = np.unique(np.stack([doc[k], tag[k]]), axis=1, return_inverse=True)
+            rows.append((b, _SEGMENTS.pack(count[k], offset[k], index.ravel(), at[k], both[0], both[1], text[_expand(base[k], size[k])])))
+        return _table(rows, "bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for key_blobs, blobs in _by_part(batches):
+            known = np.sort(np.concatenate([_KEYS.unpack(x)[0] for x in key_blobs])) if key_blobs else np.zeros(0, np.uint64)
+            for buf, valid, doc, tag, at, begin in _pieces(unpacked(blobs), length):
+                if not len(known):
+                    continue
+                first, count, place, h = runs(buf, valid, length)
+                number, inner = _key(h, buckets)
+                key = inner | (number.astype(np.uint64) << np.uint64(32))
+                k = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+                if not len(k):
+                    continue
+                first, count, place = first[k], count[k], place[k]
+                owner = np.searchsorted(begin, first, side="right") - 1
+                bucket = np.searchsorted(shared.value, tokens_at(buf, place), side="right")
+                text = buf[_expand(first, count + length - 1)]
+                held.append((bucket, count, place - first, doc[owner], tag[owner], at[owner] + first - begin[owner], text))
+                total += len(text)
+                if total >= LOT:
+                    yield lot(held)
+                    held, total = [], 0
+        if held:
+            yield lot(held)
+
+    return _together(keys, texts, parts).mapInArrow(run, "bucket int, blob binary")
 
 
 def found_ranges(segments: DataFrame, parts: int, length: int) -> DataFrame:
     """(part, blob) of the byte ranges to remove, by the part of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(blob)
-        for bucket in list(held):
-            columns = [_SEGMENTS.unpack(x) for x in held.pop(bucket)]
+        for _, blobs in _gathered(batches):
+            columns = [_SEGMENTS.unpack(x) for x in blobs]
             n, offset, at = (np.concatenate([c[k] for c in columns]).astype(np.int64) for k in (0, 1, 3))
             doc = np.concatenate([c[4][c[2]] for c in columns])
             tag = np.concatenate([c[5][c[2]] for c in columns])
@@ -321,10 +456,7 @@ def found_ranges(segments: DataFrame, parts: int, length: int) -> DataFrame:
                 continue
             doc, tag, lo, hi = doc[seg], tag[seg], at[seg] + lo, at[seg] + hi + length - 1
             part = part_of(doc, parts)
-            order = np.lexsort((lo, doc, part))
-            names, cuts = np.unique(part[order], return_index=True)
-            blobs = [_RANGES.pack(*(x[order[a:b]] for x in (doc, tag, lo, hi))) for a, b in zip(cuts, [*cuts[1:], len(order)])]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+            yield _table([(p, _RANGES.pack(doc[k], tag[k], lo[k], hi[k])) for p, k in _split(part, np.lexsort((lo, doc, part)))], "part")
 
     return segments.mapInArrow(run, "part int, blob binary")
 
@@ -363,31 +495,25 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
     rows = _rows_of(docs)
-    split = splitters(rows, 2 * parts, length)
-    segments = placed_segments(rows, split, length).repartition(2 * parts, "bucket")
+    texts = packed_texts(rows, parts)
+    split = splitters(rows, buckets, length)
+    keys = cut(shared_tokens(rows, parts, buckets, length))
+    segments = placed_segments(keys, texts, split, parts, buckets, length).repartition(buckets, "bucket")
     ranges = cut(found_ranges(segments, parts, length))
-    both = ranges.select("part", F.lit(0).alias("kind"), "blob").unionByName(packed_texts(rows, parts).select("part", F.lit(1).alias("kind"), "blob"))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] + [("kept", pa.binary())] * keep_bytes
     schema = pa.schema(fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, index = None, [], None
-        for b in batches:
-            for part, kind, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if part != now:
-                    now, held, index = part, [], None
-                if kind == 0:
-                    held.append(blob)
-                    continue
-                if index is None:
-                    index = _index([_RANGES.unpack(x) for x in held])
-                    held = []
-                yield pa.RecordBatch.from_pylist(list(_cut_texts(blob, index, keep_bytes)), schema)
+        for blobs, texts in _by_part(batches):
+            index = _index([_RANGES.unpack(x) for x in blobs])
+            for x in texts:
+                yield pa.RecordBatch.from_pylist(list(_cut_texts(x, index, keep_bytes)), schema)
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept binary" * keep_bytes
-    return both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(apply, ddl)
+    return _together(ranges, texts, parts).mapInArrow(apply, ddl)
 
 
 def _index(ranges: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
@@ -396,14 +522,19 @@ def _index(ranges: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     return doc[order], tag[order], lo[order], hi[order]
 
 
-def _cut_texts(blob: bytes, index: tuple[np.ndarray, ...], keep_bytes: bool) -> Iterator[dict]:
+def _unpacked(blob: bytes) -> Iterator[tuple[int, bool, int, bytes]]:
+    """(doc_id, whether null, tag, bytes) of packed documents."""
     docs, nulls, tags, sizes, data = _TEXTS.unpack(blob)
-    doc, tag, lo, hi = index
     data, at = data.tobytes(), 0
-    first, last = np.searchsorted(doc, docs, side="left"), np.searchsorted(doc, docs, side="right")
-    for d, null, t, size, a, b in zip(docs.tolist(), nulls.tolist(), tags.tolist(), sizes.tolist(), first.tolist(), last.tolist()):
-        raw = data[at : at + size]
+    for doc, null, tag, size in zip(docs.tolist(), nulls.tolist(), tags.tolist(), sizes.tolist()):
+        yield doc, bool(null), tag, data[at : at + size]
         at += size
+
+
+def _cut_texts(blob: bytes, index: tuple[np.ndarray, ...], keep_bytes: bool) -> Iterator[dict]:
+    doc, tag, lo, hi = index
+    for d, null, t, raw in _unpacked(blob):
+        a, b = np.searchsorted(doc, d, side="left"), np.searchsorted(doc, d, side="right")
         spans: list = []
         if b > a and not null:
             x, y = a + np.searchsorted(tag[a:b], t, side="left"), a + np.searchsorted(tag[a:b], t, side="right")
@@ -413,5 +544,5 @@ def _cut_texts(blob: bytes, index: tuple[np.ndarray, ...], keep_bytes: bool) ->
             kept.append(raw[done:x])
             done = y
         rest = b"".join([*kept, raw[done:]])
-        out = {"doc_id": None if null else d, "n_bytes": size, "n_removed": size - len(rest), "n_spans": len(spans), "kept_sha256": hashlib.sha256(rest).hexdigest()}
+        out = {"doc_id": None if null else d, "n_bytes": len(raw), "n_removed": len(raw) - len(rest), "n_spans": len(spans), "kept_sha256": hashlib.sha256(rest).hexdigest()}
         yield out | {"spans": [{"start": x, "end": y} for x, y in spans]} | ({"kept": rest} if keep_bytes else {})
