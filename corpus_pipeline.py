@@ -18,6 +18,8 @@ from lectern.llm.arrow import column, map_rows
 from lectern.runtime import cut, load
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of added spans up to which they are sent to every task; more are joined by a shuffle.
+SMALL = 50_000
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -49,7 +51,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows."""
     rows = _hashed(docs)
-    added = pii.added_by_text(pii.find(docs))
+    added = cut(pii.added_by_text(pii.find(docs)))
+    if added.count() <= SMALL:
+        added = F.broadcast(added)
     key = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.th") == F.col("a.th"))
     joined = rows.alias("d").join(added.alias("a"), key, "left").select(*[f"d.{c}" for c in COLUMNS], "a.added")
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import _parse_datatype_string
 from lectern.runtime import ship
 
 #: Rows in one Arrow batch; bounds what a Python worker holds when texts are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
