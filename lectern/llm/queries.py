@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, chat, decontaminate, langid, licenses, neardup, pii, quality, suffix, toxicity
+from lectern.llm.oracles import ORACLES  # noqa: F401
 from lectern.runtime import load
 
 
@@ -71,4 +72,3 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup)}
-ORACLES: dict[str, str] = {}

@@ -30,8 +30,9 @@ from lectern.runtime import cut
 #: Labelled documents of each class that words are counted in, at most.
 PER_CLASS = 20_000
 #: Toxic documents a lexicon word must stand in; its z-score and log-odds at least.
-LEAST, Z, ODDS = 3, 3.0, 1.5
-PRIOR = 500.0
+LEAST, Z, ODDS = 3, 2.5, 1.5
+#: Mass of the Dirichlet prior, as a multiple of the toxic documents counted.
+PRIOR = 1.0
 DRIFT, CLIP = 0.1, 6.0
 E_VALUE = 0.05
 
@@ -98,9 +99,10 @@ def excess_of(passages: list[tuple]) -> float:
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, n_toxic: float, n_clean: float, n_corpus: float) -> tuple[np.ndarray, np.ndarray]:
     """(log-odds, z-scores) of words with a Dirichlet prior in proportion to corpus counts."""
-    prior = PRIOR * np.maximum(corpus, 1) / max(n_corpus, 1)
+    mass = PRIOR * n_toxic
+    prior = mass * np.maximum(corpus, 1) / max(n_corpus, 1)
     t, c = toxic + prior, clean + prior
-    odds = np.log(t / np.maximum(n_toxic + PRIOR - t, 1e-9)) - np.log(c / np.maximum(n_clean + PRIOR - c, 1e-9))
+    odds = np.log(t / np.maximum(n_toxic + mass - t, 1e-9)) - np.log(c / np.maximum(n_clean + mass - c, 1e-9))
     return odds, odds / np.sqrt(1 / t + 1 / c)
 
 
