@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 Fetcher = Callable[[str, str], bool]
 
 
+def command_fetcher(*command: str) -> Fetcher:
+    """A fetcher that runs a command, {key} and {destination} replaced, once; success is exit status 0."""
+
+    def run(key: str, destination: str) -> bool:
+        os.makedirs(os.path.dirname(destination), exist_ok=True)
+        return subprocess.run([c.replace("{key}", key).replace("{destination}", destination) for c in command], capture_output=True).returncode == 0
+
+    return run
+
+
 def fetch(files: DataFrame, out_dir: str, fetcher: Fetcher) -> DataFrame:
     """(key, accession_id, destination, ok): each listed object is fetched once, by the tasks; failures are rows, not errors."""
 

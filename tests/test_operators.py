@@ -77,5 +77,7 @@ def test_file_list(spark, tmp_path):
             filelist.read_file_list(spark, str(tmp_path / name))
     done = objects.fetch(files, "/out/", lambda k, d: k != "b/2.xml").collect()
     assert {(r.key, r.ok) for r in done} == {("a/1.xml", True), ("b/2.xml", False), ("c/3.xml", True)} and done[0].destination.startswith("/out/")
+    copied = objects.fetch(files.limit(1), str(tmp_path / "got"), objects.command_fetcher("cp", str(tmp_path / "list.csv"), "{destination}")).first()
+    assert copied.ok and (tmp_path / "got" / copied.key).exists()
     filelist.write_failures(spark.createDataFrame([("k", "a")], "key string, accession_id string"), str(tmp_path / "f"))
     assert spark.read.option("header", True).csv(str(tmp_path / "f")).first().AccessionID == "a"
