@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, neardup, pii, quality
 from lectern.llm.arrow import column, map_rows
-from lectern.runtime import cut, load
+from lectern.runtime import cut, load, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of added spans up to which they are sent to every task; more are joined by a shuffle.
@@ -92,8 +92,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between them the rows are written to the shared folder and reread."""
+    """All stages over documents; each stage's rows are written as Parquet to the shared folder and reread."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
