@@ -6,14 +6,17 @@ ANCHOR bytes inside the window whose hash is least, which equal windows share. N
 windows mostly share their token too, so one segment of text carries them all.
 
 First the tokens' hashes alone are compared, and each part of the documents learns which of
-its tokens stand in other documents too. Only segments of those travel, range-partitioned by
-token with splitters sampled from tokens. A bucket sorts its segments by token and then by
-multikey quicksort: first whole segments, so that copies fall into one class with one least
-doc_id, then, where a token has several classes, their windows. Equal windows always share a
-token and a token never straddles two buckets, so the comparison across a boundary is settled
-by the splitters themselves: ties go to one side.
-
-The ranges found go back to their documents, which travel compressed, and are cut.
+its tokens stand in other documents too. Only segments of those travel, each once for a lot of
+a part's documents however often it stands there, range-partitioned by token with splitters
+sampled from tokens. A bucket sorts its segments by token and then by multikey quicksort:
+first whole segments, so that copies fall into one class with one least doc_id, then, where a
+token has several classes, their windows. Equal windows always share a token and a token never
+straddles two buckets, so the comparison across a boundary is settled by the splitters
+themselves: ties go to one side.
+
+Back to each part goes, for every segment that some of its documents lose bytes by, the least
+doc_id that holds each of its windows; the part looks its own segments up and cuts its texts.
+So a passage that a third of all documents share travels once a lot, not once a document.
 
 Defined cases: a null text is empty; a document shorter than LENGTH keeps everything; rows
 with a null doc_id neither lose bytes nor take them from others; rows that share a doc_id
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import BATCH_ROWS
+from lectern.llm.hashing import mix, stretches
 from lectern.runtime import cut, ship
 
 LENGTH, ANCHOR = 50, 20
@@ -133,14 +137,20 @@ def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total) if total else np.zeros(0, np.int64)
 
 
-def removed_ranges(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, from, to): runs of its windows that a smaller doc holds as well.
+def identity(buf: np.ndarray, first: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Hashes that name segments: their bytes, and where their token is."""
+    return mix(stretches(buf, first, first + size) + offset.astype(np.uint64))
+
+
+def window_holders(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, count, holders): the least document with each window of segments that some owner loses bytes by.
 
     buf: the segments one after another, each of n_windows + length - 1 bytes with its token
-    at ``offset``; doc: their documents.
+    at ``offset``; low and high: the least and greatest of its owners. count is 1, with one
+    holder, where all windows have the same one, else the number of windows.
     """
     none = (np.zeros(0, np.int64),) * 3
-    if not len(doc):
+    if not len(low):
         return none
     size = n_windows + length - 1
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -155,12 +165,12 @@ def removed_ranges(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, d
     del symbols
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(order)))
-    several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
+    several = np.minimum.reduceat(low[order], start) != np.maximum.reduceat(high[order], start)
     token = np.repeat(np.arange(len(start)), count)[np.repeat(several, count)]
     kept = order[np.repeat(several, count)]
     if not len(kept):
         return none
-    base, size, n_windows, offset, doc = base[kept], size[kept], n_windows[kept], offset[kept], doc[kept]
+    base, size, n_windows, offset, low, high = base[kept], size[kept], n_windows[kept], offset[kept], low[kept], high[kept]
     # Classes of equal segments.
     form = offset * 256 + n_windows
 
@@ -169,7 +179,7 @@ def removed_ranges(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, d
 
     order, start = multikey_sort(token, of_segment, 1 + -(-size // 8))
     count = np.diff(np.append(start, len(order)))
-    lead, least = order[start], np.minimum.reduceat(doc[order], start)
+    lead, least = order[start], np.minimum.reduceat(low[order], start)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.repeat(np.arange(len(start)), count)
     # Windows of classes whose token has others; alone, a class's least doc holds all its windows.
@@ -187,23 +197,21 @@ def removed_ranges(buf: np.ndarray, n_windows: np.ndarray, offset: np.ndarray, d
             return words[where[w] + np.minimum(8 * level, length - 8)].astype(np.uint64)
 
         order, start = multikey_sort(token[seg] * 64 + (offset[seg] - j), of_window, np.full(len(where), -(-length // 8)))
-        low = np.minimum.reduceat(least[k][order], start)
-        holder[(first[k] + j)[order]] = np.repeat(low, np.diff(np.append(start, len(order))))
-    # Back to every segment: alone, all its windows or none; else window by window.
+        lowest = np.minimum.reduceat(least[k][order], start)
+        holder[(first[k] + j)[order]] = np.repeat(lowest, np.diff(np.append(start, len(order))))
+    # Back to every segment that has an owner above a holder.
     alone = ~shared[kind]
-    whole = np.flatnonzero(alone & (doc > least[kind]))
-    found = [(kept[whole], np.zeros(len(whole), np.int64), n_windows[whole])]
+    whole = np.flatnonzero(alone & (high > least[kind]))
+    found = [(kept[whole], np.ones(len(whole), np.int64), least[kind[whole]])]
     rest = np.flatnonzero(~alone)
     for at in range(0, len(rest), UNROLL):
         k = rest[at : at + UNROLL]
-        seg = np.repeat(k, n_windows[k])
-        j = _expand(np.zeros(len(k), np.int64), n_windows[k])
-        gone = doc[seg] > holder[first[kind[seg]] + j]
-        fresh = np.ones(len(seg), bool)
-        fresh[1:] = seg[1:] != seg[:-1]
-        begin = np.flatnonzero(gone & (fresh | np.append(True, ~gone[:-1])))
-        last = np.flatnonzero(gone & (np.append(fresh[1:], True) | np.append(~gone[1:], True)))
-        found.append((kept[seg[begin]], j[begin], j[last] + 1))
+        own = holder[_expand(first[kind[k]], n_windows[k])]
+        begin = np.concatenate(([0], np.cumsum(n_windows[k])[:-1]))
+        least_own, most_own = np.minimum.reduceat(own, begin), np.maximum.reduceat(own, begin)
+        wanted, same = high[k] > least_own, least_own == most_own
+        count = np.where(same, 1, n_windows[k])[wanted]
+        found.append((kept[k[wanted]], count, own[_expand(begin[wanted], count)]))
     return tuple(np.concatenate([x[i] for x in found]) for i in range(3))
 
 
@@ -218,7 +226,7 @@ def _part_column(parts: int) -> F.Column:
 
 def _rows_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 class _Blobs:
@@ -241,23 +249,24 @@ class _Blobs:
         return out
 
 
-#: Windows, token offset, index in the next but one, place in the document; doc_ids; tags; bytes.
-_SEGMENTS = _Blobs("u1", "u1", "u4", "u4", "i8", "u4", "u1")
+#: Windows, token offset, least and greatest owner, bytes; the part.
+_SEGMENTS = _Blobs("u1", "u1", "i8", "i8", "u1", "u4")
 #: Parts, token hashes inside a bucket, whether in several documents of the part.
 _TOKENS = _Blobs("u4", "u4", "u1")
 #: Keys of tokens: bucket and hash.
 _KEYS = _Blobs("u8")
-#: doc_id, tag, first and last byte + 1.
-_RANGES = _Blobs("i8", "u4", "u4", "u4")
-#: doc_ids, whether null, tags, sizes, bytes.
-_TEXTS = _Blobs("i8", "u1", "u4", "i8", "u1")
+#: Names of segments, numbers of holders, holders.
+_HOLDERS = _Blobs("u8", "u1", "i8")
+#: doc_ids, whether null, sizes, bytes.
+_TEXTS = _Blobs("i8", "u1", "i8", "u1")
 
 
+#: doc_id, number of the row, bytes.
 Doc = tuple[int, int, bytes]
 
 
 def _pieces(docs: Iterator[Doc], length: int) -> Iterator[tuple]:
-    """(buf, valid, doc, tag, start in doc, start in buf) with texts joined, and long ones cut, to about PIECE bytes.
+    """(buf, valid, doc, row, start in doc, start in buf) with texts joined, and long ones cut, to about PIECE bytes.
 
     A long text's parts overlap by length - 1 bytes, so each window is whole in one part.
     """
@@ -273,10 +282,10 @@ def _pieces(docs: Iterator[Doc], length: int) -> Iterator[tuple]:
         np.add.at(valid, (ends - length + 1)[long], -1)
         return (buf, np.cumsum(valid[:-1], dtype=np.int8) > 0, *(np.array([h[k] for h in held], np.int64) for k in range(3)), ends - sizes)
 
-    for doc, tag, raw in docs:
+    for doc, row, raw in docs:
         for at in range(0, max(1, len(raw) - length + 1), PIECE):
             part = raw[at : at + PIECE + length - 1]
-            held.append((doc, tag, at, part))
+            held.append((doc, row, at, part))
             total += len(part)
             if total >= PIECE:
                 yield shut()
@@ -286,11 +295,11 @@ def _pieces(docs: Iterator[Doc], length: int) -> Iterator[tuple]:
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[Doc]:
-    """Documents with an id, from (doc_id, tag, text)."""
+    """Documents with an id, from (doc_id, text)."""
     for b in batches:
-        for doc, tag, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+        for doc, text in zip(*(b.column(k).to_pylist() for k in range(2))):
             if doc is not None:
-                yield doc, tag, text.encode("utf-8", "surrogatepass")
+                yield doc, 0, text.encode("utf-8", "surrogatepass")
 
 
 def splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
@@ -303,7 +312,7 @@ def splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
             step = max(1, len(place) // (SAMPLE_TOKENS * 200))
             yield pa.RecordBatch.from_arrays([pa.array([tokens_at(buf, place[::step]).tobytes()], pa.binary())], ["tokens"])
 
-    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "tag", "text").mapInArrow(run, "tokens binary").collect()
+    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(run, "tokens binary").collect()
     tokens = np.sort(np.frombuffer(b"".join(bytes(r.tokens) for r in found), f"S{ANCHOR}"))
     return np.unique(tokens[(np.arange(1, buckets) * len(tokens)) // buckets]) if len(tokens) else tokens
 
@@ -375,17 +384,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield number, held.pop(number)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], Iterator[bytes]]]:
-    """(blobs of kind 0, iterator of blobs of kind 1) of every part, from rows sorted by part and kind."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], Iterator[bytes]]]:
+    """(part, blobs of kind 0, iterator of blobs of kind 1) of every part, from rows sorted by part and kind."""
     rows = ((p, k, x) for b in batches for p, k, x in zip(*(b.column(i).to_pylist() for i in range(3))))
-    for _, own in groupby(rows, key=lambda r: r[0]):
+    for part, own in groupby(rows, key=lambda r: r[0]):
         first, texts = [], iter(())
         for row in own:
             if row[1]:
                 texts = chain([row[2]], (r[2] for r in own))
                 break
             first.append(row[2])
-        yield first, texts
+        yield part, first, texts
 
 
 def _together(small: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
@@ -398,25 +407,28 @@ def placed_segments(keys: DataFrame, texts: DataFrame, split: np.ndarray, parts:
     shared = keys.sparkSession.sparkContext.broadcast(split)  # one token a bucket
 
     def unpacked(blobs: Iterator[bytes]) -> Iterator[Doc]:
-        for doc, null, tag, raw in (d for x in blobs for d in _unpacked(x)):
+        for doc, null, raw in (d for x in blobs for d in _unpacked(x)):
             if not null:
-                yield doc, tag, raw
+                yield doc, 0, raw
 
-    def lot(held: list[tuple]) -> pa.RecordBatch:
-        bucket, count, offset, doc, tag, at, text = (np.concatenate([h[k] for h in held]) for k in range(7))
+    def lot(part: int, held: list[tuple]) -> pa.RecordBatch:
+        bucket, name, count, offset, doc, text = (np.concatenate([h[k] for h in held]) for k in range(6))
         size = count + length - 1
         base = np.concatenate(([0], np.cumsum(size)[:-1]))
+        order = np.lexsort((name, bucket))
+        start = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
+        one, low, high = order[start], np.minimum.reduceat(doc[order], start), np.maximum.reduceat(doc[order], start)
         rows = []
-        for b, k in _split(bucket, np.argsort(bucket, kind="stable")):
-            both, index = np.unique(np.stack([doc[k], tag[k]]), axis=1, return_inverse=True)
-            rows.append((b, _SEGMENTS.pack(count[k], offset[k], index.ravel(), at[k], both[0], both[1], text[_expand(base[k], size[k])])))
+        for b, k in _split(bucket[one], np.arange(len(one))):
+            own = one[k]
+            rows.append((b, _SEGMENTS.pack(count[own], offset[own], low[k], high[k], text[_expand(base[own], size[own])], np.array([part]))))
         return _table(rows, "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for key_blobs, blobs in _by_part(batches):
+        for part, key_blobs, blobs in _by_part(batches):
+            held, total = [], 0
             known = np.sort(np.concatenate([_KEYS.unpack(x)[0] for x in key_blobs])) if key_blobs else np.zeros(0, np.uint64)
-            for buf, valid, doc, tag, at, begin in _pieces(unpacked(blobs), length):
+            for buf, valid, doc, _, _, begin in _pieces(unpacked(blobs), length):
                 if not len(known):
                     continue
                 first, count, place, h = runs(buf, valid, length)
@@ -429,34 +441,36 @@ def placed_segments(keys: DataFrame, texts: DataFrame, split: np.ndarray, parts:
                 owner = np.searchsorted(begin, first, side="right") - 1
                 bucket = np.searchsorted(shared.value, tokens_at(buf, place), side="right")
                 text = buf[_expand(first, count + length - 1)]
-                held.append((bucket, count, place - first, doc[owner], tag[owner], at[owner] + first - begin[owner], text))
+                held.append((bucket, identity(buf, first, count + length - 1, place - first), count, place - first, doc[owner], text))
                 total += len(text)
                 if total >= LOT:
-                    yield lot(held)
+                    yield lot(part, held)
                     held, total = [], 0
-        if held:
-            yield lot(held)
+            if held:
+                yield lot(part, held)
 
     return _together(keys, texts, parts).mapInArrow(run, "bucket int, blob binary")
 
 
-def found_ranges(segments: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, blob) of the byte ranges to remove, by the part of their document."""
+def found_holders(segments: DataFrame, length: int) -> DataFrame:
+    """(part, blob) of the holders of segments, for the parts that asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _gathered(batches):
             columns = [_SEGMENTS.unpack(x) for x in blobs]
-            n, offset, at = (np.concatenate([c[k] for c in columns]).astype(np.int64) for k in (0, 1, 3))
-            doc = np.concatenate([c[4][c[2]] for c in columns])
-            tag = np.concatenate([c[5][c[2]] for c in columns])
-            buf = np.concatenate([c[6] for c in columns])
+            part = np.repeat([int(c[5][0]) for c in columns], [len(c[0]) for c in columns])
+            n, offset = (np.concatenate([c[k] for c in columns]).astype(np.int64) for k in (0, 1))
+            low, high, buf = (np.concatenate([c[k] for c in columns]) for k in (2, 3, 4))
             del columns
-            seg, lo, hi = removed_ranges(buf, n, offset, doc, length)
+            seg, count, holder = window_holders(buf, n, offset, low, high, length)
             if not len(seg):
                 continue
-            doc, tag, lo, hi = doc[seg], tag[seg], at[seg] + lo, at[seg] + hi + length - 1
-            part = part_of(doc, parts)
-            yield _table([(p, _RANGES.pack(doc[k], tag[k], lo[k], hi[k])) for p, k in _split(part, np.lexsort((lo, doc, part)))], "part")
+            size = n + length - 1
+            base = np.concatenate(([0], np.cumsum(size)[:-1]))[seg]
+            name = identity(buf, base, size[seg], offset[seg])
+            begin = np.concatenate(([0], np.cumsum(count)[:-1]))
+            order = np.lexsort((name, part[seg]))
+            yield _table([(p, _HOLDERS.pack(name[k], count[k], holder[_expand(begin[k], count[k])])) for p, k in _split(part[seg], order)], "part")
 
     return segments.mapInArrow(run, "part int, blob binary")
 
@@ -467,26 +481,15 @@ def packed_texts(rows: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[int, list] = {}
-            for part, doc, tag, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-                by.setdefault(part, []).append((doc or 0, doc is None, tag, text.encode("utf-8", "surrogatepass")))
+            for part, doc, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                by.setdefault(part, []).append((doc or 0, doc is None, text.encode("utf-8", "surrogatepass")))
             blobs = [
-                _TEXTS.pack(*(np.array([d[k] for d in docs]) for k in range(3)), np.array([len(d[3]) for d in docs]), np.frombuffer(b"".join(d[3] for d in docs), np.uint8))
+                _TEXTS.pack(*(np.array([d[k] for d in docs]) for k in range(2)), np.array([len(d[2]) for d in docs]), np.frombuffer(b"".join(d[2] for d in docs), np.uint8))
                 for docs in by.values()
             ]
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-    return rows.select(_part_column(parts).alias("part"), "doc_id", "tag", "text").mapInArrow(run, "part int, blob binary")
-
-
-def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
-    """Union of ranges sorted by start; touching ranges join."""
-    out: list[tuple[int, int]] = []
-    for a, b in zip(lo.tolist(), hi.tolist()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+    return rows.select(_part_column(parts).alias("part"), "doc_id", "text").mapInArrow(run, "part int, blob binary")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
@@ -501,48 +504,92 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True)
     split = splitters(rows, buckets, length)
     keys = cut(shared_tokens(rows, parts, buckets, length))
     segments = placed_segments(keys, texts, split, parts, buckets, length).repartition(buckets, "bucket")
-    ranges = cut(found_ranges(segments, parts, length))
+    holders = cut(found_holders(segments, length))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] + [("kept", pa.binary())] * keep_bytes
     schema = pa.schema(fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs, texts in _by_part(batches):
-            index = _index([_RANGES.unpack(x) for x in blobs])
-            for x in texts:
-                yield pa.RecordBatch.from_pylist(list(_cut_texts(x, index, keep_bytes)), schema)
+        for _, blobs, texts in _by_part(batches):
+            known = _index([_HOLDERS.unpack(x) for x in blobs])
+            for docs in _lots(texts):
+                spans = _spans_of(docs, known, length)
+                yield pa.RecordBatch.from_pylist([_cut_text(d, x, keep_bytes) for d, x in zip(docs, spans)], schema)
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept binary" * keep_bytes
-    return _together(ranges, texts, parts).mapInArrow(apply, ddl)
+    return _together(holders, texts, parts).mapInArrow(apply, ddl)
 
 
-def _index(ranges: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-    doc, tag, lo, hi = (np.concatenate([r[k] for r in ranges]) if ranges else np.zeros(0, t) for k, t in enumerate(_RANGES.types))
-    order = np.lexsort((lo, tag, doc))
-    return doc[order], tag[order], lo[order], hi[order]
+def _index(holders: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, first holders, numbers, holders), by name."""
+    name, count, holder = (np.concatenate([h[k] for h in holders]) if holders else np.zeros(0, t) for k, t in enumerate(_HOLDERS.types))
+    count = count.astype(np.int64)
+    order = np.argsort(name, kind="stable")
+    return name[order], np.concatenate(([0], np.cumsum(count)))[:-1][order], count[order], holder
 
 
-def _unpacked(blob: bytes) -> Iterator[tuple[int, bool, int, bytes]]:
-    """(doc_id, whether null, tag, bytes) of packed documents."""
-    docs, nulls, tags, sizes, data = _TEXTS.unpack(blob)
+def _unpacked(blob: bytes) -> Iterator[tuple[int, bool, bytes]]:
+    """(doc_id, whether null, bytes) of packed documents."""
+    docs, nulls, sizes, data = _TEXTS.unpack(blob)
     data, at = data.tobytes(), 0
-    for doc, null, tag, size in zip(docs.tolist(), nulls.tolist(), tags.tolist(), sizes.tolist()):
-        yield doc, bool(null), tag, data[at : at + size]
+    for doc, null, size in zip(docs.tolist(), nulls.tolist(), sizes.tolist()):
+        yield doc, bool(null), data[at : at + size]
         at += size
 
 
-def _cut_texts(blob: bytes, index: tuple[np.ndarray, ...], keep_bytes: bool) -> Iterator[dict]:
-    doc, tag, lo, hi = index
-    for d, null, t, raw in _unpacked(blob):
-        a, b = np.searchsorted(doc, d, side="left"), np.searchsorted(doc, d, side="right")
-        spans: list = []
-        if b > a and not null:
-            x, y = a + np.searchsorted(tag[a:b], t, side="left"), a + np.searchsorted(tag[a:b], t, side="right")
-            spans = merged(lo[x:y], hi[x:y])
-        kept, done = [], 0
-        for x, y in spans:
-            kept.append(raw[done:x])
-            done = y
-        rest = b"".join([*kept, raw[done:]])
-        out = {"doc_id": None if null else d, "n_bytes": len(raw), "n_removed": len(raw) - len(rest), "n_spans": len(spans), "kept_sha256": hashlib.sha256(rest).hexdigest()}
-        yield out | {"spans": [{"start": x, "end": y} for x, y in spans]} | ({"kept": rest} if keep_bytes else {})
+def _lots(blobs: Iterator[bytes]) -> Iterator[list[tuple[int, bool, bytes]]]:
+    """Documents in lists of about PIECE bytes."""
+    held, total = [], 0
+    for doc in (d for x in blobs for d in _unpacked(x)):
+        held.append(doc)
+        total += len(doc[2])
+        if total >= PIECE:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _spans_of(docs: list[tuple[int, bool, bytes]], known: tuple[np.ndarray, ...], length: int) -> list[list[tuple[int, int]]]:
+    """The byte ranges that each document loses, merged."""
+    out: list[list[tuple[int, int]]] = [[] for _ in docs]
+    names, begins, numbers, holders = known
+    if not len(names):
+        return out
+    found = []
+    numbered = ((d, k, raw) for k, (d, null, raw) in enumerate(docs) if not null)
+    for buf, valid, doc, row, at, begin in _pieces(numbered, length):
+        first, count, place, _ = runs(buf, valid, length)
+        name = identity(buf, first, count + length - 1, place - first)
+        where = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        k = np.flatnonzero(names[where] == name)
+        if not len(k):
+            continue
+        first, count, where = first[k], count[k], where[k]
+        owner = np.searchsorted(begin, first, side="right") - 1
+        seg = np.repeat(np.arange(len(k)), count)
+        j = _expand(np.zeros(len(k), np.int64), count)
+        gone = doc[owner][seg] > holders[begins[where][seg] + np.where(numbers[where][seg] == 1, 0, j)]
+        start = (at[owner] + first - begin[owner])[seg[gone]] + j[gone]
+        found.append((row[owner][seg[gone]], start))
+    if found:
+        rows, starts = (np.concatenate([f[k] for f in found]) for k in range(2))
+        order = np.lexsort((starts, rows))
+        rows, starts = rows[order], starts[order]
+        fresh = np.append(True, (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + length))[: len(rows)]
+        at = np.flatnonzero(fresh)
+        last = np.append(at[1:], len(rows)) - 1
+        for r, lo, hi in zip(rows[at].tolist(), starts[at].tolist(), starts[last].tolist()):
+            out[r].append((lo, hi + length))
+    return out
+
+
+def _cut_text(doc: tuple[int, bool, bytes], spans: list[tuple[int, int]], keep_bytes: bool) -> dict:
+    name, null, raw = doc
+    kept, done = [], 0
+    for lo, hi in spans:
+        kept.append(raw[done:lo])
+        done = hi
+    rest = b"".join([*kept, raw[done:]])
+    out = {"doc_id": None if null else name, "n_bytes": len(raw), "n_removed": len(raw) - len(rest), "n_spans": len(spans), "kept_sha256": hashlib.sha256(rest).hexdigest()}
+    return out | {"spans": [{"start": lo, "end": hi} for lo, hi in spans]} | ({"kept": rest} if keep_bytes else {})
