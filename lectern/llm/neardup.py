@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.arrow import column, map_rows, texts
 from lectern.llm.components import connected_components
+from lectern.llm.hashing import PRIME, mix, stretches
 from lectern.runtime import cut, ship
 
 SHINGLE = 4
@@ -39,34 +40,17 @@ SYMBOLS, CHUNKS, WIDTH, ERRORS = 120, 10, 6, 1
 FAR = 44
 #: Nodes in a block.
 BLOCK = 4096
+#: Places that the rows of one component are dealt to when they get its name.
+SALTS = 64
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 80
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse, at least n of each."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, p, np.uint64)))) for p in (_P, _P_INVERSE))
-    return _powers[size]
 
 
 def shingles(text: str) -> np.ndarray:
@@ -77,13 +61,11 @@ def shingles(text: str) -> np.ndarray:
     start, stop = turns[::2], turns[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _power(len(raw) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])))
-    words = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    words = stretches(raw, start, stop)
     k = min(SHINGLE, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
-        h = mix(h * np.uint64(_P) + words[j : len(words) - k + 1 + j])
+        h = mix(h * np.uint64(PRIME) + words[j : len(words) - k + 1 + j])
     return np.unique(h)
 
 
@@ -104,7 +86,7 @@ def entries(signatures: np.ndarray) -> np.ndarray:
             key = np.full(len(chunk), c * 1009 + sum(WIDTH**i * g for i, g in enumerate(gone)), np.uint64)
             for k in range(WIDTH):
                 if k not in gone:
-                    key = mix(key * np.uint64(_P) + chunk[:, k] + np.uint64(1))
+                    key = mix(key * np.uint64(PRIME) + chunk[:, k] + np.uint64(1))
             out.append(key)
     return np.column_stack(out)
 
@@ -302,13 +284,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, component_id (least doc_id that links reach) and kept of every row."""
     ship(docs.sparkSession)
     prints = cut(fingerprints(docs))
-    one = prints.where("node is not null").groupBy("node").agg(F.min("rid").alias("rep"))
+    one = cut(prints.where("node is not null").groupBy("node").agg(F.min("rid").alias("rep")))
     nodes = cut(prints.join(one.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "th", "sig"))
     edges = candidate_edges(cut(shared_entries(nodes)), nodes)
     clusters = cut(connected_components(edges))
     roots = connected_components(confirmed_edges(docs, nodes, clusters)).select(F.col("node").alias("rep"), "root")
-    classes = prints.drop("sig").join(one, "node", "left").join(roots, "rep", "left")
-    classes = cut(classes.withColumn("class", F.coalesce("root", "rep", "rid")).select("doc_id", "th", "n_shingles", "class"))
-    least = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = classes.join(least, "class")
+    # Node by node first, so that rows meet their class in one join, whose skew Spark can split.
+    named = cut(one.join(roots, "rep", "left").select("node", F.coalesce("root", "rep").alias("class")))
+    rows = prints.select("doc_id", "th", "n_shingles", "node", "rid")
+    classes = rows.where("node is not null").join(named, "node").select("doc_id", "th", "n_shingles", "class")
+    classes = cut(classes.unionByName(rows.where("node is null").select("doc_id", "th", "n_shingles", F.col("rid").alias("class"))))
+    # Only classes of several rows need a join, and each of them meets its rows in SALTS places.
+    least = classes.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("class", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = classes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+    out = salted.join(least, ["class", "salt"], "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
