@@ -35,7 +35,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = both.join(least, "a")
+    # Under another expression the minima get an exchange of their own, and Spark can split a node of many edges.
+    named = least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("node"), "m")
+    joined = both.join(named, F.col("a") == F.col("node")).drop("node")
     if large:  # neighbours above a hang on a's least neighbour
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # neighbours below a, and a itself, hang on the least of them
