@@ -200,5 +200,4 @@ def tokens(text: Column) -> Column:
     spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[,;:?!()\\[\\]{}<>\"@#$%&]|--", " ")
     parted = F.regexp_replace(spaced, r"(n't|'(?:s|m|d|ll|re|ve))(\s|$)", " $1$2")
     words = F.transform(F.split(parted, r"\s+"), lambda w: F.regexp_replace(w, r"\.$", ""))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: F.rlike(w, F.lit(r"^\p{L}+$")) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & F.rlike(w, F.lit(r"^\p{L}+$")))

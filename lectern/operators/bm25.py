@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokens
+from lectern.runtime import cut
 
 # The usual parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -24,7 +25,7 @@ class Index:
 
 def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") -> Index:
     """The index of chunks; save its tables to ask it many times."""
-    rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("terms"))
+    rows = cut(chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("terms")))  # each text is cut into words once
     postings = rows.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     lengths = rows.select("chunk_id", F.size("terms").alias("dl"))
     return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
