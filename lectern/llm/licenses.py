@@ -5,8 +5,8 @@ on the paragraphs below, gives each word n-gram of the vocabulary a weight for e
 family and for ``unknown``. Probabilities are tempered, and a family is only reported above a
 probability that held-out unknown paragraphs stay under; then the family's templates must
 confirm it: the best of them shares at least CONFIRM of its own n-grams, or of the
-paragraph's, with the paragraph. A paragraph without any cover word (a few longer words of
-which every template holds one) is unknown without being scored.
+paragraph's, with the paragraph. A paragraph without any cover word is unknown without being
+scored; the cover words are chosen from the weights so that no such paragraph can be reported.
 
 Defined cases: null and empty texts have no paragraph; ties between families go to the
 alphabetically first; repeated rows each keep their own row; an empty table gives an empty
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -25,6 +24,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import STOP_WORDS, let
+
 UNKNOWN = "unknown"
 #: Share of a template's n-grams, or of a paragraph's, that must be common to both.
 CONFIRM = 0.5
@@ -223,20 +224,25 @@ def training_paragraphs() -> list[dict]:
     return rows
 
 
-def cover_words(stop: set[str], least: int = 5) -> list[str]:
-    """Few longer words of which every template holds one, chosen greedily."""
-    texts = [t for many in TEMPLATES.values() for t in many]
-    sets = [{w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() if len(w) >= least} - stop for t in texts]
-    out: list[str] = []
-    while any(sets):
-        count: dict[str, int] = {}
-        for s in sets:
-            for w in s:
-                count[w] = count.get(w, 0) + 1
-        best = max(sorted(count), key=lambda w: (count[w], len(w)))
-        out.append(best)
-        sets = [s for s in sets if s and best not in s]
-    return out
+def cover_words(weights: dict[str, list[float]], bias: list[float]) -> list[str]:
+    """Words without any of which no paragraph can be reported; empty if there are none such.
+
+    A paragraph is only reported if its n-grams lift a family above ``unknown``, the last one.
+    n-grams may go uncovered (stop words first, then the weakest) while all of them together
+    lift no family that far; of each other n-gram that lifts any, one word is in the cover.
+    """
+    gap = bias[-1] - np.array(bias[:-1])
+    if gap.min() <= 0:
+        return []
+    gain = {g: np.maximum(np.array(w[:-1]) - w[-1], 0) for g, w in weights.items()}
+    telling = {g: [w for w in g.split() if w not in STOP_WORDS] for g, x in gain.items() if x.max() > 0}
+    out: set[str] = set()
+    for g in sorted(telling, key=lambda g: (bool(telling[g]), gain[g].max(), g)):
+        if (gap - gain[g] > 1e-6).all():
+            gap = gap - gain[g]
+        else:
+            out.add(max(telling[g] or g.split(), key=lambda w: (len(w), w)))
+    return sorted(out)
 
 
 def train(spark: SparkSession) -> Model:
@@ -261,8 +267,7 @@ def train(spark: SparkSession) -> Model:
     temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-9)).mean())
     best = _softmax(logits / temperature)[:, :-1].max(1)[labels == len(families) - 1]
     threshold = max(0.5, float(np.quantile(best, QUANTILE)) if len(best) else 0.5)
-    stop = {"under", "terms", "other", "these", "above", "without", "which", "whether", "where", "there", "their"}
-    return Model(families, weights, bias.tolist(), float(temperature), threshold, cover_words(stop))
+    return Model(families, weights, bias.tolist(), float(temperature), threshold, cover_words(weights, bias.tolist()))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -270,17 +275,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _has_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+def _has_any(words: Column, cover: list[str]) -> Column:
+    return F.exists(words, lambda w: w.isin(*cover)) if cover else F.lit(True)
 
 
 def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, th (hash of the text), paragraph (place), family, probability and similarity of every confirmed licence paragraph."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text")).where(_has_any(F.col("text"), model.cover))
-    lines = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_has_any(F.col("line"), model.cover))
-    lines = lines.dropDuplicates(["doc_id", "th", "paragraph"]).select("doc_id", "th", "paragraph", ngrams(clean(F.col("line"))).alias("grams"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text"))
+    lines = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_has_any(clean(F.col("line")), model.cover))
+    lines = lines.dropDuplicates(["doc_id", "th", "paragraph"]).select("doc_id", "th", "paragraph", let(clean(F.col("line")), ngrams).alias("grams"))
     k = len(model.families)
     weights = inline(spark, [{"gram": g, "w": w} for g, w in model.weights.items()], "gram string, w array<double>")
     sums = (

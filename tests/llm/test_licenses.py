@@ -1,5 +1,6 @@
 import math
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -71,6 +72,16 @@ def test_every_template_has_a_cover_word(model):
             assert any(w in t.lower() for w in model.cover) or not any(len(w) >= 5 for w in re.findall("[a-z0-9]+", t.lower())), t
 
 
+def test_cover_loses_no_paragraph(spark, model):
+    every = [t for many in licenses.TEMPLATES.values() for t in many] + licenses.NEGATIVES
+    words = [w for t in every for w in t.split()]
+    parts = [" ".join(words[k : k + n]) for n in (1, 2, 4, 8) for k in range(0, len(words) - n, 3)]
+    docs = spark.createDataFrame(list(enumerate(["All rights reserved.", *parts])), "doc_id long, text string")
+    got = {n: {tuple(r) for r in licenses.scan_documents(docs, replace(model, cover=c)).drop("probability").collect()} for n, c in (("all", []), ("covered", model.cover))}
+    assert got["covered"] == got["all"] and model.cover
+    assert (0, 1, 1, "proprietary", "proprietary") in got["covered"]
+
+
 def test_empty(spark, model):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan_documents(docs, model).count() == 0
