@@ -154,9 +154,11 @@ def best_doi(dois: Column) -> Column:
 
 
 def distinct_ignoring_case(values: Column) -> Column:
-    """First spelling of each value, in order."""
-    fresh = lambda all_: lambda v, k: ~F.array_contains(F.slice(all_["low"], F.lit(1), k), F.lower(v))
-    return let(F.struct(values.alias("all"), F.transform(values, F.lower).alias("low")), lambda x: F.filter(x["all"], fresh(x)))
+    """First spelling of each value, in order, by two sorts; nulls go."""
+    known = F.filter(values, lambda v: v.isNotNull())
+    ranked = F.sort_array(F.transform(known, lambda v, k: F.struct(F.lower(v).alias("low"), k.alias("at"), v.alias("value"))))
+    first = let(ranked, lambda all_: F.filter(all_, lambda x, k: (k == 0) | (F.get(all_, k - 1)["low"] != x["low"])))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["at"], x["value"]))), lambda x: x["value"])
 
 
 def joined_distinct(values: Column, separator: str = "; ") -> Column:

@@ -341,6 +341,17 @@ def keyword_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_ignoring_case(words), "|").alias("keywords"))
 
 
+@query(
+    """WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents), f AS (SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS k FROM w),
+r AS (SELECT doc_id, k, v, row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY k) AS nth FROM f)
+SELECT doc_id, string_agg(v, '|' ORDER BY k) AS keywords FROM r WHERE nth = 1 GROUP BY doc_id"""
+)
+def keyword_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyword_dedup over all words of a text."""
+    words = F.split("text", " ", -1)
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_ignoring_case(words), "|").alias("keywords"))
+
+
 _DOIS = (("a", ("10.1/x.r001", "10.1/abcdef")), ("b", ("10.1/abcd", "10.1/abce")), ("c", ("10.1/long.r0001", "10.1/s.r001")), ("d", ("10.1/x.r01", "10.1/verylong")))
 
 

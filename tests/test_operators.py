@@ -3,8 +3,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import bm25, sampling, upsert, vector_search
+from lectern.plans import registry
 from lectern.sources import filelist, objects
 
 
@@ -81,3 +84,11 @@ def test_file_list(spark, tmp_path):
     assert copied.ok and (tmp_path / "got" / copied.key).exists()
     filelist.write_failures(spark.createDataFrame([("k", "a")], "key string, accession_id string"), str(tmp_path / "f"))
     assert spark.read.option("header", True).csv(str(tmp_path / "f")).first().AccessionID == "a"
+
+
+def test_keywords_past_the_fortieth_word(spark):
+    words = [f"w{k}" for k in range(40)] + ["New", "W3", "new", "NEW", "Last"]
+    df = spark.createDataFrame([(words,), (["a", None, "B", "A"],), ([],), (None,)], "v array<string>")
+    got = [r[0] for r in df.select(T.distinct_ignoring_case(F.col("v"))).collect()]
+    assert got == [words[:41] + ["Last"], ["a", "B"], [], None]
+    assert "keyword_dedup_whole" in registry.QUERIES
