@@ -231,6 +231,26 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.join(known, ["paper_id", "section_index", "chunk_index"], "left").select("paper_id", "section_index", "chunk_index", "bucket", "old_id")
 
 
+@query(
+    """WITH d AS (SELECT source AS paper_id, CAST(doc_id AS BIGINT) AS section_index, min(lang) AS bucket FROM documents GROUP BY ALL),
+old AS (SELECT paper_id, section_index, unnest([0, 2]) AS chunk_index, bucket FROM d),
+new AS (SELECT paper_id, section_index, unnest([0, 1]) AS chunk_index, 'new ' || section_index AS bucket FROM d)
+SELECT paper_id, section_index, chunk_index, coalesce(n.bucket, o.bucket) AS bucket, o.id AS old_id
+FROM (SELECT *, section_index * 3 + chunk_index AS id FROM old) o FULL JOIN new n USING (paper_id, section_index, chunk_index)"""
+)
+def chunk_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert with every document on both sides: a key of its own that changes, one that stays and one that is new."""
+    key = ["paper_id", "section_index", "chunk_index"]
+    docs = load(spark, sf_dir, "documents").select(F.col("source").alias("paper_id"), F.col("doc_id").cast("long").alias("section_index"), F.col("lang").alias("bucket"))
+    docs = docs.groupBy("paper_id", "section_index").agg(F.min("bucket").alias("bucket"))
+    row_id = (F.col("section_index") * 3 + F.col("chunk_index")).alias("id")
+    old = docs.withColumn("chunk_index", F.explode(F.array(F.lit(0), F.lit(2)))).select(*key, row_id, "bucket")
+    new = docs.withColumn("chunk_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(*key, F.concat(F.lit("new "), "section_index").alias("bucket"), F.col("section_index").alias("seq"))
+    twice = upsert.merged(upsert.merged(old, new), new)  # the same batch again changes nothing
+    known = old.select(*key, F.col("id").alias("old_id"))
+    return twice.join(known, key, "left").select(*key, "bucket", "old_id")
+
+
 TITLES = (
     "Results and Discussion", "Discussion and Conclusions", "Methods and Results", "Methods, Results and Discussion", "Result", "Statistical analysis",
     "Ethics approval", "1. Introduction", "I) Methods", "Section 2: Results", "T-cell assays", "Cohort", "", "Materials and  Methods", "iv. Findings", "2.1.3 Outcomes",

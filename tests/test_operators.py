@@ -92,3 +92,10 @@ def test_keywords_past_the_fortieth_word(spark):
     got = [r[0] for r in df.select(T.distinct_ignoring_case(F.col("v"))).collect()]
     assert got == [words[:41] + ["Last"], ["a", "B"], [], None]
     assert "keyword_dedup_whole" in registry.QUERIES
+
+
+def test_upsert_of_every_document(spark, tmp_path):
+    n = 600
+    spark.range(n).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.section_index, r.chunk_index): (r.bucket, r.old_id) for r in registry.QUERIES["chunk_upsert_whole"](spark, str(tmp_path)).collect()}
+    assert rows == {(d, c): ("en" if c == 2 else f"new {d}", None if c == 1 else 3 * d + c) for d in range(n) for c in range(3)}
