@@ -1,15 +1,22 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 One pass over the whole texts finds the base spans (seeds) and every other token that
-looks like an identifier, each with its lexical contexts. Spark then scores the graph of
-contexts and instances in a few rounds: a context is trusted for a kind by the share of
-its distinct instances already known as that kind; an instance by the contexts it has.
-Mentions of the right shape in a trusted context become further spans. Only mentions are
-shuffled, never texts.
+looks like an identifier, each with its lexical contexts: the words left of it on its line
+(two, one) and around it. Spark then scores the graph of contexts and instances until a
+round finds nothing new. A context is trusted for a kind if it holds at least SUPPORT known
+instances of it, seeds or found in earlier rounds, whose scores make TRUST of all its
+distinct instances; an instance of the kind's shape becomes known if its trusted contexts
+together reach TRUST, and may then lift further contexts. What is known stays known, so the
+rounds end. Mentions of the right shape in a trusted context become further spans. Only
+mentions are shuffled, never texts.
 
 Defined cases: a null text is empty; a null doc_id keeps its row; repeated rows each keep
-their own row; an empty table gives an empty result; base spans are never taken away and
-an added span never overlaps a base span.
+their own row; an empty table gives an empty result; other columns are not looked at,
+whatever their names; base spans are never taken away and an added span never overlaps a
+base span; of equally trusted kinds the first listed wins. Very long texts and tokens are
+read whole, in linear time: a context reaches back to the mention before at most, which
+stands in it as one word. Instances and contexts of more than LONG characters are named by
+their digest.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from lectern.llm.arrow import column, keyed_texts, map_rows, sha, texts
 from lectern.runtime import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a context needs, the precision from which it is trusted, and the rounds of scoring.
-SUPPORT, TRUST, ROUNDS = 3, 0.8, 3
+#: Distinct known instances that a context needs, and the precision from which it is trusted.
+SUPPORT, TRUST = 3, 0.8
+#: Characters above which an instance or a context is named by its digest; of text that is searched for context words at first.
+LONG, REACH = 64, 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +45,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
 _SEED_OF_TOKEN = re.compile(r"[0-9]++(?:[ -]?[0-9]++)*+|@")
 _TOKEN_END = re.compile(r"\S*")
+_NUMBER = re.compile("[0-9]+")
+#: Stands in a context for a mention beside it.
+MENTION = "\0"
 _TRIM = "\"'()[]{}<>|*#$%&=,;:.!?"
 
 
@@ -106,24 +118,71 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             k += 1
         if k < len(spans) and spans[k][0] < end:
             continue
-        token = text[start:end]
-        if 4 <= len(token) <= 64 and shape(token):
+        if shape(text[start:end]):
             out.append((start, end))
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a mention: words to its left (two, one) and around it."""
-    line = text[max(0, start - 80) : start].rpartition("\n")[2]
-    left = [re.sub("[0-9]+", "0", w) for w in line.lower().strip().split()[-2:]]
+def _left_words(text: str, low: int, start: int) -> list[str]:
+    """The last two words of text[low:start] on start's line; MENTION first if fewer stand after a mention on it."""
+    reach = REACH
+    while True:
+        at = max(low, start - reach)
+        part = text[at:start]
+        line = part.rpartition("\n")
+        words = line[2].split()
+        if line[1]:
+            return words[-2:]
+        if at == low:
+            return ([MENTION] * (low > 0) + words)[-2:]
+        if len(words) > 2:
+            return words[-2:]
+        reach *= 2
+
+
+def _right_word(text: str, end: int, high: int) -> str:
+    """The first word of text[end:high] on end's line; MENTION or nothing if there is none."""
+    reach = REACH
+    while True:
+        at = min(high, end + reach)
+        part, newline, _ = text[end:at].partition("\n")
+        words = part.split(None, 1)
+        if words and (newline or len(words) == 2 or at == high or part[-1].isspace()):
+            return words[0]
+        if newline or at == high:
+            return MENTION if not newline and high < len(text) else ""
+        reach *= 2
+
+
+def named(text: str) -> str:
+    """A text as it is, or its digest if it is long."""
+    return text if len(text) <= LONG else sha(text)
+
+
+def contexts(text: str, low: int, start: int, end: int, high: int) -> list[str]:
+    """Lexical contexts of a mention between the mentions that end at ``low`` and begin at ``high``."""
+    left = [_NUMBER.sub("0", w.lower()) for w in _left_words(text, low, start)]
     if not left:
         return []
-    right = text[end : end + 40].partition("\n")[0].lower().split()[:1]
+    right = _right_word(text, end, high).lower()
     out = [f"1 {left[-1]}"]
     if len(left) == 2:
         out.append(f"2 {left[0]} {left[1]}")
     if right:
-        out.append(f"r {left[-1]} _ {right[0]}")
+        out.append(f"r {left[-1]} _ {right}")
+    return [named(x) for x in out]
+
+
+def mentions_of(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Seeds (base spans) and candidates of a text in order, with shapes, instance and contexts."""
+    found = sorted([(a, b, k) for a, k, b in base] + [(a, b, -1) for a, b in candidates(text, base)])
+    out, low = [], 0
+    for at, (a, b, k) in enumerate(found):
+        high = max(b, found[at + 1][0]) if at + 1 < len(found) else len(text)
+        token = text[a:b]
+        near = contexts(text, min(low, a), a, b, high)
+        out.append({"start": a, "end": b, "seed": k, "shapes": [k] if k >= 0 else shape(token), "instance": named(token.lower()), "contexts": near})
+        low = max(low, b)
     return out
 
 
@@ -139,13 +198,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 counts.append([kinds.count(k) for k in range(4)])
                 digests.append(sha(joined(base)))
                 spans.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-                found = [(a, b, k) for a, k, b in base] + [(a, b, -1) for a, b in candidates(text, base)]
-                mentions.append(
-                    [
-                        {"start": a, "end": b, "seed": k, "shapes": [k] if k >= 0 else shape(text[a:b]), "instance": text[a:b][:64].lower(), "contexts": contexts(text, a, b)}
-                        for a, b, k in found
-                    ]
-                )
+                mentions.append(mentions_of(text, base))
             return {"doc_id": column(batch, "doc_id"), "th": column(batch, "th"), "base_sha256": digests, "base": spans, "mentions": mentions} | {
                 f"n_{name}": [c[k] for c in counts] for k, name in enumerate(KINDS)
             }
@@ -163,35 +216,37 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def trusted_contexts(mentions: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+def trusted_contexts(mentions: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """(context, kind, confidence) after bootstrapping over the context-instance graph.
 
-    mentions: instance, seed (kind index, -1 for none) and contexts. A context counts for
-    a kind if it has at least ``support`` distinct seeds of it and the scores of its
-    known instances make ``trust`` of all its distinct instances.
+    mentions: instance, seed (kind index, -1 for none), shapes and contexts. Contexts of
+    fewer than ``support`` distinct instances can never be trusted and are left out at once.
     """
-    edges = cut(mentions.select(F.explode("contexts").alias("context"), "instance", "seed").groupBy("context", "instance").agg(F.max("seed").alias("seed")))
+    edges = mentions.select(F.explode("contexts").alias("context"), "instance", "seed", "shapes").groupBy("context", "instance").agg(
+        F.max("seed").alias("seed"), F.bit_or(F.aggregate("shapes", F.lit(0), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), k)))).alias("shapes")
+    )
+    edges = cut(edges)
     size = edges.groupBy("context").agg(F.count("*").alias("size")).where(F.col("size") >= support)
-    seeds = edges.where("seed >= 0").select("instance", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    useful = edges.where("seed >= 0").groupBy("context", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    useful = cut(useful.join(size, "context"))
-    edges = edges.join(useful.select("context").distinct(), "context", "left_semi").select("context", "instance")
-    known, scored = seeds, None
-    for _ in range(rounds):
-        weight = edges.join(known, "instance").groupBy("context", "kind").agg(F.sum("score").alias("weight"))
-        scored = cut(weight.join(useful, ["context", "kind"]).select("context", "kind", (F.col("weight") / F.col("size")).alias("confidence")).where(F.col("confidence") >= trust))
-        if scored.isEmpty():
-            break
-        found = edges.join(scored, "context").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score"))
-        known = seeds.unionByName(found.join(seeds.select("instance", "kind"), ["instance", "kind"], "left_anti").where(F.col("score") >= trust))
-    return scored
-
-
-def find(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+    edges = cut(edges.join(size, "context"))
+    known = cut(edges.where("seed >= 0").select("instance", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0)))
+    while True:
+        weight = edges.join(known, "instance").groupBy("context", "kind").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(20,9)")).alias("weight"), F.max("size").alias("size"))
+        confidence = (F.col("weight") / F.col("size")).cast("double").alias("confidence")
+        scored = cut(weight.where(F.col("n") >= support).select("context", "kind", confidence).where(F.col("confidence") >= trust))
+        has_shape = F.call_function("shiftright", F.col("shapes"), F.col("kind")).bitwiseAND(F.lit(1)) == 1
+        doubt = F.sum(F.log(1.0001 - F.col("confidence")).cast("decimal(20,9)"))  # decimals: the same in any order of rows
+        found = edges.where("seed < 0").join(scored, "context").where(has_shape).groupBy("instance", "kind").agg((1 - F.exp(doubt.cast("double"))).alias("score"))
+        new = cut(found.where(F.col("score") >= trust).join(known.select("instance", "kind"), ["instance", "kind"], "left_anti"))
+        if new.isEmpty():
+            return scored
+        known = cut(known.unionByName(new))
+
+
+def find(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """doc_id, th (hash of the text), counts, base_sha256, base (spans), added (spans) and row, a number that names the row."""
     rows = cut(scan(docs).withColumn("row", F.monotonically_increasing_id()))
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    contexts_ = trusted_contexts(mentions, support, trust, rounds)
+    contexts_ = trusted_contexts(mentions, support, trust)
     open_ = mentions.where("seed < 0").select("row", "start", "end", "shapes", F.explode("contexts").alias("context"))
     best = F.max_by("kind", F.struct("confidence", -F.col("kind"))).cast("int")
     added = (

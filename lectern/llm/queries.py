@@ -12,7 +12,8 @@ from lectern.runtime import load
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(load(spark, sf_dir, "documents")).withColumn("spans", pii.spans_column())
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    n_spans = F.size("base") + F.coalesce(F.size("added"), F.lit(0))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", n_spans.cast("long").alias("n_spans"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +68,87 @@ def test_contexts_discover_identifiers(spark):
     assert out[0].base_sha256 == pii.sha(out[0].spans)
 
 
+def brute_known(rows, support, trust):
+    """Trusted (context, kind) and known (instance, kind) by plain loops over all mentions."""
+    shapes, seeds, members = {}, {}, {}
+    for text in rows:
+        for m in pii.mentions_of(text, pii.base_spans(text)):
+            for c in m["contexts"]:
+                members.setdefault(c, set()).add(m["instance"])
+                shapes.setdefault((c, m["instance"]), set()).update(m["shapes"])
+                if m["seed"] >= 0:
+                    seeds[c, m["instance"]] = m["seed"]
+    known = {(i, k): 1.0 for (c, i), k in seeds.items() if len(members[c]) >= support}
+    while True:
+        trusted = {}
+        for c, own in members.items():
+            for kind in range(4):
+                scores = [known[i, kind] for i in own if (i, kind) in known]
+                if len(own) >= support and len(scores) >= support and sum(scores) / len(own) >= trust:
+                    trusted[c, kind] = sum(scores) / len(own)
+        new = {}
+        for (c, i), own in shapes.items():
+            for kind in own:
+                if (c, kind) in trusted and (c, i) not in seeds:
+                    new.setdefault((i, kind), []).append(trusted[c, kind])
+        fresh = {}
+        for x, confidences in new.items():
+            doubt = 1.0
+            for p in confidences:
+                doubt *= 1.0001 - p
+            if 1 - doubt >= trust and x not in known:
+                fresh[x] = 1 - doubt
+        if not fresh:
+            return trusted
+        known |= fresh
+
+
+def graph_corpus(seed):
+    rng = random.Random(seed)
+    leads = ["call me at", "reach me via", "phone line is", "my number:", "it cost about", "ticket no"]
+    out = []
+    for k in range(160):
+        lead = rng.choice(leads)
+        n = rng.randrange(18)
+        real = f"+1 (555) 010-{1000 + n}" if n < 15 else f"555-01{n:02d}-{2000 + n}"
+        noise = f"77{rng.randrange(1000, 9999)}-{rng.randrange(100, 999)}"
+        out.append(f"{rng.choice(['well', 'so', 'please'])} {lead} {noise if lead == 'it cost about' or rng.random() < 0.03 else real} {rng.choice(['today', 'soon', ''])}")
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graph_equals_brute_force(spark, seed):
+    texts = graph_corpus(seed)
+    want = brute_known(texts, 3, 0.8)
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).selectExpr("inline(mentions)")
+    got = {(r.context, r.kind): r.confidence for r in pii.trusted_contexts(rows).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_found_identifiers_lift_new_contexts(spark):
+    """The second context never holds a seed; only numbers found through the first one are known in it."""
+    first = [f"so call me at +1 (555) 010-{1000 + k} today" for k in range(28)]
+    bridge = [f"so call me at 555-{k}23-4567 today" for k in range(1, 7)]
+    second = [f"the desk line is 555-{k}23-4567 now" for k in range(1, 7)]
+    last = "the desk line is 555-999-0000 now"
+    docs = spark.createDataFrame(list(enumerate([*first, *bridge, *second, last])), "doc_id long, text string")
+    row = pii.find(docs).withColumn("spans", pii.spans_column()).where("doc_id = 40").first()
+    at = last.index("555")
+    assert row.spans == f"phone:{at}:{at + 12}"
+
+
+def test_long_tokens_and_contexts_are_whole():
+    lead = "w" * 500
+    text = f"a {lead} 5551234567{'0' * 90} end"
+    (m,) = pii.mentions_of(text, [])
+    assert m["end"] - m["start"] == 100 and m["instance"] == pii.sha(text[m["start"] : m["end"]])
+    assert m["contexts"][1] == pii.sha(f"2 a {lead}")
+    other = pii.mentions_of(text.replace("0 end", "1 end"), [])[0]
+    assert other["instance"] != m["instance"] and other["contexts"] == m["contexts"]
+    crowded = "a4111111111111111" * 20_000
+    assert len(pii.mentions_of(crowded, pii.base_spans(crowded))) == 20_000
+
+
 def test_empty_and_clashing(spark):
     docs = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, row int")
     assert pii.find(docs).count() == 1 and pii.find(docs.limit(0)).count() == 0
