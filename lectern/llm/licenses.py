@@ -1,16 +1,18 @@
 """License scan: a trained paragraph classifier over sparse word n-grams, in DataFrame functions only.
 
-A paragraph is a line of a text. Multinomial logistic regression with an elastic net, fitted
-on the paragraphs below, gives each word n-gram of the vocabulary a weight for each licence
-family and for ``unknown``. Probabilities are tempered, and a family is only reported above a
-probability that held-out unknown paragraphs stay under; then the family's templates must
-confirm it: the best of them shares at least CONFIRM of its own n-grams, or of the
-paragraph's, with the paragraph. A paragraph without any cover word is unknown without being
-scored; the cover words are chosen from the weights so that no such paragraph can be reported.
+A paragraph ends at a blank line, or with a line that ends in a mark (``. ! ? : ;``): so
+hard-wrapped grants read as one, and a notice on a line of its own is not drowned by prose
+around it. Multinomial logistic regression with an elastic net, fitted on the paragraphs
+below, gives each word n-gram a weight for each licence family and for ``unknown``. Every
+paragraph is scored, by a join of its n-grams with the weights. Probabilities are tempered,
+and a family is only reported above a probability that held-out unknown paragraphs stay under; then the family's templates must confirm it: the
+best of them shares at least CONFIRM of its own n-grams, or of the paragraph's, with it, and
+at least two.
 
 Defined cases: null and empty texts have no paragraph; ties between families go to the
 alphabetically first; repeated rows each keep their own row; an empty table gives an empty
-result; other columns of the input are not looked at.
+result; other columns of the input are not looked at, whatever their names; a very long text
+is cut into paragraphs as it streams by, and one paragraph's n-grams are held at a time.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import functions as F
 from lectern.functions.text import STOP_WORDS, let
 
 UNKNOWN = "unknown"
+#: What ends a paragraph.
+BREAK = r"\n[ \t\r]*(?:\n[ \t\r]*)+|(?<=[.!?:;])[ \t\r]*\n"
 #: Share of a template's n-grams, or of a paragraph's, that must be common to both.
 CONFIRM = 0.5
 #: Share of held-out unknown paragraphs that must stay below the reporting threshold.
 QUANTILE = 0.99
-ORDERS = (1, 2, 3)
 
 # Paragraphs of public licences and of their usual notices, by family.
 TEMPLATES = {
@@ -126,6 +129,7 @@ TEMPLATES = {
     ],
     "proprietary": [
         "Copyright (c) 2020 The Company. All rights reserved.",
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
         "Unauthorized reproduction or distribution of this copyrighted material is prohibited.",
@@ -175,22 +179,39 @@ NEGATIVES = [
 ]
 
 
+# Names of licences by family, and the notices they stand in.
+NAMES = {
+    "agpl": ["GNU Affero General Public License, version 3", "AGPL v3", "AGPL-3.0 license"],
+    "apache": ["Apache License, Version 2.0", "Apache 2.0 license", "Apache License 2.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC BY 3.0"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC-SA 4.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 3.0"],
+    "cc0": ["CC0 1.0 Universal Public Domain Dedication", "CC0 1.0", "Creative Commons Zero"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License, version 2", "GPL v3", "GPL-2.0 license"],
+    "isc": ["ISC License", "ISC license"],
+    "lgpl": ["GNU Lesser General Public License, version 3", "LGPL v2.1", "LGPL-3.0 license"],
+    "mit": ["MIT License", "MIT license"],
+    "mpl": ["Mozilla Public License, version 2.0", "MPL 2.0"],
+    "unlicense": ["Unlicense"],
+}
+NOTICES = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This project is distributed under the terms of the {}.", "You may use it under the {}."]
+
+
 def clean(text: Column) -> Column:
     """Lower-cased words of a paragraph: letters and digits, inner dots and hyphens split."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _slice_of(words: Column, n: int):
-    return lambda k: F.array_join(F.slice(words, k, n), " ")
-
-
 def ngrams(words: Column) -> Column:
-    """The distinct n-grams of an array of words."""
-    out = [words]
-    for n in ORDERS[1:]:
-        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(places, _slice_of(words, n)))
-    return F.array_distinct(F.concat(*out))
+    """The distinct n-grams of an array of words: telling words (three letters or more, no stop words), pairs and triples.
+
+    Each order is made of the one below.
+    """
+    after = lambda n: F.slice(words, n, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    longer = lambda grams, n: F.filter(F.zip_with(grams, after(n), lambda g, w: F.concat(g, F.lit(" "), w)), lambda g: g.isNotNull())
+    telling = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    return let(longer(words, 2), lambda two: F.array_distinct(F.concat(telling, two, longer(two, 3))))
 
 
 def inline(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
@@ -202,49 +223,46 @@ def inline(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
 class Model:
     families: list[str]
     #: n-gram, of a template or with a weight, to one weight for each family; families[k] has bias[k].
+    #: n-grams of a template alone have zeros: they count for the comparison.
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
     threshold: float
-    cover: list[str]
+    #: The n-grams of each of all_templates().
+    templates: list[set[str]]
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """(family, text) of every template."""
+    return [(f, t) for f, many in sorted(TEMPLATES.items()) for t in many]
 
 
 def training_paragraphs() -> list[dict]:
-    """Every template and its halves, and every negative; each third row is held out for calibration."""
+    """Templates, thirds of long ones, notices and negatives to fit on, and others held out for calibration.
+
+    Held out are halves of long templates, notices in other words, each third negative, and
+    the first half of each of those beside the second half of each other.
+    """
     rows = []
     for family, templates in TEMPLATES.items():
         for text in templates:
             words = text.split()
             rows.append({"family": family, "text": text, "held": False})
             if len(words) >= 16:
+                third = -(-len(words) // 3)
+                rows += [{"family": family, "text": " ".join(words[k : k + third]), "held": False} for k in range(0, len(words), third)]
                 rows += [{"family": family, "text": " ".join(p), "held": True} for p in (words[: len(words) // 2], words[len(words) // 2 :])]
             else:
                 rows.append({"family": family, "text": f"Note: {text} Thanks.", "held": True})
+    for family, names in NAMES.items():
+        rows += [{"family": family, "text": n.format(name), "held": k == len(NOTICES) - 1} for name in names for k, n in enumerate(NOTICES)]
+    kept_aside = [t for k, t in enumerate(NEGATIVES) if k % 3 == 2]
     rows += [{"family": UNKNOWN, "text": t, "held": k % 3 == 2} for k, t in enumerate(NEGATIVES)]
+    halves = [(w[: len(w) // 2], w[len(w) // 2 :]) for w in map(str.split, kept_aside)]
+    rows += [{"family": UNKNOWN, "text": " ".join(a + b), "held": True} for k, (a, _) in enumerate(halves) for j, (_, b) in enumerate(halves) if j != k]
     return rows
 
 
-def cover_words(weights: dict[str, list[float]], bias: list[float]) -> list[str]:
-    """Words without any of which no paragraph can be reported; empty if there are none such.
-
-    A paragraph is only reported if its n-grams lift a family above ``unknown``, the last one.
-    n-grams may go uncovered (stop words first, then the weakest) while all of them together
-    lift no family that far; of each other n-gram that lifts any, one word is in the cover.
-    """
-    gap = bias[-1] - np.array(bias[:-1])
-    if gap.min() <= 0:
-        return []
-    gain = {g: np.maximum(np.array(w[:-1]) - w[-1], 0) for g, w in weights.items()}
-    telling = {g: [w for w in g.split() if w not in STOP_WORDS] for g, x in gain.items() if x.max() > 0}
-    out: set[str] = set()
-    for g in sorted(telling, key=lambda g: (bool(telling[g]), gain[g].max(), g)):
-        if (gap - gain[g] > 1e-6).all():
-            gap = gap - gain[g]
-        else:
-            out.add(max(telling[g] or g.split(), key=lambda w: (len(w), w)))
-    return sorted(out)
-
-
 def train(spark: SparkSession) -> Model:
     """The model from the paragraphs of this module."""
     rows = training_paragraphs()
@@ -258,8 +276,10 @@ def train(spark: SparkSession) -> Model:
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     used = np.flatnonzero(np.abs(matrix).max(0) > 0)
     zero, vocabulary = [0.0] * len(families), counts.vocabulary
-    known = table.where(~F.col("held") & (F.col("family") != UNKNOWN)).select(F.explode("ngrams").alias("gram")).distinct().collect()  # the templates' own
-    weights = {r.gram: zero for r in known} | {vocabulary[k]: matrix[:, k].tolist() for k in used}
+    own = [{"k": k, "text": t} for k, (_, t) in enumerate(all_templates())]
+    own = inline(spark, own, "k int, text string").select("k", ngrams(clean(F.col("text"))).alias("grams")).orderBy("k").collect()  # the templates of this module
+    templates = [set(r.grams) for r in own]
+    weights = {g: zero for t in templates for g in t} | {vocabulary[k]: matrix[:, k].tolist() for k in used}
     held = [(r.ngrams, int(r.label)) for r in table.where("held").select("ngrams", "label").collect()]
     table.unpersist()
     logits = np.array([bias + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(families))) for grams, _ in held])
@@ -267,7 +287,7 @@ def train(spark: SparkSession) -> Model:
     temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-9)).mean())
     best = _softmax(logits / temperature)[:, :-1].max(1)[labels == len(families) - 1]
     threshold = max(0.5, float(np.quantile(best, QUANTILE)) if len(best) else 0.5)
-    return Model(families, weights, bias.tolist(), float(temperature), threshold, cover_words(weights, bias.tolist()))
+    return Model(families, weights, bias.tolist(), float(temperature), threshold, templates)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -275,50 +295,64 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _has_any(words: Column, cover: list[str]) -> Column:
-    return F.exists(words, lambda w: w.isin(*cover)) if cover else F.lit(True)
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """row, doc_id, th (hash of the text), paragraph (place) and unit (text) that are not blank; row tells repeated rows apart."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.select("row", "doc_id", "th", F.posexplode(F.split("text", BREAK)).alias("paragraph", "unit")).where(F.rlike("unit", F.lit(r"\S")))
+
+
+#: Templates whose counts share a 64-bit number, eight bits each; a template has fewer than 256 n-grams.
+PACKED = 8
 
 
 def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, th (hash of the text), paragraph (place), family, probability and similarity of every confirmed licence paragraph."""
-    spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text"))
-    lines = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_has_any(clean(F.col("line")), model.cover))
-    lines = lines.dropDuplicates(["doc_id", "th", "paragraph"]).select("doc_id", "th", "paragraph", let(clean(F.col("line")), ngrams).alias("grams"))
-    k = len(model.families)
-    weights = inline(spark, [{"gram": g, "w": w} for g, w in model.weights.items()], "gram string, w array<double>")
+    """doc_id, th (hash of the text), paragraph (place), family, probability and similarity of every confirmed paragraph.
+
+    One aggregation sums, over the known n-grams of a paragraph, its weights and the counts that
+    it shares with each template.
+    """
+    unit = ["row", "doc_id", "th", "paragraph"]
+    k, packs = len(model.families), -(-len(model.templates) // PACKED)
+    vocabulary = []
+    for gram, w in model.weights.items():
+        bits = [0] * packs
+        for at, t in enumerate(model.templates):
+            bits[at // PACKED] += (gram in t) << (64 // PACKED * (at % PACKED))
+        vocabulary.append({"gram": gram, "w": w, "t": [x - (1 << 64) if x >> 63 else x for x in bits]})
+    table = inline(docs.sparkSession, vocabulary, "gram string, w array<double>, t array<long>")
+    grams = paragraphs(docs).select(*unit, let(clean(F.col("unit")), ngrams).alias("grams"))
     sums = (
-        lines.select("doc_id", "th", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-        .join(F.broadcast(weights), "gram")  # the vocabulary of the training paragraphs
-        .groupBy("doc_id", "th", "paragraph").agg(F.first("n").alias("n"), F.collect_set("gram").alias("grams"), *[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)])
+        grams.select(*unit, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+        .join(F.broadcast(table), "gram")  # n-grams of the training paragraphs
+        .groupBy(*unit).agg(F.max("n").alias("n"), *[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)], *[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(packs)])
     )
     logits = F.array(*[(F.col(f"w{j}") + model.bias[j]) / model.temperature for j in range(k)])
-    top = F.array_max("logits")
-    best = F.array_position("logits", top).cast("int")
+    best = F.array_position("logits", F.array_max("logits")).cast("int")
     probability = 1 / F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logits")))
-    found = sums.withColumn("logits", logits).select(
-        "doc_id", "th", "paragraph", "n", "grams", probability.alias("probability"), F.element_at(F.array(*map(F.lit, model.families)), best).alias("family")
-    ).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
-    templates = inline(spark, [{"family": f, "template": t} for f, many in TEMPLATES.items() for t in many], "family string, template string")
-    templates = templates.select("family", ngrams(clean(F.col("template"))).alias("theirs"))
-    common = F.size(F.array_intersect("grams", "theirs"))
-    # grams are those of the vocabulary, which holds all of the templates'; n counts all.
-    likeness = F.greatest(common / F.size("theirs"), common / F.col("n"))
-    confirmed = found.join(F.broadcast(templates), "family").groupBy("doc_id", "th", "paragraph", "family", "probability").agg(F.max(likeness).alias("similarity"))
-    return confirmed.where(F.col("similarity") >= CONFIRM)
+    found = sums.withColumn("logits", logits)
+    found = found.withColumn("probability", probability).withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), best))
+    found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
+    shared: dict[str, list[Column]] = {}
+    for at, ((family, _), t) in enumerate(zip(all_templates(), model.templates)):
+        common = F.shiftrightunsigned(F.col(f"t{at // PACKED}"), 64 // PACKED * (at % PACKED)).bitwiseAND(F.lit(255))
+        shared.setdefault(family, []).append(F.when(common >= 2, common / F.least(F.lit(len(t)), F.col("n"))).otherwise(0.0))
+    likeness = F.lit(0.0)
+    for family, of_templates in shared.items():
+        likeness = F.when(F.col("family") == family, F.greatest(*of_templates, F.lit(0.0))).otherwise(likeness)
+    return found.select(*unit[1:], "family", "probability", likeness.alias("similarity")).where(F.col("similarity") >= CONFIRM).dropDuplicates(unit[1:])
 
 
 def scan_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, family (of the likeliest paragraph, null if none), probability and families (sorted, comma-joined) of every row."""
     found = scan_paragraphs(docs, model).groupBy("doc_id", "th").agg(
         F.count("*").alias("n_licensed"),
-        F.max_by("family", F.struct("probability", "similarity", -F.ascii("family"), "family")).alias("family"),
+        F.min_by("family", F.struct(-F.round("probability", 9), -F.round("similarity", 9), F.col("family"))).alias("family"),
         F.max("probability").alias("probability"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
     )
     text = F.col("text").cast("string")
-    n = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+    n = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda x: F.rlike(x, F.lit(r"\S"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), n.cast("long").alias("n_paragraphs"))
     key = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])
     return rows.join(found, key, "left").select(

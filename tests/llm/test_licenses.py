@@ -1,9 +1,11 @@
 import math
 import re
+import textwrap
 from dataclasses import replace
 
 import pytest
 
+from lectern.functions.text import STOP_WORDS
 from lectern.llm import licenses
 
 
@@ -14,29 +16,32 @@ def model(spark):
 
 def grams(text):
     words = re.findall("[a-z0-9]+", text.lower())
-    return {" ".join(words[k : k + n]) for n in licenses.ORDERS for k in range(len(words) - n + 1)}
+    telling = {w for w in words if len(w) > 2 and w not in STOP_WORDS}
+    return telling | {" ".join(words[k : k + n]) for n in (2, 3) for k in range(len(words) - n + 1)}
+
+
+def verdict(unit, model):
+    """(family, probability, similarity) of a confirmed paragraph or line, else None."""
+    own = grams(unit)
+    known = [g for g in own if g in model.weights]
+    if not known:
+        return None
+    z = [(b + sum(model.weights[g][k] for g in known)) / model.temperature for k, b in enumerate(model.bias)]
+    p = 1 / sum(math.exp(x - max(z)) for x in z)
+    family = model.families[z.index(max(z))]
+    if family == licenses.UNKNOWN or p < model.threshold:
+        return None
+    like = max(len(own & t) / min(len(t), len(own)) if len(own & t) > 1 else 0 for t in map(grams, licenses.TEMPLATES[family]))
+    return (family, p, like) if like >= licenses.CONFIRM else None
+
+
+def blocks(text):
+    return [b for b in re.split(licenses.BREAK, text or "") if b.strip()]
 
 
 def brute(text, model):
     """Confirmed (family, probability) of each paragraph of a text."""
-    out = []
-    for line in (text or "").split("\n"):
-        if not any(w in line.lower() for w in model.cover):
-            continue
-        own = grams(line)
-        known = [g for g in own if g in model.weights]
-        if not known:
-            continue
-        z = [(b + sum(model.weights[g][k] for g in known)) / model.temperature for k, b in enumerate(model.bias)]
-        p = 1 / sum(math.exp(x - max(z)) for x in z)
-        family = model.families[z.index(max(z))]
-        if family == licenses.UNKNOWN or p < model.threshold:
-            continue
-        # Every n-gram of a template that the paragraph holds is in own, whether in the vocabulary or not.
-        like = max(len(own & t) / min(len(t), len(own)) for t in map(grams, licenses.TEMPLATES[family]))
-        if like >= licenses.CONFIRM:
-            out.append((family, p))
-    return out
+    return [v[:2] for b in blocks(text) if (v := verdict(b, model))]
 
 
 def texts():
@@ -52,7 +57,7 @@ def test_equals_brute_force(spark, model):
     for doc, text, _ in rows:
         want, got = brute(text, model), out[doc]
         assert got.n_licensed == len(want) and got.families == ",".join(sorted({f for f, _ in want})), (text, want, got)
-        assert got.n_paragraphs == sum(bool(x.strip(" ")) for x in (text or "").split("\n"))
+        assert got.n_paragraphs == len(blocks(text))
         if want:
             assert got.probability == pytest.approx(max(p for _, p in want))
 
@@ -66,20 +71,45 @@ def test_finds_families_and_leaves_prose(spark, model):
     assert licenses.scan_documents(spark.createDataFrame(prose, "doc_id long, text string"), model).where("family is not null").count() == 0
 
 
-def test_every_template_has_a_cover_word(model):
-    for many in licenses.TEMPLATES.values():
-        for t in many:
-            assert any(w in t.lower() for w in model.cover) or not any(len(w) >= 5 for w in re.findall("[a-z0-9]+", t.lower())), t
+def scanned(spark, model, texts):
+    rows = licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    return [r.family for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_short_notices_and_unlisted_wordings(spark, model):
+    notices = {
+        "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit",
+        "to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge": "mit",
+        "The source code is available under the terms of the Apache License, Version 2.0.": "apache",
+        "One line of prose.\nThen more of it.\nAll rights reserved.\nAnd an end.": "proprietary", "Mit.": None,
+    }
+    assert scanned(spark, model, notices) == list(notices.values())
+
+
+def test_hard_wrapped_grant_is_one_paragraph(spark, model):
+    grant = licenses.TEMPLATES["mit"][0]
+    wrapped = "\n".join(textwrap.wrap(grant, 60))
+    docs = spark.createDataFrame([(1, grant), (2, wrapped), (3, f"Intro.\n \n{wrapped}\n\nEnd.")], "doc_id long, text string")
+    rows = sorted(licenses.scan_documents(docs, model).collect())
+    assert [r.family for r in rows] == ["mit"] * 3 and [r.n_licensed for r in rows] == [1] * 3 and rows[2].n_paragraphs == 3
+    assert rows[0].probability == pytest.approx(rows[1].probability)
+
+
+def test_ties_go_to_the_alphabetically_first(spark, model):
+    even = {g: [1.0] * (len(model.families) - 1) + [0.0] for g in model.weights}
+    flat = replace(model, weights=even, bias=[0.0] * len(model.families), threshold=0.0)
+    names = ["mpl", "mit", "cc-by-sa", "cc-by", "cc-by-nc"]
+    text = "\n\n".join(licenses.TEMPLATES[n][1] for n in names)
+    rows = licenses.scan_paragraphs(spark.createDataFrame([(1, text)], "doc_id long, text string"), flat).collect()
+    assert {r.family for r in rows} <= {"agpl"}
+    docs = spark.createDataFrame([(1, "\n\n".join(licenses.TEMPLATES["mit"][3:5] * 2))], "doc_id long, text string")
+    assert [r.family for r in licenses.scan_documents(docs, model).collect()] == ["mit"]
 
 
-def test_cover_loses_no_paragraph(spark, model):
-    every = [t for many in licenses.TEMPLATES.values() for t in many] + licenses.NEGATIVES
-    words = [w for t in every for w in t.split()]
-    parts = [" ".join(words[k : k + n]) for n in (1, 2, 4, 8) for k in range(0, len(words) - n, 3)]
-    docs = spark.createDataFrame(list(enumerate(["All rights reserved.", *parts])), "doc_id long, text string")
-    got = {n: {tuple(r) for r in licenses.scan_documents(docs, replace(model, cover=c)).drop("probability").collect()} for n, c in (("all", []), ("covered", model.cover))}
-    assert got["covered"] == got["all"] and model.cover
-    assert (0, 1, 1, "proprietary", "proprietary") in got["covered"]
+def test_repeated_rows_do_not_add_up(spark, model):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.")] * 300 + [(2, "the license of the fish")] * 300, "doc_id long, text string")
+    rows = {tuple(r) for r in licenses.scan_documents(docs, model).collect()}
+    assert len(rows) == 2
 
 
 def test_empty(spark, model):
