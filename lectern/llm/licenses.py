@@ -203,15 +203,31 @@ def clean(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _combined(words: Column, telling: Column) -> Column:
+    """Distinct n-grams: the telling words, then pairs and triples of neighbours; a null word is in none."""
+    after = lambda n: F.slice(words, n, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    longer = lambda grams, n: F.zip_with(grams, after(n), lambda g, w: F.concat(g, F.lit(" "), w))
+    some = lambda grams: F.filter(grams, lambda g: g.isNotNull())
+    return let(longer(words, 2), lambda two: F.array_distinct(F.concat(telling, some(two), some(longer(two, 3)))))
+
+
 def ngrams(words: Column) -> Column:
-    """The distinct n-grams of an array of words: telling words (three letters or more, no stop words), pairs and triples.
+    """The distinct n-grams of an array of words: telling words (three letters or more, no stop words), pairs and triples."""
+    return _combined(words, F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
 
-    Each order is made of the one below.
+
+def known_ngrams(text: Column, vocabulary: list[str]) -> Column:
+    """struct(grams, n) of a paragraph: its n-grams of which each word stands in the vocabulary, and the number of places of all n-grams.
+
+    A word of no known n-gram is in none either, so nothing else is put together.
     """
-    after = lambda n: F.slice(words, n, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    longer = lambda grams, n: F.filter(F.zip_with(grams, after(n), lambda g, w: F.concat(g, F.lit(" "), w)), lambda g: g.isNotNull())
-    telling = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    return let(longer(words, 2), lambda two: F.array_distinct(F.concat(telling, two, longer(two, 3))))
+    words = sorted({w for g in vocabulary for w in g.split()})
+    telling = sorted(g for g in vocabulary if " " not in g)
+    parts = F.split(F.lower(text), "[^a-z0-9]+")
+    blank = lambda k: (F.element_at(parts, k) == "").cast("int")
+    places = 3 * (F.size(parts) - blank(1) - blank(-1)) - 3
+    grams = let(F.transform(parts, lambda w: F.when(w.isin(*words), w)), lambda known: _combined(known, F.filter(known, lambda w: w.isin(*telling))))
+    return F.struct(grams.alias("grams"), places.alias("n"))
 
 
 def inline(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
@@ -321,9 +337,9 @@ def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
             bits[at // PACKED] += (gram in t) << (64 // PACKED * (at % PACKED))
         vocabulary.append({"gram": gram, "w": w, "t": [x - (1 << 64) if x >> 63 else x for x in bits]})
     table = inline(docs.sparkSession, vocabulary, "gram string, w array<double>, t array<long>")
-    grams = paragraphs(docs).select(*unit, let(clean(F.col("unit")), ngrams).alias("grams"))
+    grams = paragraphs(docs).select(*unit, known_ngrams(F.col("unit"), sorted(model.weights)).alias("known"))
     sums = (
-        grams.select(*unit, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+        grams.select(*unit, F.col("known.n").alias("n"), F.explode("known.grams").alias("gram"))
         .join(F.broadcast(table), "gram")  # n-grams of the training paragraphs
         .groupBy(*unit).agg(F.max("n").alias("n"), *[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)], *[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(packs)])
     )
@@ -336,7 +352,7 @@ def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     shared: dict[str, list[Column]] = {}
     for at, ((family, _), t) in enumerate(zip(all_templates(), model.templates)):
         common = F.shiftrightunsigned(F.col(f"t{at // PACKED}"), 64 // PACKED * (at % PACKED)).bitwiseAND(F.lit(255))
-        shared.setdefault(family, []).append(F.when(common >= 2, common / F.least(F.lit(len(t)), F.col("n"))).otherwise(0.0))
+        shared.setdefault(family, []).append(F.when(common >= 2, common / F.least(F.lit(len(t)), F.greatest(F.col("n"), common))).otherwise(0.0))
     likeness = F.lit(0.0)
     for family, of_templates in shared.items():
         likeness = F.when(F.col("family") == family, F.greatest(*of_templates, F.lit(0.0))).otherwise(likeness)

@@ -31,7 +31,8 @@ def verdict(unit, model):
     family = model.families[z.index(max(z))]
     if family == licenses.UNKNOWN or p < model.threshold:
         return None
-    like = max(len(own & t) / min(len(t), len(own)) if len(own & t) > 1 else 0 for t in map(grams, licenses.TEMPLATES[family]))
+    places = 3 * len(re.findall("[a-z0-9]+", unit.lower())) - 3
+    like = max(len(own & t) / min(len(t), max(places, len(own & t))) if len(own & t) > 1 else 0 for t in map(grams, licenses.TEMPLATES[family]))
     return (family, p, like) if like >= licenses.CONFIRM else None
 
 
