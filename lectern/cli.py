@@ -1,35 +1,78 @@
-"""Command line: sample a file list, parse articles, chunk and embed a corpus, ask questions."""
+"""Command line: fetch a file list, sample and download articles, parse, chunk and embed them, ask questions."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import shlex
 
 from pyspark.sql import SparkSession
 
 
+def _plugin(name: str):
+    """The object that ``module:attribute`` names."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _provider(name: str):
+    """hashing, sentence:MODEL, or a provider of your own as module:attribute."""
+    from lectern.operators import embedding
+
+    if name == "hashing":
+        return embedding.hashing_provider()
+    if name.startswith("sentence:"):
+        return embedding.sentence_provider(name.partition(":")[2])
+    return _plugin(name)
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="lectern", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
-    p = sub.add_parser("sample")
-    p.add_argument("--filelist", required=True)
-    p.add_argument("--out_dir", required=True)
-    p.add_argument("--n", type=int, default=10)
-    p.add_argument("--seed", type=int, default=42)
+    p = sub.add_parser("metadata", help="fetch the file list with a command")
+    p.add_argument("--source", required=True)
+    p.add_argument("--out_dir", default=".")
+    p.add_argument("--fetch", required=True, help="a command with {key} and {destination}")
+    for verb in ("sample", "download"):
+        p = sub.add_parser(verb)
+        p.add_argument("--filelist", required=True)
+        p.add_argument("--out_dir", required=True)
+        p.add_argument("--n", type=int, default=10)
+        p.add_argument("--seed", type=int, default=42)
+        if verb == "download":
+            p.add_argument("--existing", action="store_true", help="download the whole list, without a sample")
+            p.add_argument("--fetch", required=True, help="a command with {key} and {destination}")
     p = sub.add_parser("parse")
     p.add_argument("--input", required=True)
     p.add_argument("--out_dir", required=True)
     p.add_argument("--no-sibling-inherit", action="store_true")
+    p.add_argument("--single", action="store_true", help="one article as one JSON document")
     p = sub.add_parser("chunk")
     p.add_argument("--corpus", required=True)
     p.add_argument("--store", required=True)
     p.add_argument("--tokenizer", required=True, help="a tokenizers JSON file")
+    p.add_argument("--provider", default="hashing", help=_provider.__doc__)
     p = sub.add_parser("ask")
     p.add_argument("--store", required=True)
+    p.add_argument("--provider", default="hashing", help=_provider.__doc__)
+    p.add_argument("--generator", help="module:attribute of a function of prompt and rules; without it the prompt is shown")
+    p.add_argument("--questions", help="a file with a question on each line, instead of asking for them")
     for name, default in (("--top-chunks", 3), ("--top-papers", 5), ("--evidence", 3)):
         p.add_argument(name, type=int, default=default)
     args = top.parse_args(argv)
+    if args.command == "metadata":
+        return _metadata(args)
     spark = SparkSession.builder.appName("lectern").getOrCreate()
-    return {"sample": _sample, "parse": _parse, "chunk": _chunk, "ask": _ask}[args.command](spark, args)
+    return {"sample": _sample, "download": _download, "parse": _parse, "chunk": _chunk, "ask": _ask}[args.command](spark, args)
+
+
+def _metadata(args) -> int:
+    from lectern.sources.objects import command_fetcher
+
+    name = args.source.rpartition("/")[2]
+    ok = command_fetcher(*shlex.split(args.fetch))(args.source, f"{args.out_dir.rstrip('/')}/{name}")
+    print(f"{'fetched' if ok else 'could not fetch'} {args.source}")
+    return 0 if ok else 1
 
 
 def _sample(spark: SparkSession, args) -> int:
@@ -40,20 +83,38 @@ def _sample(spark: SparkSession, args) -> int:
     return 0
 
 
+def _download(spark: SparkSession, args) -> int:
+    from lectern.runtime import cut
+    from lectern.sources import filelist, objects
+
+    files = filelist.read_file_list(spark, args.filelist)
+    if not args.existing:
+        files = cut(filelist.sample_files(files, args.n, args.seed))
+        filelist.write_manifest(files, f"{args.out_dir}/manifest")
+    done = cut(objects.fetch(files, args.out_dir, objects.command_fetcher(*shlex.split(args.fetch))))  # each object once
+    failed = done.where("not ok")
+    n_failed = failed.count()
+    if n_failed:
+        filelist.write_failures(failed, f"{args.out_dir}/failed_downloads")
+    print(f"{done.count() - n_failed} fetched, {n_failed} failed, {objects.count_xml_files(spark, args.out_dir)} XML files in {args.out_dir}")
+    return 0
+
+
 def _parse(spark: SparkSession, args) -> int:
     from lectern.sources import corpus, jats, objects
 
     files = objects.xml_files(spark, args.input)
     if files.isEmpty():
         raise SystemExit(f"no .xml files under {args.input}")
-    good, errors = jats.papers(files, inherit=not args.no_sibling_inherit)
-    corpus.write_jsonl(good, errors, f"{args.out_dir}/corpus.jsonl")
+    good, errors = jats.papers(files, inherit=not args.no_sibling_inherit, once=True)
+    if args.single:
+        corpus.write_single_json(good, f"{args.out_dir}/paper.json")
+    else:
+        corpus.write_jsonl(good, errors, f"{args.out_dir}/corpus.jsonl")
     return 0
 
 
 def _chunk(spark: SparkSession, args) -> int:
-    from pyspark.sql import functions as F
-
     from lectern.operators import chunking, embedding
     from lectern.sources import corpus
 
@@ -61,21 +122,25 @@ def _chunk(spark: SparkSession, args) -> int:
     with open(args.tokenizer, encoding="utf-8") as f:
         offsets = chunking.offsets_udf(chunking.library_tokenizer(f.read()))
     found, long_headers = chunking.chunks(papers, offsets)
-    rows = embedding.embedded(found, embedding.hashing_provider()).withColumn("seq", F.monotonically_increasing_id())
     store = corpus.ChunkStore(spark, args.store)
-    store.upsert(rows)
+    store.upsert(embedding.embedded(found, _provider(args.provider)))
     print(f"{store.read().count()} chunks, {bad.count() + long_headers.count()} in quarantine")
     return 0
 
 
 def _ask(spark: SparkSession, args) -> int:
-    from lectern.operators import embedding
     from lectern.plans.ask import Asker
     from lectern.sources.corpus import ChunkStore
 
-    asker = Asker(ChunkStore(spark, args.store).read(), embedding.hashing_provider(), None, args.top_chunks, args.top_papers, args.evidence)
-    while (question := input("Question (out to end): ")) != "out":
-        print(asker.ask(question))
+    generate = _plugin(args.generator) if args.generator else None
+    asker = Asker(ChunkStore(spark, args.store).read(), _provider(args.provider), generate, args.top_chunks, args.top_papers, args.evidence)
+    if args.questions:
+        with open(args.questions, encoding="utf-8") as f:
+            print("\n".join(asker.ask_many([q.strip() for q in f if q.strip()])))
+    else:
+        while (question := input("Question (out to end): ")) != "out":
+            print(asker.ask(question))
+    asker.close()
     return 0
 
 

@@ -193,13 +193,16 @@ STOP_WORDS = (
 ).split()
 
 
+def spaced_words(text: Column) -> Column:
+    """Lower-cased words between white space: marks part words, contractions and a last dot are split off."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[,;:?!()\\[\\]{}<>\"@#$%&]|--", " ")
+    parted = F.regexp_replace(spaced, r"(n't|'(?:s|m|d|ll|re|ve))(\s|$)", " $1$2")
+    return F.split(F.regexp_replace(parted, r"\.(?=\s|$)", ""), r"\s+")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters only that are not stop words.
 
-    Marks part words and contractions are split off; a word with a digit or an inner
-    hyphen is not of letters only and goes.
+    A word with a digit or an inner hyphen is not of letters only and goes.
     """
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[,;:?!()\\[\\]{}<>\"@#$%&]|--", " ")
-    parted = F.regexp_replace(spaced, r"(n't|'(?:s|m|d|ll|re|ve))(\s|$)", " $1$2")
-    words = F.transform(F.split(parted, r"\s+"), lambda w: F.regexp_replace(w, r"\.$", ""))
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & F.rlike(w, F.lit(r"^\p{L}+$")))
+    return F.filter(spaced_words(text), lambda w: ~w.isin(*STOP_WORDS) & F.rlike(w, F.lit(r"^\p{L}+$")))

@@ -1,63 +1,141 @@
-"""BM25 over an inverted index kept as DataFrames."""
+"""BM25 over chunks: one question straight over the texts, or many over an inverted index on disk.
+
+A chunk's score is a sum over the question's terms in order, in decimals, so equal chunks
+have equal scores wherever their rows are, and ties go to the smaller chunk_id.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokens
-from lectern.runtime import cut
+from lectern.functions.text import STOP_WORDS, spaced_words, tokens
 
 # The usual parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Digits that scores are kept to, and the type their parts are added in.
+DIGITS, EXACT = 9, "decimal(28,12)"
+#: Folders that an index's postings are dealt to by a hash of their term.
+BUCKETS = 64
 
 
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf), lengths (chunk_id, dl) and terms (term, df)."""
+    """postings (term, chunk_id, tf, dl), terms (term, df) and size: one row of n, avgdl and mean (of all inverse frequencies)."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
+    size: DataFrame
+
+
+def inverse_frequency(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def _mean(terms: DataFrame, size: DataFrame) -> DataFrame:
+    """size with the mean inverse frequency over the whole vocabulary."""
+    idf = F.sum(F.round(inverse_frequency(F.col("n"), F.col("df")), 12).cast("decimal(28,12)")) / F.count("*")
+    return size.crossJoin(F.broadcast(terms.crossJoin(F.broadcast(size)).agg(idf.cast("double").alias("mean"))))  # one row each
 
 
 def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") -> Index:
-    """The index of chunks; save its tables to ask it many times."""
-    rows = cut(chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("terms")))  # each text is cut into words once
-    postings = rows.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    lengths = rows.select("chunk_id", F.size("terms").alias("dl"))
-    return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
+    """The index of chunks; write_index keeps it for many questions."""
+    rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words"))
+    postings = rows.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(postings, terms, _mean(terms, rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))))
 
 
-def inverse_frequency(n: Column, df: Column) -> Column:
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(made: Index, path: str) -> None:
+    """The index as Parquet: postings and terms in folders by a hash of the term, so that a question reads those of its terms only."""
+    made.postings.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    kept = made.postings.sparkSession.read.parquet(f"{path}/postings")
+    kept.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    made.size.write.parquet(f"{path}/size")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "size")])
+
+
+def asked_terms(spark: SparkSession, query: str) -> list[tuple[str, int]]:
+    """(term, times) of a question, in order."""
+    rows = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").count().orderBy("term").collect()  # the words of one question
+    return [(r.term, r["count"]) for r in rows]
+
+
+def _of_terms(table: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of some terms, from their folders alone if the table has them."""
+    found = table.where(F.col("term").isin(names))
+    if "bucket" not in table.columns:
+        return found
+    spark = table.sparkSession
+    buckets = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("t")).select(_bucket(F.col("t")).alias("b")).distinct().collect()  # a question's terms
+    return found.where(F.col("bucket").isin([r.b for r in buckets]))
+
+
+def _part(times, idf, tf, dl, avgdl) -> Column:
+    """What a term adds to a chunk's score."""
+    return F.round(times * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), 12).cast(EXACT)
+
+
+def _weighed(terms: DataFrame, size: DataFrame) -> DataFrame:
+    """terms with n, avgdl and idf, a negative one made EPSILON times the mean."""
+    idf = inverse_frequency(F.col("n"), F.col("df"))
+    return terms.crossJoin(F.broadcast(size)).withColumn("idf", F.when(idf < 0, EPSILON * F.col("mean")).otherwise(idf))  # one row
 
 
 def scores(found: Index, query: str) -> DataFrame:
-    """(chunk_id, score) of every chunk, 0 where nothing matches.
+    """(chunk_id, score, n_chunks) of the chunks with a term of the question.
 
     A negative inverse frequency becomes EPSILON times the mean over the whole vocabulary;
-    repeated query terms count each time; unknown terms add nothing.
+    repeated question terms count each time; unknown terms add nothing.
     """
     spark = found.postings.sparkSession
-    asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    size = found.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = inverse_frequency(F.col("n"), F.col("df"))
-    mean = found.terms.crossJoin(F.broadcast(size)).agg(F.avg(idf).alias("mean"))  # one row beside each term
-    wanted = found.terms.join(F.broadcast(asked), "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(mean))
-    wanted = wanted.select("term", "times", "avgdl", F.when(idf < 0, EPSILON * F.col("mean")).otherwise(idf).alias("idf"))
-    matched = found.postings.join(F.broadcast(wanted), "term").join(found.lengths, "chunk_id")  # the query's terms
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    summed = matched.groupBy("chunk_id").agg(F.sum(part).alias("score"))
-    return found.lengths.select("chunk_id").join(summed, "chunk_id", "left").select("chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    asked = asked_terms(spark, query)
+    names = [t for t, _ in asked]
+    times = F.coalesce(*[F.when(F.col("term") == t, F.lit(k)) for t, k in asked], F.lit(0))
+    wanted = _weighed(_of_terms(found.terms, names).select("term", "df"), found.size).select("term", "n", "avgdl", "idf")
+    matched = _of_terms(found.postings, names).join(F.broadcast(wanted), "term")  # a question's terms
+    part = _part(times, F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return matched.groupBy("chunk_id").agg(F.sum(part).alias("score"), F.max("n").alias("n_chunks")).select("chunk_id", F.round(F.col("score").cast("double"), DIGITS).alias("score"), "n_chunks")
+
+
+def scores_of_texts(chunks: DataFrame, query: str, text: str = "chunk_text", key: str = "chunk_id") -> DataFrame:
+    """The same for a single question without an index: only the vocabulary and the question's terms are aggregated."""
+    spark = chunks.sparkSession
+    asked = asked_terms(spark, query)
+    words = chunks.select(F.col(key).alias("chunk_id"), spaced_words(F.col(text)).alias("words"))
+    is_term = ~F.col("term").isin(*STOP_WORDS) & F.rlike("term", F.lit(r"^\p{L}+$"))
+    terms = words.select(F.explode(F.array_distinct("words")).alias("term")).where(is_term).groupBy("term").agg(F.count("*").alias("df"))
+    tf = [F.count_if(F.col("term") == t).alias(f"tf{k}") for k, (t, _) in enumerate(asked)]
+    counted = words.select("chunk_id", F.explode_outer("words").alias("term")).withColumn("term", F.when(is_term, F.col("term")))
+    counted = counted.groupBy("chunk_id").agg(F.count("term").alias("dl"), *tf)
+    size = _mean(terms, counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    weighed = _weighed(terms.where(F.col("term").isin([t for t, _ in asked])), size)
+    first = lambda c, t: F.max(F.when(F.col("term") == t, F.col(c)))
+    one = weighed.agg(F.max("n").alias("n_chunks"), F.max("avgdl").alias("avgdl"), *[first("idf", t).alias(f"idf{k}") for k, (t, _) in enumerate(asked)])
+    total = F.lit(0).cast(EXACT)
+    for k, (_, times) in enumerate(asked):
+        part = _part(F.lit(times), F.col(f"idf{k}"), F.col(f"tf{k}"), F.col("dl"), F.col("avgdl"))
+        total = (total + F.when(F.col(f"tf{k}") > 0, part).otherwise(F.lit(0).cast(EXACT))).cast(EXACT)
+    has_term = F.greatest(*[F.col(f"tf{k}") for k in range(len(asked))], F.lit(0), F.lit(0)) > 0
+    return counted.where(has_term).crossJoin(F.broadcast(one)).select("chunk_id", F.round(total.cast("double"), DIGITS).alias("score"), "n_chunks")
 
 
 def hits(scored: DataFrame) -> DataFrame:
-    """Scored chunks that a descending walk meets before the first score of exactly 0."""
-    zero = scored.agg(F.bool_or(F.col("score") == 0).alias("zero"))
-    return scored.crossJoin(F.broadcast(zero)).where((F.col("score") > 0) | ((F.col("score") < 0) & ~F.col("zero"))).drop("zero")  # one row
+    """Scored chunks that a descending walk meets before the first score of exactly 0.
+
+    Chunks that are not in ``scored`` have that score, so one is met as soon as any is left out.
+    """
+    zero = scored.agg((F.coalesce(F.max("n_chunks") > F.count("*"), F.lit(True)) | F.coalesce(F.bool_or(F.col("score") == 0), F.lit(False))).alias("zero"))
+    return scored.crossJoin(F.broadcast(zero)).where((F.col("score") > 0) | ((F.col("score") < 0) & ~F.col("zero"))).drop("zero", "n_chunks")  # one row
 
 
 def top_papers(chunks: DataFrame, scored: DataFrame, papers: int = 5, evidence: int = 3) -> DataFrame:
@@ -67,7 +145,8 @@ def top_papers(chunks: DataFrame, scored: DataFrame, papers: int = 5, evidence:
     its best chunk; ties go to the smaller chunk_id.
     """
     rows = hits(scored).join(chunks.select("chunk_id", "paper_id", "title"), "chunk_id")
-    best = rows.groupBy("paper_id").agg(F.max("score").alias("paper_score"), F.min_by("title", F.struct(-F.col("score"), F.col("chunk_id"))).alias("paper_title"), F.min(F.struct(-F.col("score"), F.col("chunk_id"))).alias("order"))
+    order = F.struct(-F.col("score"), F.col("chunk_id"))
+    best = rows.groupBy("paper_id").agg(F.max("score").alias("paper_score"), F.min_by("title", order).alias("paper_title"), F.min(order).alias("order"))
     best = best.orderBy("order").limit(papers)
     best = best.withColumn("paper_rank", F.row_number().over(Window.orderBy("order"))).drop("order")  # at most ``papers`` rows
     nth = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("score"), "chunk_id"))

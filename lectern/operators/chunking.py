@@ -70,7 +70,13 @@ def parts(papers: DataFrame) -> DataFrame:
     """
     abstract = F.struct(F.lit("abstract").alias("bucket"), F.lit(-1).alias("section_index"), F.lit("").alias("path_string"), F.col("title").alias("header"), F.col("abstract").alias("text"))
     section = F.transform("sections", lambda s: F.struct(s["bucket"].alias("bucket"), s["section_index"].alias("section_index"), s["path_string"].alias("path_string"), s["path_string"].alias("header"), s["text"].alias("text")))
-    return papers.select("paper_id", "title", F.explode(F.concat(F.array(abstract), section)).alias("p")).select("paper_id", "p.bucket", "p.section_index", "p.path_string", "title", "p.header", "p.text")
+    rows = papers.select("paper_id", "title", *_order(papers), F.explode(F.concat(F.array(abstract), section)).alias("p"))
+    return rows.select("paper_id", "p.bucket", "p.section_index", "p.path_string", "title", "p.header", "p.text", *_order(papers))
+
+
+def _order(papers: DataFrame) -> list[str]:
+    """The column that orders papers, if there is one: the later of two with one id wins an upsert."""
+    return [c for c in ("seq",) if c in papers.columns]
 
 
 def chunks(papers: DataFrame, offsets, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
@@ -84,4 +90,4 @@ def chunks(papers: DataFrame, offsets, window: int = WINDOW, overlap: int = OVER
     last = F.least(F.col("first") + window - F.col("header_tokens"), F.size("at")) - 1
     begin, end = F.get("at", F.col("first"))["start"], F.get("at", last)["end"]
     body = T.strip(F.substring(F.col("text"), begin + 1, end - begin))
-    return cut.select("paper_id", "bucket", "section_index", "chunk_index", "path_string", "title", T.with_header(F.col("header"), body).alias("chunk_text")), bad
+    return cut.select("paper_id", "bucket", "section_index", "chunk_index", "path_string", "title", T.with_header(F.col("header"), body).alias("chunk_text"), *_order(papers)), bad

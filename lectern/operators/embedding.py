@@ -35,6 +35,18 @@ def hashing_provider(dimension: int = DIMENSION) -> Provider:
     return load
 
 
+def sentence_provider(model: str, device: str = "cpu") -> Provider:
+    """A sentence model by name or folder, through the sentence_transformers library where that is installed."""
+
+    def load():
+        from sentence_transformers import SentenceTransformer
+
+        loaded = SentenceTransformer(model, device=device)
+        return lambda texts: loaded.encode(texts, convert_to_numpy=True).tolist()
+
+    return load
+
+
 def embedded(chunks: DataFrame, provider: Provider, text: str = "chunk_text") -> DataFrame:
     """Chunks with their embedding, a batch of texts at a time."""
     ship(chunks.sparkSession)

@@ -1,6 +1,7 @@
 """Sections of a paper: buckets, de-duplication and the bucket index, inside each row.
 
-Everything works on the array of a paper's sections, so nothing is shuffled. A section's
+Everything works on the array of a paper's sections, in time linear in them but for sorts,
+so nothing is shuffled. A section's
 bucket has a closed form. At depth 0 it is the strong match, else the weak one, else (unless
 the title is administrative or inheritance is off) the last strong match among earlier
 sections of depth 0, else the title, else "untitled". Deeper it is the nearest strong match
@@ -28,16 +29,22 @@ def with_buckets(raw: Column, inherit: bool = True) -> Column:
         ),
     )
 
-    def at_top(all_: Column, s: Column) -> Column:
-        before = F.filter(F.slice(all_, F.lit(1), s["section_index"]), lambda o: (o["depth"] == 0) & o["marks"]["strong"].isNotNull())
-        inherited = F.when(~s["marks"]["admin"], T.let(before, lambda b: F.when(F.size(b) > 0, F.element_at(b, -1)["marks"]["strong"]))) if inherit else F.lit(None)
+    def carried(all_: Column) -> Column:
+        """For each section the last strong bucket among earlier ones of depth 0, null if there is none: runs between them, end to end."""
+        strong = F.filter(all_, lambda s: (s["depth"] == 0) & s["marks"]["strong"].isNotNull())
+        run = lambda found: lambda s, j: F.array_repeat(s["marks"]["strong"], (F.coalesce(F.get(found, j + 1)["section_index"], F.size(all_) - 1) - s["section_index"]).cast("int"))
+        before = lambda found: F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get(found, F.lit(0))["section_index"] + 1, F.size(all_)).cast("int"))
+        return T.let(strong, lambda found: F.concat(before(found), F.flatten(F.transform(found, run(found)))))
+
+    def at_top(carry: Column, s: Column) -> Column:
+        inherited = F.when(~s["marks"]["admin"], F.get(carry, s["section_index"])) if inherit else F.lit(None)
         return F.coalesce(s["marks"]["strong"], s["marks"]["weak"], inherited, F.nullif(T.strip(F.coalesce(s["title"], F.lit(""))), F.lit("")), F.lit("untitled"))
 
-    def build(all_: Column) -> Column:
+    def build(all_: Column, carry: Column) -> Column:
         def one(s: Column) -> Column:
             chain = F.transform(s["chain"], lambda k: F.get(all_, k))
             below = lambda up: F.filter(F.transform(F.slice(up, F.lit(2), F.size(up)), lambda o: o["marks"]["strong"]), lambda b: b.isNotNull())
-            bucket = lambda up: T.let(below(up), lambda b: F.when(F.size(b) > 0, F.get(b, F.size(b) - 1)).otherwise(at_top(all_, F.get(up, F.lit(0)))))
+            bucket = lambda up: T.let(below(up), lambda b: F.when(F.size(b) > 0, F.get(b, F.size(b) - 1)).otherwise(at_top(carry, F.get(up, F.lit(0)))))
             path = lambda up: F.filter(F.transform(up, lambda o: o["title"]), lambda t: F.coalesce(t, F.lit("")) != "")
             return T.let(chain, lambda up: F.struct(
                 s["section_index"].alias("section_index"), s["depth"].alias("depth"), path(up).alias("path"), T.path_string(path(up)).alias("path_string"),
@@ -46,7 +53,7 @@ def with_buckets(raw: Column, inherit: bool = True) -> Column:
 
         return F.transform(all_, one)
 
-    return T.let(marked, build)
+    return T.let(T.let(marked, lambda all_: F.struct(all_.alias("all"), carried(all_).alias("carry"))), lambda x: build(x["all"], x["carry"]))
 
 
 def meaningful(sections: Column) -> Column:
@@ -55,10 +62,12 @@ def meaningful(sections: Column) -> Column:
 
 
 def distinct_sections(sections: Column) -> Column:
-    """The first section of each path string and text."""
-    keys = F.transform(sections, lambda s: F.struct(s["path_string"], s["text"]))
-    first = lambda x: lambda s, k: ~F.array_contains(F.slice(x["keys"], F.lit(1), k), F.struct(s["path_string"], s["text"]))
-    return T.let(F.struct(sections.alias("all"), keys.alias("keys")), lambda x: F.filter(x["all"], first(x)))
+    """The first section of each path string and text, in order, by two sorts."""
+    ranked = F.sort_array(F.transform(sections, lambda s, k: F.struct(s["path_string"].alias("path"), s["text"].alias("text"), k.alias("at"))))
+    alike = lambda x, y: x["path"].eqNullSafe(y["path"]) & x["text"].eqNullSafe(y["text"])
+    first = T.let(ranked, lambda all_: F.filter(all_, lambda x, k: (k == 0) | ~alike(F.get(all_, k - 1), x)))
+    kept = F.sort_array(F.transform(first, lambda x: x["at"]))
+    return T.let(F.struct(sections.alias("all"), kept.alias("kept")), lambda x: F.transform(x["kept"], lambda k: F.get(x["all"], k)))
 
 
 def bucket_index(sections: Column) -> Column:
@@ -72,8 +81,18 @@ def bucket_index(sections: Column) -> Column:
 def bucket_text(buckets: Column, sections: Column, bucket: str, separator: str = "\n\n") -> Column:
     """Texts of a bucket's sections in order; empty for a bucket that is not there."""
     places = F.coalesce(F.try_element_at(buckets, F.lit(bucket)), F.array().cast("array<int>"))
-    of = lambda all_: lambda k: T.strip(F.coalesce(F.get(F.filter(all_, lambda s: s["section_index"] == k), F.lit(0))["text"], F.lit("")))
-    return T.let(sections, lambda all_: T.strip(F.array_join(F.filter(F.transform(places, of(all_)), lambda t: t != ""), separator)))
+    pick = lambda texts: F.filter(F.transform(places, lambda k: F.get(texts, k.cast("int"))), lambda t: F.coalesce(t, F.lit("")) != "")
+    return T.let(texts_by_index(sections), lambda texts: T.strip(F.array_join(pick(texts), separator)))
+
+
+def texts_by_index(sections: Column) -> Column:
+    """Stripped texts at their section_index, null in the gaps; the indices ascend."""
+
+    def placed(all_: Column) -> Column:
+        gap = lambda s, k: s["section_index"] - F.coalesce(F.when(k > 0, F.get(all_, k - 1)["section_index"]), F.lit(-1)) - 1
+        return F.flatten(F.transform(all_, lambda s, k: F.concat(F.array_repeat(F.lit(None).cast("string"), gap(s, k).cast("int")), F.array(T.strip(F.coalesce(s["text"], F.lit("")))))))
+
+    return T.let(sections, placed)
 
 
 def assemble(papers: DataFrame, raw: str = "raw_sections", inherit: bool = True) -> DataFrame:

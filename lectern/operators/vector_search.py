@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.runtime import cut
 
 TOP_CHUNKS, TOP_PAPERS, EVIDENCE = 3, 5, 3
+#: Digits that similarities of many questions are kept to, so that equal vectors tie.
+ROUND = 9
 EVIDENCE_FIELDS = ("chunk_id", "bucket", "section_index", "chunk_index", "path_string", "title", "sim")
 
 
@@ -27,6 +33,54 @@ def nearest_chunks(chunks: DataFrame, query: list[float], limit: int = TOP_CHUNK
     return scored.withColumn("dist", 1 - F.col("sim")).orderBy("dist", "chunk_id").limit(limit)
 
 
+#: Questions that are compared with all chunks in one pass.
+BLOCK = 1024
+
+
+def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, limit: int = TOP_CHUNKS) -> DataFrame:
+    """(query_id, chunk_id, sim): the nearest chunks of many questions (query_id, vector), ties by chunk_id.
+
+    Questions go in blocks of BLOCK, each a pass over the chunks; a task keeps ``limit``
+    chunks of each question, and the best of those are chosen. Vectors that are null, zero
+    or of another length than most of the block's questions match nothing.
+    """
+    spark = chunks.sparkSession
+    ids = [r.query_id for r in queries.select("query_id").orderBy("query_id").toLocalIterator()]
+    out = None
+    for at in range(0, len(ids), BLOCK):
+        rows = queries.where(F.col("query_id").between(ids[at], ids[min(at + BLOCK, len(ids)) - 1])).select("query_id", "vector").where("vector is not null").collect()  # one block
+        found = _nearest_of_block(chunks, sorted((r.query_id, list(r.vector)) for r in rows), limit)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, chunk_id long, sim double")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id"))
+    return out.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
+
+
+def _nearest_of_block(chunks: DataFrame, block: list[tuple[int, list[float]]], limit: int) -> DataFrame:
+    size = max((len(v) for _, v in block), default=0)
+    names = np.array([q for q, v in block if len(v) == size and any(v)], np.int64)
+    unit = np.array([v for _, v in block if len(v) == size and any(v)], np.float64).reshape(-1, size)
+    unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_sim, best_id = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        for b in batches:
+            rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None and len(v) == size and any(v)]
+            if not rows or not len(names):
+                continue
+            x = np.array([v for _, v in rows], np.float64)
+            sim = np.round((unit @ x.T) / np.sqrt((x * x).sum(1)), ROUND)
+            best_sim = np.concatenate([best_sim, sim], 1)
+            best_id = np.concatenate([best_id, np.broadcast_to(np.array([i for i, _ in rows], np.int64), sim.shape)], 1)
+            order = np.lexsort((best_id, -best_sim), axis=1)[:, :limit]
+            best_sim, best_id = np.take_along_axis(best_sim, order, 1), np.take_along_axis(best_id, order, 1)
+        if best_id.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_sim.ravel())], ["query_id", "chunk_id", "sim"])
+
+    return chunks.select("id", "embedding").mapInArrow(run, "query_id long, chunk_id long, sim double")
+
+
 def paper_scores(candidates: DataFrame, limit: int = TOP_PAPERS) -> DataFrame:
     """(paper_id, paper_score, paper_rank) of the papers with the best chunks; ties by paper_id."""
     best = candidates.groupBy("paper_id").agg(F.max("sim").alias("paper_score")).orderBy(F.desc("paper_score"), "paper_id").limit(limit)
@@ -35,7 +89,7 @@ def paper_scores(candidates: DataFrame, limit: int = TOP_PAPERS) -> DataFrame:
 
 def paper_titles(chunks: DataFrame, paper_ids: DataFrame) -> DataFrame:
     """(paper_id, paper_title): the title of each paper's abstract, else of its first chunk with a title."""
-    rows = chunks.where("title is not null").join(F.broadcast(paper_ids), "paper_id", "left_semi")  # at most TOP_CHUNKS papers
+    rows = chunks.where("title is not null").join(paper_ids, "paper_id", "left_semi")  # Spark broadcasts few ids by their size
     first = F.struct(F.col("bucket") != "abstract", F.col("section_index"), F.col("chunk_index"), F.col("title"))
     return rows.groupBy("paper_id").agg(F.min_by("title", first).alias("paper_title"))
 

@@ -21,16 +21,31 @@ class Asker:
     top_papers: int = vector_search.TOP_PAPERS
     evidence: int = vector_search.EVIDENCE
     candidates: int | None = None
+    #: Where bm25.write_index left the lexical index; without it one is made and kept in memory.
+    index_path: str | None = None
     _index: bm25.Index | None = field(default=None, repr=False)
 
     def sources(self, question: str) -> DataFrame:
         dense = vector_search.retrieve(self.chunks, embedding.embed_query(question, self.provider), self.candidates or self.top_chunks, self.top_papers, self.evidence)
         rows = self.chunks.withColumnRenamed("id", "chunk_id")
-        if self._index is None:
+        if self._index is None and self.index_path:
+            self._index = bm25.open_index(self.chunks.sparkSession, self.index_path)
+        elif self._index is None:
             made = bm25.index(rows)
-            self._index = bm25.Index(made.postings.persist(), made.lengths.persist(), made.terms.persist())
+            self._index = bm25.Index(made.postings.persist(), made.terms.persist(), made.size.persist())
         lexical = bm25.top_papers(rows, bm25.scores(self._index, question), self.top_papers, self.top_chunks)
         return rag.dense_sources(dense).unionByName(rag.lexical_sources(lexical, rows.select("chunk_id", F.col("path_string"))))
 
     def ask(self, question: str) -> str:
         return rag.answer(question, self.sources(question), self.generate)
+
+    def ask_many(self, questions: list[str]) -> list[str]:
+        """Answers in the order of the questions; the index is made, or read, once."""
+        return [self.ask(q) for q in questions]
+
+    def close(self) -> None:
+        """Frees what the lexical index holds in memory; the next question makes it anew."""
+        if self._index is not None and self.index_path is None:
+            for table in (self._index.postings, self._index.terms, self._index.size):
+                table.unpersist()
+        self._index = None

@@ -7,14 +7,16 @@ source play the paper), lines of documents play sections.
 from __future__ import annotations
 
 import random
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import schemas
 from lectern.functions import text as T
 from lectern.operators import bm25, chunking, rag, sampling, sections, upsert, vector_search
-from lectern.runtime import load
-from lectern.sources import jats
+from lectern.runtime import load, shared_folder
+from lectern.sources import corpus, filelist, jats
 
 QUESTION = "the hation thing of trash nd ores the onea is token"
 TOP_CHUNKS, TOP_PAPERS, EVIDENCE = 40, 5, 3
@@ -92,6 +94,19 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("chunk_id", "paper_id", F.round("sim", 6).alias("sim"), F.round("dist", 6).alias("dist"))
 
 
+@query(
+    f"""WITH {_V}, asked AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+scored AS (
+  SELECT query_id, id AS chunk_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS sim FROM chunks, asked)
+SELECT query_id, chunk_id, round(sim, 6) AS sim FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= {EVIDENCE * TOP_PAPERS}"""
+)
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 is a question to all vectors."""
+    asked = load(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vector_search.nearest_in_blocks(vector_chunks(spark, sf_dir), asked, EVIDENCE * TOP_PAPERS)
+    return found.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"))
+
+
 @query(f"WITH {_RANKED} SELECT paper_rank, paper_id, round(paper_score, 6) AS paper_score FROM top_papers")
 def paper_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vector_search.nearest_chunks(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir), TOP_CHUNKS)
@@ -143,7 +158,7 @@ freq AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term,
 asked AS (SELECT term, count(*) AS times FROM (SELECT unnest({_tokens_sql(f"'{QUESTION}'")}) AS term) GROUP BY term),
 wanted AS (SELECT term, times, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM freq) ELSE idf END AS idf FROM freq JOIN asked USING (term)),
 summed AS (
-  SELECT chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  SELECT chunk_id, round(CAST(sum(CAST(round(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 12) AS DECIMAL(28, 12))) AS DOUBLE), 9) AS score
   FROM postings JOIN wanted USING (term) JOIN lengths USING (chunk_id), size GROUP BY chunk_id),
 scored AS (SELECT chunk_id, coalesce(score, 0.0) AS score FROM lengths LEFT JOIN summed USING (chunk_id)),
 hits AS (SELECT * FROM scored WHERE score > 0 OR (score < 0 AND NOT (SELECT bool_or(score = 0) FROM scored)))"""
@@ -151,7 +166,7 @@ hits AS (SELECT * FROM scored WHERE score > 0 OR (score < 0 AND NOT (SELECT bool
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = document_chunks(spark, sf_dir)
-    return chunks, bm25.scores(bm25.index(chunks), QUESTION)
+    return chunks, bm25.scores_of_texts(chunks, QUESTION)
 
 
 @query(f"WITH {_BM25} SELECT chunk_id, round(score, 6) AS score FROM hits")
@@ -159,6 +174,14 @@ def bm25_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.hits(_scored(spark, sf_dir)[1]).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT chunk_id, round(score, 6) AS score FROM hits")
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores through an index on disk, whose question reads the folders of its terms only."""
+    path = _shared_path(spark)
+    bm25.write_index(bm25.index(document_chunks(spark, sf_dir)), path)
+    return bm25.hits(bm25.scores(bm25.open_index(spark, path), QUESTION)).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 _BM25_PAPERS = f"""{_BM25},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS nth FROM hits JOIN chunks USING (chunk_id)),
 papers AS (
@@ -211,26 +234,6 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.word_windows(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-@query(
-    """WITH old AS (SELECT doc_id AS id, source AS paper_id, CAST(doc_id % 50 AS INT) AS section_index, CAST(0 AS INT) AS chunk_index, min(lang) AS bucket
-             FROM documents WHERE doc_id % 3 <> 0 AND doc_id < 500 GROUP BY ALL),
-old1 AS (SELECT min(id) AS id, paper_id, section_index, chunk_index, min(bucket) AS bucket FROM old GROUP BY paper_id, section_index, chunk_index),
-new AS (SELECT DISTINCT ON (paper_id, section_index, chunk_index) source AS paper_id, CAST(doc_id % 50 AS INT) AS section_index, CAST(doc_id % 2 AS INT) AS chunk_index,
-               'new ' || doc_id AS bucket FROM documents WHERE doc_id % 2 = 0 ORDER BY paper_id, section_index, chunk_index, doc_id DESC)
-SELECT paper_id, section_index, chunk_index, coalesce(n.bucket, o.bucket) AS bucket, o.id AS old_id FROM old1 o FULL JOIN new n USING (paper_id, section_index, chunk_index)"""
-)
-def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    section = F.expr("CAST(doc_id % 50 AS INT)").alias("section_index")
-    old = docs.where("doc_id % 3 <> 0 AND doc_id < 500").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), section, F.lit(0).alias("chunk_index"), F.col("lang").alias("bucket"))
-    old = old.groupBy("paper_id", "section_index", "chunk_index").agg(F.min("id").alias("id"), F.min("bucket").alias("bucket"))
-    new = docs.where("doc_id % 2 = 0").select(F.col("source").alias("paper_id"), section, F.expr("CAST(doc_id % 2 AS INT)").alias("chunk_index"), F.concat(F.lit("new "), "doc_id").alias("bucket"), F.col("doc_id").alias("seq"))
-    out = upsert.merged(old, new)
-    twice = upsert.merged(out, new)  # the same batch again changes nothing
-    known = old.select("paper_id", "section_index", "chunk_index", F.col("id").alias("old_id"))
-    return twice.join(known, ["paper_id", "section_index", "chunk_index"], "left").select("paper_id", "section_index", "chunk_index", "bucket", "old_id")
-
-
 @query(
     """WITH d AS (SELECT source AS paper_id, CAST(doc_id AS BIGINT) AS section_index, min(lang) AS bucket FROM documents GROUP BY ALL),
 old AS (SELECT paper_id, section_index, unnest([0, 2]) AS chunk_index, bucket FROM d),
@@ -238,7 +241,7 @@ new AS (SELECT paper_id, section_index, unnest([0, 1]) AS chunk_index, 'new ' ||
 SELECT paper_id, section_index, chunk_index, coalesce(n.bucket, o.bucket) AS bucket, o.id AS old_id
 FROM (SELECT *, section_index * 3 + chunk_index AS id FROM old) o FULL JOIN new n USING (paper_id, section_index, chunk_index)"""
 )
-def chunk_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upsert with every document on both sides: a key of its own that changes, one that stays and one that is new."""
     key = ["paper_id", "section_index", "chunk_index"]
     docs = load(spark, sf_dir, "documents").select(F.col("source").alias("paper_id"), F.col("doc_id").cast("long").alias("section_index"), F.col("lang").alias("bucket"))
@@ -351,23 +354,13 @@ def bucket_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "bucket", F.array_join(F.transform("at", lambda k: k.cast("string")), ",").alias("indices"), F.md5(F.element_at("texts", F.col("bucket"))).alias("text_md5"))
 
 
-@query(
-    """WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents), f AS (SELECT doc_id, unnest(generate_series(1, least(40, len(a)))) AS k, a FROM w),
-r AS (SELECT doc_id, k, a[k] AS v, row_number() OVER (PARTITION BY doc_id, lower(a[k]) ORDER BY k) AS nth FROM f)
-SELECT doc_id, string_agg(v, '|' ORDER BY k) AS keywords FROM r WHERE nth = 1 GROUP BY doc_id"""
-)
-def keyword_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.split("text", " ", -1), 1, 40)  # a paper's list of keywords is short
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_ignoring_case(words), "|").alias("keywords"))
-
-
 @query(
     """WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents), f AS (SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS k FROM w),
 r AS (SELECT doc_id, k, v, row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY k) AS nth FROM f)
 SELECT doc_id, string_agg(v, '|' ORDER BY k) AS keywords FROM r WHERE nth = 1 GROUP BY doc_id"""
 )
-def keyword_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """keyword_dedup over all words of a text."""
+def keyword_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of a text, as if they were its keywords."""
     words = F.split("text", " ", -1)
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_ignoring_case(words), "|").alias("keywords"))
 
@@ -399,14 +392,14 @@ def pubdate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.partial_date(year, month, day).alias("date"), T.year_number(year).alias("year"))
 
 
-SAMPLE, SEED, ORACLE_ROWS = 25, 42, 1000  # the oracle's positions are those of sf0.01
+SAMPLE, SEED, ORACLE_SIZES = 25, 42, (200, 1_000, 10_000)  # numbers of documents that the oracle has positions for
 
 
 @query(
     "WITH s AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({k}, {p})" for k, p in enumerate(random.Random(SEED).sample(range(ORACLE_ROWS), SAMPLE)))
-    + ") AS t(sample_pos, position)), d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)"
-    " SELECT CAST(sample_pos AS BIGINT) AS sample_pos, doc_id, source FROM d JOIN s USING (position)"
+    + ", ".join(f"({n}, {k}, {p})" for n in ORACLE_SIZES for k, p in enumerate(random.Random(SEED).sample(range(n), SAMPLE)))
+    + ") AS t(size, sample_pos, position)), d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS size FROM documents)"
+    " SELECT CAST(sample_pos AS BIGINT) AS sample_pos, doc_id, source FROM d JOIN s USING (size, position)"
 )
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source").orderBy("doc_id")
@@ -456,3 +449,126 @@ def jats_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "paper_id", "title", F.col("journal.name").alias("journal"), "published.year", "published.date",
         F.size(F.filter(F.split(text, "\n\n"), lambda p: p != "")).alias("n_paragraphs"), F.md5(text).alias("text_md5"), F.get("sections", F.lit(0))["title"].alias("section_title"),
     )
+
+
+_PAPER_ID = "CASE WHEN n % 4 = 0 THEN 'PMC' || n WHEN n % 5 <> 0 THEN doi ELSE CAST(n AS VARCHAR) END"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS n, lang, source FROM documents),
+e AS (SELECT *, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 3 = 0 THEN '10.1/d' || n || '.r001' ELSE '10.1/d' || n END AS doi FROM d)
+SELECT n AS doc_id, {_PAPER_ID} AS paper_id, CASE WHEN n % 4 = 0 THEN 'PMC' || n END AS pmcid, CAST(n AS VARCHAR) AS pmid, doi,
+  CAST(CASE WHEN n % 2 = 0 THEN 1990 ELSE 2000 END + n % 20 AS INTEGER) AS year,
+  CASE WHEN n % 2 = 0 THEN (1990 + n % 20) || '-12-0' || (1 + n % 9) ELSE (2000 + n % 20) || '-0' || (1 + n % 9) END AS date,
+  'Cancer|Lung ' || lang AS keywords,
+  'Ann B.' || CAST(n AS VARCHAR) || ' (Univ ' || source || '; Lab ' || (n % 7) || ');Bo C (-)' AS authors,
+  CASE n % 3 WHEN 0 THEN 'Aim: x ' || n || ' y tail' WHEN 1 THEN 'bare ' || n ELSE '' END AS abstract FROM e"""
+)
+def jats_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers, dates, keywords, authors with affiliations and abstracts of articles made of documents, through the parser."""
+    n, s = F.col("doc_id"), F.col("source")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    one_id = lambda kind, *value: text(f"<article-id pub-id-type='{kind}'>", *value, "</article-id>")
+    ids = F.concat(
+        F.when(n % 4 == 0, one_id("pmc", n)).otherwise(""), one_id("pmid", n),
+        F.when(n % 5 == 0, "").otherwise(F.concat(one_id("doi", "10.1/d", n, ".r001"), F.when(n % 3 == 0, "").otherwise(one_id("doi", "10.1/d", n)))),
+    )
+    affiliation = text("<aff id='a1'>Univ ", s, "</aff><aff id='a2'><label>Lab</label>", n % 7, "</aff>")
+    author = text(
+        "<contrib-group><contrib contrib-type='author'><name><surname>B.", n, "</surname><given-names>Ann</given-names></name>",
+        "<xref ref-type='aff' rid='a1'/><xref ref-type='aff' rid='a1'/><xref ref-type='aff' rid='a2'/><xref ref-type='fn' rid='a3'/></contrib>",
+        "<contrib><name><surname>C</surname><given-names>Bo</given-names></name></contrib><contrib contrib-type='editor'><name><surname>E</surname></name></contrib>",
+        "<contrib contrib-type='author'><collab>A group</collab></contrib></contrib-group>",
+    )
+    dates = F.concat(
+        text("<pub-date pub-type='ppub'><month>", 1 + n % 9, "</month><year>", 2000 + n % 20, "</year></pub-date>"),
+        F.when(n % 2 == 0, text("<pub-date pub-type='epub'><day>", 1 + n % 9, "</day><month>12</month><year>", 1990 + n % 20, "</year></pub-date>")).otherwise(""),
+    )
+    keywords = text("<kwd-group><kwd>Cancer</kwd><kwd>cancer</kwd><kwd/><kwd>Lung <i>", F.col("lang"), "</i></kwd></kwd-group>")
+    abstract = (
+        F.when(n % 3 == 0, text("<abstract><sec><title>Aim</title><p>x <b>", n, "</b></p><p>y</p></sec><p>tail</p></abstract>"))
+        .when(n % 3 == 1, text("<abstract>bare ", n, "</abstract>")).otherwise("")
+    )
+    xml = F.concat(F.lit("<article><front><article-meta>"), ids, author, affiliation, dates, abstract, keywords, F.lit("</article-meta></front></article>"))
+    good, _ = jats.papers(load(spark, sf_dir, "documents").select(text("/in/", n, ".xml").alias("path"), xml.cast("binary").alias("content")))
+    person = lambda a: F.concat(a["first_name"], F.lit(" "), a["last_name"], F.lit(" ("), F.coalesce(a["affiliation"], F.lit("-")), F.lit(")"))
+    return good.select(
+        T.file_stem(F.col("file")).cast("long").alias("doc_id"), "paper_id", "ids.pmcid", "ids.pmid", "ids.doi", "published.year", "published.date",
+        F.array_join("keywords", "|").alias("keywords"), F.array_join(F.transform("authors", person), ";").alias("authors"), "abstract",
+    )
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, source, list_filter(string_split({_normal_sql("text")}, ' '), lambda x: x <> '') AS words FROM documents),
+k AS (SELECT *, unnest(CASE WHEN len(words) = 0 THEN [] ELSE generate_series(0, CAST(ceil(greatest(len(words) - 345, 0) / 275.0) AS BIGINT)) END) AS k FROM w)
+SELECT 'P' || doc_id AS paper_id, 'abstract' AS bucket, CAST(-1 AS INTEGER) AS section_index, CAST(k AS INTEGER) AS chunk_index, '' AS path_string,
+  md5('Doc ' || doc_id || ' ' || source || chr(10) || chr(10) || array_to_string(list_slice(words, k * 275 + 1, k * 275 + 345), ' ')) AS text_md5 FROM k"""
+)
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the tokenizer's offsets, each below the paper's title, which takes three tokens of the window."""
+    papers = load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("P"), "doc_id").alias("paper_id"), F.concat(F.lit("Doc "), "doc_id", F.lit(" "), "source").alias("title"),
+        T.normalize_whitespace(F.col("text")).alias("abstract"), F.array().cast(schemas.SECTIONS).alias("sections"),
+    )
+    found, _ = chunking.chunks(papers, chunking.offsets_udf(chunking.word_tokenizer))
+    return found.select("paper_id", "bucket", "section_index", "chunk_index", "path_string", F.md5("chunk_text").alias("text_md5"))
+
+
+def _shared_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
+@query(
+    """SELECT 'k/' || doc_id || '.xml' AS key, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'A, "' || doc_id || '"' END AS accession_id, lang AS license FROM documents WHERE doc_id % 7 <> 0"""
+)
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file list as CSV with a column too many, blank keys, quotes and empty values, written and read."""
+    n, path = F.col("doc_id"), _shared_path(spark)
+    key = F.when(n % 7 == 0, "  ").otherwise(F.concat(F.lit(" k/"), n, F.lit(".xml ")))
+    accession = F.when(n % 4 != 0, F.concat(F.lit('A, "'), n, F.lit('"')))
+    rows = load(spark, sf_dir, "documents").select(key.alias("Key"), n.alias("Extra"), accession.alias("AccessionID"), F.col("lang").alias("License"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return filelist.read_file_list(spark, path)
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS BIGINT) AS position, path FROM (SELECT source || '/' || lang || '/' || doc_id || '.xml' AS path FROM documents)"""
+)
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = load(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".xml"))).alias("path"))
+    return sampling.with_position(corpus.by_path(paths, "path")).select("position", "path")
+
+
+@query(
+    """SELECT CASE WHEN doc_id % 10 = 3 THEN CAST(doc_id AS VARCHAR) ELSE 'PMC' || doc_id END AS paper_id, CASE WHEN doc_id % 10 <> 3 THEN 'T ' || lang END AS title,
+  CASE WHEN doc_id % 10 = 3 THEN 'no front matter' END AS error FROM documents"""
+)
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and error records as JSON lines, written and read; every tenth article has no front matter."""
+    n, path = F.col("doc_id"), _shared_path(spark)
+    front = F.concat(F.lit("<front><article-meta><article-id pub-id-type='pmc'>"), n, F.lit("</article-id><title-group><article-title>T <i>"), "lang", F.lit("</i></article-title></title-group></article-meta></front>"))
+    xml = F.concat(F.lit("<article>"), F.when(n % 10 == 3, "").otherwise(front), F.lit("<body/></article>"))
+    files = load(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), n, F.lit(".xml")).alias("path"), xml.cast("binary").alias("content"))
+    good, errors = jats.papers(files, once=True)
+    corpus.write_jsonl(good, errors, path)
+    papers, bad = corpus.read_jsonl(spark, path)
+    return papers.select("paper_id", "title", F.lit(None).cast("string").alias("error")).unionByName(bad.select("paper_id", F.lit(None).cast("string").alias("title"), "error"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT ON (source, doc_id) source, doc_id, lang, text FROM documents ORDER BY source, doc_id, lang, text),
+n AS (SELECT source AS paper_id, CAST(doc_id AS INTEGER) AS section_index, unnest([0, 1]) AS chunk_index, lang FROM d)
+SELECT paper_id, section_index, chunk_index, CASE WHEN section_index % 2 = 0 AND chunk_index = 0 THEN 'new' ELSE lang END AS bucket, 'T' || section_index AS chunk_text FROM n"""
+)
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two upserts into a store in the shared folder, the second repeated, read as a table of the catalog."""
+    n = F.col("doc_id")
+    docs = load(spark, sf_dir, "documents").groupBy("source", "doc_id").agg(F.min("lang").alias("lang"))
+    base = [F.col("source").alias("paper_id"), n.cast("int").alias("section_index"), F.lit("").alias("path_string"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("T"), n).alias("chunk_text"), F.array(F.lit(0.5).cast("float")).alias("embedding"), n.alias("seq")]
+    first = docs.select(*base, F.col("lang").alias("bucket"), F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"))
+    second = docs.where("doc_id % 2 = 0").select(*base, F.lit("new").alias("bucket"), F.lit(0).alias("chunk_index"))
+    store = corpus.ChunkStore(spark, _shared_path(spark))
+    for batch in (first, second, second):
+        store.upsert(batch)
+    store.vacuum()
+    return store.read().select("paper_id", "section_index", "chunk_index", "bucket", "chunk_text")

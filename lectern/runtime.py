@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,11 +36,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (unit tests) it is a temporary folder of this machine.
+    Where that is unset it is a temporary folder of this machine if Spark runs on this
+    machine alone (unit tests), and a ValueError on a cluster.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-checkpoint"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,4 +58,15 @@ def written(df: DataFrame) -> DataFrame:
     """The rows, written as a Parquet table in the shared folder and reread."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that written() made, once nothing reads it any more; others are left alone."""
+    path = getattr(df, "_lectern_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        file = sc._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(sc._jsc.hadoopConfiguration()).delete(file, True)

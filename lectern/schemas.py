@@ -4,12 +4,14 @@ from __future__ import annotations
 
 SECTION = "section_index int, depth int, path array<string>, path_string string, title string, bucket string, text string"
 
+SECTIONS = "array<struct<" + ", ".join(": ".join(f.split(" ")) for f in SECTION.split(", ")) + ">>"
+
 #: A parsed paper. published.date is partial text (YYYY[-MM[-DD]]), not a date.
 PAPER = (
     "paper_id string, ids struct<pmcid: string, pmid: string, doi: string>, title string, journal struct<name: string>, "
     "published struct<year: int, date: string>, authors array<struct<first_name: string, last_name: string, affiliation: string>>, "
     "keywords array<string>, abstract string, buckets map<string, array<int>>, "
-    "sections array<struct<" + ", ".join(": ".join(f.split(" ")) for f in SECTION.split(", ")) + ">>"
+    "sections " + SECTIONS
 )
 
 #: A file that could not be parsed.

@@ -18,7 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from lectern.functions import text as T
 from lectern.operators import sections as S
-from lectern.runtime import ship
+from lectern.runtime import cut, ship
 
 RAW_PAPER = (
     "file string, error string, article_ids array<struct<type: string, value: string>>, title string, journal string, "
@@ -155,9 +155,10 @@ def raw_papers(files: DataFrame) -> DataFrame:
             for path, content in zip(b.column(0), b.column(1)):
                 try:
                     row = parse_article(content.as_py())
-                except (ValueError, ElementTree.ParseError) as reason:
-                    row = {"error": str(reason)}
-                yield pa.RecordBatch.from_pylist([row | {"file": path.as_py()}], schema)
+                    out = pa.RecordBatch.from_pylist([row | {"file": path.as_py()}], schema)
+                except Exception as reason:  # whatever a file breaks, only that file goes to quarantine
+                    out = pa.RecordBatch.from_pylist([{"error": f"{reason}" or type(reason).__name__, "file": path.as_py()}], schema)
+                yield out
 
     return files.select("path", "content").mapInArrow(run, kind)
 
@@ -175,9 +176,12 @@ def chosen_date(dates):
     return F.array_min(ranked)["date"]
 
 
-def papers(files: DataFrame, inherit: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(papers, errors) of binary files: records in the schema PAPER plus file, and quarantined files in the schema ERROR."""
-    raw = raw_papers(files)
+def papers(files: DataFrame, inherit: bool = True, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(papers, errors) of binary files: records in the schema PAPER plus file, and quarantined files in the schema ERROR.
+
+    once: parse at once and keep what was parsed in the shared folder, for callers that use both.
+    """
+    raw = cut(raw_papers(files)) if once else raw_papers(files)
     errors = raw.where("error is not null").select(T.file_stem(F.col("file")).alias("paper_id"), "error", "file")
     good = raw.where("error is null")
     pmc = _last_of("pmc")

@@ -12,11 +12,10 @@ from lectern.sources.jats import papers
 
 def ingest(batch: DataFrame, store: ChunkStore, offsets, provider: embedding.Provider, window: int = chunking.WINDOW, overlap: int = chunking.OVERLAP) -> DataFrame:
     """Upserts the chunks of a batch of binary files; returns what went to quarantine (paper_id, error)."""
-    good, errors = papers(batch)
-    found, long_headers = chunking.chunks(good, offsets, window, overlap)
+    good, errors = papers(batch, once=True)
     # The later path wins where two files are one paper.
-    rows = embedding.embedded(found, provider).withColumn("seq", F.monotonically_increasing_id())
-    store.upsert(rows)
+    found, long_headers = chunking.chunks(good.withColumn("seq", F.split("file", "/")), offsets, window, overlap)
+    store.upsert(embedding.embedded(found, provider))
     return errors.select("paper_id", "error").unionByName(long_headers.select("paper_id", "error"))
 
 

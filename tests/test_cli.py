@@ -8,6 +8,11 @@ from lectern import cli
 ARTICLE = "<article><front><article-meta><article-id pub-id-type='pmid'>{0}</article-id><title-group><article-title>Paper {0}</article-title></title-group></article-meta></front><body><sec><title>Results</title><p>rats and mice number {0}</p></sec></body></article>"
 
 
+def shortened(prompt, rules):
+    assert "provided context" in rules
+    return prompt.strip().splitlines()[-1].upper() + "⟦S:1⟧"
+
+
 def test_from_files_to_answer(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "list.csv").write_text("Key,AccessionID,License\n" + "".join(f"k{k}.xml,A{k},x\n" for k in range(20)))
     assert cli.main(["sample", "--filelist", str(tmp_path / "list.csv"), "--out_dir", str(tmp_path), "--n", "3", "--seed", "5"]) == 0
@@ -27,3 +32,23 @@ def test_from_files_to_answer(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "none").mkdir()
     with pytest.raises(SystemExit):
         cli.main(["parse", "--input", str(tmp_path / "none"), "--out_dir", str(tmp_path)])
+
+
+def test_fetch_download_single_and_questions(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    for k in range(4):
+        (tmp_path / "src" / f"{k}.xml").write_text(ARTICLE.format(k))
+    (tmp_path / "src" / "list.csv").write_text("Key,AccessionID,License\n" + "".join(f"{k}.xml,A{k},x\n" for k in (0, 1, 2, 3, 9)))
+    copy = f"cp {tmp_path}/src/{{key}} {{destination}}"
+    assert cli.main(["metadata", "--source", f"{tmp_path}/src/list.csv", "--out_dir", str(tmp_path), "--fetch", "cp {key} {destination}"]) == 0
+    assert cli.main(["metadata", "--source", "nothing/none.csv", "--out_dir", str(tmp_path), "--fetch", "cp {key} {destination}"]) == 1
+    assert cli.main(["download", "--filelist", str(tmp_path / "list.csv"), "--out_dir", str(tmp_path / "got"), "--existing", "--fetch", copy]) == 0
+    assert "4 fetched, 1 failed, 4 XML files" in capsys.readouterr().out
+    assert [r.Key for r in spark.read.option("header", True).csv(str(tmp_path / "got/failed_downloads")).collect()] == ["9.xml"]
+    assert cli.main(["parse", "--input", str(tmp_path / "got" / "2.xml"), "--out_dir", str(tmp_path), "--single"]) == 0
+    assert spark.read.json(str(tmp_path / "paper.json")).first().paper_id == "2"
+    assert cli.main(["parse", "--input", str(tmp_path / "got"), "--out_dir", str(tmp_path)]) == 0
+    assert cli.main(["chunk", "--corpus", str(tmp_path / "corpus.jsonl"), "--store", str(tmp_path / "store"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--provider", "hashing"]) == 0
+    (tmp_path / "q.txt").write_text("mice\n\nrats\n")
+    assert cli.main(["ask", "--store", str(tmp_path / "store"), "--generator", "test_cli:shortened", "--questions", str(tmp_path / "q.txt")]) == 0
+    assert capsys.readouterr().out.splitlines()[-2:] == ["MICE", "RATS"]

@@ -155,3 +155,12 @@ def test_jsonl_store_stream_and_answer(spark, folder, tmp_path):
     with pytest.raises(ValueError):
         store.upsert(chunks.withColumn("chunk_text", chunks.title.cast("string")).limit(1).selectExpr("paper_id", "bucket", "99 as section_index", "chunk_index", "path_string", "title", "cast(null as string) as chunk_text", "embedding", "1L as seq"))
     assert store.read().count() == 6
+
+
+def test_whatever_breaks_only_its_file(spark):
+    good = b"<article><front><article-meta><article-id pub-id-type='pmid'>7</article-id></article-meta></front></article>"
+    bad = [b"<?xml version='1.0' encoding='no-such-code'?><article/>", None, b"", b"\xff\xfe\x00", b"<article>"]
+    files = spark.createDataFrame([(f"/x/{k}.xml", c) for k, c in enumerate([good, *bad])], "path string, content binary")
+    papers, errors = jats.papers(files, once=True)
+    assert [r.paper_id for r in papers.collect()] == ["7"] and errors.count() == len(bad)
+    assert all(r.error for r in errors.collect())

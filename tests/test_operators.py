@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import Counter
@@ -6,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import bm25, sampling, upsert, vector_search
+from lectern.operators import bm25, chunking, sampling, upsert, vector_search
 from lectern.plans import registry
-from lectern.sources import filelist, objects
+from lectern.sources import corpus, filelist, objects
 
 
 def test_retrieval(spark):
@@ -34,8 +35,11 @@ def test_bm25_equals_plain_formula(spark):
     query = ["gene", "rat", "rat", "zebra"]
     want = {k: sum(idf.get(q, 0) * ws.count(q) * 2.5 / (ws.count(q) + 1.5 * (0.25 + 0.75 * len(ws) / avgdl)) for q in query) for k, ws in words.items()}
     scored = bm25.scores(bm25.index(df), "the gene rat Rat zebra")
-    got = {r.chunk_id: r.score for r in scored.collect()}
-    assert got == pytest.approx(want)
+    want = {k: x for k, x in want.items() if set(query) & set(words[k])}
+    for way in (scored, bm25.scores_of_texts(df, "the gene rat Rat zebra")):
+        assert {r.chunk_id: r.score for r in way.collect()} == pytest.approx(want)
+        assert {r.n_chunks for r in way.collect()} == {n}
+    assert bm25.scores_of_texts(df, "the").count() == bm25.scores(bm25.index(df), "the").count() == 0
     assert bm25.top_papers(df, bm25.scores(bm25.index(df), "zebra")).count() == 0
     top = bm25.top_papers(df, scored, 2, 1).collect()
     order = sorted((k for k in want if want[k] > 0), key=lambda k: (-want[k], k))
@@ -91,11 +95,79 @@ def test_keywords_past_the_fortieth_word(spark):
     df = spark.createDataFrame([(words,), (["a", None, "B", "A"],), ([],), (None,)], "v array<string>")
     got = [r[0] for r in df.select(T.distinct_ignoring_case(F.col("v"))).collect()]
     assert got == [words[:41] + ["Last"], ["a", "B"], [], None]
-    assert "keyword_dedup_whole" in registry.QUERIES
 
 
 def test_upsert_of_every_document(spark, tmp_path):
     n = 600
     spark.range(n).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {(r.section_index, r.chunk_index): (r.bucket, r.old_id) for r in registry.QUERIES["chunk_upsert_whole"](spark, str(tmp_path)).collect()}
+    rows = {(r.section_index, r.chunk_index): (r.bucket, r.old_id) for r in registry.QUERIES["chunk_upsert"](spark, str(tmp_path)).collect()}
     assert rows == {(d, c): ("en" if c == 2 else f"new {d}", None if c == 1 else 3 * d + c) for d in range(n) for c in range(3)}
+
+
+def test_equal_chunks_tie_wherever_they_are(spark):
+    text = "rat gene virus gene cell of many rats and mice"
+    docs = [(k, f"p{k}", f"t{k}", text if k % 5 == 0 else f"noise {'x' * (k % 7)} virus") for k in range(200)]
+    df = spark.createDataFrame(docs, "chunk_id long, paper_id string, title string, chunk_text string").repartition(13, F.rand(3))
+    for scored in (bm25.scores_of_texts(df, "rat gene virus cell"), bm25.scores(bm25.index(df), "rat gene virus cell")):
+        assert len({r.score for r in scored.where("chunk_id % 5 = 0").collect()}) == 1
+        assert [r.evidence_ids for r in bm25.top_papers(df, scored, 4, 1).collect()] == [[0], [5], [10], [15]]
+
+
+def test_index_on_disk_prunes(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"alpha beta gamma w{'abcdefghij'[k % 10]}") for k in range(50)], "chunk_id long, chunk_text string")
+    bm25.write_index(bm25.index(df), f"{tmp_path}/i")
+    found = bm25.scores(bm25.open_index(spark, f"{tmp_path}/i"), "wa wc")
+    assert sorted(r.chunk_id for r in found.collect()) == [k for k in range(50) if k % 10 in (0, 2)]
+    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString() or "bucket" in found._jdf.queryExecution().executedPlan().toString()
+    assert bm25.scores(bm25.open_index(spark, f"{tmp_path}/i"), "the").count() == 0
+
+
+def test_many_questions_equal_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = [(k, [float(rng.randrange(-2, 3)) for _ in range(4)]) for k in range(60)] + [(60, None), (61, [1.0]), (62, [0.0] * 4)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    asked = chunks.where("id % 9 = 0 OR id > 59").selectExpr("id AS query_id", "embedding AS vector")
+    got = {}
+    for r in vector_search.nearest_in_blocks(chunks, asked, 5).orderBy("query_id", F.desc("sim"), "chunk_id").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for q, v in rows:
+        if q % 9 == 0 and q < 60 and any(v):
+            sims = [(-round(sum(a * b for a, b in zip(v, w)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in w)), 9), k) for k, w in rows if w and len(w) == 4 and any(w)]
+            assert got[q] == [k for _, k in sorted(sims)[:5]]
+    assert vector_search.nearest_in_blocks(chunks, asked.limit(0)).count() == 0
+
+
+def test_store_survives_a_second_writer(spark, tmp_path):
+    ddl = "paper_id string, section_index int, chunk_index int, bucket string, path_string string, title string, chunk_text string, embedding array<float>, seq int"
+    row = lambda p, n: spark.createDataFrame([(p, n, 0, "b", "", None, "t", [0.5], 1)], ddl)
+    store, other = corpus.ChunkStore(spark, f"{tmp_path}/s"), corpus.ChunkStore(spark, f"{tmp_path}/s")
+    store.upsert(row("p", 1))
+    newest, calls = store._newest, []
+
+    def interrupted():
+        calls.append(1)
+        if len(calls) == 2:
+            other.upsert(row("q", 2))
+            store._newest = newest
+            return "v-2"
+        return newest()
+
+    store._newest = interrupted
+    store.upsert(row("r", 3))
+    assert sorted(r.paper_id for r in store.read().collect()) == ["p", "q", "r"]
+    store.vacuum()
+    store.register("chunks", "lectern_test")
+    assert spark.sql("SELECT count(*) FROM lectern_test.chunks").first()[0] == 3
+    spark.sql("DROP TABLE lectern_test.chunks")
+    with pytest.raises(ValueError):
+        store.upsert(row(None, 4))
+    assert store.read().count() == 3
+
+
+def test_later_line_wins(spark, tmp_path):
+    lines = [json.dumps({"paper_id": p, "title": t, "abstract": "a", "sections": []}) for p, t in (("p", "one"), ("q", "x"), ("p", "two"))]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    papers, _ = corpus.read_jsonl(spark, str(tmp_path / "a.jsonl"))
+    found, _ = chunking.chunks(papers, chunking.offsets_udf(chunking.word_tokenizer))
+    assert sorted(r.title for r in upsert.last_of_key(found).collect()) == ["two", "x"]

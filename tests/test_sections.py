@@ -123,3 +123,30 @@ def test_scalar_functions(spark):
     assert one(T.first_filled(lit(""), lit(None), lit("x"))) == "x"
     assert one(T.tokens(F.lit("The T-cell, don't (stop)! p53 covid-19 tumour's end."))) == ["stop", "tumour", "end"]
     assert one(T.with_header(F.lit(" h "), F.lit("b"))) == "h\n\nb" and one(T.with_header(lit(""), F.lit("b"))) == "b"
+
+
+def test_many_sections_of_one_paper_are_linear(spark):
+    """Against a plain walk, over thousands of sections."""
+    n = 5000
+    titles = ["Methods", "Cohort", None, "Funding", "Results", "Details"]
+    raw = [(k, 0 if k % 3 else 1, [k] if k % 3 else ([k - 1, k] if k else [k]), titles[k % 6] if k % 5 else f"T{k % 40}", f"x{k % 900}") for k in range(n)]
+    df = spark.createDataFrame([(1, raw)], f"id int, raw_sections array<struct<section_index: int, depth: int, chain: array<int>, title: string, text: string>>")
+    row = S.assemble(df).first()
+    seen, kept = set(), []
+    for s in row.sections:
+        assert (s.path_string, s.text) not in seen
+        seen.add((s.path_string, s.text))
+        kept.append(s.section_index)
+    assert kept == sorted(kept) and len(kept) > 900
+    strong = {"Methods": "methods", "Results": "results"}
+    at = {s.section_index: s.bucket for s in row.sections}
+    carry = None
+    for k, depth, _, title, _ in raw:
+        if depth == 0 and k in at:
+            want = strong.get(title) or (carry if title != "Funding" else None) or title or "untitled"
+            assert at[k] == want, (k, title)
+        if depth == 0:
+            carry = strong.get(title) or carry
+    text = spark.createDataFrame([row]).select(S.bucket_text(F.col("buckets"), F.col("sections"), "methods")).first()[0]
+    texts = {s.section_index: s.text for s in row.sections}
+    assert text == "\n\n".join(texts[k] for k in row.buckets["methods"])
