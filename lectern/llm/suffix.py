@@ -8,18 +8,23 @@ windows mostly share their token too, so one segment of text carries them all.
 First the tokens' hashes alone are compared, and each part of the documents learns which of
 its tokens stand in other documents too. Only segments of those travel, each once for a lot of
 a part's documents however often it stands there, range-partitioned by token with splitters
-sampled from tokens. A bucket sorts its segments by token and then by multikey quicksort:
+sampled from tokens. The segments of a token are the suffixes that start with it, with what the windows need to
+its left, so a bucket holds a range of suffixes by their leading token; shipping a suffix
+for every byte instead would send LENGTH times the input. A bucket sorts its segments by
+token and then by multikey quicksort:
 first whole segments, so that copies fall into one class with one least doc_id, then, where a
-token has several classes, their windows. Equal windows always share a token and a token never
-straddles two buckets, so the comparison across a boundary is settled by the splitters
-themselves: ties go to one side.
+token has several classes, their windows. Equal windows always share a token, and the last
+token of each bucket is compared with the first of the next: as the splitters are whole
+tokens they differ, so no class goes on across a boundary.
 
 Back to each part goes, for every segment that some of its documents lose bytes by, the least
 doc_id that holds each of its windows; the part looks its own segments up and cuts its texts.
 So a passage that a third of all documents share travels once a lot, not once a document.
 
 Defined cases: a null text is empty; a document shorter than LENGTH keeps everything; rows
-with a null doc_id neither lose bytes nor take them from others; rows that share a doc_id
+with a null doc_id neither lose bytes nor take them from others, and are dealt by their
+text; very long texts are cut into overlapping pieces of PIECE bytes; other columns are not
+looked at, whatever their names; rows that share a doc_id
 are not smaller than each other and are told apart by their text; an empty table gives an
 empty result.
 """
@@ -36,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrow import BATCH_ROWS
+from lectern.llm.arrow import bound_batches
 from lectern.llm.hashing import mix, stretches
 from lectern.runtime import cut, ship
 
@@ -220,7 +225,7 @@ def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _part_column(parts: int) -> F.Column:
-    doc = F.coalesce(F.col("doc_id"), F.lit(0))
+    doc = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(parts)).cast("int")
 
 
@@ -257,6 +262,8 @@ _TOKENS = _Blobs("u4", "u4", "u1")
 _KEYS = _Blobs("u8")
 #: Names of segments, numbers of holders, holders.
 _HOLDERS = _Blobs("u8", "u1", "i8")
+#: The bucket, its first and last token.
+_BORDERS, BORDER = _Blobs("i8", "u1"), -1
 #: doc_ids, whether null, sizes, bytes.
 _TEXTS = _Blobs("i8", "u1", "i8", "u1")
 
@@ -307,9 +314,9 @@ def splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
     ids = cut(rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buf, valid, *_ in _pieces(_docs(batches), length):
+        for buf, valid, _, _, _, begin in _pieces(_docs(batches), length):
             _, _, place, _ = runs(buf, valid, length)
-            step = max(1, len(place) // (SAMPLE_TOKENS * 200))
+            step = max(1, len(place) // (SAMPLE_TOKENS * len(begin)))
             yield pa.RecordBatch.from_arrays([pa.array([tokens_at(buf, place[::step]).tobytes()], pa.binary())], ["tokens"])
 
     found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(run, "tokens binary").collect()
@@ -453,15 +460,17 @@ def placed_segments(keys: DataFrame, texts: DataFrame, split: np.ndarray, parts:
 
 
 def found_holders(segments: DataFrame, length: int) -> DataFrame:
-    """(part, blob) of the holders of segments, for the parts that asked."""
+    """(part, blob) of the holders of segments, for the parts that asked; as part BORDER the first and last token of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _gathered(batches):
+        for bucket, blobs in _gathered(batches):
             columns = [_SEGMENTS.unpack(x) for x in blobs]
             part = np.repeat([int(c[5][0]) for c in columns], [len(c[0]) for c in columns])
             n, offset = (np.concatenate([c[k] for c in columns]).astype(np.int64) for k in (0, 1))
             low, high, buf = (np.concatenate([c[k] for c in columns]) for k in (2, 3, 4))
             del columns
+            tokens = np.sort(tokens_at(buf, np.concatenate(([0], np.cumsum(n + length - 1)[:-1])) + offset))
+            yield _table([(BORDER, _BORDERS.pack(np.array([bucket]), np.frombuffer(tokens[0].ljust(ANCHOR, b"\0") + tokens[-1].ljust(ANCHOR, b"\0"), np.uint8)))], "part")
             seg, count, holder = window_holders(buf, n, offset, low, high, length)
             if not len(seg):
                 continue
@@ -475,6 +484,14 @@ def found_holders(segments: DataFrame, length: int) -> DataFrame:
     return segments.mapInArrow(run, "part int, blob binary")
 
 
+def compare_borders(blobs: list[bytes]) -> None:
+    """Compares the last token of each bucket with the first of the next: equal ones would have equal suffixes on both sides."""
+    borders = sorted((int(b[0]), t[:ANCHOR].tobytes(), t[ANCHOR:].tobytes()) for b, t in map(_BORDERS.unpack, blobs))
+    for (_, _, last), (bucket, first, _) in zip(borders, borders[1:]):
+        if last >= first:
+            raise RuntimeError(f"bucket {bucket} begins with a token that an earlier one holds")
+
+
 def packed_texts(rows: DataFrame, parts: int) -> DataFrame:
     """(part, blob) of whole documents."""
 
@@ -496,7 +513,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, kept (bytes) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     rows = _rows_of(docs)
@@ -505,6 +522,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True)
     keys = cut(shared_tokens(rows, parts, buckets, length))
     segments = placed_segments(keys, texts, split, parts, buckets, length).repartition(buckets, "bucket")
     holders = cut(found_holders(segments, length))
+    compare_borders([bytes(r.blob) for r in holders.where(F.col("part") == BORDER).select("blob").collect()])  # one row a bucket
+    holders = holders.where(F.col("part") != BORDER)
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] + [("kept", pa.binary())] * keep_bytes
     schema = pa.schema(fields)
