@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows with a loss mask.
 
-Turns become ``<|role|>\\n text \\n<|end|>\\n``; ``&``, ``<`` and ``[`` inside texts and roles
-are escaped, so no control string (``<|..|>``, ``</s>``, ``[INST]``) can occur in them, and
+Turns become ``<|role|>\\n text \\n<|end|>\\n``; ``&``, ``<`` and ``[`` inside texts and roles,
+and ``|`` inside roles, are escaped, so no control string (``<|..|>``, ``</s>``, ``[INST]``) can occur in them, and
 unescaping gives the texts back. A conversation's windows are turn-aligned spans chosen by
 prefix sums of turn tokens: a window takes turns while the sum since its first stays within
 the budget. Each later window repeats the system turn and as many last turns as fit the
@@ -10,7 +10,9 @@ history allowance; what it repeats is masked, so each assistant text is a target
 Rows of a conversation are sorted, not gathered: a task streams through them and holds one
 window. Defined cases: null texts and roles are empty; null conv_id is a conversation of its
 own; equal turn numbers are ordered by role, then text; repeated rows are repeated turns; a
-turn larger than the budget makes a window of its own; an empty table has no windows.
+turn larger than the budget, however long, makes a window of its own; other columns are not
+looked at; an empty table has no windows. Tokens are those of a public tokenizer where its
+file is given, else words and marks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.bpe import encoder
 from lectern.runtime import ship
 
 BUDGET, HISTORY = 2048, 256
@@ -34,8 +37,13 @@ def escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;")
 
 
+def escape_role(role: str) -> str:
+    """A role that can also not end its own tag."""
+    return escape(role).replace("|", "&#124;")
+
+
 def unescape(text: str) -> str:
-    return text.replace("&#91;", "[").replace("&lt;", "<").replace("&amp;", "&")
+    return text.replace("&#124;", "|").replace("&#91;", "[").replace("&lt;", "<").replace("&amp;", "&")
 
 
 def count_tokens(text: str) -> int:
@@ -47,7 +55,7 @@ def format_window(repeated: list, new: list) -> tuple[str, list[dict]]:
     """Formatted text and the [start, end) spans of it that are targets."""
     out, mask, at = [], [], 0
     for k, (role, text) in enumerate(repeated + new):
-        head, body = f"<|{escape(role)}|>\n", escape(text)
+        head, body = f"<|{escape_role(role)}|>\n", escape(text)
         if k >= len(repeated) and role == "assistant":
             mask.append({"start": at + len(head), "end": at + len(head) + len(body)})
         out.append(f"{head}{body}\n<|end|>\n")
@@ -95,15 +103,26 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield c, role or "", text or ""
 
 
-def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, n_repeated (leading turns seen before), text and mask of each window."""
+def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None) -> DataFrame:
+    """conv_id, window, n_repeated (leading turns seen before), text and mask of each window.
+
+    ``vocabulary``: path, on the driver, of a tokenizers JSON file whose tokens the budget counts.
+    """
     ship(turns.sparkSession)
+    shared = None
+    if vocabulary:
+        with open(vocabulary, encoding="utf-8") as f:
+            shared = turns.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
     kind = "conv_id long, window int, n_repeated int, text string, mask array<struct<start: int, end: int>>"
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for conv, number, repeated, old, new in windows(_stream(batches), budget, history):
+        count = count_tokens
+        if shared:
+            encode = encoder(shared.value).encode
+            count = lambda text: len(encode([text])[0]) + 4
+        for conv, number, repeated, old, new in windows(_stream(batches), budget, history, count):
             text, mask = format_window(old, new)
             rows.append({"conv_id": conv, "window": number, "n_repeated": repeated, "text": text, "mask": mask})
             size += len(text)

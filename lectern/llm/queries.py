@@ -21,10 +21,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digest(chat.format_conversations(turns))
+    return chat.digest(chat.format_conversations(turns, vocabulary=public_tokenizers.path("word_bpe_49k.json")))
 
 
 def _fold(modulus: int):

@@ -47,7 +47,7 @@ def test_digest_equals_brute_force(spark):
     rows = []
     for conv in range(30):
         for turn in range(rng.randrange(1, 30)):
-            rows.append((conv, turn, rng.choice(["system", "user", "assistant", "x<|y|>"]), "".join(piece() for _ in range(rng.randrange(4)))))
+            rows.append((conv, turn, rng.choice(["system", "user", "assistant", "x<|y|>", "a|>\nb", "|", "&#124;"]), "".join(piece() for _ in range(rng.randrange(4)))))
     rows += [(None, 0, "user", None), (100, 1, None, "x"), (100, 2, "assistant", None), rows[0], (0, 0, "user", "b"), (0, 0, "user", "a")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.digest(chat.format_conversations(turns, budget=60, history=15))
@@ -55,3 +55,15 @@ def test_digest_equals_brute_force(spark):
     assert got == brute(rows)
     assert out.where("formatted_chars <= 0").count() == 0
     assert chat.digest(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+def test_budget_counts_the_tokenizers_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    turns = [(1, k, "user" if k % 2 else "assistant", f"extraordinarily {'antidisestablishmentarianism ' * (k % 5)}") for k in range(40)]
+    rows = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 60, 20, path).collect()
+    library = Tokenizer.from_file(path)
+    cost = lambda text: sum(len(library.encode(t, add_special_tokens=False).ids) + 4 for _, t in chat.parse_window(text))
+    assert len(rows) > 5 and all(cost(r.text) <= 60 or len(chat.parse_window(r.text)) - r.n_repeated == 1 for r in rows)
