@@ -5,14 +5,26 @@ automaton accepts every word sequence inside an item; streaming a document throu
 gives at each word the longest suffix that some item contains, so every occurrence of a
 window (13 consecutive item words, or a whole shorter item) shows as a match length.
 
-Defined cases: null texts and items have no words, and an item without words has no
-window; repeated items and documents each count by their own row; n_items counts
-distinct item ids; empty tables give empty or untouched results.
+The benchmark is cut into blocks of BLOCK_WORDS words, an automaton each; a task holds KEEP
+of them at most, and PASS_BLOCKS are sent to the tasks for one pass over the documents. A
+larger benchmark takes more passes, whose hits are merged, so what is broadcast is bounded.
+
+``filtered`` removes what exceeds a limit: documents whose hits cover one word in COVERAGE
+go, and from the others each span of hit words is cut out.
+
+Defined cases: null texts and items have no words, and an item without words has no window;
+repeated items and documents each count by their own row; n_items counts distinct item ids,
+and an item with a null id hits words without being counted or listed; very long texts are
+scanned whole, in linear time; other columns are not looked at; empty tables give empty or
+untouched results.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import re
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import column, keyed_texts, map_rows, sha, texts
+from lectern.runtime import written
 
 WINDOW = 13
-#: Words of items in one automaton. More items make more automata, loaded one at a time.
-BLOCK_WORDS = 200_000
+#: Words of items in one automaton, automata that a task holds at once, and that go out for one pass.
+BLOCK_WORDS, KEEP, PASS_BLOCKS = 200_000, 4, 32
 #: A document is contaminated if hits cover at least one word in so many.
 COVERAGE = 20
 
 _TABLE = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
@@ -42,61 +58,62 @@ class SuffixAutomaton:
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[set] = [set()]
-        self.names = sorted({name for name, words in items if words})
+        self.names = sorted({name for name, words in items if words and name is not None})
         number = {name: k for k, name in enumerate(self.names)}
+        own: dict[int, set] = {}  # numbers of the items that have a prefix ending in a state
         tails = []
         for name, words in items:
-            last = 0
+            last, k = 0, number.get(name, -1)
             for w in words:
-                last = self._extend(last, self.vocab.setdefault(w, len(self.vocab)), ends)
-                ends[last].add(number[name])
+                last = self._extend(last, self.vocab.setdefault(w, len(self.vocab)))
+                own.setdefault(last, set()).add(k)
             if 0 < len(words) < window:
-                tails.append((len(words), number[name], [self.vocab[w] for w in words]))
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True)
+                tails.append((len(words), k, [self.vocab[w] for w in words]))
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        #: Per state: its ancestor or itself whose strings' shortest has window words at most, and their longest at least.
+        self.top = [0] * len(self.next)
+        self.ends: dict[int, set] = {}
         for v in order:
-            if self.link[v] > 0:
-                ends[self.link[v]] |= ends[v]
-        self.ends = ends
-        #: Per state: (length, item) of short items that end its strings.
-        short: list[list] = [[] for _ in self.next]
+            if self.length[v] >= window:
+                above = self.link[v]
+                self.top[v] = v if self.length[above] < window else self.top[above]
+                self.ends.setdefault(self.top[v], set()).update(own.get(v, ()))
+        #: Short items by the state of their words; per state the nearest ancestor, or itself, that has any.
+        self.short: dict[int, list] = {}
         for n, item, ids in tails:
             v = 0
             for c in ids:
                 v = self.next[v][c]
-            short[v].append((n, item))
-        for v in reversed(order):
-            if self.link[v] > 0:
-                short[v] = short[v] + short[self.link[v]]
-        self.short = short
+            self.short.setdefault(v, []).append((n, item))
+        self.near = [0] * len(self.next)
+        for v in order:
+            self.near[v] = v if v in self.short else self.near[self.link[v]]
         self.least = min([window] + [n for n, _, _ in tails])
 
-    def _extend(self, last: int, c: int, ends: list[set]) -> int:
+    def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if c in nxt[last]:
             q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else self._clone(last, q, c, ends)
+            return q if length[q] == length[last] + 1 else self._clone(last, q, c)
         me = len(nxt)
         nxt.append({})
         link.append(0)
         length.append(length[last] + 1)
-        ends.append(set())
         p = last
         while p != -1 and c not in nxt[p]:
             nxt[p][c] = me
             p = link[p]
         if p != -1:
             q = nxt[p][c]
-            link[me] = q if length[q] == length[p] + 1 else self._clone(p, q, c, ends)
+            link[me] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
         return me
 
-    def _clone(self, p: int, q: int, c: int, ends: list[set]) -> int:
+    def _clone(self, p: int, q: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         me = len(nxt)
         nxt.append(dict(nxt[q]))
         link.append(link[q])
         length.append(length[p] + 1)
-        ends.append(set())
         link[q] = me
         while p != -1 and nxt[p].get(c) == q:
             nxt[p][c] = me
@@ -113,7 +130,8 @@ class SuffixAutomaton:
         gaps = np.flatnonzero(np.diff(out) > self.least)
         if not len(gaps):
             return
-        nxt, link, length, short, window = self.next, self.link, self.length, self.short, self.window
+        nxt, link, length, near, window = self.next, self.link, self.length, self.near, self.window
+        seen: set[int] = set()
         for lo, hi in zip(out[gaps].tolist(), (out[gaps + 1] - 1).tolist()):
             v = size = 0
             for at, c in enumerate(ids[lo:hi].tolist(), lo):
@@ -129,21 +147,23 @@ class SuffixAutomaton:
                 if size >= window:
                     hit[at + 1 - window] += 1
                     hit[at + 1] -= 1
-                    u = v
-                    while length[link[u]] >= window:
-                        u = link[u]
-                    items.update(self.names[k] for k in self.ends[u])
-                for m, item in short[v]:
-                    if m <= size:
-                        hit[at + 1 - m] += 1
-                        hit[at + 1] -= 1
-                        items.add(self.names[item])
-
-
-def _blocks(benchmark: DataFrame, block_words: int):
+                    seen.add(self.top[v])
+                u = near[v]
+                while u:
+                    for m, item in self.short[u]:
+                        if m <= size:
+                            hit[at + 1 - m] += 1
+                            hit[at + 1] -= 1
+                            if item >= 0:
+                                items.add(self.names[item])
+                    u = near[link[u]]
+        items.update(self.names[k] for u in seen for k in self.ends[u] if k >= 0)
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
     """Items as lists of (id, words), a bounded number of words in each."""
     block, total = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     for item, text in rows.toLocalIterator():
         words = words_of(text)
         if words:
@@ -156,39 +176,133 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield block
 
 
-def _automata(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> Iterator[list]:
+    """Automata, sent to the tasks, of one pass over the documents after the other; one empty pass without items."""
     sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(SuffixAutomaton(block, window)) for block in _blocks(benchmark, block_words)]
-
-
-def _hits(words: list[list[bytes]], automata: list) -> tuple[list[np.ndarray], list[set]]:
-    """Per text: whether each word is hit, and the items."""
-    hits = [np.zeros(len(w) + 1, np.int64) for w in words]
-    items: list[set] = [set() for _ in words]
-    for automaton in automata:
-        scan = automaton.value.scan
-        for w, h, i in zip(words, hits, items):
-            scan(w, h, i)
-    return [np.cumsum(h[:-1]) > 0 for h in hits], items
+    sent: list = []
+    some = False
+    for block in _blocks(benchmark, block_words):
+        if len(sent) == PASS_BLOCKS:
+            yield sent
+            sent = []
+        sent.append(sc.broadcast(SuffixAutomaton(block, window)))  # BLOCK_WORDS words
+        some = True
+    if sent or not some:
+        yield sent
+
+
+class _Held:
+    """The automata of a pass, KEEP of them in memory at most."""
+
+    def __init__(self, automata: list):
+        self.automata = automata
+        self.open = lru_cache(KEEP)(lambda k: automata[k].load_from_path(automata[k]._path) if len(automata) > KEEP else automata[k].value)
+
+    def hits(self, words: list[list[bytes]]) -> tuple[list[np.ndarray], list[set]]:
+        """Per text: whether each word is hit, and the items."""
+        hits = [np.zeros(len(w) + 1, np.int64) for w in words]
+        items: list[set] = [set() for _ in words]
+        for k in range(len(self.automata)):
+            scan = self.open(k).scan
+            for w, h, i in zip(words, hits, items):
+                scan(w, h, i)
+        return [np.cumsum(h[:-1]) > 0 for h in hits], items
+
+
+def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
+    """[start, end) of the runs of hit words."""
+    if not hit.any():
+        return []
+    on = np.diff(np.concatenate(([0], hit, [0])).astype(np.int8))
+    return list(zip(np.flatnonzero(on == 1).tolist(), np.flatnonzero(on == -1).tolist()))
 
 
 def is_contaminated(n_hit: int, n_words: int, coverage: int = COVERAGE) -> bool:
     return n_hit > 0 and coverage * n_hit >= n_words
 
 
+_SPANS = "array<struct<start: long, end: long>>"
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, list]:
+    """(docs, automata) of a benchmark of one pass; else docs with earlier (spans and items of all passes), and no automata."""
+    passes = _passes(docs, benchmark, window, block_words)
+    automata = next(passes)
+    second = next(passes, None)
+    if second is None:
+        return docs, automata
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    parts = []
+    for sent in chain([automata, second], passes):
+
+        def per_task(sent=sent):
+            held = _Held(sent)
+
+            def one(batch: pa.RecordBatch) -> dict:
+                hits, items = held.hits([words_of(t) for t in texts(batch)])
+                some = [k for k, h in enumerate(hits) if h.any()]
+                spans = [[{"start": a, "end": b} for a, b in _ranges(hits[k])] for k in some]
+                return {"doc_id": column(batch, "doc_id").take(some), "th": column(batch, "th").take(some), "spans": spans, "items": [sorted(items[k]) for k in some]}
+
+            return one
+
+        parts.append(written(map_rows(keyed, per_task, f"doc_id long, th long, spans {_SPANS}, items array<string>")))
+        for b in sent:
+            b.unpersist()
+    found = reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "th", "spans", "items"])
+    found = found.groupBy("doc_id", "th").agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).alias("earlier"))
+    d, f = docs.withColumn("_th", F.xxhash64(text)).alias("d"), found.alias("f")
+    joined = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._th") == F.col("f.th")), "left")
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], "f.earlier"), []
+
+
+def _hits_of(batch: pa.RecordBatch, held: _Held) -> tuple[list[np.ndarray], list[set]]:
+    """Hit words and items of a batch's texts, from earlier passes or found now."""
+    words = [words_of(t) for t in texts(batch)]
+    hits, items = held.hits(words)
+    if "earlier" in batch.schema.names:
+        for h, i, e in zip(hits, items, column(batch, "earlier").to_pylist()):
+            for span in (e or {}).get("spans", ()):
+                h[span["start"] : span["end"]] = True
+            i.update((e or {}).get("items", ()))
+    return hits, items
+
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of some spans and what stands between those words."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    out, done = [], 0
+    for a, b in spans:
+        out.append(text[done : places[a][0]])
+        done = places[b - 1][1]
+    return "".join([*out, text[done:]])
+
+
 def filtered(docs: DataFrame, benchmark: DataFrame, ddl: str, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` (columns ``ddl``) that are not contaminated."""
-    automata = _automata(docs, benchmark, window, block_words)
+    """The rows of ``docs`` (columns ``ddl``) that are not contaminated, hit spans cut out of their texts; n_chars follows where there is one."""
+    rows, automata = _with_hits(docs, benchmark, window, block_words)
+    names = docs.columns
 
     def per_task():
+        held = _Held(automata)
+
         def one(batch: pa.RecordBatch) -> dict:
-            hits, _ = _hits([words_of(t) for t in texts(batch)], automata)
-            kept = batch.filter(pa.array([not is_contaminated(int(h.sum()), len(h), coverage) for h in hits], pa.bool_()))
-            return dict(zip(kept.schema.names, kept.columns))
+            hits, _ = _hits_of(batch, held)
+            keep = [not is_contaminated(int(h.sum()), len(h), coverage) for h in hits]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            out = {c: column(kept, c) for c in names}
+            spans = [_ranges(h) for h, k in zip(hits, keep) if k]
+            if any(spans):
+                whole = column(kept, "text").to_pylist()
+                out["text"] = [without_spans(t, s) if s else t for t, s in zip(whole, spans)]
+                if "n_chars" in names:
+                    out["n_chars"] = [len(t) if s else n for t, s, n in zip(out["text"], spans, column(kept, "n_chars").to_pylist())]
+            return out
 
         return one
 
-    return map_rows(docs, per_task, ddl)
+    return map_rows(rows, per_task, ddl)
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -196,29 +310,22 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     spans are the [start, end) word ranges that windows cover.
     """
-    automata = _automata(docs, benchmark, window, block_words)
+    rows, automata = _with_hits(keyed_texts(docs), benchmark, window, block_words)
 
     def per_task():
+        held = _Held(automata)
+
         def one(batch: pa.RecordBatch) -> dict:
-            words = [words_of(t) for t in texts(batch)]
-            hits, items = _hits(words, automata)
-            n, n_hit, spans = [len(w) for w in words], [], []
-            for h in hits:
-                if h.any():
-                    on = np.concatenate(([0], h, [0])).astype(np.int8)
-                    starts, stops = np.flatnonzero(np.diff(on) == 1), np.flatnonzero(np.diff(on) == -1)
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(starts, stops)])
-                    n_hit.append(int((stops - starts).sum()))
-                else:
-                    spans.append([])
-                    n_hit.append(0)
+            hits, items = _hits_of(batch, held)
+            spans = [_ranges(h) for h in hits]
+            n, n_hit = [len(h) for h in hits], [sum(b - a for a, b in s) for s in spans]
             return {
                 "doc_id": column(batch, "doc_id"), "n_words": n, "n_hit": n_hit, "n_items": [len(i) for i in items],
                 "items_sha256": [sha(",".join(sorted(i))) for i in items],
-                "contaminated": [is_contaminated(h, k, coverage) for h, k in zip(n_hit, n)], "spans": spans,
+                "contaminated": [is_contaminated(h, k, coverage) for h, k in zip(n_hit, n)],
+                "spans": [[{"start": a, "end": b} for a, b in s] for s in spans],
             }
 
         return one
 
-    ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
-    return map_rows(keyed_texts(docs), per_task, ddl)
+    return map_rows(rows, per_task, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {_SPANS}")
