@@ -1,19 +1,24 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-n-grams (orders 2 to 4) of the lower-cased text's UTF-8 bytes, digits and ASCII marks as
-blanks, are hashed to DIMENSIONS slots. Document frequencies cover every training document.
-The weights come from follow-the-regularised-leader with elastic-net penalties over a
-bounded sample (PER_LANG documents of each language, by a hash of doc_id), and a
-temperature, fitted on a part of the sample kept aside, calibrates the probabilities.
+n-grams (orders 1 to 3) of the lower-cased text's characters, with whatever is no letter or
+combining mark as a blank, are hashed to DIMENSIONS slots. Document frequencies cover every
+training document. The weights come from follow-the-regularised-leader with elastic-net
+penalties over a bounded sample (PER_LANG documents of each language, by a hash of doc_id
+and text), and a temperature, fitted on a part of the sample kept aside, calibrates the
+probabilities. The sample's vectors are made by the tasks; the driver gets no text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; documents
-without lang are predicted but never learnt from; repeated rows each keep their own row;
-without training documents everything is ``und``; an empty table gives an empty result.
+without lang are predicted but never learnt from; repeated rows are learnt from once and
+each keep their own row; ties between languages go to the alphabetically first; very long
+texts are read whole, and their vector has DIMENSIONS entries at most; other columns are not
+looked at, whatever their names; without training documents everything is ``und``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,23 +27,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import column, keyed_texts, map_rows, texts
-from lectern.runtime import cut
 
-ORDERS = (2, 3, 4)
+ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 15
 #: Sampled training documents of each language, at most.
 PER_LANG = 1500
+#: Documents of a language that may enter the choice of the sample, as a multiple of PER_LANG.
+OVER = 1.3
 #: FTRL: learning rate, smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 3
 
 _LETTER = re.compile(r"[^\W\d_]")
-_BLANK = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
-_RUNS = re.compile(rb"  +")
+#: For the first plane of Unicode, whether a character is a letter or a combining mark.
+_KEPT = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)])
 
 
 def slots(text: str) -> np.ndarray:
     """Hashed n-gram slots of a text, one for each position and order."""
-    raw = np.frombuffer(_RUNS.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_BLANK) + b" "), np.uint8).astype(np.uint32)
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.where((raw >= 1 << 16) | _KEPT[np.minimum(raw, (1 << 16) - 1)], raw, np.uint32(32))
+    blank = raw == 32
+    raw = raw[~np.concatenate(([False], blank[1:] & blank[:-1]))]
     out = []
     for n in ORDERS:
         if len(raw) >= n:
@@ -144,20 +153,40 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, total
 
 
+def sampled_vectors(rows: DataFrame, idf: np.ndarray, per_lang: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, slots, weights) of at most per_lang distinct documents of each language, those with the least hash.
+
+    A share of each language by its number of rows comes first, so no language is sorted whole.
+    """
+    sizes = rows.groupBy("lang").count().collect()  # one row a language
+    share = rows.sparkSession.createDataFrame([(r.lang, min(1.0, OVER * per_lang / r["count"])) for r in sizes] or [("", 0.0)], "lang string, share double")
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")  # one row a language
+    near = hashed.where((F.col("h") / float(1 << 64) + 0.5) < F.col("share")).groupBy("lang", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    chosen = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= per_lang).select("lang", "h", "text")  # OVER * per_lang rows a language
+    shared = rows.sparkSession.sparkContext.broadcast(idf)  # DIMENSIONS numbers
+
+    def per_task():
+        def one(batch: pa.RecordBatch) -> dict:
+            found = [vector(t, shared.value) for t in texts(batch)]
+            return {"lang": column(batch, "lang"), "h": column(batch, "h"), "at": [a.astype(np.uint16).tobytes() for a, _ in found], "v": [v.astype(np.float32).tobytes() for _, v in found]}
+
+        return one
+
+    out = map_rows(chosen, per_task, "lang string, h long, at binary, v binary").collect()  # languages times per_lang vectors
+    out.sort(key=lambda r: (r.h, r.lang))
+    return [(r.lang, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.v, np.float32).astype(np.float64)) for r in out]
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Model from rows (doc_id, text, lang); rows with a null lang or text are left out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     df, total = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + df)) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("doc_id", "lang").distinct()
-    chosen = cut(chosen)  # languages times per_lang ids
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()
-    sample.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.text))
-    langs = sorted({r.lang for r in sample})
+    sample = sampled_vectors(rows, idf, per_lang)
+    langs = sorted({lang for lang, _, _ in sample})
     if not langs:
         return Model([], idf, np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
-    vectors, labels = [vector(r.text, idf) for r in sample], [langs.index(r.lang) for r in sample]
+    vectors, labels = [(at, v) for _, at, v in sample], [langs.index(lang) for lang, _, _ in sample]
     held = np.random.default_rng(5).random(len(sample)) < 0.1
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(sample))
     weights, bias = ftrl([vectors[k] for k in fit], [labels[k] for k in fit], len(langs))

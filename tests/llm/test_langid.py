@@ -1,3 +1,5 @@
+import math
+import os
 import random
 
 import numpy as np
@@ -60,3 +62,52 @@ def test_sparse_and_calibrated():
     z = rng.normal(size=(500, 3)) * 8
     y = np.array([rng.choice(3, p=langid.softmax(r / 4)) for r in z])
     assert 3 < langid.temperature(z, y) < 5.5
+
+
+def plain_slots(text):
+    """n-gram slots character by character."""
+    import unicodedata
+
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" or ord(c) >= 1 << 16 else " " for c in f" {text.lower()} ")
+    kept = "".join(c for k, c in enumerate(kept) if c != " " or k == 0 or kept[k - 1] != " ")
+    out = []
+    for n in langid.ORDERS:
+        for k in range(len(kept) - n + 1):
+            h = n
+            for c in kept[k : k + n]:
+                h = (h ^ ord(c)) * 0x01000193 % (1 << 32)
+            out.append((h ^ (h >> 15)) % langid.DIMENSIONS)
+    return out
+
+
+def test_prediction_equals_plain_arithmetic(spark, model):
+    rng = random.Random(4)
+    rows = [(k, text(rng.choice(list(SYLLABLES)), rng, rng.randrange(1, 12)) + rng.choice(["", " 12!", "É 🙂日本", "\n\t"])) for k in range(60)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, t in rows:
+        slots = plain_slots(t)
+        assert sorted(slots) == sorted(langid.slots(t).tolist())
+        weight = {s: (1 + math.log(slots.count(s))) * model.idf[s] for s in set(slots)}
+        norm = math.sqrt(sum(v * v for v in weight.values()))
+        z = [(sum(v / norm * float(model.weights[s][j]) for s, v in weight.items()) + model.bias[j]) / model.temperature for j in range(len(model.langs))]
+        best = z.index(max(z))
+        assert got[k].lang_pred == model.langs[best]
+        assert got[k].score == pytest.approx(1 / sum(math.exp(x - z[best]) for x in z), rel=1e-4)
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark):
+    rows = [(k, f"t{k} ka", "aa") for k in range(300)] + [(7, "same text", "aa")] * 500 + [(9, "x y", "bb")] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sampled_vectors(frame, np.ones(langid.DIMENSIONS), 40)
+    counts = {lang: sum(x == lang for x, _, _ in sample) for lang in ("aa", "bb")}
+    assert counts["bb"] == 1 and 5 <= counts["aa"] <= 40
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_accuracy_on_documents(spark):
+    from lectern.llm import queries
+    from lectern.runtime import load
+
+    found = queries.op4_language(spark, "/root/testdata/sf0.1").where("held_out")
+    right = found.join(load(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "lang"), "doc_id").selectExpr("avg(int(lang_pred = lang)) AS a", "count(*) AS n").first()
+    assert right.a > 0.998 and right.n > 2000, right
