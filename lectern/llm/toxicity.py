@@ -2,21 +2,26 @@
 
 Training counts in how many toxic and other labelled documents each word stands, and takes
 log-odds under a Dirichlet prior that follows the word's frequency over all documents.
-Words whose log-odds are significant make the lexicon; every other word scores a small
-negative drift. A linear-time scan finds all maximal scoring segments of a text; a segment
-of score S in n words is significant if K n exp(-lambda S) is small (Karlin-Altschul,
-lambda from the word frequencies of clean text). The sum over significant segments of
-lambda S - ln(K n) is mapped to a probability by a logistic fit on training rows.
+Words whose log-odds are significant, for or against, make the lexicon and score them; all
+other words are one class, which scores its own, negative log-odds (the drift). A
+linear-time scan finds all maximal scoring segments of a text; a segment of score S in n
+words is significant if K n exp(-lambda S) is small (Karlin-Altschul): lambda solves the
+score equation over the token frequencies of clean text, and K is fitted to the number of
+segments in clean documents that were kept aside. The sum over significant segments of
+lambda S - ln(K n) is mapped to a probability by a logistic fit on the documents kept aside,
+and with both fitted the lexicon is made once more of all labelled documents.
 
 Defined cases: null texts are empty, have no segment and get the score of a text without
 any; label rows without a document, and null labels, are ignored; a doc_id labelled both
-ways counts as toxic; repeated rows each keep their own row; without training rows every
-score is the prior 0; empty tables give empty results.
+ways counts as toxic; repeated rows are learnt from once and each keep their own row; very
+long texts are scored whole, in linear time; other columns are not looked at, whatever their
+names; without training rows every score is the prior 0; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +38,11 @@ PER_CLASS = 20_000
 LEAST, Z, ODDS = 3, 2.5, 1.5
 #: Mass of the Dirichlet prior, as a multiple of the toxic documents counted.
 PRIOR = 1.0
-DRIFT, CLIP = 0.1, 6.0
-E_VALUE = 0.05
+CLIP, E_VALUE = 6.0, 0.05
+#: Expected toxic documents of a word that may count against toxicity; mean score of a clean word, at most; documents kept aside, one in so many.
+EXPECTED, SLOPE, ASIDE = 8, -0.02, 3
+#: Rows of a class that have to be aside for the calibration; with fewer all rows serve for it.
+ENOUGH = 10
 
 _WORD = re.compile(r"\w+")
 
@@ -43,12 +51,12 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word + 1, score), in linear time.
 
-    hits: (word index, positive score); the words between score -drift each. Segments are
-    kept as a stack of (start, end, sum before, sum after); a new one is merged with the
-    nearest earlier one that begins lower while that raises the sum.
+    hits: (word index, score) of lexicon words; the words between score -drift each.
+    Segments are kept as a stack of (start, end, sum before, sum after); a new one is merged
+    with the nearest earlier one that begins lower while that raises the sum.
     """
     stack: list[tuple[int, int, float, float]] = []
     lower: list[int] = []  # for each, the nearest earlier segment whose left sum is less
@@ -58,6 +66,8 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
         start, left = at, total
         total += score
         last, right = at, total
+        if score <= 0:
+            continue
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
@@ -74,19 +84,23 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
 @dataclass
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
+    drift: float = 0.1
     rate: float = 1.0  # lambda
     scale: float = 1.0  # K
     slope: float = 0.0
     offset: float = -20.0
 
+    def segments_of(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """Every maximal scoring segment of a text."""
+        get = self.lexicon.get
+        return segments([(k, s) for k, s in enumerate(map(get, words)) if s is not None], self.drift)
+
     def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
         """(first word, last word + 1, score, excess) of every significant segment."""
-        get = self.lexicon.get
-        hits = [(k, s) for k, s in enumerate(map(get, words)) if s is not None]
-        if not hits:
+        if not words:
             return []
         base = np.log(self.scale * len(words))
-        found = [(a, b, s, self.rate * s - base) for a, b, s in segments(hits)]
+        found = [(a, b, s, self.rate * s - base) for a, b, s in self.segments_of(words)]
         return [x for x in found if x[3] >= -np.log(E_VALUE)]
 
     def score(self, excess: float) -> float:
@@ -106,10 +120,9 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, n_toxic:
     return odds, odds / np.sqrt(1 / t + 1 / c)
 
 
-def _decay(scores: np.ndarray, rates: np.ndarray) -> float:
-    """lambda > 0 with sum of p exp(lambda s) = 1 over lexicon words and drift."""
-    rest = max(0.0, 1 - rates.sum())
-    f = lambda x: rest * np.exp(-DRIFT * x) + (rates * np.exp(scores * x)).sum() - 1
+def decay(scores: np.ndarray, rates: np.ndarray) -> float:
+    """lambda > 0 with sum of rate exp(lambda score) = 1; the mean score is negative and some score positive."""
+    f = lambda x: (rates * np.exp(scores * x)).sum() - 1
     low, high = 1e-6, 1e-6
     while f(high) < 0 and high < 50:
         low, high = high, high * 2
@@ -119,6 +132,16 @@ def _decay(scores: np.ndarray, rates: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def fitted_scale(sizes: np.ndarray, scores: list[np.ndarray], rate: float) -> float:
+    """K from segments of clean texts: their number above a score is K n exp(-rate score), summed over the texts' n words.
+
+    The score is that of the median segment; half a segment is added to the count.
+    """
+    every = np.concatenate(scores) if scores else np.zeros(0)
+    level = float(np.median(every)) if len(every) else 1.0 / rate
+    return float(((every >= level).sum() + 0.5) / max(sizes.sum(), 1.0) * np.exp(rate * level))
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps with a small ridge."""
     w = np.zeros(2)
@@ -139,49 +162,84 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda c: known.where(c).orderBy(F.xxhash64("doc_id")).limit(per_class)
-    chosen = cut(pick(F.col("toxic")).unionByName(pick(~F.col("toxic"))))
-    rows = cut(keyed_texts(docs).join(F.broadcast(chosen), "doc_id"))  # 2 * per_class ids
-    presence = map_rows(rows, _presence, "word string, toxic boolean, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("clean")
-    )
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_toxic:
+    chosen = cut(pick(F.col("toxic")).unionByName(pick(~F.col("toxic"))).withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(ASIDE)), F.lit(ASIDE)) == 0))
+    rows = keyed_texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("th", F.xxhash64("text"))  # 2 * per_class ids
+    rows = cut(rows.groupBy("doc_id", "th", "toxic", "aside").agg(F.first("text").alias("text")))
+    sizes = {(r.toxic, r.aside): r["count"] for r in rows.groupBy("toxic", "aside").count().collect()}
+    every = {t: sum(n for (x, _), n in sizes.items() if x is t) for t in (True, False)}
+    if not every[True]:
         return Model()
-    ratio = np.exp(ODDS) * n_toxic / max(n_clean, 1)
-    maybe = presence.where((F.col("toxic") >= LEAST) & (F.col("toxic") >= ratio * F.col("clean"))).collect()  # words of toxic sample rows
+    whole = min(sizes.get((t, True), 0) for t in (True, False)) < ENOUGH or not sizes.get((True, False))  # too few to keep any aside
+    counted = map_rows(rows.select("text", "toxic", "aside"), _counted, "word string, toxic boolean, aside boolean, docs long, tokens long")
+    one = lambda c, toxic, which: F.sum(F.when((F.col("toxic") == toxic) & which, F.col(c)).otherwise(0))
+    parts = {"learnt": F.lit(True) if whole else ~F.col("aside"), "all": F.lit(True)}
+    columns = [one(c, t, which).alias(f"{name}_{c}_{t}") for name, which in parts.items() for c in ("docs", "tokens") for t in (True, False)]
+    counted = cut(counted.groupBy("word").agg(*columns))
+    totals = counted.agg(*[F.sum(c).alias(c) for c in counted.columns if c != "word"]).first()
+    docs_of = {"learnt": every if whole else {t: sizes.get((t, False), 0) for t in (True, False)}, "all": every}
+
+    def telling(name: str) -> F.Column:
+        toxic, clean = F.col(f"{name}_docs_True"), F.col(f"{name}_docs_False")
+        share = docs_of[name][True] / max(docs_of[name][False], 1)
+        speaks_for = (toxic >= LEAST) & (toxic >= float(np.exp(ODDS)) * share * clean)
+        return speaks_for | ((clean * share >= EXPECTED) & (2 * toxic <= clean * share))
+
+    maybe = counted.where(telling("learnt") | telling("all")).collect()  # words of a bounded sample
     maybe.sort(key=lambda r: r.word)
-    names = [r.word for r in maybe]
-    corpus, n_corpus = corpus_counts(docs, names)
-    toxic, clean = (np.array([r[k] for r in maybe], float) for k in ("toxic", "clean"))
-    odds, z = log_odds(toxic, clean, corpus, n_toxic, n_clean, n_corpus)
-    good = (z >= Z) & (odds >= ODDS)
-    scores = np.minimum(odds[good], CLIP)
-    model = Model(dict(zip((n for n, g in zip(names, good) if g), scores.tolist())))
-    # Frequencies of lexicon words in clean text, half a document added to each.
-    words = rows.where(~F.col("toxic")).select(F.sum(F.length("text")).alias("n")).first().n or 0
-    model.rate = _decay(scores, (clean[good] + 0.5) / max(words / 6, 1.0)) if good.any() else 1.0
-    model.scale = 0.1
-    shared = spark.sparkContext.broadcast(model)
+    corpus, n_corpus = corpus_counts(docs, [r.word for r in maybe])
+
+    def lexicon(name: str) -> Model:
+        of = lambda c, t: np.array([r[f"{name}_{c}_{t}"] for r in maybe], float)
+        odds, z = log_odds(of("docs", True), of("docs", False), corpus, docs_of[name][True], docs_of[name][False], n_corpus)
+        good = (np.abs(z) >= Z) & (((odds >= ODDS) & (of("docs", True) >= LEAST)) | (odds < 0))
+        scores = np.clip(odds[good], -CLIP, CLIP)
+        if not (scores > 0).any():
+            return Model()
+        model = Model(dict(zip((r.word for r, g in zip(maybe, good) if g), scores.tolist())))
+        # Token frequencies of clean text, half a token added to each word; all other words are one class.
+        n_clean, n_toxic = totals[f"{name}_tokens_False"], totals[f"{name}_tokens_True"]
+        rates = (of("tokens", False)[good] + 0.5) / (n_clean + 0.5 * good.sum() + 1.0)
+        rest = max(1e-9, 1 - rates.sum())
+        rest_toxic = max(1e-9, 1 - of("tokens", True)[good].sum() / max(n_toxic, 1))
+        # The drift is at least so large that a clean word scores below zero in the mean.
+        model.drift = float(max(-np.log(rest_toxic / rest), (rates @ scores - SLOPE) / rest))
+        model.rate = decay(np.append(scores, -model.drift), np.append(rates, rest))
+        return model
+
+    first = lexicon("learnt")
+    if not first.lexicon:
+        return Model()
+    shared = spark.sparkContext.broadcast(first)
 
     def measured():
         def one(batch: pa.RecordBatch) -> dict:
-            return {"toxic": column(batch, "toxic"), "excess": [excess_of(shared.value.passages(words_of(t))) for t in texts(batch)]}
+            words = [words_of(t) for t in texts(batch)]
+            return {"toxic": column(batch, "toxic"), "n": [len(w) for w in words], "scores": [[s for *_, s in shared.value.segments_of(w)] for w in words]}
 
         return one
 
-    fit = map_rows(rows.select("text", "toxic"), measured, "toxic boolean, excess double").collect()  # 2 * per_class rows
-    model.slope, model.offset = logistic(np.array([r.excess for r in fit]), np.array([float(r.toxic) for r in fit]))
+    fit = map_rows((rows if whole else rows.where("aside")).select("text", "toxic"), measured, "toxic boolean, n long, scores array<double>").collect()  # at most 2 * per_class rows
+    clean = [r for r in fit if not r.toxic]
+    scale = fitted_scale(np.array([r.n for r in clean], float), [np.array(r.scores) for r in clean], first.rate)
+    excess = [[(0, 0, s, x) for s in r.scores if (x := first.rate * s - np.log(scale * r.n)) >= -np.log(E_VALUE)] for r in fit]
+    slope, offset = logistic(np.array([excess_of(x) for x in excess]), np.array([float(r.toxic) for r in fit]))
+    model = lexicon("all")  # what was measured aside holds for the lexicon of all rows
+    model.scale, model.slope, model.offset = scale, slope, offset
     return model
 
 
-def _presence():
+def _counted():
+    """Documents and tokens of each word in a batch, by class and whether kept aside."""
+
     def one(batch: pa.RecordBatch) -> dict:
-        seen: dict = {}
-        for text, toxic in zip(texts(batch), column(batch, "toxic").to_pylist()):
-            for w in set(words_of(text)):
-                seen[w, toxic] = seen.get((w, toxic), 0) + 1
-        return {"word": [w for w, _ in seen], "toxic": [t for _, t in seen], "n": list(seen.values())}
+        docs, tokens = Counter(), Counter()
+        for text, toxic, aside in zip(texts(batch), column(batch, "toxic").to_pylist(), column(batch, "aside").to_pylist()):
+            own = Counter(words_of(text))
+            docs.update((w, toxic, aside) for w in own)
+            for w, n in own.items():
+                tokens[w, toxic, aside] += n
+        word, toxic, aside = zip(*docs) if docs else ((), (), ())
+        return {"word": word, "toxic": toxic, "aside": aside, "docs": list(docs.values()), "tokens": [tokens[k] for k in docs]}
 
     return one
 
