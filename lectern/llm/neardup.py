@@ -6,16 +6,17 @@ each way to leave ERRORS of its symbols out. By pigeonhole, two signatures that
 at most CHUNKS * (ERRORS + 1) - 1 of those symbols share an entry, so every pair under that
 distance becomes a candidate. Documents with equal sets are one node throughout.
 
-Inside an entry's group, nodes within FAR differing symbols of each other are joined into
-clusters (at a Jaccard similarity of 0.8 a pair is missed about once in 20,000). Each
+Inside an entry's group, nodes under that distance, or within FAR differing symbols of all
+SYMBOLS, are joined into clusters; so no pair that the join guarantees is left out. Each
 cluster's full sets then meet, and links are confirmed by exact overlap counts; components
 of the links are the result. Groups and clusters above BLOCK nodes are cut into blocks,
 and every pair of blocks is a task of its own, so none is ever gathered whole.
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer words
 than a shingle make one shingle of the whole sequence; repeated rows are one node and all
-get its component; a null doc_id takes part, but only known ids name a component; an empty
-table gives an empty result.
+get its component; a null doc_id takes part, but only known ids name a component; very long
+texts enter with their whole sets; other columns are not looked at, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ from lectern.runtime import cut, ship
 
 SHINGLE = 4
 SYMBOLS, CHUNKS, WIDTH, ERRORS = 120, 10, 6, 1
-#: Differing symbols of SYMBOLS up to which two nodes may share a cluster.
+#: The signature distance under which every pair is a candidate, in differing symbols of the indexed ones.
+NEAR = CHUNKS * (ERRORS + 1) - 1
+#: Differing symbols of all SYMBOLS up to which a pair that shares an entry is a candidate, too.
 FAR = 44
 #: Nodes in a block.
-BLOCK = 4096
+BLOCK = 1024
 #: Places that the rows of one component are dealt to when they get its name.
 SALTS = 64
 #: Links have 100 * intersection >= LEAST * union.
@@ -202,8 +205,8 @@ class Union:
         return self.up
 
 
-def near_pairs(signatures: np.ndarray, far: int = FAR) -> Union:
-    """Joins all rows within ``far`` differing symbols, leaving out pairs that are joined already."""
+def near_pairs(signatures: np.ndarray) -> Union:
+    """Joins all rows within NEAR differing indexed symbols or FAR of all, leaving out pairs that are joined already."""
     n = len(signatures)
     union = Union(n)
     for i in range(n):
@@ -211,7 +214,9 @@ def near_pairs(signatures: np.ndarray, far: int = FAR) -> Union:
         rest = np.flatnonzero(roots[i:] != roots[i]) + i
         if not len(rest):
             continue
-        for root in np.unique(roots[rest[(signatures[rest] != signatures[i]).sum(1) <= far]]):
+        differ = signatures[rest] != signatures[i]
+        near = (differ[:, : CHUNKS * WIDTH].sum(1) <= NEAR) | (differ.sum(1) <= FAR)
+        for root in np.unique(roots[rest[near]]):
             union.join(i, int(root))
     return union
 

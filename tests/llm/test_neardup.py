@@ -90,3 +90,26 @@ def test_components(spark):
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r.node, r.root) for r in got} == {(x, find(x)) for a, b in edges if a != b for x in (a, b)}
     assert len(got) == len({r.node for r in got})
+
+
+def test_no_guaranteed_pair_is_left_out():
+    """Pairs at the distance threshold are joined however much the symbols beyond it differ."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, neardup.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(neardup.CHUNKS * neardup.WIDTH, neardup.NEAR, replace=False)] += 1
+        b[neardup.CHUNKS * neardup.WIDTH :] += 1
+        assert neardup.near_pairs(np.array([a, b])).roots().tolist() == [0, 0]
+
+
+def test_links_at_the_least_similarity_are_found():
+    """Of pairs of sets at a similarity of exactly 0.8, next to none share no entry or are too far apart."""
+    rng = np.random.default_rng(2)
+    missed = 0
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        pair = np.array([neardup.signature(np.unique(x[:81])), neardup.signature(np.unique(x[9:]))])  # 72 of 90 in both
+        shared = (neardup.entries(pair[:1]) == neardup.entries(pair[1:])).any()
+        missed += not (shared and neardup.near_pairs(pair).roots().tolist() == [0, 0])
+    assert missed <= 2
