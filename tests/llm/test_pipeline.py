@@ -15,7 +15,7 @@ def sf_dir(spark, tmp_path_factory):
     text = lambda n: " ".join(word() for _ in range(n))
     items = [(k, text(20)) for k in range(3)]
     rows = [(k, text(rng.randrange(30, 200))) for k in range(60)]
-    rows += [(100, rows[5][1]), (101, rows[6][1] + " more"), (102, "too short"), (103, text(20) + " " + items[0][1]), (104, text(40) + " a.b@c.org +1 (555) 010-2233"), (105, None), (106, "")]
+    rows += [(100, rows[5][1]), (101, rows[6][1] + " more"), (102, "too short"), (103, text(20) + " " + items[0][1]), (104, text(40) + " a.b@c.org +1 (555) 010-2233"), (105, None), (106, ""), (107, text(450) + " " + items[1][1] + " end")]
     rows += [(110 + k, " ".join(w + "###" for w in text(60).split())) for k in range(20)]
     docs = [(d, t, "en", "s", None if t is None else len(t)) for d, t in rows]
     labels = [(d, int(d < 110), 0) for d, _ in rows if d < 50 or d >= 110]
@@ -49,6 +49,8 @@ def test_stages_decide_as_brute_force(spark, sf_dir):
             assert not any(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k]) and {100, 101} <= before.keys() - left.keys()
         elif name == "decontamination":
             assert before.keys() - left.keys() == {103}
+            assert left[107].text == before[107].text.removesuffix(" end")[: -len(" ".join(before[107].text.split()[-21:-1]))] + " end"
+            assert left[107].n_chars == len(left[107].text) and all(left[d].text == before[d].text for d in left if d != 107)
         elif name == "pii":
             assert left.keys() == before.keys() and left[104].text.endswith(" [EMAIL] [PHONE]") and left[104].n_chars == len(left[104].text)
             assert all(left[d].text == before[d].text for d in left if d != 104)
@@ -70,6 +72,18 @@ def test_repeated_and_empty(spark, sf_dir):
     rows = [(1, "one two three four five six seven eight nine ten a.b@c.de", None, None, None)] * 2 + [(None, None, None, None, None)]
     docs = spark.createDataFrame(rows, corpus_pipeline.DDL)
     assert corpus_pipeline.near_dedup(spark, docs.where("doc_id = 1"), sf_dir).count() == 1
+    null_ids = docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where("doc_id = 1"))
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, null_ids, sf_dir).collect()) in (["1"], ["None"])
     assert corpus_pipeline.pii_redaction(spark, docs, sf_dir).where(F.col("text").contains("[EMAIL]")).count() == 2
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_very_long_text_goes_through_every_stage(spark, sf_dir):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(60_000)) + " a.b@c.org"
+    docs = spark.createDataFrame([(1, text, None, None, len(text))], corpus_pipeline.DDL).withColumn("th", F.lit("clash")).withColumn("added", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 1, name
+    assert docs.first().n_tokens > 60_000
