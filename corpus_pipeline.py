@@ -5,6 +5,10 @@ returns a DataFrame; all but the last return the columns of documents. A stage d
 (doc_id, hash of the text), so rows that share a doc_id are told apart by their text and
 rows alike in both share one decision. Repeated rows are one group to the near-dedup stage,
 which keeps one of them.
+
+Defined cases: null and empty texts fail the quality rules, and pass the other stages
+unchanged (no ids in the last); a null doc_id takes part; very long texts are worked on
+whole; columns other than those of documents are dropped; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,17 +19,23 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, neardup, pii, quality
 from lectern.llm.arrow import column, map_rows
-from lectern.runtime import cut, load, written
+from lectern.runtime import cut, discard, load, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of added spans up to which they are sent to every task; more are joined by a shuffle.
-SMALL = 50_000
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+KEY = ["known_id", "has_id", "th"]
+
+
+def _key() -> list:
+    """What tells documents apart, without nulls: known_id and has_id of the doc_id, and th."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("known_id"), F.col("doc_id").isNotNull().alias("has_id"), "th"]
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    """The columns of documents, and th, the hash of the text."""
-    return docs.select(*COLUMNS).withColumn("th", F.xxhash64("text"))
+    """The columns of documents and KEY; th is the hash of the text."""
+    return docs.select(*COLUMNS, F.xxhash64("text").alias("th")).select(*COLUMNS, *_key())
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,25 +47,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id", "th").distinct()
-    rows = _hashed(docs).alias("d")
-    key = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.th") == F.col("k.th"))
-    return rows.join(kept.alias("k"), key, "left_semi").dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
+    kept = neardup.near_duplicates(docs).where("kept").select(*_key()).distinct()
+    # Repeated rows are combined before they travel, and the join finds them dealt as it needs them.
+    return _hashed(docs).dropDuplicates(KEY).join(kept, KEY, "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go."""
+    """Documents that benchmark passages contaminate go; passages in others are cut out."""
     return decontaminate.filtered(docs.select(*COLUMNS), load(spark, sf_dir, "benchmark"), DDL)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows."""
-    rows = _hashed(docs)
-    added = cut(pii.added_by_text(pii.find(docs)))
-    if added.count() <= SMALL:
-        added = F.broadcast(added)
-    key = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.th") == F.col("a.th"))
-    joined = rows.alias("d").join(added.alias("a"), key, "left").select(*[f"d.{c}" for c in COLUMNS], "a.added")
+    # A table, so that Spark knows its size and sends it to the tasks if it is small.
+    added = written(pii.added_by_text(pii.find(docs)).select(*_key(), "added"))
+    joined = _hashed(docs).join(added, KEY, "left").select(*COLUMNS, "added")
 
     def per_task():
         def one(batch: pa.RecordBatch) -> dict:
@@ -95,5 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet to the shared folder and reread."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
