@@ -49,7 +49,7 @@ SPREAD = 1 << 16
 #: Characters on each side of a join that are encoded again first, and pieces that must agree.
 REACH, RUN = 48, 4
 #: Texts handled at once, and words kept in a worker's cache.
-CALL, CACHE = 64, 300_000
+CALL, CACHE = 64, 100_000
 
 #: Texts of these characters take the short way: but for case they are their own normal
 #: form, one character each, so the tokenizer's normalizer and splitter have few cases.
@@ -72,12 +72,13 @@ def _byte_characters() -> dict[int, str]:
 class _Words(dict):
     """Ids of a plain word, kept once found."""
 
-    def __init__(self, model):
+    def __init__(self, model, ids: list[int]):
         self.model = model
+        self.ids = ids  # one object for each number, whatever words hold it
         self.bytes = _byte_characters()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
+        ids = tuple([self.ids[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -98,7 +99,7 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         spec = json.loads(data)
         self.known, self.by_bytes = _is_known(spec), _is_by_bytes(spec)
-        self.words = _Words(self.library.model)
+        self.words = _Words(self.library.model, list(range(self.library.get_vocab_size())))
         self.named = list(map(str, range(self.library.get_vocab_size())))
 
     def is_plain(self, text: str) -> bool:
@@ -129,6 +130,8 @@ class Encoder:
     def pieces(self, text: str, base: int = 0) -> list[Piece]:
         """Pieces of a text that is cut at any place, with their places from ``base``."""
         words = self.words
+        if len(words) > CACHE:
+            words.clear()
         if not self.known:
             e = self.library.encode(text, add_special_tokens=False)
             return [(base + a, base + b, (i,)) for i, (a, b) in zip(e.ids, e.offsets)]
