@@ -48,8 +48,8 @@ LEAF = 16_384
 SPREAD = 1 << 16
 #: Characters on each side of a join that are encoded again first, and pieces that must agree.
 REACH, RUN = 48, 4
-#: Texts handled at once, and words kept in a worker's cache.
-CALL, CACHE = 64, 100_000
+#: Texts handled at once, and words in each of the two generations of a worker's cache.
+CALL, CACHE = 64, 50_000
 
 #: Texts of these characters take the short way: but for case they are their own normal
 #: form, one character each, so the tokenizer's normalizer and splitter have few cases.
@@ -70,15 +70,21 @@ def _byte_characters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of a plain word, kept once found."""
+    """Ids of a plain word, kept once found; a full generation becomes the old one, from which words in use come back."""
 
     def __init__(self, model, ids: list[int]):
         self.model = model
         self.ids = ids  # one object for each number, whatever words hold it
         self.bytes = _byte_characters()
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def rotate(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple([self.ids[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
+        ids = self.old.get(word) or tuple([self.ids[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -108,8 +114,7 @@ class Encoder:
     def short(self, text: str) -> list[int]:
         """Ids of a text, word by word or chunk by chunk."""
         if self.is_plain(text):
-            if len(self.words) > CACHE:
-                self.words.clear()
+            self.words.rotate()
             return list(chain.from_iterable(map(self.words.__getitem__, _WORDS.findall(text.lower()))))
         if not self.known:
             return self.library.encode(text, add_special_tokens=False).ids
@@ -130,8 +135,7 @@ class Encoder:
     def pieces(self, text: str, base: int = 0) -> list[Piece]:
         """Pieces of a text that is cut at any place, with their places from ``base``."""
         words = self.words
-        if len(words) > CACHE:
-            words.clear()
+        words.rotate()
         if not self.known:
             e = self.library.encode(text, add_special_tokens=False)
             return [(base + a, base + b, (i,)) for i, (a, b) in zip(e.ids, e.offsets)]
@@ -283,7 +287,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, leaf: int = LEAF, keep_id
         named = t.named
         out = {
             "n_tokens": [len(x) for x in ids], "ids_sha256": [sha(" ".join([named[i] for i in x])) for x in ids],
-            "decoded_sha256": [sha(x) for x in t.library.decode_batch(ids, skip_special_tokens=False)],
+            "decoded_sha256": [sha(t.library.decode(x, skip_special_tokens=False)) for x in ids],  # a batch would spin threads of its own
         }
         return out | ({"ids": ids} if keep_ids else {})
 
@@ -300,10 +304,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, leaf: int = LEAF, keep_id
     rows = keyed_texts(docs)
     if not (_is_known(spec) or _is_by_bytes(spec)):
         return map_rows(rows, per_task, ddl)
-    size = F.coalesce(F.length("text"), F.lit(0))
+    # Bytes first: they are known, characters have to be counted.
+    is_long = F.coalesce((F.octet_length("text") > spread) & (F.length("text") > spread), F.lit(False))
     keys = ["doc_id", "th", "row"]
     k = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / spread).cast("int")))
-    parts = rows.where(size > spread).withColumns({"th": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    parts = rows.where(is_long).withColumns({"th": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     parts = parts.select(*keys, "text", k.alias("k")).select(*keys, "k", F.substring(F.col("text"), F.col("k") * spread + 1, F.lit(spread)).alias("text"))
 
     def per_part():
@@ -325,4 +330,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, leaf: int = LEAF, keep_id
     schema = to_arrow_schema(_parse_datatype_string(ddl))
     encoded = map_rows(parts.repartition(*keys, "k"), per_part, "doc_id long, th long, row long, k int, text string, " + ", ".join(f"{c} binary" for c, _ in _PACKED))
     whole = encoded.repartition(*keys).sortWithinPartitions(*keys, "k").mapInArrow(together, ddl)
-    return map_rows(rows.where(size <= spread), per_task, ddl).unionByName(whole)
+    return map_rows(rows.where(~is_long), per_task, ddl).unionByName(whole)
