@@ -81,16 +81,16 @@ def bucket_index(sections: Column) -> Column:
 def bucket_text(buckets: Column, sections: Column, bucket: str, separator: str = "\n\n") -> Column:
     """Texts of a bucket's sections in order; empty for a bucket that is not there."""
     places = F.coalesce(F.try_element_at(buckets, F.lit(bucket)), F.array().cast("array<int>"))
-    pick = lambda texts: F.filter(F.transform(places, lambda k: F.get(texts, k.cast("int"))), lambda t: F.coalesce(t, F.lit("")) != "")
+    pick = lambda texts: F.filter(F.transform(places, lambda k: T.strip(F.coalesce(F.get(texts, k.cast("int")), F.lit("")))), lambda t: t != "")
     return T.let(texts_by_index(sections), lambda texts: T.strip(F.array_join(pick(texts), separator)))
 
 
 def texts_by_index(sections: Column) -> Column:
-    """Stripped texts at their section_index, null in the gaps; the indices ascend."""
+    """Texts at their section_index, null in the gaps; the indices ascend."""
 
     def placed(all_: Column) -> Column:
         gap = lambda s, k: s["section_index"] - F.coalesce(F.when(k > 0, F.get(all_, k - 1)["section_index"]), F.lit(-1)) - 1
-        return F.flatten(F.transform(all_, lambda s, k: F.concat(F.array_repeat(F.lit(None).cast("string"), gap(s, k).cast("int")), F.array(T.strip(F.coalesce(s["text"], F.lit("")))))))
+        return F.flatten(F.transform(all_, lambda s, k: F.concat(F.array_repeat(F.lit(None).cast("string"), gap(s, k).cast("int")), F.array(s["text"]))))
 
     return T.let(sections, placed)
 
