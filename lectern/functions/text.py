@@ -98,23 +98,40 @@ def combined_bucket(normalized: Column) -> Column:
     return out
 
 
-def strong_bucket(normalized: Column) -> Column:
-    """The bucket that a title settles, null if none; administrative and empty titles settle none."""
+def pattern_bucket(normalized: Column) -> Column:
+    """The first bucket whose words a title holds, null if none."""
     out = F.lit(None).cast("string")
     for bucket in reversed(PRIORITY):
         out = F.when(F.rlike(normalized, F.lit(rf"\b(?:{STRONG[bucket]})\b")), bucket).otherwise(out)
-    return F.when((normalized != "") & ~is_admin(normalized), F.coalesce(combined_bucket(normalized), out))
+    return out
+
+
+def is_weak(normalized: Column) -> Column:
+    return F.rlike(normalized, F.lit(rf"\b(?:{WEAK_METHODS})\b"))
+
+
+def strong_bucket(normalized: Column) -> Column:
+    """The bucket that a title settles, null if none; administrative and empty titles settle none."""
+    return F.when((normalized != "") & ~is_admin(normalized), F.coalesce(combined_bucket(normalized), pattern_bucket(normalized)))
 
 
 def weak_bucket(normalized: Column) -> Column:
     """methods where only weak words say so, else null."""
-    weak = F.rlike(normalized, F.lit(rf"\b(?:{WEAK_METHODS})\b"))
-    return F.when((normalized != "") & ~is_admin(normalized) & strong_bucket(normalized).isNull() & weak, F.lit("methods"))
+    return F.when((normalized != "") & ~is_admin(normalized) & strong_bucket(normalized).isNull() & is_weak(normalized), F.lit("methods"))
 
 
 def title_marks(title: Column) -> Column:
-    """struct(strong, weak, admin) of a title."""
-    return let(normalize_title(title), lambda n: F.struct(strong_bucket(n).alias("strong"), weak_bucket(n).alias("weak"), is_admin(n).alias("admin")))
+    """struct(strong, weak, admin) of a title, each test made once."""
+
+    def strong(n: Column, admin: Column) -> Column:
+        return F.when((n != "") & ~admin, F.coalesce(combined_bucket(n), pattern_bucket(n)))
+
+    def marks(x: Column) -> Column:
+        weak = F.when((x["n"] != "") & ~x["admin"] & x["strong"].isNull() & is_weak(x["n"]), F.lit("methods"))
+        return F.struct(x["strong"].alias("strong"), weak.alias("weak"), x["admin"].alias("admin"))
+
+    named = let(normalize_title(title), lambda n: F.struct(n.alias("n"), is_admin(n).alias("admin")))
+    return let(let(named, lambda x: F.struct(x["n"].alias("n"), x["admin"].alias("admin"), strong(x["n"], x["admin"]).alias("strong"))), marks)
 
 
 def path_string(path: Column) -> Column:

@@ -73,16 +73,33 @@ def distinct_sections(sections: Column) -> Column:
 def bucket_index(sections: Column) -> Column:
     """Map of each of the five buckets to the indices of its sections that have text."""
     names = F.array(*map(F.lit, T.BUCKETS))
-    full = F.filter(sections, lambda s: T.strip(F.coalesce(s["text"], F.lit(""))) != "")
+    full = F.filter(sections, lambda s: F.rlike(F.coalesce(s["text"], F.lit("")), F.lit(f"(?U)[^{T.SPACE[1:-1]}]")))
     own = lambda x: lambda b: F.transform(F.filter(x, lambda s: s["bucket"] == b), lambda s: s["section_index"])
     return T.let(full, lambda x: F.map_from_arrays(names, F.transform(names, own(x))))
 
 
+def _stripped(text: Column) -> Column:
+    """strip() that only rewrites a text whose first or last character is white space."""
+    ends = lambda t: F.rlike(F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1))), F.lit(f"(?U){T.SPACE}"))
+    return T.let(text, lambda t: F.when(ends(t), T.strip(t)).otherwise(t))
+
+
+def _joined(texts: Column, places: Column, separator: str) -> Column:
+    """The texts at some places that are not blank, stripped; so the whole needs no stripping."""
+    found = F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda k: _stripped(F.coalesce(F.get(texts, k.cast("int")), F.lit(""))))
+    return F.array_join(F.filter(found, lambda t: t != ""), separator)
+
+
 def bucket_text(buckets: Column, sections: Column, bucket: str, separator: str = "\n\n") -> Column:
     """Texts of a bucket's sections in order; empty for a bucket that is not there."""
-    places = F.coalesce(F.try_element_at(buckets, F.lit(bucket)), F.array().cast("array<int>"))
-    pick = lambda texts: F.filter(F.transform(places, lambda k: T.strip(F.coalesce(F.get(texts, k.cast("int")), F.lit("")))), lambda t: t != "")
-    return T.let(texts_by_index(sections), lambda texts: T.strip(F.array_join(pick(texts), separator)))
+    return T.let(texts_by_index(sections), lambda texts: _joined(texts, F.try_element_at(buckets, F.lit(bucket)), separator))
+
+
+def bucket_texts(buckets: Column, sections: Column, separator: str = "\n\n") -> Column:
+    """Map of each of the five buckets to its text; the sections are placed once for all of them."""
+    names = F.array(*map(F.lit, T.BUCKETS))
+    both = F.named_struct(F.lit("texts"), texts_by_index(sections), F.lit("at"), buckets)
+    return T.let(both, lambda x: F.map_from_arrays(names, F.transform(names, lambda b: _joined(x["texts"], F.try_element_at(x["at"], b), separator))))
 
 
 def texts_by_index(sections: Column) -> Column:

@@ -349,8 +349,7 @@ FROM documents d CROSS JOIN names n LEFT JOIN kept s ON s.doc_id = d.doc_id AND
 )
 def bucket_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _assembled(spark, sf_dir)
-    text = F.create_map(*[x for b in T.BUCKETS for x in (F.lit(b), sections.bucket_text(F.col("buckets"), F.col("sections"), b))])
-    rows = papers.select("doc_id", text.alias("texts"), F.explode("buckets").alias("bucket", "at"))
+    rows = papers.select("doc_id", sections.bucket_texts(F.col("buckets"), F.col("sections")).alias("texts"), F.explode("buckets").alias("bucket", "at"))
     return rows.select("doc_id", "bucket", F.array_join(F.transform("at", lambda k: k.cast("string")), ",").alias("indices"), F.md5(F.element_at("texts", F.col("bucket"))).alias("text_md5"))
 
 

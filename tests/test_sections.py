@@ -150,3 +150,21 @@ def test_many_sections_of_one_paper_are_linear(spark):
     text = spark.createDataFrame([row]).select(S.bucket_text(F.col("buckets"), F.col("sections"), "methods")).first()[0]
     texts = {s.section_index: s.text for s in row.sections}
     assert text == "\n\n".join(texts[k] for k in row.buckets["methods"])
+
+
+def test_texts_of_all_buckets_equal_each(spark):
+    blank = [" ", "\x1c x \n", " a", "b ", "", "c d", "\n\n", "e\n"]
+    rows = [(k, [(j, 0, [j], ["Methods", "Results", "Funding", None][(j + k) % 4], blank[(j * 3 + k) % 8]) for j in range(k)]) for k in range(0, 25, 3)]
+    df = spark.createDataFrame(rows, f"id int, raw_sections array<struct<{S._typed(S.RAW)}>>")
+    each = F.create_map(*[x for b in T.BUCKETS for x in (F.lit(b), S.bucket_text(F.col("buckets"), F.col("sections"), b))])
+    out = S.assemble(df).select("sections", "buckets", S.bucket_texts(F.col("buckets"), F.col("sections")).alias("all"), each.alias("each")).collect()
+    for r in out:
+        texts = {s.section_index: s.text for s in r.sections}
+        assert all((texts[k] or "").strip() for at in r.buckets.values() for k in at)
+        assert r.all == r.each == {b: "\n\n".join(texts[k].strip() for k in at) for b, at in r.buckets.items()}
+
+
+def test_marks_of_a_title_equal_its_tests(spark):
+    df = spark.createDataFrame([(t,) for t in TITLES], "title string")
+    for r in df.select("title", T.title_marks(F.col("title")).alias("m"), T.is_admin(T.normalize_title(F.col("title"))).alias("admin")).collect():
+        assert (r.m.strong, r.m.weak, r.m.admin) == (*TITLES[r.title][1:], r.admin)
