@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lectern.functions.text import STOP_WORDS, spaced_words, tokens
 
@@ -23,11 +24,15 @@ BUCKETS = 64
 
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf, dl), terms (term, df) and size: one row of n, avgdl and mean (of all inverse frequencies)."""
+    """postings (term, chunk_id, tf, dl), terms (term, df) and size: one row of n, avgdl and mean (of all inverse frequencies).
+
+    count, of an index that is not from disk: one row of n.
+    """
 
     postings: DataFrame
     terms: DataFrame
     size: DataFrame
+    count: DataFrame | None = None
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
@@ -44,8 +49,15 @@ def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") ->
     """The index of chunks; write_index keeps it for many questions."""
     rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words"))
     postings = rows.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    return _completed(postings, chunks.agg(F.count("*").alias("n")))
+
+
+def _completed(postings: DataFrame, count: DataFrame) -> Index:
+    """The index of some postings and the number of all chunks; every word is in a posting, so they give the mean length."""
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings, terms, _mean(terms, rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))))
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    avgdl = F.try_divide(F.col("words").cast("double"), F.col("n")).alias("avgdl")
+    return Index(postings, terms, _mean(terms, count.crossJoin(F.broadcast(words)).select("n", avgdl)), count)  # one row each
 
 
 def _bucket(term: Column) -> Column:
@@ -53,15 +65,31 @@ def _bucket(term: Column) -> Column:
 
 
 def write_index(made: Index, path: str) -> None:
-    """The index as Parquet: postings and terms in folders by a hash of the term, so that a question reads those of its terms only."""
-    made.postings.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    kept = made.postings.sparkSession.read.parquet(f"{path}/postings")
-    kept.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    made.size.write.parquet(f"{path}/size")
+    """The index as Parquet: postings and terms in folders by a hash of the term, so that a question reads those of its terms only.
+
+    Texts are cut into words once: terms and size come from the written postings. Postings
+    are dealt by ranges, so a term of many chunks is shared by tasks and a task opens few folders.
+    """
+    order = ["bucket", "term", "chunk_id"]
+    made.postings.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+    made.postings.limit(0).write.parquet(f"{path}/columns")  # an index without words has no other file that tells them
+    spark = made.postings.sparkSession
+    kept = _completed(_postings(spark, path), made.count)
+    kept.terms.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    _mean(_terms(spark, path), kept.size.select("n", "avgdl")).write.parquet(f"{path}/size")
+
+
+def _postings(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns.add("bucket", IntegerType())).parquet(f"{path}/postings")
+
+
+def _terms(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, df long, bucket int").parquet(f"{path}/terms")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "size")])
+    return Index(_postings(spark, path), _terms(spark, path), spark.read.parquet(f"{path}/size"))
 
 
 def asked_terms(spark: SparkSession, query: str) -> list[tuple[str, int]]:

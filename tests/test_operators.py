@@ -171,3 +171,14 @@ def test_later_line_wins(spark, tmp_path):
     papers, _ = corpus.read_jsonl(spark, str(tmp_path / "a.jsonl"))
     found, _ = chunking.chunks(papers, chunking.offsets_udf(chunking.word_tokenizer))
     assert sorted(r.title for r in upsert.last_of_key(found).collect()) == ["two", "x"]
+
+
+def test_index_on_disk_has_the_sizes_of_one_in_memory(spark, tmp_path):
+    texts = ["rat gene rat", "the of", None, "", "gene virus", "gene"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, chunk_text string")
+    for name, rows, want in (("a", df, (6, 1.0)), ("b", df.limit(0), (0, None)), ("c", df.where("chunk_id = 1"), (1, 0.0))):
+        made = bm25.index(rows)
+        bm25.write_index(made, f"{tmp_path}/{name}")
+        kept = bm25.open_index(spark, f"{tmp_path}/{name}")
+        assert made.size.collect() == kept.size.collect() and tuple(kept.size.first())[:2] == want
+        assert sorted(map(tuple, made.terms.collect())) == sorted((r.term, r.df) for r in kept.terms.collect())
