@@ -49,15 +49,18 @@ def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") ->
     """The index of chunks; write_index keeps it for many questions."""
     rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words"))
     postings = rows.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    return _completed(postings, chunks.agg(F.count("*").alias("n")))
+    terms, count = _frequencies(postings), chunks.agg(F.count("*").alias("n"))
+    return Index(postings, terms, _mean(terms, _lengths(postings, count)), count)
 
 
-def _completed(postings: DataFrame, count: DataFrame) -> Index:
-    """The index of some postings and the number of all chunks; every word is in a posting, so they give the mean length."""
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+def _frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _lengths(postings: DataFrame, count: DataFrame) -> DataFrame:
+    """One row of n and avgdl, from the number of all chunks; every word is in a posting."""
     words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
-    avgdl = F.try_divide(F.col("words").cast("double"), F.col("n")).alias("avgdl")
-    return Index(postings, terms, _mean(terms, count.crossJoin(F.broadcast(words)).select("n", avgdl)), count)  # one row each
+    return count.crossJoin(F.broadcast(words)).select("n", F.try_divide(F.col("words").cast("double"), F.col("n")).alias("avgdl"))  # one row each
 
 
 def _bucket(term: Column) -> Column:
@@ -74,9 +77,9 @@ def write_index(made: Index, path: str) -> None:
     made.postings.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
     made.postings.limit(0).write.parquet(f"{path}/columns")  # an index without words has no other file that tells them
     spark = made.postings.sparkSession
-    kept = _completed(_postings(spark, path), made.count)
-    kept.terms.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    _mean(_terms(spark, path), kept.size.select("n", "avgdl")).write.parquet(f"{path}/size")
+    kept = _postings(spark, path)
+    _frequencies(kept).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    _mean(_terms(spark, path), _lengths(kept, made.count)).write.parquet(f"{path}/size")
 
 
 def _postings(spark: SparkSession, path: str) -> DataFrame:
