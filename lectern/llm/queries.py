@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, langid, licenses, neardup, pii, quality, suffix, toxicity
+from lectern.llm import bpe, chat, decontaminate, langid, licenses, neardup, pii, quality, repair, suffix, toxicity
 from lectern.llm.oracles import ORACLES  # noqa: F401
 from lectern.runtime import load
 
@@ -74,4 +74,24 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup)}
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the damage of the contract: rows dropped, emptied, without their marks, repeated or said by the user."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    what = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), what.alias("what")).where("what <> 0")
+    text = F.when(F.col("what") == 1, "").when(F.col("what") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("what") == 3, 2).otherwise(1))).alias("time")
+    return rows.select("conv_id", "turn", F.when(F.col("what") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    found = repair.repaired(_damaged(turns))
+    whole = turns.select(F.col("conv_id").alias("original")).distinct().join(found, F.col("original").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(
+        F.col("original").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup, op13_repair)}

@@ -23,6 +23,7 @@ CONTRACT = {
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_neardup": "doc_id n_shingles component_id kept",
+    "op13_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -30,7 +31,8 @@ CONTRACT = {
 def test_contract(spark, name):
     out = queries.QUERIES[name](spark, SF)
     assert out.columns[: len(CONTRACT[name].split())] == CONTRACT[name].split()
-    whole = load(spark, SF, "documents").count() if name != "op3_chat" else load(spark, SF, "conversations").select("conv_id").distinct().count() + 1
+    conversations = load(spark, SF, "conversations").select("conv_id").distinct().count()
+    whole = {"op3_chat": conversations + 1, "op13_repair": conversations}.get(name) or load(spark, SF, "documents").count()
     assert out.count() == whole
 
 
