@@ -61,4 +61,40 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, n.b F
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN comp USING (doc_id) LEFT JOIN size USING (doc_id)"""
 
-ORACLES = {"op5_suffix": OP5, "op8_decontamination": OP8, "op10_neardup": OP10}
+_EITHER = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_ASSIGN = f"""({_EITHER})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SAME = "|".join(f"[{c}]{{6}}" for c in _LOWER + "0123456789_+/.=-")
+_HINT = f"(?i)example|sample|dummy|change.?me|placeholder|your|redacted|x{{5}}|12345|abcdef|{_SAME}"
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS k, string_split_regex(text, '{p}') AS b FROM d"
+    for k, p in enumerate((_ASSIGN, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9_+/.=-]{20,}"))
+)
+
+#: Places as running sums of lengths, candidates outside base spans, and owners of each value.
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, kind, k, m, length(b[k]) AS gap FROM ({_MATCHES})),
+p AS (SELECT doc_id, kind, m, sum(gap + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS e FROM m),
+v AS (SELECT doc_id, kind, e - length(m) AS s, e, CASE kind WHEN 0 THEN regexp_extract(m, '{_ASSIGN}', 2) ELSE m END AS v FROM p),
+t AS (SELECT doc_id, kind, v, CASE WHEN kind = 3 THEN s + length(v) - length(ltrim(v, '+/_.=-')) ELSE s END AS s,
+             CASE WHEN kind = 3 THEN e - (length(v) - length(rtrim(v, '+/_.=-'))) ELSE e END AS e, trim(v, '+/_.=-') AS w FROM v WHERE kind > 0 OR length(v) >= 6),
+c AS (SELECT * FROM t WHERE kind < 3 OR length(w) >= 20 AND NOT EXISTS (SELECT 1 FROM t b WHERE b.doc_id = t.doc_id AND b.kind < 3 AND b.s < t.e AND b.e > t.s)),
+f AS (
+  SELECT *, length(w) AS n, length(regexp_replace(w, '[^0-9]', '', 'g')) AS digits, regexp_matches(w, '{_HINT}') AS hint,
+         coalesce(round(list_sum(list_transform(list_distinct(string_split(w, '')), lambda x: -(n - length(replace(w, x, ''))) / n * log2((n - length(replace(w, x, ''))) / n))), 9), 0) AS bits FROM c),
+g AS (SELECT *, digits > 0 AND digits < n AND NOT hint AND n >= 12 AND bits >= 2.8 AS live FROM f),
+a AS (SELECT *, live AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[/.]') AND digits >= 3 AND n >= 24 AND bits >= 3.8 AS alone FROM g),
+o AS (SELECT w, count(DISTINCT source) AS owners, bool_or(kind < 3) AS labelled, bool_or(hint) AS hint, bool_or(live) AS live FROM a JOIN d USING (doc_id) GROUP BY w),
+j AS (
+  SELECT doc_id, kind, s, e, kind < 3 AS base, CASE WHEN o.hint OR owners >= 3 THEN 'example' WHEN o.live AND owners = 1 THEN 'live' ELSE 'unclear' END AS verdict, labelled, alone
+  FROM a JOIN o USING (w)),
+r AS (SELECT *, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM j WHERE base OR verdict = 'live' AND (labelled OR alone)),
+x AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS h, string_agg(span, ',' ORDER BY s, kind) FILTER (base) AS base,
+         string_agg(span, ',' ORDER BY s, kind) AS spans, count(*) FILTER (verdict = 'live') AS l, count(*) FILTER (verdict = 'example') AS y, count(*) FILTER (verdict = 'unclear') AS u
+  FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(l, 0) AS n_live, coalesce(y, 0) AS n_example, coalesce(u, 0) AS n_unclear
+FROM d LEFT JOIN x USING (doc_id)"""
+
+ORACLES = {"op5_suffix": OP5, "op8_decontamination": OP8, "op10_neardup": OP10, "op11_secrets": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, langid, licenses, neardup, pii, quality, repair, suffix, toxicity
+from lectern.llm import bpe, chat, credentials, decontaminate, langid, licenses, neardup, pii, quality, repair, suffix, toxicity
 from lectern.llm.oracles import ORACLES  # noqa: F401
 from lectern.runtime import load
 
@@ -74,6 +74,18 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan_documents(load(spark, sf_dir, "documents"))
+
+    def n(field: str, value) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
+
+    kinds = [n("kind", k).alias(f"n_{name}") for k, name in enumerate(credentials.KINDS[:3])]
+    verdicts = [n("verdict", v).alias(f"n_{v}") for v in ("live", "example", "unclear")]
+    base = F.sha2(credentials.joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256")
+    return found.select("doc_id", *kinds, base, credentials.joined(F.col("spans")).alias("spans"), *verdicts)
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Conversations with the damage of the contract: rows dropped, emptied, without their marks, repeated or said by the user."""
     conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
@@ -94,4 +106,4 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup, op11_secrets, op13_repair)}

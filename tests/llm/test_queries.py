@@ -23,6 +23,7 @@ CONTRACT = {
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_neardup": "doc_id n_shingles component_id kept",
+    "op11_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op13_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
