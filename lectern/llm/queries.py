@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, credentials, decontaminate, langid, licenses, neardup, pii, quality, repair, suffix, toxicity
+from lectern.llm import align, bpe, chat, credentials, decontaminate, langid, licenses, neardup, pii, quality, repair, suffix, toxicity
 from lectern.llm.oracles import ORACLES  # noqa: F401
 from lectern.runtime import load
 
@@ -86,6 +86,13 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, base, credentials.joined(F.col("spans")).alias("spans"), *verdicts)
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents")
+    return align.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep_groups=False).drop("groups")
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Conversations with the damage of the contract: rows dropped, emptied, without their marks, repeated or said by the user."""
     conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
@@ -106,4 +113,4 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup, op11_secrets, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_chat, op4_language, op5_suffix, op6_bpe, op7_toxicity, op8_decontamination, op9_quality, op10_neardup, op11_secrets, op12_align, op13_repair)}

@@ -24,6 +24,7 @@ CONTRACT = {
     "op9_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_neardup": "doc_id n_shingles component_id kept",
     "op11_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op12_align": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     "op13_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
