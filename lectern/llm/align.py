@@ -48,13 +48,13 @@ from lectern.runtime import written
 #: Characters after which a text may be cut: no kind of white space, whoever says what that is.
 _SOLID = r"[^\s\x00-\x20\x7f-\xa0 ᠎ -⁯　﻿]"
 _BETWEEN = re.compile(rf"(?<={_SOLID}) (?=.)", re.DOTALL)
-_SOLID_END = re.compile(rf"{_SOLID}\Z")
+_SOLID_END = re.compile(_SOLID)
 _PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*")
 # Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPAN = re.compile(b"[012]*3")
 #: Characters of new words encoded in one call, of a word that is kept, and kept words of each of two generations.
-CALL, KEPT, WORDS = 1 << 16, 48, 100_000
+CALL, KEPT, WORDS = 1 << 16, 48, 50_000
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -148,19 +148,27 @@ class Aligner:
         return self._words(a, b, self.labels(a, b, len(raw)), ends)
 
     def _words(self, a: list[int], b: list[int], labels: bytes, ends: list[int]) -> Iterator[Word]:
-        names, at, i, j, word = self.names, 0, 0, 0, 0
-        since_a = since_b = 0
-        groups: list[str] = []
-        links: list[int] = []
-        for span in _SPAN.findall(labels):
-            n, m = i + span.count(b"1") + 1, j + span.count(b"2") + 1
-            groups.append(f"{','.join([names[k] for k in a[i:n]])}|{','.join([names[k] for k in b[j:m]])}")
-            links.append(a[n - 1] << 32 | b[m - 1])
-            at, i, j = at + len(span), n, m
-            if at == ends[word]:
-                yield Word(i - since_a, j - since_b, len(groups), ";".join(groups), np.array(links, np.int64).tobytes())
-                since_a, since_b, groups, links, word = i, j, [], [], word + 1
-        assert word == len(ends), "a token reaches over the space between words"
+        spans = _SPAN.findall(labels)
+        stop = np.cumsum([len(span) for span in spans])
+        last, sides = [], []
+        for ids, mark in ((a, b"1"), (b, b"2")):
+            n = np.array([span.count(mark) for span in spans]) + 1
+            upto = np.cumsum(n)
+            names = [self.names[k] for k in ids]
+            own = [names[k] for k in (upto - 1).tolist()]
+            for g in np.flatnonzero(n > 1).tolist():
+                own[g] = ",".join(names[upto[g] - n[g] : upto[g]])
+            last.append(upto)
+            sides.append(own)
+        groups = [f"{x}|{y}" for x, y in zip(*sides)]
+        links = ((np.array(a, np.int64)[last[0] - 1] << 32) | np.array(b, np.int64)[last[1] - 1]).tobytes()
+        at = np.searchsorted(stop, ends)
+        assert (stop[at] == ends).all(), "a token reaches over the space between words"
+        places = zip((at + 1).tolist(), last[0][at].tolist(), last[1][at].tolist())
+        g0 = i0 = j0 = 0
+        for g, i, j in places:
+            yield Word(i - i0, j - j0, g - g0, ";".join(groups[g0:g]), links[8 * g0 : 8 * g])
+            g0, i0, j0 = g, i, j
 
     def _learn(self, words: list[str], out: dict[str, Word | None]) -> None:
         """Aligns words that end in no white space, strung together; one by one if together they are not given back."""
@@ -185,7 +193,7 @@ class Aligner:
             if known == 0:
                 known = self.old.get(word, 0)
                 if known == 0:
-                    if len(word) > CALL or not _SOLID_END.search(word):
+                    if len(word) > CALL or not _SOLID_END.match(word[-1:]):
                         self._learn_alone(word, out)
                     else:
                         new[_PLAIN.fullmatch(word) is not None].append(word)
