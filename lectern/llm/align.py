@@ -54,7 +54,7 @@ _PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPAN = re.compile(b"[012]*3")
 #: Characters of new words encoded in one call, of a word that is kept, and kept words of each of two generations.
-CALL, KEPT, WORDS = 1 << 16, 48, 50_000
+CALL, KEPT, WORDS = 1 << 16, 48, 80_000
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -285,13 +285,12 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and groups (null unless kept) of every row."""
     grouped = written(groups_of(docs, a_path, b_path, keep_groups))
     counts = written(pair_counts(grouped))
-    own = ("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups")
-    links = grouped.select(*own, F.explode_outer(F.arrays_zip("pairs", "times")).alias("x")).select(*own, F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("times"))
+    links = grouped.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("times"))
     # At most as many pairs as the tokens of both vocabularies have bytes, twice.
-    met = links.join(F.broadcast(counts), "pair", "left")
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    # A row's pairs are made in one task, so they are summed there before anything travels.
-    sums = met.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in own[1:]], n("times").alias("n_links"), n(F.when(F.col("best"), F.col("times"))).alias("n_best"), n(F.col("times") * F.col("total")).alias("count_sum")
-    )
-    return sums.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
+    met = links.join(F.broadcast(counts), "pair")
+    # A row's pairs are made in one task, so they are summed there before anything travels; sums of numbers alone need no sort.
+    best = F.sum(F.when(F.col("best"), F.col("times")).otherwise(0))
+    sums = met.groupBy("row").agg(F.sum("times").alias("n_links"), best.alias("n_best"), F.sum(F.col("times") * F.col("total")).alias("count_sum"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    out = grouped.drop("pairs", "times").join(sums, "row", "left")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", *zero, "groups_sha256", "groups")
