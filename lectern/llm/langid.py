@@ -18,6 +18,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from dataclasses import dataclass
 
@@ -37,15 +38,21 @@ OVER = 1.3
 #: FTRL: learning rate, smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 3
 
-_LETTER = re.compile(r"[^\W\d_]")
-#: For the first plane of Unicode, whether a character is a letter or a combining mark.
-_KEPT = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)])
+#: What may be a letter: letters, and the numbers that are no decimal digits.
+_WORD = re.compile(r"[^\W\d_]")
+#: For every character, whether it is a letter or a combining mark.
+_KEPT = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L stands in the text."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
 
 
 def slots(text: str) -> np.ndarray:
     """Hashed n-gram slots of a text, one for each position and order."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    raw = np.where((raw >= 1 << 16) | _KEPT[np.minimum(raw, (1 << 16) - 1)], raw, np.uint32(32))
+    raw = np.where(_KEPT[raw], raw, np.uint32(32))
     blank = raw == 32
     raw = raw[~np.concatenate(([False], blank[1:] & blank[:-1]))]
     out = []
@@ -79,7 +86,7 @@ class Model:
         return v @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0
         p = softmax(self.logits(*vector(text, self.idf)) / self.temperature)
         best = int(p.argmax())

@@ -4,10 +4,13 @@ A paragraph ends at a blank line, or with a line that ends in a mark (``. ! ? :
 hard-wrapped grants read as one, and a notice on a line of its own is not drowned by prose
 around it. Multinomial logistic regression with an elastic net, fitted on the paragraphs
 below, gives each word n-gram a weight for each licence family and for ``unknown``. Every
-paragraph is scored, by a join of its n-grams with the weights. Probabilities are tempered,
-and a family is only reported above a probability that held-out unknown paragraphs stay under; then the family's templates must confirm it: the
-best of them shares at least CONFIRM of its own n-grams, or of the paragraph's, with it, and
-at least two.
+paragraph is scored, by a join of its n-grams with the weights. Only families of which the
+paragraph holds an n-gram that no other family's paragraphs have are compared, so a notice in
+words that several share goes to the one it names. Probabilities are tempered, and a family
+is only reported above a probability that held-out unknown paragraphs stay under, among them
+beginnings of grants that go on as prose; then the family's templates must confirm it: one of
+them shares at least two n-grams with the paragraph, and CONFIRM of its own (of a short
+template CLOSE), or the paragraph is a part of it but for 1 - CLOSE of its n-grams.
 
 Defined cases: null and empty texts have no paragraph; ties between families go to the
 alphabetically first; repeated rows each keep their own row; an empty table gives an empty
@@ -31,10 +34,10 @@ from lectern.functions.text import STOP_WORDS, let
 UNKNOWN = "unknown"
 #: What ends a paragraph.
 BREAK = r"\n[ \t\r]*(?:\n[ \t\r]*)+|(?<=[.!?:;])[ \t\r]*\n"
-#: Share of a template's n-grams, or of a paragraph's, that must be common to both.
-CONFIRM = 0.5
-#: Share of held-out unknown paragraphs that must stay below the reporting threshold.
-QUANTILE = 0.99
+#: Share of a template's n-grams that a paragraph must have; of the n-grams of a template below SHORT, or of a paragraph that is a part of one.
+CONFIRM, CLOSE, SHORT = 0.5, 0.8, 16
+#: Share of held-out unknown paragraphs that must stay below the reporting threshold; the templates judge what is above.
+QUANTILE = 0.95
 
 # Paragraphs of public licences and of their usual notices, by family.
 TEMPLATES = {
@@ -176,6 +179,12 @@ NEGATIVES = [
     "The binary star was found by the two astronomers.",
     "Their license plate was covered with mud from the road.",
     "Photographs by permission of the family of the late author.",
+    "The rights of the tenant are reserved by the contract of the house.",
+    "No rights were reserved for the heirs in his will.",
+    "Use of the hall is governed by the rules of the village council.",
+    "Seats were reserved for all members with rights to vote.",
+    "This version of the story is free and can be found in the library.",
+    "The warranty of the car is limited to the first owner.",
 ]
 
 
@@ -246,6 +255,8 @@ class Model:
     threshold: float
     #: The n-grams of each of all_templates().
     templates: list[set[str]]
+    #: n-gram, of one family's paragraphs alone, to that family's place.
+    own: dict[str, int]
 
 
 def all_templates() -> list[tuple[str, str]]:
@@ -272,10 +283,17 @@ def training_paragraphs() -> list[dict]:
                 rows.append({"family": family, "text": f"Note: {text} Thanks.", "held": True})
     for family, names in NAMES.items():
         rows += [{"family": family, "text": n.format(name), "held": k == len(NOTICES) - 1} for name in names for k, n in enumerate(NOTICES)]
-    kept_aside = [t for k, t in enumerate(NEGATIVES) if k % 3 == 2]
+    aside, fitted = [t for k, t in enumerate(NEGATIVES) if k % 3 == 2], [t for k, t in enumerate(NEGATIVES) if k % 3 != 2]
     rows += [{"family": UNKNOWN, "text": t, "held": k % 3 == 2} for k, t in enumerate(NEGATIVES)]
-    halves = [(w[: len(w) // 2], w[len(w) // 2 :]) for w in map(str.split, kept_aside)]
+    halves = [(w[: len(w) // 2], w[len(w) // 2 :]) for w in map(str.split, aside)]
     rows += [{"family": UNKNOWN, "text": " ".join(a + b), "held": True} for k, (a, _) in enumerate(halves) for j, (_, b) in enumerate(halves) if j != k]
+    # Beginnings of grants that go on as prose: a third of a long template, then the end of a negative.
+    whole = [n.lower() for names in NAMES.values() for n in names] + ["all rights reserved"]  # what is a notice by itself
+    beginnings = [" ".join(w[: min(8, len(w) // 3)]) for w in (t.split() for many in TEMPLATES.values() for t in many) if len(w) >= 12]
+    for k, words in enumerate(b for b in beginnings if not any(n in b.lower() for n in whole)):
+        for held, others in ((False, fitted), (True, aside)):
+            ends = [others[(3 * k + j) % len(others)].split() for j in range(2)]
+            rows += [{"family": UNKNOWN, "text": " ".join([words, *end[len(end) // 2 :]]), "held": held} for end in ends]
     return rows
 
 
@@ -292,18 +310,27 @@ def train(spark: SparkSession) -> Model:
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     used = np.flatnonzero(np.abs(matrix).max(0) > 0)
     zero, vocabulary = [0.0] * len(families), counts.vocabulary
-    own = [{"k": k, "text": t} for k, (_, t) in enumerate(all_templates())]
-    own = inline(spark, own, "k int, text string").select("k", ngrams(clean(F.col("text"))).alias("grams")).orderBy("k").collect()  # the templates of this module
+    own = inline(spark, [{"k": k, "text": t} for k, (_, t) in enumerate(all_templates())], "k int, text string").select("k", ngrams(clean(F.col("text"))).alias("grams")).orderBy("k").collect()  # the templates of this module
     templates = [set(r.grams) for r in own]
     weights = {g: zero for t in templates for g in t} | {vocabulary[k]: matrix[:, k].tolist() for k in used}
-    held = [(r.ngrams, int(r.label)) for r in table.where("held").select("ngrams", "label").collect()]
+    every = table.select("ngrams", "label", "held").collect()  # the paragraphs of this module
     table.unpersist()
+    of: dict[str, set[int]] = {}
+    for r in every:
+        if r.label < len(families) - 1:
+            for g in r.ngrams:
+                of.setdefault(g, set()).add(int(r.label))
+    own_grams = {g: min(k) for g, k in of.items() if len(k) == 1}
+    weights = {g: zero for g in own_grams} | weights
+    held = [(r.ngrams, int(r.label)) for r in every if r.held]
     logits = np.array([bias + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(families))) for grams, _ in held])
+    allowed = np.array([[k == len(families) - 1 or any(own_grams.get(g) == k for g in grams) for k in range(len(families))] for grams, _ in held])
+    logits = np.where(allowed, logits, BARRED)
     labels = np.array([k for _, k in held])
     temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-9)).mean())
     best = _softmax(logits / temperature)[:, :-1].max(1)[labels == len(families) - 1]
     threshold = max(0.5, float(np.quantile(best, QUANTILE)) if len(best) else 0.5)
-    return Model(families, weights, bias.tolist(), float(temperature), threshold, templates)
+    return Model(families, weights, bias.tolist(), float(temperature), threshold, templates, own_grams)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -318,8 +345,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "th", F.posexplode(F.split("text", BREAK)).alias("paragraph", "unit")).where(F.rlike("unit", F.lit(r"\S")))
 
 
-#: Templates whose counts share a 64-bit number, eight bits each; a template has fewer than 256 n-grams.
-PACKED = 8
+#: Templates whose counts share a 64-bit number, eight bits each, so that no sum reaches the sign; a template has fewer than 256 n-grams.
+PACKED = 7
+#: Logit of a family that is not compared.
+BARRED = -1e6
 
 
 def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
@@ -330,20 +359,23 @@ def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """
     unit = ["row", "doc_id", "th", "paragraph"]
     k, packs = len(model.families), -(-len(model.templates) // PACKED)
+    if max(map(len, model.templates)) > 255:
+        raise ValueError("a template has too many n-grams for its count")
     vocabulary = []
     for gram, w in model.weights.items():
         bits = [0] * packs
         for at, t in enumerate(model.templates):
-            bits[at // PACKED] += (gram in t) << (64 // PACKED * (at % PACKED))
-        vocabulary.append({"gram": gram, "w": w, "t": [x - (1 << 64) if x >> 63 else x for x in bits]})
-    table = inline(docs.sparkSession, vocabulary, "gram string, w array<double>, t array<long>")
+            bits[at // PACKED] += (gram in t) << (8 * (at % PACKED))
+        vocabulary.append({"gram": gram, "w": w, "t": bits, "o": 1 << model.own[gram] if gram in model.own else 0})
+    table = inline(docs.sparkSession, vocabulary, "gram string, w array<double>, t array<long>, o long")
     grams = paragraphs(docs).select(*unit, known_ngrams(F.col("unit"), sorted(model.weights)).alias("known"))
     sums = (
         grams.select(*unit, F.col("known.n").alias("n"), F.explode("known.grams").alias("gram"))
         .join(F.broadcast(table), "gram")  # n-grams of the training paragraphs
-        .groupBy(*unit).agg(F.max("n").alias("n"), *[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)], *[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(packs)])
+        .groupBy(*unit).agg(F.max("n").alias("n"), *[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)], *[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(packs)], F.bit_or("o").alias("own"))
     )
-    logits = F.array(*[(F.col(f"w{j}") + model.bias[j]) / model.temperature for j in range(k)])
+    raw = [F.col(f"w{j}") + model.bias[j] if name == UNKNOWN else F.when(F.col("own").bitwiseAND(F.lit(1 << j)) != 0, F.col(f"w{j}") + model.bias[j]).otherwise(BARRED) for j, name in enumerate(model.families)]
+    logits = F.array(*[x / model.temperature for x in raw])
     best = F.array_position("logits", F.array_max("logits")).cast("int")
     probability = 1 / F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logits")))
     found = sums.withColumn("logits", logits)
@@ -351,12 +383,14 @@ def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
     shared: dict[str, list[Column]] = {}
     for at, ((family, _), t) in enumerate(zip(all_templates(), model.templates)):
-        common = F.shiftrightunsigned(F.col(f"t{at // PACKED}"), 64 // PACKED * (at % PACKED)).bitwiseAND(F.lit(255))
-        shared.setdefault(family, []).append(F.when(common >= 2, common / F.least(F.lit(len(t)), F.greatest(F.col("n"), common))).otherwise(0.0))
+        common = F.shiftrightunsigned(F.col(f"t{at // PACKED}"), 8 * (at % PACKED)).bitwiseAND(F.lit(255))
+        of_template, of_paragraph = common / F.lit(len(t)), common / F.greatest(F.col("n"), common)
+        enough = (of_template >= (CONFIRM if len(t) >= SHORT else CLOSE)) | (of_paragraph >= CLOSE)
+        shared.setdefault(family, []).append(F.when((common >= 2) & enough, F.greatest(of_template, of_paragraph)).otherwise(0.0))
     likeness = F.lit(0.0)
     for family, of_templates in shared.items():
         likeness = F.when(F.col("family") == family, F.greatest(*of_templates, F.lit(0.0))).otherwise(likeness)
-    return found.select(*unit[1:], "family", "probability", likeness.alias("similarity")).where(F.col("similarity") >= CONFIRM).dropDuplicates(unit[1:])
+    return found.select(*unit[1:], "family", "probability", likeness.alias("similarity")).where(F.col("similarity") > 0).dropDuplicates(unit[1:])
 
 
 def scan_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -76,7 +76,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of every base match, sorted."""
     out = [(a, 0, b) for a, b in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(n := p.lstrip("0") or "0") <= 3 and int(n) <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = _DIGITS.sub("", m.group())

@@ -37,6 +37,17 @@ def test_edges(spark, model):
     assert len(out) == 7 and got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "aa" and got[None][0] == "bb" and got[5][0] in SYLLABLES
 
 
+def test_letters_are_of_category_l(spark, model):
+    none = ["½", "²³", "①", "① ②", "Ⅷ", "🙂", "\U0001d7d8", "_", "́", "४"]
+    some = ["½a", "ª", "中", "\U0001d4d0", "ʰ", "Ⅷ é"]
+    assert not any(map(langid.has_letter, none)) and all(map(langid.has_letter, some))
+    rows = spark.createDataFrame(list(enumerate(none + some)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+    assert all((got[k] == ("und", 0.0)) == (k < len(none)) for k in got)
+    # What is no letter is a blank, above the first plane too.
+    assert (langid.slots("ka 🙂 ri") == langid.slots("ka 12 ri")).all()
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     empty = langid.train(docs)
@@ -68,7 +79,7 @@ def plain_slots(text):
     """n-gram slots character by character."""
     import unicodedata
 
-    kept = "".join(c if unicodedata.category(c)[0] in "LM" or ord(c) >= 1 << 16 else " " for c in f" {text.lower()} ")
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in f" {text.lower()} ")
     kept = "".join(c for k, c in enumerate(kept) if c != " " or k == 0 or kept[k - 1] != " ")
     out = []
     for n in langid.ORDERS:

@@ -26,14 +26,20 @@ def verdict(unit, model):
     known = [g for g in own if g in model.weights]
     if not known:
         return None
-    z = [(b + sum(model.weights[g][k] for g in known)) / model.temperature for k, b in enumerate(model.bias)]
+    allowed = {model.own[g] for g in known if g in model.own} | {len(model.families) - 1}
+    z = [((b + sum(model.weights[g][k] for g in known)) if k in allowed else licenses.BARRED) / model.temperature for k, b in enumerate(model.bias)]
     p = 1 / sum(math.exp(x - max(z)) for x in z)
     family = model.families[z.index(max(z))]
     if family == licenses.UNKNOWN or p < model.threshold:
         return None
     places = 3 * len(re.findall("[a-z0-9]+", unit.lower())) - 3
-    like = max(len(own & t) / min(len(t), max(places, len(own & t))) if len(own & t) > 1 else 0 for t in map(grams, licenses.TEMPLATES[family]))
-    return (family, p, like) if like >= licenses.CONFIRM else None
+    like = 0
+    for t in map(grams, licenses.TEMPLATES[family]):
+        common = len(own & t)
+        of_template, of_paragraph = common / len(t), common / max(places, common, 1)
+        if common > 1 and (of_template >= (licenses.CONFIRM if len(t) >= licenses.SHORT else licenses.CLOSE) or of_paragraph >= licenses.CLOSE):
+            like = max(like, of_template, of_paragraph)
+    return (family, p, like) if like else None
 
 
 def blocks(text):
@@ -87,6 +93,26 @@ def test_short_notices_and_unlisted_wordings(spark, model):
     assert scanned(spark, model, notices) == list(notices.values())
 
 
+def test_licence_words_in_prose_and_families_of_shared_words(spark, model):
+    lesser = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    cases = {
+        "The rights reserved by the tenant are listed below.": None, "No rights reserved. The board met again on Monday.": None,
+        "Use of this source code is governed by the village council.": None, lesser: "lgpl", lesser.replace("Lesser ", ""): "gpl", lesser.replace("Lesser", "Affero"): "agpl",
+        "Permission is hereby granted, free of charge, to the guests of the hotel.": None, "Licensed under the GNU Lesser General Public License, version 2.1.": "lgpl",
+    }
+    assert scanned(spark, model, cases) == list(cases.values())
+
+
+def test_held_out_reliability(spark, model):
+    """Of held-out paragraphs reported at some probability, at least nine tenths of it are right."""
+    held = [r for r in licenses.training_paragraphs() if r["held"]]
+    got = [verdict(r["text"], model) for r in held]
+    reported = [(v[1], v[0] == r["family"]) for v, r in zip(got, held) if v]
+    assert sum(r["family"] == licenses.UNKNOWN for r in held) >= 80
+    assert sum(right for _, right in reported) >= 0.9 * sum(p for p, _ in reported)
+    assert sum(v is not None for v, r in zip(got, held) if r["family"] == licenses.UNKNOWN) <= 0.02 * len(held)
+
+
 def test_hard_wrapped_grant_is_one_paragraph(spark, model):
     grant = licenses.TEMPLATES["mit"][0]
     wrapped = "\n".join(textwrap.wrap(grant, 60))
@@ -102,7 +128,9 @@ def test_ties_go_to_the_alphabetically_first(spark, model):
     names = ["mpl", "mit", "cc-by-sa", "cc-by", "cc-by-nc"]
     text = "\n\n".join(licenses.TEMPLATES[n][1] for n in names)
     rows = licenses.scan_paragraphs(spark.createDataFrame([(1, text)], "doc_id long, text string"), flat).collect()
-    assert {r.family for r in rows} <= {"agpl"}
+    assert {r.family for r in rows} <= set(names)  # each names itself, and only those are compared
+    both = scanned(spark, flat, ["Licensed under the MIT License. Licensed under the ISC license. Licensed under the LGPL v2.1"])
+    assert both == ["isc"]
     docs = spark.createDataFrame([(1, "\n\n".join(licenses.TEMPLATES["mit"][3:5] * 2))], "doc_id long, text string")
     assert [r.family for r in licenses.scan_documents(docs, model).collect()] == ["mit"]
 

@@ -52,6 +52,13 @@ def test_long_runs_are_fast():
         pii.candidates(text, pii.base_spans(text))
 
 
+def test_numbers_of_any_length():
+    zeros = "0" * 5_000
+    assert pii.base_spans(f"see 1.2.3.{zeros}1 end") == [(4, 1, 11 + len(zeros))]
+    assert pii.base_spans(f"1.2.3.{zeros}256") == [] and pii.base_spans(f"{zeros}.0.0.0")[0][1] == 1
+    assert pii.base_spans("9" * 10_000 + ".1.1.1") == []
+
+
 def test_contexts_discover_identifiers(spark):
     good = [(k, f"hello there call me at +1 (555) 010-{1000 + k} today") for k in range(6)]
     noise = [(20 + k, f"it cost about 55{k}-123-99{k:02d} in all") for k in range(6)]
