@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.runtime import cut
+from lectern.operators.vectors import matrix, unit
+from lectern.runtime import cut, ship
 
 TOP_CHUNKS, TOP_PAPERS, EVIDENCE = 3, 5, 3
 #: Digits that similarities of many questions are kept to, so that equal vectors tie.
@@ -41,8 +42,9 @@ def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, limit: int = TOP_CH
     """(query_id, chunk_id, sim): the nearest chunks of many questions (query_id, vector), ties by chunk_id.
 
     Questions go in blocks of BLOCK, each a pass over the chunks; a task keeps ``limit``
-    chunks of each question, and the best of those are chosen. Vectors that are null, zero
-    or of another length than most of the block's questions match nothing.
+    chunks of each question, and the best of those are chosen. A question matches vectors of its
+    own length; those that are null, zero or not whole match nothing. Questions with one id get
+    the nearest of either.
     """
     spark = chunks.sparkSession
     ids = [r.query_id for r in queries.select("query_id").orderBy("query_id").toLocalIterator()]
@@ -58,27 +60,30 @@ def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, limit: int = TOP_CH
 
 
 def _nearest_of_block(chunks: DataFrame, block: list[tuple[int, list[float]]], limit: int) -> DataFrame:
-    size = max((len(v) for _, v in block), default=0)
-    names = np.array([q for q, v in block if len(v) == size and any(v)], np.int64)
-    unit = np.array([v for _, v in block if len(v) == size and any(v)], np.float64).reshape(-1, size)
-    unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+    asked: dict[int, list[tuple[int, list[float]]]] = {}
+    for q, v in block:
+        if v and None not in v and any(v) and np.isfinite(v).all():
+            asked.setdefault(len(v), []).append((q, v))
+    sides = {n: (np.array([q for q, _ in own], np.int64), unit(np.array([v for _, v in own], np.float64))) for n, own in asked.items()}
+    ship(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_sim, best_id = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        held = {n: (np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)) for n, (names, _) in sides.items()}
         for b in batches:
-            rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None and len(v) == size and any(v)]
-            if not rows or not len(names):
-                continue
-            x = np.array([v for _, v in rows], np.float64)
-            sim = np.round((unit @ x.T) / np.sqrt((x * x).sum(1)), ROUND)
-            best_sim = np.concatenate([best_sim, sim], 1)
-            best_id = np.concatenate([best_id, np.broadcast_to(np.array([i for i, _ in rows], np.int64), sim.shape)], 1)
-            order = np.lexsort((best_id, -best_sim), axis=1)[:, :limit]
-            best_sim, best_id = np.take_along_axis(best_sim, order, 1), np.take_along_axis(best_id, order, 1)
-        if best_id.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_sim.ravel())], ["query_id", "chunk_id", "sim"])
-
-    return chunks.select("id", "embedding").mapInArrow(run, "query_id long, chunk_id long, sim double")
+            for n, (_, questions) in sides.items():
+                at, x = matrix(b.column(1), n)
+                if not len(x):
+                    continue
+                score = np.concatenate([held[n][0], np.round(-(questions @ x.T) / np.sqrt((x * x).sum(1)), ROUND)], 1)
+                ids = np.concatenate([held[n][1], np.broadcast_to(b.column(0).to_numpy()[at], (len(questions), len(at)))], 1)
+                order = np.lexsort((ids, score), axis=1)[:, :limit]
+                held[n] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        for n, (names, _) in sides.items():
+            score, ids = held[n]
+            if ids.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(-score.ravel())], ["query_id", "chunk_id", "sim"])
+
+    return chunks.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, chunk_id long, sim double")
 
 
 def paper_scores(candidates: DataFrame, limit: int = TOP_PAPERS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import text as T
-from lectern.operators import bm25, chunking, rag, sampling, sections, upsert, vector_search
+from lectern.operators import ann, bm25, chunking, rag, sampling, sections, upsert, vector_search
 from lectern.runtime import load, shared_folder
 from lectern.sources import corpus, filelist, jats
 
@@ -107,6 +107,24 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(ORACLES["vector_topk_batch"])
+def ann_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over all vectors, asked with every vector whose id is divisible by 100, in all of its lists."""
+    found = ann.temporary(vector_chunks(spark, sf_dir)).exact(_asked(spark, sf_dir), EVIDENCE * TOP_PAPERS)
+    return found.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions by codes, in the lists and with the candidates that the index chose for itself."""
+    found = ann.temporary(vector_chunks(spark, sf_dir)).search(_asked(spark, sf_dir), EVIDENCE * TOP_PAPERS)
+    return found.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"))
+
+
 @query(f"WITH {_RANKED} SELECT paper_rank, paper_id, round(paper_score, 6) AS paper_score FROM top_papers")
 def paper_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vector_search.nearest_chunks(vector_chunks(spark, sf_dir), query_vector(spark, sf_dir), TOP_CHUNKS)

@@ -11,7 +11,7 @@ SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "events documents embeddings pages conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 #: Queries whose rows depend on ties and sizes that the smallest tables do not have.
-ON_LARGE = ("bm25_chunks", "bm25_index", "bm25_papers", "hybrid_context", "seeded_sample", "vector_topk_batch", "keyword_dedup", "chunk_upsert")
+ON_LARGE = ("bm25_chunks", "bm25_index", "bm25_papers", "hybrid_context", "seeded_sample", "vector_topk_batch", "ann_all_lists", "keyword_dedup", "chunk_upsert")
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name,schema", [(n, "small") for n in sorted(registry.QUERIES)] + [(n, "large") for n in ON_LARGE])
+@pytest.mark.parametrize("name,schema", [(n, "small") for n in sorted(registry.ORACLES)] + [(n, "large") for n in ON_LARGE])
 def test_query_equals_oracle(spark, duck, name, schema):
     duck.execute(f"USE {schema}")
     df = registry.QUERIES[name](spark, SMALL if schema == "small" else LARGE)
@@ -37,7 +37,7 @@ def test_query_equals_oracle(spark, duck, name, schema):
 
 
 def test_oracles_are_complete():
-    assert set(registry.ORACLES) == set(registry.QUERIES)
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"ann_topk"}  # approximate: its recall is tested
 
 
 def test_entry(spark):
