@@ -578,14 +578,15 @@ n AS (SELECT source AS paper_id, CAST(doc_id AS INTEGER) AS section_index, unnes
 SELECT paper_id, section_index, chunk_index, CASE WHEN section_index % 2 = 0 AND chunk_index = 0 THEN 'new' ELSE lang END AS bucket, 'T' || section_index AS chunk_text FROM n"""
 )
 def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two upserts into a store in the shared folder, the second repeated, read as a table of the catalog."""
+    """Upserts into a store in the shared folder, the second repeated as a batch of a stream and as an upsert of its own; the read merges."""
     n = F.col("doc_id")
     docs = load(spark, sf_dir, "documents").groupBy("source", "doc_id").agg(F.min("lang").alias("lang"))
     base = [F.col("source").alias("paper_id"), n.cast("int").alias("section_index"), F.lit("").alias("path_string"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("T"), n).alias("chunk_text"), F.array(F.lit(0.5).cast("float")).alias("embedding"), n.alias("seq")]
     first = docs.select(*base, F.col("lang").alias("bucket"), F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"))
     second = docs.where("doc_id % 2 = 0").select(*base, F.lit("new").alias("bucket"), F.lit(0).alias("chunk_index"))
     store = corpus.ChunkStore(spark, _shared_path(spark))
-    for batch in (first, second, second):
-        store.upsert(batch)
-    store.vacuum()
+    for number, batch in enumerate((first, second, second)):
+        store.upsert(batch, "documents", min(number, 1))  # the third is the second again, as after a crash
+    store.upsert(second)
+    store.vacuum(0)
     return store.read().select("paper_id", "section_index", "chunk_index", "bucket", "chunk_text")

@@ -1,14 +1,12 @@
-"""The corpus as JSON lines, and the chunk table as versioned Parquet."""
+"""The corpus as JSON lines; the chunk table is in ``store``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
-from lectern.operators.upsert import merged, violations
+from lectern.sources.store import ChunkStore  # noqa: F401
 
 
 def by_path(df: DataFrame, file: str = "file") -> DataFrame:
@@ -39,71 +37,3 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path).select("value", place.alias("seq"), F.from_json("value", f"{schemas.PAPER}, error string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     bad = F.col("r._corrupt_record").isNotNull() | F.col("r.error").isNotNull() | F.col("r.paper_id").isNull()
     return lines.where(~bad).select("r.*", "seq").drop("error", "_corrupt_record"), lines.where(bad).select("r.paper_id", F.coalesce("r.error", F.lit("not a record")).alias("error"), "value")
-
-
-class ChunkStore:
-    """The chunk table below a folder: each upsert writes a whole version, then points to it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.path))
-
-    def _versions(self) -> list[tuple[int, str]]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted((int(n.split("-")[1]), n) for n in names if n.startswith("v-"))
-
-    def read(self) -> DataFrame:
-        """The newest whole version; an empty table before the first upsert."""
-        newest = self._newest()
-        return self.spark.read.schema(schemas.CHUNK).parquet(f"{self.path}/{newest}") if newest else self.spark.createDataFrame([], schemas.CHUNK)
-
-    def upsert(self, new: DataFrame) -> DataFrame:
-        """Upsert rows (CHUNK without id, and seq); ValueError, and no change, if the table's rules would break.
-
-        A version's number is claimed by creating a file that only one writer can create; a
-        writer that comes second merges again, into the version that came first.
-        """
-        while True:
-            based_on, number = self._newest(), self._next()
-            staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-            merged(self.read(), new).write.parquet(staged)
-            broken = violations(self.spark.read.schema(schemas.CHUNK).parquet(staged)).collect()  # a few rules
-            if broken:
-                self._fs.delete(self._path(staged), True)
-                raise ValueError("; ".join(f"{r.rule}: {r.n}" for r in broken))
-            if self._newest() == based_on and self._fs.createNewFile(self._path(f"{self.path}/_claim-{number}")):
-                if not self._fs.rename(self._path(staged), self._path(f"{self.path}/v-{number}")):
-                    raise OSError(f"could not publish version {number} of {self.path}")
-                return self.read()
-            self._fs.delete(self._path(staged), True)
-
-    def _next(self) -> int:
-        """One more than every version and every claim, those of writers that died among them."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return max([int(n.split("-")[1]) for n in names if n.startswith(("v-", "_claim-"))], default=0) + 1
-
-    def _newest(self) -> str | None:
-        """The newest whole version."""
-        done = [n for _, n in self._versions() if self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
-        return done[-1] if done else None
-
-    def vacuum(self) -> None:
-        """Deletes all versions before the newest whole one."""
-        newest = self._newest()
-        for number, name in self._versions():
-            if newest and number < int(newest.split("-")[1]):
-                self._fs.delete(self._path(f"{self.path}/{name}"), True)
-
-    def register(self, table: str = "paper_chunks", database: str = "paper_chunks") -> None:
-        """Makes the newest version a table of the catalog, its required columns NOT NULL; register again after an upsert."""
-        newest = self._newest()
-        if newest is None:
-            raise ValueError(f"{self.path} has no version yet")
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-        self.spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{table}`")
-        columns = [f.split(" ") for f in schemas.CHUNK.split(", ")]
-        typed = ", ".join(f"`{n}` {t}" + " NOT NULL" * (n in schemas.CHUNK_NOT_NULL) for n, t in columns)
-        self.spark.sql(f"CREATE TABLE `{database}`.`{table}` ({typed}) USING parquet LOCATION '{self.path}/{newest}'")

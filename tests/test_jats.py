@@ -146,7 +146,7 @@ def test_jsonl_store_stream_and_answer(spark, folder, tmp_path):
     assert len(first) == 6 and len({r.id for r in first}) == 6
     ingest.ingest(objects.xml_files(spark, str(folder)), store, offsets, embedding.hashing_provider(32))
     assert sorted(map(str, store.read().collect())) == sorted(map(str, first))
-    store.vacuum()
+    store.vacuum(0)
     chunks = store.read()
     asker = Asker(chunks, embedding.hashing_provider(32), top_papers=2, evidence=2)
     prompt = asker.ask("rats t test")

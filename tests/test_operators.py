@@ -138,33 +138,6 @@ def test_many_questions_equal_one_by_one(spark, monkeypatch):
     assert vector_search.nearest_in_blocks(chunks, asked.limit(0)).count() == 0
 
 
-def test_store_survives_a_second_writer(spark, tmp_path):
-    ddl = "paper_id string, section_index int, chunk_index int, bucket string, path_string string, title string, chunk_text string, embedding array<float>, seq int"
-    row = lambda p, n: spark.createDataFrame([(p, n, 0, "b", "", None, "t", [0.5], 1)], ddl)
-    store, other = corpus.ChunkStore(spark, f"{tmp_path}/s"), corpus.ChunkStore(spark, f"{tmp_path}/s")
-    store.upsert(row("p", 1))
-    newest, calls = store._newest, []
-
-    def interrupted():
-        calls.append(1)
-        if len(calls) == 2:
-            other.upsert(row("q", 2))
-            store._newest = newest
-            return "v-2"
-        return newest()
-
-    store._newest = interrupted
-    store.upsert(row("r", 3))
-    assert sorted(r.paper_id for r in store.read().collect()) == ["p", "q", "r"]
-    store.vacuum()
-    store.register("chunks", "lectern_test")
-    assert spark.sql("SELECT count(*) FROM lectern_test.chunks").first()[0] == 3
-    spark.sql("DROP TABLE lectern_test.chunks")
-    with pytest.raises(ValueError):
-        store.upsert(row(None, 4))
-    assert store.read().count() == 3
-
-
 def test_later_line_wins(spark, tmp_path):
     lines = [json.dumps({"paper_id": p, "title": t, "abstract": "a", "sections": []}) for p, t in (("p", "one"), ("q", "x"), ("p", "two"))]
     (tmp_path / "a.jsonl").write_text("\n".join(lines))
