@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import text as T
-from lectern.operators import ann, bm25, chunking, rag, sampling, sections, upsert, vector_search
+from lectern.operators import ann, bm25, chunking, lexical, rag, sampling, sections, upsert, vector_search
 from lectern.runtime import load, shared_folder
 from lectern.sources import corpus, filelist, jats
 
@@ -200,6 +200,18 @@ def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.hits(bm25.scores(bm25.open_index(spark, path), QUESTION)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["bm25_index"])
+def lexical_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores through an index that had every second chunk with another text and one chunk too many a text, and followed."""
+    chunks = document_chunks(spark, sf_dir).select("chunk_id", "chunk_text")
+    found = lexical.LexicalIndex(spark, _shared_path(spark))
+    older = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("older thing ores "), F.coalesce("chunk_text", F.lit("")))).otherwise(F.col("chunk_text"))
+    found.upsert(chunks.withColumn("chunk_text", older).unionByName(chunks.withColumn("chunk_id", -1 - F.col("chunk_id"))))
+    found.upsert(chunks)
+    found.delete(chunks.select((-1 - F.col("chunk_id")).alias("chunk_id")))
+    return bm25.hits(bm25.scores(found.open(), QUESTION)).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 _BM25_PAPERS = f"""{_BM25},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS nth FROM hits JOIN chunks USING (chunk_id)),
 papers AS (

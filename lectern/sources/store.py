@@ -74,8 +74,11 @@ def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield ((h + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)
 
 
-class ChunkStore:
-    """The chunk table below a folder that the cluster shares."""
+class VersionedFolder:
+    """A folder that the cluster shares, whose versions are manifests (JSON) that writers put whole under the next number."""
+
+    #: The manifest before the first version.
+    EMPTY: dict = {"version": 0}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -90,13 +93,11 @@ class ChunkStore:
         self._no_overwrite[0] = rename.NONE
         ship(spark)
 
-    # Versions
-
     def _current(self) -> dict:
-        """The newest manifest; an empty one before the first upsert."""
+        """The newest manifest; EMPTY before the first."""
         numbers = [int(n.split("-")[1]) for n, _ in self._listed() if n.startswith("manifest-")]
         if not numbers:
-            return {"version": 0, "base": [], "deltas": [], "streams": {}}
+            return dict(self.EMPTY)
         stream = self._fs.open(self._path(f"{self.path}/manifest-{max(numbers)}"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -126,7 +127,11 @@ class ChunkStore:
     def _delete(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
-    # Rows
+
+class ChunkStore(VersionedFolder):
+    """The chunk table below a folder that the cluster shares."""
+
+    EMPTY = {"version": 0, "base": [], "deltas": [], "streams": {}}
 
     def _rows(self, places: list[str]) -> DataFrame:
         return self.spark.read.schema(_COLUMNS).parquet(*[f"{self.path}/{p}" for p in places]) if places else self.spark.createDataFrame([], _COLUMNS)
@@ -153,8 +158,6 @@ class ChunkStore:
             out = out.unionByName(stale.join(latest.select("k"), "k", "left_anti").select(out.columns)).unionByName(latest.select(out.columns))
         return out.select(_NAMES)
 
-    # Writing
-
     def upsert(self, new: DataFrame, stream: str | None = None, batch: int = 0) -> DataFrame:
         """Upserts rows (CHUNK without id, and seq; the last of a key by seq counts); ValueError, and no change, if the table's rules would break.
 
