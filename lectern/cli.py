@@ -7,6 +7,7 @@ import importlib
 import shlex
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _plugin(name: str):
@@ -51,11 +52,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--corpus", required=True)
     p.add_argument("--store", required=True)
     p.add_argument("--tokenizer", required=True, help="a tokenizers JSON file")
+    p.add_argument("--index", help="a folder whose lexical index follows the store")
     p.add_argument("--provider", default="hashing", help=_provider.__doc__)
     p = sub.add_parser("ask")
     p.add_argument("--store", required=True)
     p.add_argument("--provider", default="hashing", help=_provider.__doc__)
     p.add_argument("--generator", help="module:attribute of a function of prompt and rules; without it the prompt is shown")
+    p.add_argument("--index", help="the lexical index that chunk --index keeps; without it one is made for the session")
     p.add_argument("--questions", help="a file with a question on each line, instead of asking for them")
     for name, default in (("--top-chunks", 3), ("--top-papers", 5), ("--evidence", 3)):
         p.add_argument(name, type=int, default=default)
@@ -124,6 +127,11 @@ def _chunk(spark: SparkSession, args) -> int:
     found, long_headers = chunking.chunks(papers, offsets)
     store = corpus.ChunkStore(spark, args.store)
     store.upsert(embedding.embedded(found, _provider(args.provider)))
+    if args.index:
+        from lectern.operators import lexical, upsert
+        from lectern.schemas import CHUNK_KEY
+
+        lexical.LexicalIndex(spark, args.index).upsert(upsert.last_of_key(found).withColumn("chunk_id", F.xxhash64(*CHUNK_KEY)))  # the store's ids
     print(f"{store.read().count()} chunks, {bad.count() + long_headers.count()} in quarantine")
     return 0
 
@@ -133,7 +141,7 @@ def _ask(spark: SparkSession, args) -> int:
     from lectern.sources.corpus import ChunkStore
 
     generate = _plugin(args.generator) if args.generator else None
-    asker = Asker(ChunkStore(spark, args.store).read(), _provider(args.provider), generate, args.top_chunks, args.top_papers, args.evidence)
+    asker = Asker(ChunkStore(spark, args.store).read(), _provider(args.provider), generate, args.top_chunks, args.top_papers, args.evidence, index_path=args.index)
     if args.questions:
         with open(args.questions, encoding="utf-8") as f:
             print("\n".join(asker.ask_many([q.strip() for q in f if q.strip()])))

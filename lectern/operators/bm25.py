@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lectern.functions.text import STOP_WORDS, spaced_words, tokens
+from lectern.runtime import cut
 
 # The usual parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -175,7 +176,7 @@ def top_papers(chunks: DataFrame, scored: DataFrame, papers: int = 5, evidence:
     chunks: chunk_id, paper_id, title and chunk_text. A paper's score and title are those of
     its best chunk; ties go to the smaller chunk_id.
     """
-    rows = hits(scored).join(chunks.select("chunk_id", "paper_id", "title"), "chunk_id")
+    rows = cut(hits(cut(scored)).join(chunks.select("chunk_id", "paper_id", "title"), "chunk_id"))  # scored once, met once
     order = F.struct(-F.col("score"), F.col("chunk_id"))
     best = rows.groupBy("paper_id").agg(F.max("score").alias("paper_score"), F.min_by("title", order).alias("paper_title"), F.min(order).alias("order"))
     best = best.orderBy("order").limit(papers)

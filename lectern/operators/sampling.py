@@ -28,10 +28,10 @@ def seeded_sample(df: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
 
     n below 0 or above the number of rows is a ValueError.
     """
-    rows = cut(with_position(df))
+    rows = with_position(df)
     size = rows.count()
     if not 0 <= n <= size:
         raise ValueError(f"can't sample {n} of {size} rows")
     picked = [(k, p) for k, p in enumerate(random.Random(seed).sample(range(size), n))]
     chosen = df.sparkSession.createDataFrame(picked, "sample_pos long, position long")
-    return rows.join(F.broadcast(chosen), "position").drop("position")  # n rows
+    return rows.join(chosen, "position").drop("position")  # Spark sends few positions to all tasks, by their size

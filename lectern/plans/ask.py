@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import bm25, embedding, rag, vector_search
+from lectern.operators import bm25, embedding, lexical, rag, vector_search
 
 
 @dataclass
@@ -21,7 +21,7 @@ class Asker:
     top_papers: int = vector_search.TOP_PAPERS
     evidence: int = vector_search.EVIDENCE
     candidates: int | None = None
-    #: Where bm25.write_index left the lexical index; without it one is made and kept in memory.
+    #: Where the lexical index is, one that follows upserts or one that bm25.write_index left; without it one is made and kept in memory.
     index_path: str | None = None
     _index: bm25.Index | None = field(default=None, repr=False)
 
@@ -29,7 +29,8 @@ class Asker:
         dense = vector_search.retrieve(self.chunks, embedding.embed_query(question, self.provider), self.candidates or self.top_chunks, self.top_papers, self.evidence)
         rows = self.chunks.withColumnRenamed("id", "chunk_id")
         if self._index is None and self.index_path:
-            self._index = bm25.open_index(self.chunks.sparkSession, self.index_path)
+            following = lexical.LexicalIndex(self.chunks.sparkSession, self.index_path)
+            self._index = following.open() if following._current()["version"] else bm25.open_index(self.chunks.sparkSession, self.index_path)
         elif self._index is None:
             made = bm25.index(rows)
             self._index = bm25.Index(made.postings.persist(), made.terms.persist(), made.size.persist())

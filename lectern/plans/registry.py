@@ -290,11 +290,17 @@ TITLES = (
     "A. Patients and methods", "Data availability", "Measures", "Survey endpoints", "Related work", "Concluding words", "(3) Summary", "Chapter 4 - Interpretation",
     "Author contributions and methods", "Final remarks", "Study design", "Background", "Variables of the survey", "Mid-term resultsets", "Publisher notes",
 )
-_TITLES_SQL = "titles AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TITLES) + "]) AS title)"
+# A title for each document, some with the name of its source or language behind.
+_TITLES_SQL = f"""titles AS (
+  SELECT doc_id, [{", ".join(f"'{t}'" for t in TITLES)}][doc_id % {len(TITLES)} + 1] || CASE doc_id % 3 WHEN 1 THEN ' ' || coalesce(source, '') WHEN 2 THEN ' ' || coalesce(lang, '') ELSE '' END AS title
+  FROM documents)"""
 
 
-def _titles(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, TITLES))).alias("title"))
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, name = F.col("doc_id"), F.get(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % len(TITLES)).cast("int"))
+    behind = lambda c: F.concat(F.lit(" "), F.coalesce(c, F.lit("")))
+    more = F.when(n % 3 == 1, behind("source")).when(n % 3 == 2, behind("lang")).otherwise("")
+    return load(spark, sf_dir, "documents").select("doc_id", F.concat(name, more).alias("title"))
 
 
 def _normal_title_sql(title: str) -> str:
@@ -317,19 +323,19 @@ def _weak_sql(n: str, strong: str) -> str:
     return f"CASE WHEN {n} <> '' AND NOT {_admin_sql(n)} AND {strong} IS NULL AND regexp_matches({n}, '\\b(?:{T.WEAK_METHODS})\\b') THEN 'methods' END"
 
 
-@query(f"WITH {_TITLES_SQL} SELECT title, {_normal_title_sql('title')} AS normalized FROM titles")
+@query(f"WITH {_TITLES_SQL} SELECT doc_id, title, {_normal_title_sql('title')} AS normalized FROM titles")
 def title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark).select("title", T.normalize_title(F.col("title")).alias("normalized"))
+    return _titles(spark, sf_dir).select("doc_id", "title", T.normalize_title(F.col("title")).alias("normalized"))
 
 
-@query(f"WITH {_TITLES_SQL} SELECT title, {_normal_sql(f'regexp_replace(title, {chr(39)}(?i){T.LABEL}{chr(39)}, {chr(39) * 2})')} AS cleaned FROM titles")
+@query(f"WITH {_TITLES_SQL} SELECT doc_id, title, {_normal_sql(f'regexp_replace(title, {chr(39)}(?i){T.LABEL}{chr(39)}, {chr(39) * 2})')} AS cleaned FROM titles")
 def path_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark).select("title", T.clean_path_title(F.col("title")).alias("cleaned"))
+    return _titles(spark, sf_dir).select("doc_id", "title", T.clean_path_title(F.col("title")).alias("cleaned"))
 
 
-@query(f"WITH {_TITLES_SQL}, n AS (SELECT title, {_normal_title_sql('title')} AS n FROM titles), s AS (SELECT *, {_strong_sql('n')} AS strong FROM n) SELECT title, strong, {_weak_sql('n', 'strong')} AS weak, {_admin_sql('n')} AS admin FROM s")
+@query(f"WITH {_TITLES_SQL}, n AS (SELECT doc_id, title, {_normal_title_sql('title')} AS n FROM titles), s AS (SELECT *, {_strong_sql('n')} AS strong FROM n) SELECT doc_id, title, strong, {_weak_sql('n', 'strong')} AS weak, {_admin_sql('n')} AS admin FROM s")
 def title_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark).select("title", T.title_marks(F.col("title")).alias("m")).select("title", "m.*")
+    return _titles(spark, sf_dir).select("doc_id", "title", T.title_marks(F.col("title")).alias("m")).select("doc_id", "title", "m.*")
 
 
 _SECTION_TITLES = ("Introduction", "Cohort", "2. Methods", "Statistical analysis", "Funding", "Results and discussion", "Details", "Conclusions")
@@ -394,17 +400,20 @@ def keyword_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.distinct_ignoring_case(words), "|").alias("keywords"))
 
 
-_DOIS = (("a", ("10.1/x.r001", "10.1/abcdef")), ("b", ("10.1/abcd", "10.1/abce")), ("c", ("10.1/long.r0001", "10.1/s.r001")), ("d", ("10.1/x.r01", "10.1/verylong")))
+# DOIs of a document: a version, its number, and a name that is as long for some; every fifth has versions alone.
+_DOI_COLUMNS = (
+    "concat('10.1/', source, '.r00', doc_id % 7)", "CASE WHEN doc_id % 5 = 0 THEN concat('10.1/', source, '.r0', 100 + doc_id % 10) ELSE concat('10.1/', doc_id) END",
+    "CASE WHEN doc_id % 5 = 0 THEN concat('10.1/', source, '.r0', 110 + doc_id % 3) ELSE concat('10.1/', 'x', doc_id % 1000) END",
+)
 
 
 @query(
-    "WITH d AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{k}', {n}, '{v}')" for k, many in _DOIS for n, v in enumerate(many))
-    + ") AS t(id, place, doi)) SELECT DISTINCT ON (id) id, doi FROM d ORDER BY id, regexp_matches(doi, '\\.r\\d{3,}$'), length(doi), place"
+    "WITH d AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {k} AS place, {c} AS doi FROM documents" for k, c in enumerate(_DOI_COLUMNS))
+    + ") SELECT DISTINCT ON (doc_id) doc_id, doi FROM d ORDER BY doc_id, regexp_matches(doi, '\\.r\\d{3,}$'), length(doi), place"
 )
 def doi_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, many)).alias("dois")) for k, many in _DOIS])
-    return spark.range(1).select(F.inline(rows)).select("id", T.best_doi(F.col("dois")).alias("doi"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.best_doi(F.array(*map(F.expr, _DOI_COLUMNS))).alias("doi"))
 
 
 @query(

@@ -144,6 +144,10 @@ def parse_article(content: bytes) -> dict:
     }
 
 
+#: Bytes of parsed papers in one batch, about.
+BATCH_BYTES = 1 << 22
+
+
 def raw_papers(files: DataFrame) -> DataFrame:
     """RAW_PAPER of binary files (path, content); a file that can't be parsed has only file and error."""
     ship(files.sparkSession)
@@ -151,6 +155,7 @@ def raw_papers(files: DataFrame) -> DataFrame:
     schema = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for path, content in zip(b.column(0), b.column(1)):
                 try:
@@ -158,7 +163,13 @@ def raw_papers(files: DataFrame) -> DataFrame:
                     out = pa.RecordBatch.from_pylist([row | {"file": path.as_py()}], schema)
                 except Exception as reason:  # whatever a file breaks, only that file goes to quarantine
                     out = pa.RecordBatch.from_pylist([{"error": f"{reason}" or type(reason).__name__, "file": path.as_py()}], schema)
-                yield out
+                held.append(out)
+                size += out.nbytes
+                if size > BATCH_BYTES:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return files.select("path", "content").mapInArrow(run, kind)
 

@@ -48,7 +48,7 @@ def test_fetch_download_single_and_questions(spark, tmp_path, capsys):
     assert cli.main(["parse", "--input", str(tmp_path / "got" / "2.xml"), "--out_dir", str(tmp_path), "--single"]) == 0
     assert spark.read.json(str(tmp_path / "paper.json")).first().paper_id == "2"
     assert cli.main(["parse", "--input", str(tmp_path / "got"), "--out_dir", str(tmp_path)]) == 0
-    assert cli.main(["chunk", "--corpus", str(tmp_path / "corpus.jsonl"), "--store", str(tmp_path / "store"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--provider", "hashing"]) == 0
+    assert cli.main(["chunk", "--corpus", str(tmp_path / "corpus.jsonl"), "--store", str(tmp_path / "store"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--provider", "hashing", "--index", str(tmp_path / "lexical")]) == 0
     (tmp_path / "q.txt").write_text("mice\n\nrats\n")
-    assert cli.main(["ask", "--store", str(tmp_path / "store"), "--generator", "test_cli:shortened", "--questions", str(tmp_path / "q.txt")]) == 0
+    assert cli.main(["ask", "--store", str(tmp_path / "store"), "--index", str(tmp_path / "lexical"), "--generator", "test_cli:shortened", "--questions", str(tmp_path / "q.txt")]) == 0
     assert capsys.readouterr().out.splitlines()[-2:] == ["MICE", "RATS"]

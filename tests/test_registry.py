@@ -11,7 +11,7 @@ SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "events documents embeddings pages conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 #: Queries whose rows depend on ties and sizes that the smallest tables do not have.
-ON_LARGE = ("bm25_chunks", "bm25_index", "bm25_papers", "hybrid_context", "seeded_sample", "vector_topk_batch", "ann_all_lists", "keyword_dedup", "chunk_upsert")
+ON_LARGE = ("bm25_chunks", "bm25_index", "lexical_upserts", "bm25_papers", "hybrid_context", "seeded_sample", "vector_topk_batch", "ann_all_lists", "keyword_dedup", "chunk_upsert")
 
 
 @pytest.fixture(scope="module")
