@@ -34,8 +34,8 @@ class Asker:
         elif self._index is None:
             made = bm25.index(rows)
             self._index = bm25.Index(made.postings.persist(), made.terms.persist(), made.size.persist())
-        lexical = bm25.top_papers(rows, bm25.scores(self._index, question), self.top_papers, self.top_chunks)
-        return rag.dense_sources(dense).unionByName(rag.lexical_sources(lexical, rows.select("chunk_id", F.col("path_string"))))
+        found = bm25.top_papers(rows, bm25.scores(self._index, question), self.top_papers, self.top_chunks)
+        return rag.dense_sources(dense).unionByName(rag.lexical_sources(found, rows.select("chunk_id", F.col("path_string"))))
 
     def ask(self, question: str) -> str:
         return rag.answer(question, self.sources(question), self.generate)
