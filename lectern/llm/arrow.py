@@ -32,10 +32,23 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def map_rows(df: DataFrame, per_batch: Callable[[Callable[[pa.RecordBatch], dict]], dict], ddl: str) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together until they have ``most`` bytes; all as they are if that is 0."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def map_rows(df: DataFrame, per_batch: Callable[[Callable[[pa.RecordBatch], dict]], dict], ddl: str, gather: int = 0) -> DataFrame:
     """mapInArrow whose function turns a batch into a dict of columns named as in ``ddl``.
 
-    ``per_batch`` is called once per task and returns the function for each batch.
+    ``per_batch`` is called once per task and returns the function for each batch, or for
+    batches put together until they have ``gather`` bytes.
     """
     ship(df.sparkSession)
     bound_batches(df.sparkSession)
@@ -44,7 +57,7 @@ def map_rows(df: DataFrame, per_batch: Callable[[Callable[[pa.RecordBatch], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = per_batch()
-        for batch in batches:
+        for batch in _gathered(batches, gather):
             out = one(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in schema], schema=schema)

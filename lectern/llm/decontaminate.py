@@ -5,9 +5,13 @@ automaton accepts every word sequence inside an item; streaming a document throu
 gives at each word the longest suffix that some item contains, so every occurrence of a
 window (13 consecutive item words, or a whole shorter item) shows as a match length.
 
-The benchmark is cut into blocks of BLOCK_WORDS words, an automaton each; a task holds KEEP
-of them at most, and PASS_BLOCKS are sent to the tasks for one pass over the documents. A
-larger benchmark takes more passes, whose hits are merged, so what is broadcast is bounded.
+The benchmark is dealt to blocks of about BLOCK_WORDS words, an automaton each, which tasks
+build at the same time and keep in a table; long items are dealt in pieces that overlap by a
+window less a word. The driver hands automata on one by one. PASS_BLOCKS, packed, go to the
+tasks for one pass over the documents; a task has KEEP unpacked at most. Where there are
+more, it gathers GATHER bytes of texts before it takes one automaton after the other, so each
+is unpacked once for so much text. A larger benchmark takes more passes, whose hits are
+merged, so what is broadcast is bounded.
 
 ``filtered`` removes what exceeds a limit: documents whose hits cover one word in COVERAGE
 go, and from the others each span of hit words is cut out.
@@ -21,10 +25,13 @@ untouched results.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import column, keyed_texts, map_rows, sha, texts
-from lectern.runtime import written
+from lectern.runtime import discard, written
 
 WINDOW = 13
-#: Words of items in one automaton, automata that a task holds at once, and that go out for one pass.
+#: Words of items in one automaton, automata that a task has unpacked at once, and that go out for one pass.
 BLOCK_WORDS, KEEP, PASS_BLOCKS = 200_000, 4, 32
+#: Bytes of texts that meet an automaton each time it is unpacked, where there are more than KEEP.
+GATHER = 1 << 25
 #: A document is contaminated if hits cover at least one word in so many.
 COVERAGE = 20
 
@@ -160,51 +169,89 @@ class SuffixAutomaton:
         items.update(self.names[k] for u in seen for k in self.ends[u] if k >= 0)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
-    """Items as lists of (id, words), a bounded number of words in each."""
-    block, total = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
-    for item, text in rows.toLocalIterator():
-        words = words_of(text)
-        if words:
-            block.append((item, words))
-            total += len(words)
-        if total >= block_words:
-            yield block
-            block, total = [], 0
-    if block:
-        yield block
+def _pieces(words: list[bytes], window: int, block_words: int) -> Iterator[list[bytes]]:
+    """Pieces that hold the same windows, none longer than an eighth of a block unless a window is."""
+    most = max(block_words // 8, window)
+    if len(words) <= most:
+        yield words
+    else:
+        for k in range(0, len(words) - window + 1, most - window + 1):
+            yield words[k : k + most]
+
+
+def _automata(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """(block, data): packed automata of a benchmark's blocks, built by tasks and written to the shared folder."""
+
+    def per_task():
+        def one(batch: pa.RecordBatch) -> dict:
+            item, rows = column(batch, "item_id").to_pylist(), [words_of(t) for t in texts(batch)]
+            found = [(i, p) for i, w in zip(item, rows) if w for p in _pieces(w, window, block_words)]
+            return {"item": [i for i, _ in found], "n": [len(p) for _, p in found], "words": [b" ".join(p) for _, p in found]}
+
+        return one
+
+    def build(table: pa.Table) -> pa.Table:
+        items = sorted(zip(table["item"].to_pylist(), table["words"].to_pylist()), key=lambda x: (x[0] or "", x[1]))
+        made = SuffixAutomaton([(item, words.split()) for item, words in items], window)
+        return pa.table({"block": table["block"][:1], "data": pa.array([packed(made)], pa.binary())})
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    pieces = written(map_rows(items, per_task, "item string, n long, words binary").distinct())
+    blocks = ceil((pieces.agg(F.sum("n")).first()[0] or 0) / block_words)
+    # A number of parts that is asked for stays, so that each block is a task's.
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(blocks, 1))).cast("int")).repartitionByRange(max(blocks, 1), "block")
+    made = written(dealt.groupBy("block").applyInArrow(build, "block int, data binary"))
+    discard(pieces)
+    return made
+
+
+def packed(automaton: SuffixAutomaton) -> bytes:
+    return zlib.compress(pickle.dumps(automaton, pickle.HIGHEST_PROTOCOL), 1)
+
+
+@lru_cache(KEEP)
+def unpacked(data: bytes) -> SuffixAutomaton:
+    """An automaton; a worker has the last KEEP, also for the tasks that come after."""
+    return pickle.loads(zlib.decompress(data))
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> Iterator[list]:
-    """Automata, sent to the tasks, of one pass over the documents after the other; one empty pass without items."""
+    """Packed automata, sent to the tasks, of one pass over the documents after the other; one empty pass without items."""
     sc = docs.sparkSession.sparkContext
+    made = _automata(benchmark, window, block_words)
     sent: list = []
     some = False
-    for block in _blocks(benchmark, block_words):
+    for row in made.toLocalIterator():
         if len(sent) == PASS_BLOCKS:
             yield sent
             sent = []
-        sent.append(sc.broadcast(SuffixAutomaton(block, window)))  # BLOCK_WORDS words
+        sent.append(sc.broadcast(bytes(row.data)))  # BLOCK_WORDS words
         some = True
+    discard(made)
     if sent or not some:
         yield sent
 
 
+def gathered_bytes(automata: list) -> int:
+    """Bytes of texts that a task gathers before it takes one automaton after the other; 0 if it keeps all unpacked."""
+    return GATHER if len(automata) > KEEP else 0
+
+
 class _Held:
-    """The automata of a pass, KEEP of them in memory at most."""
+    """The automata of a pass, as a task uses them."""
 
     def __init__(self, automata: list):
         self.automata = automata
-        self.open = lru_cache(KEEP)(lambda k: automata[k].load_from_path(automata[k]._path) if len(automata) > KEEP else automata[k].value)
-
-    def hits(self, words: list[list[bytes]]) -> tuple[list[np.ndarray], list[set]]:
-        """Per text: whether each word is hit, and the items."""
-        hits = [np.zeros(len(w) + 1, np.int64) for w in words]
-        items: list[set] = [set() for _ in words]
-        for k in range(len(self.automata)):
-            scan = self.open(k).scan
-            for w, h, i in zip(words, hits, items):
+        self.gather = gathered_bytes(automata)
+
+    def hits(self, found: list[str]) -> tuple[list[np.ndarray], list[set]]:
+        """Per text: whether each word is hit, and the items; each automaton is unpacked once at most."""
+        few = [words_of(t) for t in found] if not self.gather else None
+        hits = [np.zeros(len(w) + 1, np.int64) for w in few or map(words_of, found)]
+        items: list[set] = [set() for _ in found]
+        for sent in self.automata:
+            scan = unpacked(sent.value).scan
+            for w, h, i in zip(few or map(words_of, found), hits, items):
                 scan(w, h, i)
         return [np.cumsum(h[:-1]) > 0 for h in hits], items
 
@@ -240,14 +287,14 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words:
             held = _Held(sent)
 
             def one(batch: pa.RecordBatch) -> dict:
-                hits, items = held.hits([words_of(t) for t in texts(batch)])
+                hits, items = held.hits(texts(batch))
                 some = [k for k, h in enumerate(hits) if h.any()]
                 spans = [[{"start": a, "end": b} for a, b in _ranges(hits[k])] for k in some]
                 return {"doc_id": column(batch, "doc_id").take(some), "th": column(batch, "th").take(some), "spans": spans, "items": [sorted(items[k]) for k in some]}
 
             return one
 
-        parts.append(written(map_rows(keyed, per_task, f"doc_id long, th long, spans {_SPANS}, items array<string>")))
+        parts.append(written(map_rows(keyed, per_task, f"doc_id long, th long, spans {_SPANS}, items array<string>", gathered_bytes(sent))))
         for b in sent:
             b.unpersist()
     found = reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "th", "spans", "items"])
@@ -259,8 +306,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words:
 
 def _hits_of(batch: pa.RecordBatch, held: _Held) -> tuple[list[np.ndarray], list[set]]:
     """Hit words and items of a batch's texts, from earlier passes or found now."""
-    words = [words_of(t) for t in texts(batch)]
-    hits, items = held.hits(words)
+    hits, items = held.hits(texts(batch))
     if "earlier" in batch.schema.names:
         for h, i, e in zip(hits, items, column(batch, "earlier").to_pylist()):
             for span in (e or {}).get("spans", ()):
@@ -302,7 +348,7 @@ def filtered(docs: DataFrame, benchmark: DataFrame, ddl: str, window: int = WIND
 
         return one
 
-    return map_rows(rows, per_task, ddl)
+    return map_rows(rows, per_task, ddl, gathered_bytes(automata))
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -328,4 +374,4 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         return one
 
-    return map_rows(rows, per_task, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {_SPANS}")
+    return map_rows(rows, per_task, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {_SPANS}", gathered_bytes(automata))

@@ -50,6 +50,35 @@ def test_equals_brute_force(spark, passes, monkeypatch):
             assert sorted(map(tuple, got)) == sorted(brute(docs, items, window))
 
 
+def test_an_automaton_is_unpacked_once_for_the_texts_of_a_call():
+    rng = random.Random(5)
+    word = lambda: "w%d" % rng.randrange(30)
+    items = [(str(k), " ".join(word() for _ in range(40))) for k in range(3 * dc.KEEP)]
+    docs = [(k, " ".join(word() for _ in range(60)) + " " + items[k % len(items)][1][: 5 * k]) for k in range(50)]
+
+    class Sent:
+        def __init__(self, item):
+            self.value = dc.packed(dc.SuffixAutomaton([(item[0], dc.words_of(item[1]))], 3))
+
+    held = dc._Held([Sent(i) for i in items])
+    assert held.gather
+    before = dc.unpacked.cache_info().misses
+    hits, names = held.hits([t for _, t in docs])
+    assert dc.unpacked.cache_info().misses - before == len(items)
+    assert dc.unpacked.cache_info().currsize <= dc.KEEP
+    got = [(d, len(h), int(h.sum()), len(n), sha(",".join(sorted(n))), dc.is_contaminated(int(h.sum()), len(h))) for (d, _), h, n in zip(docs, hits, names)]
+    assert got == brute(docs, items, 3)
+
+
+def test_pieces_of_long_items_hold_the_same_windows():
+    for n in (1, 12, 13, 14, 30, 31, 199, 200, 201):
+        words = [b"%d" % k for k in range(n)]
+        for most in (1, 104, 160, 10**6):
+            pieces = list(dc._pieces(words, 13, most))
+            windows = [tuple(p[k : k + 13]) for p in pieces for k in range(max(1, len(p) - 12))]
+            assert windows == [tuple(words[k : k + 13]) for k in range(max(1, n - 12))]
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b", 2)], "doc_id long, text string, n_hit int")
     none = spark.createDataFrame([], "item_id long, text string")
