@@ -9,8 +9,10 @@ distance becomes a candidate. Documents with equal sets are one node throughout.
 Inside an entry's group, nodes under that distance, or within FAR differing symbols of all
 SYMBOLS, are joined into clusters; so no pair that the join guarantees is left out. Each
 cluster's full sets then meet, and links are confirmed by exact overlap counts; components
-of the links are the result. Groups and clusters above BLOCK nodes are cut into blocks,
-and every pair of blocks is a task of its own, so none is ever gathered whole.
+of the links are the result. Groups and clusters above BLOCK nodes are cut into blocks, each
+a task of its own with some LEADERS of the whole group, so none is ever gathered whole. Only
+nodes that this leaves outside the group's largest component meet the other blocks, so a
+cluster of n like texts costs about n, and no pair of nodes that are not joined is left out.
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer words
 than a shingle make one shingle of the whole sequence; repeated rows are one node and all
@@ -22,7 +24,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +45,8 @@ NEAR = CHUNKS * (ERRORS + 1) - 1
 FAR = 44
 #: Nodes in a block.
 BLOCK = 1024
+#: Nodes of a group of several blocks, about so many, that each of its blocks gets, too.
+LEADERS = 32
 #: Places that the rows of one component are dealt to when they get its name.
 SALTS = 64
 #: Links have 100 * intersection >= LEAST * union.
@@ -159,14 +163,6 @@ def shared_entries(nodes: DataFrame) -> DataFrame:
     return packed.repartition(buckets, "bucket").mapInArrow(groups, "gid long, rid long, size long").dropDuplicates(["gid", "rid"])
 
 
-def by_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """Rows with block, low and high: groups above BLOCK rows are cut into blocks, each pair of blocks once."""
-    parts = F.ceil(F.col(size) / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rid"), parts).cast("int")
-    other = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return other.select(*rows.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
     """(key, columns) of consecutive rows with equal first ``keys`` columns."""
     now, held = None, None
@@ -205,11 +201,11 @@ class Union:
         return self.up
 
 
-def near_pairs(signatures: np.ndarray) -> Union:
-    """Joins all rows within NEAR differing indexed symbols or FAR of all, leaving out pairs that are joined already."""
+def near_pairs(signatures: np.ndarray, asked: int | None = None) -> Union:
+    """Joins the first ``asked`` rows, or all, to rows within NEAR differing indexed symbols or FAR of all, leaving out pairs that are joined already."""
     n = len(signatures)
     union = Union(n)
-    for i in range(n):
+    for i in range(n if asked is None else asked):
         roots = union.roots()
         rest = np.flatnonzero(roots[i:] != roots[i]) + i
         if not len(rest):
@@ -221,23 +217,88 @@ def near_pairs(signatures: np.ndarray) -> Union:
     return union
 
 
-def candidate_edges(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that join, inside each shared group, nodes within FAR differing symbols."""
+Link = Callable[[list[bytes], int], Union]
+
+
+def _first_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (gid, rid, size) dealt to blocks (gid, side, low, high), leaders of large groups to every block; all ask."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    leads = F.pmod(F.xxhash64("rid", F.lit("leader")), F.lit(1 << 30)) * F.lit(1.0) * F.col("size") < F.lit(float(LEADERS << 30))
+    own = F.pmod(F.xxhash64("rid"), parts).cast("int")
+    blocks = F.when((parts > 1) & leads, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    dealt = rows.withColumn("low", F.explode(blocks))
+    return dealt.select("gid", F.lit(0).alias("side"), "low", F.col("low").alias("high"), F.lit(0).alias("main"), "rid")
+
+
+def _open_blocks(large: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The blocks in which nodes outside the largest component of their group meet each other (side 0) and that component (side 1).
+
+    ``large`` has rows (gid, rid, size), ``found`` the components (node, root) so far. None where each group is joined.
+    """
+    known = large.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("root", "rid"))
+    counts = known.groupBy("gid", "class").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("gid").agg(F.max_by("class", F.struct("n", "class")).alias("most"), (F.sum("n") - F.max("n")).alias("left"), F.max("n").alias("joined"))
+    split = cut(largest.where("left > 0"))
+    if split.isEmpty():
+        return None
+    q, p = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("left", "joined"))
+    main = F.col("class") == F.col("most")
+    own = F.pmod(F.xxhash64("rid"), F.when(main, p).otherwise(q)).cast("int")
+
+    def places(count, side: int, low, high):
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(F.lit(side).alias("side"), low(k).alias("low"), high(k).alias("high")))
+
+    same = lambda k: k
+    each = F.col("own")
+    among = places(q, 0, lambda k: F.least(each, k), lambda k: F.greatest(each, k))
+    blocks = F.when(main, places(q, 1, same, lambda k: each)).otherwise(F.concat(among, places(p, 1, lambda k: each, same)))
+    dealt = known.join(split, "gid").withColumn("own", own).withColumn("at", F.explode(blocks))
+    return dealt.select("gid", "at.side", "at.low", "at.high", main.cast("int").alias("main"), "rid")
+
+
+def _joined(blocks: DataFrame, payload: DataFrame, link: Link) -> DataFrame:
+    """Edges (a, b) that ``link`` finds in each block, where its second argument says how many rows ask: on side 1 those outside the component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (rid, sig) in grouped(batches, 3):
-            roots = near_pairs(np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SYMBOLS)).roots()
+        for (_, side, _, _), (main, rid, data) in grouped(batches, 4):
+            roots = link(data, len(main) - sum(main) if side else len(main)).roots()
             own = np.flatnonzero(roots != np.arange(len(roots)))
             if len(own):
                 rid = np.array(rid)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(rid[roots[own]])], ["a", "b"])
 
-    rows = by_blocks(shared, "gid", "size").join(nodes.select("rid", "sig"), "rid")
-    return rows.select("gid", "low", "high", "rid", "sig").repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high", "rid").mapInArrow(run, "a long, b long")
+    place = ["gid", "side", "low", "high"]
+    rows = blocks.join(payload, "rid").select(*place, "main", "rid", "data")
+    return rows.repartition(*place).sortWithinPartitions(*place, "main", "rid").mapInArrow(run, "a long, b long")
+
+
+def joined_in_groups(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], link: Link) -> DataFrame:
+    """(node, root): components of the nodes that ``link`` joins inside groups of ``rows`` (gid, rid, size).
 
+    ``payload`` gives the (rid, data) of the nodes in a table of blocks. Pairs that other
+    pairs join already may go unasked; no other pair of a group does.
+    """
+    blocks = _first_blocks(rows)
+    found = cut(connected_components(_joined(blocks, payload(blocks), link)))
+    large = rows.where(F.col("size") > BLOCK)
+    blocks = None if large.isEmpty() else _open_blocks(large, found)
+    if blocks is None:
+        return found
+    more = _joined(blocks, payload(blocks), link)
+    return cut(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
-def exact_links(sets: list[np.ndarray], least: int = LEAST) -> Union:
-    """Joins all sets with 100 * intersection >= least * union, by overlap counts over posting lists."""
+
+def candidates(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Clusters (node, root) of nodes that are candidates inside shared groups."""
+
+    def link(data: list[bytes], asked: int) -> Union:
+        return near_pairs(np.frombuffer(b"".join(data), np.uint16).reshape(-1, SYMBOLS), asked)
+
+    return joined_in_groups(shared, lambda _: nodes.select("rid", F.col("sig").alias("data")), link)
+
+
+def exact_links(sets: list[np.ndarray], asked: int | None = None, least: int = LEAST) -> Union:
+    """Joins the first ``asked`` sets, or all, to sets with 100 * intersection >= least * union, by overlap counts over posting lists."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(n), sizes)
@@ -246,7 +307,7 @@ def exact_links(sets: list[np.ndarray], least: int = LEAST) -> Union:
     posting, begin = owner[order], np.concatenate(([0], np.cumsum(np.bincount(token))))
     first = np.concatenate(([0], np.cumsum(sizes)))
     union = Union(n)
-    for i in range(n - 1):
+    for i in range(n - 1 if asked is None else min(asked, n - 1)):
         mine = token[first[i] : first[i + 1]]
         lo, hi = begin[mine], begin[mine + 1]
         width = hi - lo
@@ -258,31 +319,23 @@ def exact_links(sets: list[np.ndarray], least: int = LEAST) -> Union:
     return union
 
 
-def confirmed_edges(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes whose full sets are linked, from clusters (node, root)."""
-    wanted = clusters.join(nodes.select(F.col("rid").alias("node"), "doc_id", "th"), "node")
-    size = wanted.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = by_blocks(wanted.join(size, "root").select("root", F.col("node").alias("rid"), "size", "doc_id", "th"), "root", "size")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (rid, sets) in grouped(batches, 3):
-            roots = exact_links([np.frombuffer(x, np.uint64) for x in sets]).roots()
-            own = np.flatnonzero(roots != np.arange(len(roots)))
-            if len(own):
-                rid = np.array(rid)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(rid[roots[own]])], ["a", "b"])
+def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Components (node, root) of nodes whose full sets are linked, from clusters (node, root)."""
+    size = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    wanted = clusters.join(size, "root").select(F.col("root").alias("gid"), F.col("node").alias("rid"), "size")
 
     def per_task():
         def one(batch: pa.RecordBatch) -> dict:
-            return {"rid": column(batch, "rid"), "set": [shingles(t).tobytes() for t in texts(batch)]}
+            return {"rid": column(batch, "rid"), "data": [shingles(t).tobytes() for t in texts(batch)]}
 
         return one
 
-    ids = wanted.select("rid", "doc_id", "th").distinct()
-    found = _rows_of(docs).alias("d").join(ids.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
-    sets = map_rows(found.select("rid", "text"), per_task, "rid long, set binary").dropDuplicates(["rid"])
-    rows = wanted.select("root", "low", "high", "rid").join(sets, "rid").select("root", "low", "high", "rid", "set")
-    return rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "rid").mapInArrow(run, "a long, b long")
+    def sets(blocks: DataFrame) -> DataFrame:
+        ids = nodes.select("rid", "doc_id", "th").join(blocks.select("rid").distinct(), "rid", "left_semi")
+        found = _rows_of(docs).alias("d").join(ids.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
+        return map_rows(found.select("rid", "text"), per_task, "rid long, data binary").dropDuplicates(["rid"])
+
+    return joined_in_groups(wanted, sets, lambda data, asked: exact_links([np.frombuffer(x, np.uint64) for x in data], asked))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -291,9 +344,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprints(docs))
     one = cut(prints.where("node is not null").groupBy("node").agg(F.min("rid").alias("rep")))
     nodes = cut(prints.join(one.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "th", "sig"))
-    edges = candidate_edges(cut(shared_entries(nodes)), nodes)
-    clusters = cut(connected_components(edges))
-    roots = connected_components(confirmed_edges(docs, nodes, clusters)).select(F.col("node").alias("rep"), "root")
+    clusters = candidates(cut(shared_entries(nodes)), nodes)
+    roots = confirmed(docs, nodes, clusters).select(F.col("node").alias("rep"), "root")
     # Node by node first, so that rows meet their class in one join, whose skew Spark can split.
     named = cut(one.join(roots, "rep", "left").select("node", F.coalesce("root", "rep").alias("class")))
     rows = prints.select("doc_id", "th", "n_shingles", "node", "rid")

@@ -45,9 +45,10 @@ def corpus(seed):
     return out + [(None, out[0][1]), out[1]]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 4096), (2, 3)])
-def test_equals_brute_force(spark, seed, block, monkeypatch):
+@pytest.mark.parametrize("seed,block,leaders", [(1, 4096, 32), (2, 3, 1)])
+def test_equals_brute_force(spark, seed, block, leaders, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y")
     got = neardup.near_duplicates(docs).collect()
@@ -55,6 +56,40 @@ def test_equals_brute_force(spark, seed, block, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("leaders", [0, 3])
+def test_no_link_between_blocks_is_lost(spark, leaders, monkeypatch):
+    """Chains of numbers, whose links are between next numbers alone, in one group of many blocks and one of few."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
+    value = {k: k + k // 20 for k in range(60)} | {k: 10**6 + 7 * k for k in range(100, 107)}  # three chains, seven alone
+    rows = spark.createDataFrame([(int(k >= 100), k, 60 if k < 100 else 7) for k in value], "gid long, rid long, size long")
+    data = spark.createDataFrame([(k, str(v).encode()) for k, v in value.items()], "rid long, data binary")
+
+    def link(data, asked):
+        x = [int(d) for d in data]
+        union = neardup.Union(len(x))
+        for i in range(asked):
+            for j in range(len(x)):
+                if abs(x[i] - x[j]) == 1:
+                    union.join(i, j)
+        return union
+
+    got = neardup.joined_in_groups(rows, lambda _: data, link).collect()
+    assert {(r.node, r.root) for r in got} == {(k, k // 20 * 20) for k in range(60)}
+
+
+def test_a_large_group_of_like_nodes_goes_out_about_once(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("7L AS gid", "id AS rid", f"{n}L AS size")
+    blocks = neardup._first_blocks(rows)
+    assert n < blocks.count() < 1.1 * n
+    assert blocks.groupBy("low").count().agg({"count": "max"}).first()[0] < 1.2 * neardup.BLOCK
+    joined = spark.range(n).selectExpr("id AS node", "0L AS root")
+    assert neardup._open_blocks(rows, joined) is None
+    most = neardup._open_blocks(rows, joined.where("node % 1000 <> 1")).count()  # 20 nodes left
+    assert most < n + 50 * 20
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, th string")
     assert neardup.near_duplicates(docs).count() == 0
