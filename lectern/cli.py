@@ -6,9 +6,11 @@ import argparse
 import importlib
 import shlex
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.runtime import cut, discard, written
+
 
 def _plugin(name: str):
     """The object that ``module:attribute`` names."""
@@ -16,12 +18,14 @@ def _plugin(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
-def _provider(name: str):
-    """hashing, sentence:MODEL, or a provider of your own as module:attribute."""
-    from lectern.operators import embedding
+def _provider(spark: SparkSession, name: str):
+    """hashing, trained:FOLDER (vectors that chunk --train keeps), sentence:MODEL, or a provider of your own as module:attribute."""
+    from lectern.operators import embedding, lsa
 
     if name == "hashing":
         return embedding.hashing_provider()
+    if name.startswith("trained:"):
+        return lsa.provider(spark, lsa.load(spark, name.partition(":")[2]))
     if name.startswith("sentence:"):
         return embedding.sentence_provider(name.partition(":")[2])
     return _plugin(name)
@@ -54,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--tokenizer", required=True, help="a tokenizers JSON file")
     p.add_argument("--index", help="a folder whose lexical index follows the store")
     p.add_argument("--provider", default="hashing", help=_provider.__doc__)
+    p.add_argument("--train", help="train vectors on these chunks, keep them in this folder and embed with them; further chunks of the store want --provider trained:FOLDER")
     p = sub.add_parser("ask")
     p.add_argument("--store", required=True)
     p.add_argument("--provider", default="hashing", help=_provider.__doc__)
@@ -87,19 +92,19 @@ def _sample(spark: SparkSession, args) -> int:
 
 
 def _download(spark: SparkSession, args) -> int:
-    from lectern.runtime import cut
     from lectern.sources import filelist, objects
 
     files = filelist.read_file_list(spark, args.filelist)
     if not args.existing:
         files = cut(filelist.sample_files(files, args.n, args.seed))
         filelist.write_manifest(files, f"{args.out_dir}/manifest")
-    done = cut(objects.fetch(files, args.out_dir, objects.command_fetcher(*shlex.split(args.fetch))))  # each object once
-    failed = done.where("not ok")
-    n_failed = failed.count()
-    if n_failed:
-        filelist.write_failures(failed, f"{args.out_dir}/failed_downloads")
-    print(f"{done.count() - n_failed} fetched, {n_failed} failed, {objects.count_xml_files(spark, args.out_dir)} XML files in {args.out_dir}")
+    seen = Observation()
+    fetched = objects.fetch(files, args.out_dir, objects.command_fetcher(*shlex.split(args.fetch)))
+    done = written(fetched.observe(seen, F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad")))  # each object once
+    if seen.get["bad"]:
+        filelist.write_failures(done.where("not ok"), f"{args.out_dir}/failed_downloads")
+    discard(done)
+    print(f"{seen.get['good']} fetched, {seen.get['bad']} failed, {objects.count_xml_files(spark, args.out_dir)} XML files in {args.out_dir}")
     return 0
 
 
@@ -118,21 +123,25 @@ def _parse(spark: SparkSession, args) -> int:
 
 
 def _chunk(spark: SparkSession, args) -> int:
-    from lectern.operators import chunking, embedding
+    from lectern.operators import chunking, embedding, lsa
     from lectern.sources import corpus
 
-    papers, bad = corpus.read_jsonl(spark, args.corpus)
+    lines, parts = Observation(), Observation()
+    papers, _ = corpus.read_jsonl(spark, args.corpus, lines)
     with open(args.tokenizer, encoding="utf-8") as f:
         offsets = chunking.offsets_udf(chunking.library_tokenizer(f.read()))
-    found, long_headers = chunking.chunks(papers, offsets)
+    found = written(chunking.chunks(papers, offsets, seen=parts)[0])  # one pass over the corpus, whose metrics count what is left out
+    if args.train:
+        lsa.fit(found, "chunk_text").save(spark, args.train)
     store = corpus.ChunkStore(spark, args.store)
-    store.upsert(embedding.embedded(found, _provider(args.provider)))
+    store.upsert(embedding.embedded(found, _provider(spark, f"trained:{args.train}" if args.train else args.provider)))
     if args.index:
         from lectern.operators import lexical, upsert
         from lectern.schemas import CHUNK_KEY
 
         lexical.LexicalIndex(spark, args.index).upsert(upsert.last_of_key(found).withColumn("chunk_id", F.xxhash64(*CHUNK_KEY)))  # the store's ids
-    print(f"{store.read().count()} chunks, {bad.count() + long_headers.count()} in quarantine")
+    discard(found)
+    print(f"{store.read().count()} chunks, {(lines.get['bad'] or 0) + (parts.get['bad'] or 0)} in quarantine")
     return 0
 
 
@@ -141,7 +150,7 @@ def _ask(spark: SparkSession, args) -> int:
     from lectern.sources.corpus import ChunkStore
 
     generate = _plugin(args.generator) if args.generator else None
-    asker = Asker(ChunkStore(spark, args.store).read(), _provider(args.provider), generate, args.top_chunks, args.top_papers, args.evidence, index_path=args.index)
+    asker = Asker(ChunkStore(spark, args.store).read(), _provider(spark, args.provider), generate, args.top_chunks, args.top_papers, args.evidence, index_path=args.index)
     if args.questions:
         with open(args.questions, encoding="utf-8") as f:
             print("\n".join(asker.ask_many([q.strip() for q in f if q.strip()])))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -79,11 +79,16 @@ def _order(papers: DataFrame) -> list[str]:
     return [c for c in ("seq",) if c in papers.columns]
 
 
-def chunks(papers: DataFrame, offsets, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(chunks, quarantine): chunks have chunk_index and chunk_text; parts whose header fills the window go to quarantine."""
+def chunks(papers: DataFrame, offsets, window: int = WINDOW, overlap: int = OVERLAP, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, quarantine): chunks have chunk_index and chunk_text; parts whose header fills the window go to quarantine.
+
+    ``seen`` has the number of parts in quarantine as bad, once an action has read all chunks.
+    """
     ship(papers.sparkSession)
     rows = parts(papers).withColumn("at", offsets("text")).withColumn("header_tokens", F.size(offsets(F.coalesce("header", F.lit("")))))
     too_long = F.col("header_tokens") >= window
+    if seen is not None:
+        rows = rows.observe(seen, F.count_if(too_long).alias("bad"))
     bad = rows.where(too_long).select("paper_id", "section_index", F.concat(F.lit("header of "), "header_tokens", F.lit(" tokens leaves no room")).alias("error"))
     starts = window_starts(F.size("at"), F.col("header_tokens"), window, overlap)
     cut = rows.where(~too_long).select("*", F.posexplode(starts).alias("chunk_index", "first"))

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 
 from lectern import cli
+from lectern.sources.corpus import ChunkStore
 
 ARTICLE = "<article><front><article-meta><article-id pub-id-type='pmid'>{0}</article-id><title-group><article-title>Paper {0}</article-title></title-group></article-meta></front><body><sec><title>Results</title><p>rats and mice number {0}</p></sec></body></article>"
 
@@ -49,6 +50,16 @@ def test_fetch_download_single_and_questions(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "paper.json")).first().paper_id == "2"
     assert cli.main(["parse", "--input", str(tmp_path / "got"), "--out_dir", str(tmp_path)]) == 0
     assert cli.main(["chunk", "--corpus", str(tmp_path / "corpus.jsonl"), "--store", str(tmp_path / "store"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--provider", "hashing", "--index", str(tmp_path / "lexical")]) == 0
+    trained = f"trained:{tmp_path}/vectors"
+    corpus = (tmp_path / "corpus.jsonl").read_text() if (tmp_path / "corpus.jsonl").is_file() else "".join(p.read_text() for p in sorted((tmp_path / "corpus.jsonl").glob("part-*")))
+    (tmp_path / "more.jsonl").write_text(corpus + "no record\n")
+    capsys.readouterr()
+    assert cli.main(["chunk", "--corpus", str(tmp_path / "more.jsonl"), "--store", str(tmp_path / "by_training"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--train", str(tmp_path / "vectors")]) == 0
+    assert "4 chunks, 1 in quarantine" in capsys.readouterr().out
+    store = ChunkStore(spark, str(tmp_path / "by_training"))
+    assert {len(r.embedding) for r in store.read().collect()} == {768}
+    assert cli.main(["chunk", "--corpus", str(tmp_path / "more.jsonl"), "--store", str(tmp_path / "by_training"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--provider", trained]) == 0
+    assert store.read().count() == 4
     (tmp_path / "q.txt").write_text("mice\n\nrats\n")
     assert cli.main(["ask", "--store", str(tmp_path / "store"), "--index", str(tmp_path / "lexical"), "--generator", "test_cli:shortened", "--questions", str(tmp_path / "q.txt")]) == 0
     assert capsys.readouterr().out.splitlines()[-2:] == ["MICE", "RATS"]
