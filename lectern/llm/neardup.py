@@ -284,7 +284,9 @@ def joined_in_groups(rows: DataFrame, payload: Callable[[DataFrame], DataFrame],
     blocks = None if large.isEmpty() else _open_blocks(large, found)
     if blocks is None:
         return found
-    more = _joined(blocks, payload(blocks), link)
+    more = cut(_joined(blocks, payload(blocks), link))
+    if more.isEmpty():
+        return found
     return cut(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
 
