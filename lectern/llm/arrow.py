@@ -6,32 +6,18 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from lectern.runtime import ship
-
-#: Rows in one Arrow batch; bounds what a Python worker holds when texts are long.
-BATCH_ROWS = 500
-#: Bytes of one Arrow batch, where this version of Spark can bound them.
-BATCH_BYTES = 1 << 24
-
+from lectern.runtime import bound_batches, ship
 
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id bigint, text string), whatever other columns ``docs`` has."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's bounds on Arrow batches; a plan reads them when it runs, so they stay lowered."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, str(most)).lower().rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Consecutive batches put together until they have ``most`` bytes; all as they are if that is 0."""
     held: list[pa.RecordBatch] = []

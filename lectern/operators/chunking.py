@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.runtime import ship
+from lectern.runtime import bound_batches, ship
 
 WINDOW, OVERLAP = 348, 70
+#: Characters of texts that a task cuts into tokens at once.
+PIECE = 1 << 18
 
 
 def window_starts(n: Column, header: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
@@ -34,21 +37,61 @@ def word_windows(text: Column, window: int = WINDOW, overlap: int = OVERLAP) ->
     return F.transform(window_starts(F.size(words), F.lit(0), window, overlap), lambda k: F.array_join(F.slice(words, k + 1, F.lit(window)), " "))
 
 
-def offsets_udf(load: Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]):
-    """Arrow function from texts to arrays of (start, end) of their tokens; ``load`` runs once in each task."""
+def edges(at: np.ndarray, header: int, window: int, overlap: int) -> np.ndarray:
+    """Begins and ends, in the text, of the windows of window_starts() over tokens with these offsets."""
+    n, room = len(at), window - header
+    if not n or room <= 0:
+        return np.zeros((0, 2), np.int32)
+    step = max(1, room - overlap)
+    first = np.arange(-(-max(n - room, 0) // step) + 1) * step
+    return np.stack([at[first, 0], at[np.minimum(first + room, n) - 1, 1]], 1)
 
-    @F.pandas_udf("array<struct<start: int, end: int>>")
-    def offsets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = load()
-        for texts in batches:
-            yield pd.Series([[{"start": a, "end": b} for a, b in x] for x in run([t or "" for t in texts])])
 
-    return offsets
+def offsets_udf(load: Callable[[], Callable[[list[str]], Iterable]]):
+    """Function of (text, header, window, overlap), columns and numbers, that gives the number of the header's tokens and the edges of the text's windows.
+
+    ``load`` runs once in each task and makes a function from texts to the (start, end) of
+    their tokens. Tokens stay in the task as numbers, of PIECE characters of texts, or one
+    text, at a time; only edges go back.
+    """
+
+    def windows(text: Column, header: Column, window: int, overlap: int) -> Column:
+        @F.arrow_udf("struct<header_tokens: int, windows: array<struct<begin: int, end: int>>>")
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            tokens = load()
+            for texts, headers in batches:
+                sizes, found = [], [np.zeros((0, 2), np.int32)]
+                for own, above in _pieces(texts, headers):
+                    for at, head in zip(tokens(own), tokens(above)):
+                        sizes.append(len(head))
+                        found.append(edges(np.asarray(at, np.int32).reshape(-1, 2), len(head), window, overlap))
+                cut = pa.array(np.cumsum([len(x) for x in found]), pa.int32())
+                flat = np.concatenate(found).astype(np.int32)
+                spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)], ["begin", "end"])
+                yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(cut, spans)], ["header_tokens", "windows"])
+
+        return run(text, header)
+
+    return windows
+
+
+def _pieces(texts: pa.Array, headers: pa.Array) -> Iterator[tuple[list[str], list[str]]]:
+    """Texts and headers, null as empty, in lists of about PIECE characters."""
+    own, above, size = [], [], 0
+    for text, header in zip(texts, headers):
+        own.append(text.as_py() or "")
+        above.append(header.as_py() or "")
+        size += len(own[-1]) + len(above[-1])
+        if size >= PIECE:
+            yield own, above
+            own, above, size = [], [], 0
+    if own:
+        yield own, above
 
 
 def word_tokenizer():
     """Loader for offsets_udf of words between white space."""
-    return lambda texts: [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+    return lambda texts: (np.fromiter((x for m in re.finditer(r"\S+", t) for x in m.span()), np.int32).reshape(-1, 2) for t in texts)
 
 
 def library_tokenizer(data: str):
@@ -85,14 +128,14 @@ def chunks(papers: DataFrame, offsets, window: int = WINDOW, overlap: int = OVER
     ``seen`` has the number of parts in quarantine as bad, once an action has read all chunks.
     """
     ship(papers.sparkSession)
-    rows = parts(papers).withColumn("at", offsets("text")).withColumn("header_tokens", F.size(offsets(F.coalesce("header", F.lit("")))))
+    bound_batches(papers.sparkSession)
+    found = offsets(F.col("text"), F.col("header"), window, overlap)
+    rows = parts(papers).withColumn("found", found).withColumn("header_tokens", F.col("found.header_tokens"))
     too_long = F.col("header_tokens") >= window
     if seen is not None:
         rows = rows.observe(seen, F.count_if(too_long).alias("bad"))
     bad = rows.where(too_long).select("paper_id", "section_index", F.concat(F.lit("header of "), "header_tokens", F.lit(" tokens leaves no room")).alias("error"))
-    starts = window_starts(F.size("at"), F.col("header_tokens"), window, overlap)
-    cut = rows.where(~too_long).select("*", F.posexplode(starts).alias("chunk_index", "first"))
-    last = F.least(F.col("first") + window - F.col("header_tokens"), F.size("at")) - 1
-    begin, end = F.get("at", F.col("first"))["start"], F.get("at", last)["end"]
+    cut = rows.where(~too_long).select("*", F.posexplode("found.windows").alias("chunk_index", "at"))
+    begin, end = F.col("at.begin"), F.col("at.end")
     body = T.strip(F.substring(F.col("text"), begin + 1, end - begin))
     return cut.select("paper_id", "bucket", "section_index", "chunk_index", "path_string", "title", T.with_header(F.col("header"), body).alias("chunk_text"), *_order(papers)), bad
