@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.vector_search import ROUND
 from lectern.operators.vectors import best, matrix, packed, unit, unpacked
-from lectern.runtime import discard, ship, written
+from lectern.runtime import bound_batches, discard, ship, written
 
 #: Vectors that centres and codewords are learnt from, about; at least so many a list.
 SAMPLE, PER_LIST = 32_768, 16
@@ -49,6 +49,8 @@ PART = 65_536
 ASKED, NEIGHBOURS, GOAL = 128, 10, 0.98
 #: Questions compared with a part at once.
 BLOCK = 64
+#: Products of vectors and centres that a task holds at once; rows that it makes of questions at once.
+CELLS, ROUTED = 1 << 20, 1 << 14
 #: Lists up to which a search names the lists that it reads.
 NAMED = 1_000
 
@@ -65,6 +67,7 @@ class AnnIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         ship(spark)
+        bound_batches(spark)
         about = spark.read.parquet(f"{self.path}/about").first()
         self.size, self.probes, self.rerank = about.size, about.probes, about.rerank
         lists = spark.read.parquet(f"{self.path}/lists").orderBy("list").collect()  # at most LISTS rows
@@ -78,6 +81,7 @@ class AnnIndex:
         """Indexes (id, embedding); lists: their number, else the square root of the rows."""
         spark, path = chunks.sparkSession, path.rstrip("/")
         ship(spark)
+        bound_batches(spark)
         rows = chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
         total = rows.where("embedding is not null").count()
         lists = max(1, min(lists or round(total**0.5), LISTS))
@@ -177,10 +181,12 @@ class AnnIndex:
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    near = _nearest(unit(unpacked(b.column(1), np.float32, size).astype(np.float64)), centres, probes)
-                    at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(near.ravel().astype(np.int32)), b.column(1).take(at)], ["id", "list", "data"])
+                step = max(1, ROUTED // probes)
+                for k in range(0, b.num_rows, step):
+                    own = b.slice(k, step)
+                    near = _nearest(unit(unpacked(own.column(1), np.float32, size).astype(np.float64)), centres, probes)
+                    at = pa.array(np.repeat(np.arange(own.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(at), pa.array(near.ravel()), own.column(1).take(at)], ["id", "list", "data"])
 
         asked = questions.select("query_id", "vector").mapInArrow(route, "id long, list int, data binary")
         stored = self.spark.read.parquet(f"{self.path}/rows")
@@ -259,8 +265,14 @@ class AnnIndex:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest centres of each unit vector, the nearest first."""
-    return np.argsort(-(x @ centres.T.astype(np.float64)), 1, kind="stable")[:, :n]
+    """The n nearest centres of each unit vector, the nearest first; CELLS products are held at once, however many lists there are."""
+    columns = centres.T.astype(np.float64)
+    out = np.empty((len(x), min(n, len(centres))), np.int32)
+    step = max(1, CELLS // len(centres))
+    for k in range(0, len(x), step):
+        far = -(x[k : k + step] @ columns)
+        out[k : k + step] = far.argmin(1)[:, None] if n == 1 else np.argsort(far, 1, kind="stable")[:, :n]
+    return out
 
 
 def _left(x: np.ndarray, centres: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -279,7 +291,8 @@ def _codewords(x: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(5)
     words = x[rng.permutation(len(x))[: min(CODES, max(1, len(x) // 4))]]
     for _ in range(12):
-        at = np.argmin((words * words).sum(1) - 2 * (x @ words.T), 1)
+        step = max(1, CELLS // len(words))
+        at = np.concatenate([np.argmin((words * words).sum(1) - 2 * (x[k : k + step] @ words.T), 1) for k in range(0, len(x), step)])
         n = np.bincount(at, minlength=len(words))
         sums = np.stack([np.bincount(at, x[:, d], len(words)) for d in range(x.shape[1])], 1)
         words = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], words)
