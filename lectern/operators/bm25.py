@@ -6,14 +6,18 @@ have equal scores wherever their rows are, and ties go to the smaller chunk_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lectern.functions.text import STOP_WORDS, spaced_words, tokens
-from lectern.runtime import cut
+from lectern.runtime import bound_batches, cut
 
 # The usual parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -21,6 +25,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS, EXACT = 9, "decimal(28,12)"
 #: Folders that an index's postings are dealt to by a hash of their term.
 BUCKETS = 64
+#: Chunks of a group whose postings of a folder go to one task, about.
+DEALT = 100_000
+#: Bytes of words whose postings are put together at once.
+PACK_BYTES = 1 << 23
 
 
 @dataclass
@@ -54,6 +62,53 @@ def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") ->
     return Index(postings, terms, _mean(terms, _lengths(postings, count)), count)
 
 
+#: What packed() makes of a batch: a term's chunks, how often each has it, and how long each is.
+PACKED = "term string, chunk_ids array<long>, tfs array<int>, dls array<int>"
+
+
+def packed(words: DataFrame) -> DataFrame:
+    """Postings of (chunk_id, words), those of a term together as far as a batch of chunks goes; chunk ids are distinct.
+
+    Counting needs no shuffle, and a term travels once a batch instead of once a chunk.
+    """
+    bound_batches(words.sparkSession)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= PACK_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
+            ids, lists = b.column(0).to_numpy(), b.column(1)
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            coded = pc.dictionary_encode(lists.flatten())
+            cells, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), dl), return_counts=True)
+            term, row = np.divmod(cells, max(1, b.num_rows))
+            ends = pa.array(np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[row], tf.astype(np.int32), dl[row]))], ["term", "chunk_ids", "tfs", "dls"])
+
+    return words.select("chunk_id", "words").mapInArrow(run, PACKED)
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """packed() rows of n chunks, dealt by folder and by groups of chunks, as postings in order with their bucket.
+
+    A task gets few folders, and a term of many chunks is shared by tasks.
+    """
+    part = F.pmod(F.xxhash64(F.get("chunk_ids", F.lit(0))), F.lit(1 + n // DEALT))
+    dealt = rows.repartition(_bucket(F.col("term")), part)
+    flat = dealt.select("term", F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p"))
+    flat = flat.select("term", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"), _bucket(F.col("term")).alias("bucket"))
+    return flat.sortWithinPartitions("bucket", "term", "chunk_id")
+
+
 def _frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 

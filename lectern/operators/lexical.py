@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from lectern.operators import bm25
 from lectern.operators.bm25 import Index
-from lectern.runtime import cut
+from lectern.runtime import cut, discard, written
 from lectern.sources.store import VersionedFolder
 
 #: Segments of one level that are merged into one of the next.
 MERGE = 4
 
 _POSTINGS = "term string, chunk_id long, tf long, dl int, bucket int"
-_CHUNKS = "chunk_id long, dl int, terms array<string>"
+_CHUNKS = "chunk_id long, dl int, terms string"  # distinct terms, with spaces between
 _DEAD = "chunk_id long, seq long"
 _TERMS = "term string, df long, bucket int"
 
@@ -61,28 +61,27 @@ class LexicalIndex(VersionedFolder):
     def upsert(self, chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") -> None:
         """Chunks that the index has are replaced, others are added."""
         rows = chunks.select(F.col(key).cast("long").alias("chunk_id"), F.col(text).alias("text"))
-        words = cut(rows.select("chunk_id", bm25.tokens(F.col("text")).alias("words")))  # texts are cut into words once
+        words = written(rows.select("chunk_id", bm25.tokens(F.col("text")).alias("words")))  # texts are cut into words once
         seen = words.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("distinct"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
         if seen["n"] != seen["distinct"]:
             raise ValueError("chunk ids are null or stand twice")
         if not seen["n"]:
             return
-        counted = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-        folder = self._segment(counted, words.select("chunk_id", F.size("words").alias("dl"), F.array_distinct("words").alias("terms")))
+        chunks = words.select("chunk_id", F.size("words").alias("dl"), F.array_join(F.array_distinct("words"), " ").alias("terms"))
+        folder = self._segment(bm25.dealt(bm25.packed(words), seen["n"]), chunks)
         self._add(folder, words.select("chunk_id"), seen["n"], seen["words"])
+        discard(words)
 
     def delete(self, ids: DataFrame) -> None:
         """Takes chunks (chunk_id) out."""
         gone = cut(ids.select(F.col("chunk_id").cast("long").alias("chunk_id")).where("chunk_id is not null").distinct())
-        folder = self._segment(self.spark.createDataFrame([], "term string, chunk_id long, tf long, dl int"), self.spark.createDataFrame([], _CHUNKS))
+        folder = self._segment(self.spark.createDataFrame([], _POSTINGS), self.spark.createDataFrame([], _CHUNKS))
         self._add(folder, gone, 0, 0)
 
     def _segment(self, postings: DataFrame, chunks: DataFrame) -> str:
-        """Writes postings and chunks of a segment."""
+        """Writes postings, in order, and chunks of a segment."""
         folder = f"s-{uuid.uuid4().hex}"
-        order = ["bucket", "term", "chunk_id"]
-        postings = postings.withColumn("bucket", bm25._bucket(F.col("term")))
-        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
+        postings.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
         chunks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.path}/{folder}/chunks")
         return folder
 
@@ -96,12 +95,16 @@ class LexicalIndex(VersionedFolder):
         while True:
             manifest = self._current()
             segments = manifest["segments"]
-            old = cut(self._union(segments, "chunks", _CHUNKS).join(self._union(segments, "dead", _DEAD), ["chunk_id", "seq"], "left_anti").join(ids, "chunk_id", "left_semi"))
+            # Who is replaced is found by ids alone; terms travel once, as text.
+            own, held = self.spark.read.schema(_CHUNKS).parquet(f"{path}/chunks"), self._union(segments, "chunks", _CHUNKS)
+            old = written(held.select("chunk_id", "seq", "dl").join(self._union(segments, "dead", _DEAD), ["chunk_id", "seq"], "left_anti").join(ids, "chunk_id", "left_semi"))
             old.select("chunk_id", "seq").write.mode("overwrite").parquet(f"{path}/dead")
             lost = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
-            own = self.spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
-            changes = own.select(F.explode("terms").alias("term"), F.lit(1).alias("df")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("df")))
+            gone = held.join(old.select("chunk_id", "seq"), ["chunk_id", "seq"], "left_semi")
+            changes = own.select("terms", F.lit(1).alias("df")).unionByName(gone.select("terms", F.lit(-1).alias("df")))
+            changes = changes.where("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term"), "df")
             self._terms(changes, path)
+            discard(old)
             entry = {"folder": folder, "seq": manifest["next"], "level": 0}
             after = manifest | {"version": manifest["version"] + 1, "next": manifest["next"] + 1, "segments": [*segments, entry], "n": manifest["n"] + n - lost["n"], "words": manifest["words"] + words - lost["words"]}
             if self._publish(after):
@@ -119,7 +122,9 @@ class LexicalIndex(VersionedFolder):
         old = [s for s in segments if s["level"] == levels[0]]
         dead = self._union(segments, "dead", _DEAD)
         alive = lambda name, ddl: self._union(old, name, ddl).join(dead, ["chunk_id", "seq"], "left_anti")
-        folder = self._segment(alive("postings", _POSTINGS).select("term", "chunk_id", "tf", "dl"), alive("chunks", _CHUNKS).select("chunk_id", "dl", "terms"))
+        order = ["bucket", "term", "chunk_id"]
+        postings = alive("postings", _POSTINGS).select("term", "chunk_id", "tf", "dl", "bucket").repartitionByRange(*order).sortWithinPartitions(*order)
+        folder = self._segment(postings, alive("chunks", _CHUNKS).select("chunk_id", "dl", "terms"))
         path = f"{self.path}/{folder}"
         self._union(old, "dead", _DEAD).where(~F.col("seq").isin([s["seq"] for s in old])).write.parquet(f"{path}/dead")
         self._terms(self._union(old, "terms", _TERMS).select("term", "df"), path)
