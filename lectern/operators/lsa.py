@@ -37,7 +37,7 @@ FEATURES = 1 << 14
 #: Columns of the iterations beyond the wanted ones, and how often they meet the matrix again.
 OVERSAMPLE, ITERATIONS = 32, 3
 #: Rows that a task multiplies at once, features that travel together, places where their sums meet first.
-ROWS, SLICE, SALTS = 128, 256, 16
+ROWS, SLICE, SALTS = 32, 256, 16
 
 _WORD = re.compile(r"\w+")
 
@@ -48,13 +48,13 @@ def features_of(text: str | None, features: int) -> list[int]:
 
 
 def _block(rows: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, A): the features that some rows have, and the rows over them."""
+    """(columns, A): the features that some rows have, and the rows over them, in single precision. Few rows share few features, so A is not mostly zeros."""
     size = [len(r) for r in rows]
     columns, at = np.unique(np.concatenate([np.asarray(r, np.int64) for r in rows]) if sum(size) else np.zeros(0, np.int64), return_inverse=True)
     counts = np.bincount(np.repeat(np.arange(len(rows)), size) * len(columns) + at, minlength=len(rows) * len(columns)).reshape(len(rows), len(columns))
     a = np.where(counts, 1 + np.log(np.maximum(counts, 1)), 0) * idf[columns]
     norm = np.sqrt((a * a).sum(1, keepdims=True))
-    return columns, a / np.where(norm, norm, 1)
+    return columns, (a / np.where(norm, norm, 1)).astype(np.float32)
 
 
 @dataclass

@@ -74,10 +74,7 @@ def _nearest_of_block(chunks: DataFrame, block: list[tuple[int, list[float]]], l
                 at, x = matrix(b.column(1), n)
                 if not len(x):
                     continue
-                score = np.concatenate([held[n][0], np.round(-(questions @ x.T) / np.sqrt((x * x).sum(1)), ROUND)], 1)
-                ids = np.concatenate([held[n][1], np.broadcast_to(b.column(0).to_numpy()[at], (len(questions), len(at)))], 1)
-                order = np.lexsort((ids, score), axis=1)[:, :limit]
-                held[n] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+                held[n] = _best_of(*held[n], np.round(-(questions @ x.T) / np.sqrt((x * x).sum(1)), ROUND), b.column(0).to_numpy()[at], limit)
         for n, (names, _) in sides.items():
             score, ids = held[n]
             if ids.size:
@@ -86,6 +83,19 @@ def _nearest_of_block(chunks: DataFrame, block: list[tuple[int, list[float]]], l
     return chunks.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, chunk_id long, sim double")
 
 
+def _best_of(score: np.ndarray, ids: np.ndarray, new: np.ndarray, names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``limit`` least of each row of score and new, ties by id: only what is not above a row's limit-th least is sorted."""
+    score, ids = np.concatenate([score, new], 1), np.concatenate([ids, np.broadcast_to(names, new.shape)], 1)
+    keep = min(limit, score.shape[1])
+    if not keep:
+        return score[:, :0], ids[:, :0]
+    row, at = np.nonzero(score <= np.partition(score, keep - 1, 1)[:, keep - 1 : keep])
+    order = np.lexsort((ids[row, at], score[row, at], row))
+    first = np.searchsorted(row, np.arange(len(score)))  # rows are in order before and after
+    order = order[first[:, None] + np.arange(keep)]
+    return score[row[order], at[order]], ids[row[order], at[order]]
+
+
 def paper_scores(candidates: DataFrame, limit: int = TOP_PAPERS) -> DataFrame:
     """(paper_id, paper_score, paper_rank) of the papers with the best chunks; ties by paper_id."""
     best = candidates.groupBy("paper_id").agg(F.max("sim").alias("paper_score")).orderBy(F.desc("paper_score"), "paper_id").limit(limit)
