@@ -210,16 +210,26 @@ STOP_WORDS = (
 ).split()
 
 
+#: Marks that part words, as in a class of a pattern, and contractions.
+MARKS, CONTRACTIONS = r""",;:?!()\[\]{}<>"@#$%&""", r"n't|'(?:s|m|d|ll|re|ve)"
+#: A word of spaced_words() that is of letters only.
+IS_WORD = r"^\p{L}+\z"
+#: All of them in a lower-cased text without double hyphens, found in one scan.
+WORDS = rf"(?<![^\s{MARKS}])\p{{L}}+(?=\.?(?:{CONTRACTIONS})?(?![^\s{MARKS}]))"
+
+
 def spaced_words(text: Column) -> Column:
     """Lower-cased words between white space: marks part words, contractions and a last dot are split off."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[,;:?!()\\[\\]{}<>\"@#$%&]|--", " ")
-    parted = F.regexp_replace(spaced, r"(n't|'(?:s|m|d|ll|re|ve))(\s|$)", " $1$2")
-    return F.split(F.regexp_replace(parted, r"\.(?=\s|$)", ""), r"\s+")
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{MARKS}]|--", " ")
+    parted = F.regexp_replace(spaced, rf"({CONTRACTIONS})(\s|\z)", " $1$2")
+    return F.split(F.regexp_replace(parted, r"\.(?=\s|\z)", ""), r"\s+")
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters only that are not stop words.
 
-    A word with a digit or an inner hyphen is not of letters only and goes.
+    A word with a digit or an inner hyphen is not of letters only and goes. These are the words of
+    spaced_words() that IS_WORD allows; one scan finds them, instead of four and one more a word.
     """
-    return F.filter(spaced_words(text), lambda w: ~w.isin(*STOP_WORDS) & F.rlike(w, F.lit(r"^\p{L}+$")))
+    spaced = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("--"), F.lit(" "))
+    return F.filter(F.regexp_extract_all(spaced, F.lit(WORDS), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))

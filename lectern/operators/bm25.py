@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lectern.functions.text import STOP_WORDS, spaced_words, tokens
+from lectern.functions.text import IS_WORD, STOP_WORDS, spaced_words, tokens
 from lectern.runtime import bound_batches, cut
 
 # The usual parameters.
@@ -35,13 +35,13 @@ PACK_BYTES = 1 << 23
 class Index:
     """postings (term, chunk_id, tf, dl), terms (term, df) and size: one row of n, avgdl and mean (of all inverse frequencies).
 
-    count, of an index that is not from disk: one row of n.
+    words, of an index that is not from disk: (chunk_id, words) of all chunks.
     """
 
     postings: DataFrame
     terms: DataFrame
     size: DataFrame
-    count: DataFrame | None = None
+    words: DataFrame | None = None
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
@@ -58,12 +58,12 @@ def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") ->
     """The index of chunks; write_index keeps it for many questions."""
     rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words"))
     postings = rows.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    terms, count = _frequencies(postings), chunks.agg(F.count("*").alias("n"))
-    return Index(postings, terms, _mean(terms, _lengths(postings, count)), count)
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(postings, terms, _mean(terms, _lengths(postings, "tf", chunks.agg(F.count("*").alias("n")))), rows)
 
 
-#: What packed() makes of a batch: a term's chunks, how often each has it, and how long each is.
-PACKED = "term string, chunk_ids array<long>, tfs array<int>, dls array<int>"
+#: What packed() makes of a batch: a term's chunks, how often each has it, how long each is, the number of chunks and of words.
+PACKED = "term string, chunk_ids array<{key}>, tfs array<int>, dls array<int>, df int, words long"
 
 
 def packed(words: DataFrame) -> DataFrame:
@@ -79,43 +79,58 @@ def packed(words: DataFrame) -> DataFrame:
             held.append(b)
             size += b.nbytes
             if size >= PACK_BYTES:
-                yield pa.concat_batches(held)
-                held, size = [], 0
+                whole, held, size = pa.concat_batches(held), [], 0
+                yield whole
         if held:
             yield pa.concat_batches(held)
 
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, lists = b.column(0), b.column(1)
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = pc.dictionary_encode(lists.flatten())
+        cells = coded.indices.to_numpy().astype(np.int64)
+        cells *= b.num_rows
+        cells += np.repeat(np.arange(b.num_rows, dtype=np.int32), dl)
+        cells, tf = np.unique(cells, return_counts=True)
+        term, row = np.divmod(cells, max(1, b.num_rows))
+        ends = np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+        sums = np.diff(np.concatenate([[0], np.cumsum(tf)])[ends])
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dl[row]))]
+        return pa.RecordBatch.from_arrays([coded.dictionary, *lists, pa.array(np.diff(ends)), pa.array(sums)], ["term", "chunk_ids", "tfs", "dls", "df", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
-            ids, lists = b.column(0).to_numpy(), b.column(1)
-            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
-            coded = pc.dictionary_encode(lists.flatten())
-            cells, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), dl), return_counts=True)
-            term, row = np.divmod(cells, max(1, b.num_rows))
-            ends = pa.array(np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[row], tf.astype(np.int32), dl[row]))], ["term", "chunk_ids", "tfs", "dls"])
+            yield pack(b)
+            pa.default_memory_pool().release_unused()  # else a worker grows with the number of batches
 
-    return words.select("chunk_id", "words").mapInArrow(run, PACKED)
+    return words.select("chunk_id", "words").mapInArrow(run, PACKED.format(key=words.schema["chunk_id"].dataType.simpleString()))
 
 
-def dealt(rows: DataFrame, n: int) -> DataFrame:
-    """packed() rows of n chunks, dealt by folder and by groups of chunks, as postings in order with their bucket.
+def _single(postings: DataFrame) -> DataFrame:
+    """Counted postings as packed() rows of one chunk each."""
+    return postings.select("term", F.array("chunk_id").alias("chunk_ids"), F.array(F.col("tf").cast("int")).alias("tfs"), F.array("dl").alias("dls"), F.lit(1).alias("df"), F.col("tf").alias("words"))
 
-    A task gets few folders, and a term of many chunks is shared by tasks.
-    """
+
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """packed() rows of n chunks, dealt by folder and by groups of chunks: a task gets few folders, and a term of many chunks is shared by tasks."""
     part = F.pmod(F.xxhash64(F.get("chunk_ids", F.lit(0))), F.lit(1 + n // DEALT))
-    dealt = rows.repartition(_bucket(F.col("term")), part)
-    flat = dealt.select("term", F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p"))
-    flat = flat.select("term", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"), _bucket(F.col("term")).alias("bucket"))
-    return flat.sortWithinPartitions("bucket", "term", "chunk_id")
+    return rows.repartition(_bucket(F.col("term")), part)
+
 
+def _flat(rows: DataFrame, bucket: Column) -> DataFrame:
+    """Postings of packed() rows, with their bucket."""
+    flat = rows.select("term", bucket.alias("bucket"), F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p"))
+    return flat.select("term", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"), "bucket")
 
-def _frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """packed() rows of n chunks, dealt by _spread(), as postings in order with their bucket."""
+    return _flat(_spread(rows, n), _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "chunk_id")
 
-def _lengths(postings: DataFrame, count: DataFrame) -> DataFrame:
-    """One row of n and avgdl, from the number of all chunks; every word is in a posting."""
-    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+
+def _lengths(table: DataFrame, column: str, count: DataFrame) -> DataFrame:
+    """One row of n and avgdl, from the number of all chunks and a column whose sum is the number of words."""
+    words = table.agg(F.coalesce(F.sum(column), F.lit(0)).alias("words"))
     return count.crossJoin(F.broadcast(words)).select("n", F.try_divide(F.col("words").cast("double"), F.col("n")).alias("avgdl"))  # one row each
 
 
@@ -126,25 +141,34 @@ def _bucket(term: Column) -> Column:
 def write_index(made: Index, path: str) -> None:
     """The index as Parquet: postings and terms in folders by a hash of the term, so that a question reads those of its terms only.
 
-    Texts are cut into words once: terms and size come from the written postings. Postings
-    are dealt by ranges, so a term of many chunks is shared by tasks and a task opens few folders.
+    Texts are cut into words once. Postings are packed by batches of chunks, so they need no counting
+    shuffle and stay packed on disk; the terms come from the packed rows' own sums, and the size from
+    the terms. Ids that stand twice, or are null, have their postings counted by a shuffle instead.
     """
-    order = ["bucket", "term", "chunk_id"]
-    made.postings.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
-    made.postings.limit(0).write.parquet(f"{path}/columns")  # an index without words has no other file that tells them
-    spark = made.postings.sparkSession
-    kept = _postings(spark, path)
-    _frequencies(kept).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    _mean(_terms(spark, path), _lengths(kept, made.count)).write.parquet(f"{path}/size")
+    spark = made.words.sparkSession
+    seen = made.words.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids")).first()
+    rows = packed(made.words) if seen["n"] == seen["ids"] else _single(made.postings)
+    order = ["bucket", "term"]
+    _spread(rows, seen["n"]).withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/columns")  # an index without words has no other file that tells them
+    terms = _kept(spark, path).repartition("bucket").groupBy(*order).agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    terms.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/terms")
+    kept, count = _terms(spark, path), spark.range(1).select(F.lit(seen["n"]).cast("long").alias("n"))
+    _mean(kept, _lengths(kept, "words", count)).write.parquet(f"{path}/size")
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns.add("bucket", IntegerType())).parquet(f"{path}/postings")
 
 
 def _postings(spark: SparkSession, path: str) -> DataFrame:
-    columns = spark.read.parquet(f"{path}/columns").schema
-    return spark.read.schema(columns.add("bucket", IntegerType())).parquet(f"{path}/postings")
+    kept = _kept(spark, path)
+    return _flat(kept, F.col("bucket")) if "chunk_ids" in kept.columns else kept  # indexes were kept as single postings before
 
 
 def _terms(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, df long, bucket int").parquet(f"{path}/terms")
+    return spark.read.schema("term string, df long, words long, bucket int").parquet(f"{path}/terms")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -199,7 +223,7 @@ def scores_of_texts(chunks: DataFrame, query: str, text: str = "chunk_text", key
     spark = chunks.sparkSession
     asked = asked_terms(spark, query)
     words = chunks.select(F.col(key).alias("chunk_id"), spaced_words(F.col(text)).alias("words"))
-    is_term = ~F.col("term").isin(*STOP_WORDS) & F.rlike("term", F.lit(r"^\p{L}+$"))
+    is_term = ~F.col("term").isin(*STOP_WORDS) & F.rlike("term", F.lit(IS_WORD))
     terms = words.select(F.explode(F.array_distinct("words")).alias("term")).where(is_term).groupBy("term").agg(F.count("*").alias("df"))
     tf = [F.count_if(F.col("term") == t).alias(f"tf{k}") for k, (t, _) in enumerate(asked)]
     counted = words.select("chunk_id", F.explode_outer("words").alias("term")).withColumn("term", F.when(is_term, F.col("term")))
