@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.vectors import matrix, unit
+from lectern.operators.vectors import lengths, matrix, unit
 from lectern.runtime import cut, ship
 
 TOP_CHUNKS, TOP_PAPERS, EVIDENCE = 3, 5, 3
@@ -34,15 +34,18 @@ def nearest_chunks(chunks: DataFrame, query: list[float], limit: int = TOP_CHUNK
     return scored.withColumn("dist", 1 - F.col("sim")).orderBy("dist", "chunk_id").limit(limit)
 
 
-#: Questions that are compared with all chunks in one pass.
-BLOCK = 1024
+#: Questions that are compared with all chunks in one pass, questions and chunks that a task compares at once.
+BLOCK, ASKED_AT_ONCE, AT_ONCE = 8192, 1024, 512
+#: Pairs of a question and chunks, of one in so many chunks at most, whose vectors are gathered to compare them in double precision, and how many at once.
+FEW, PAIRS = 64, 1024
 
 
 def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, limit: int = TOP_CHUNKS) -> DataFrame:
     """(query_id, chunk_id, sim): the nearest chunks of many questions (query_id, vector), ties by chunk_id.
 
     Questions go in blocks of BLOCK, each a pass over the chunks; a task keeps ``limit``
-    chunks of each question, and the best of those are chosen. A question matches vectors of its
+    chunks of each question, and the best of those are chosen. Products in single precision
+    rule out what their error bound keeps from the best; scores are of double precision. A question matches vectors of its
     own length; those that are null, zero or not whole match nothing. Questions with one id get
     the nearest of either.
     """
@@ -50,8 +53,9 @@ def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, limit: int = TOP_CH
     ids = [r.query_id for r in queries.select("query_id").orderBy("query_id").toLocalIterator()]
     out = None
     for at in range(0, len(ids), BLOCK):
-        rows = queries.where(F.col("query_id").between(ids[at], ids[min(at + BLOCK, len(ids)) - 1])).select("query_id", "vector").where("vector is not null").collect()  # one block
-        found = _nearest_of_block(chunks, sorted((r.query_id, list(r.vector)) for r in rows), limit)
+        rows = queries.where(F.col("query_id").between(ids[at], ids[min(at + BLOCK, len(ids)) - 1])).where("vector is not null")
+        block = rows.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()  # one block
+        found = _nearest_of_block(chunks, block, limit)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, chunk_id long, sim double")
@@ -59,28 +63,66 @@ def nearest_in_blocks(chunks: DataFrame, queries: DataFrame, limit: int = TOP_CH
     return out.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
 
 
-def _nearest_of_block(chunks: DataFrame, block: list[tuple[int, list[float]]], limit: int) -> DataFrame:
-    asked: dict[int, list[tuple[int, list[float]]]] = {}
-    for q, v in block:
-        if v and None not in v and any(v) and np.isfinite(v).all():
-            asked.setdefault(len(v), []).append((q, v))
-    sides = {n: (np.array([q for q, _ in own], np.int64), unit(np.array([v for _, v in own], np.float64))) for n, own in asked.items()}
-    ship(chunks.sparkSession)
+def _nearest_of_block(chunks: DataFrame, block: pa.Table, limit: int) -> DataFrame:
+    spark, sides = chunks.sparkSession, {}
+    for part in block.to_batches():
+        for n in np.unique(lengths(part.column(1))).tolist():
+            at, x = matrix(part.column(1), n) if n > 0 else ([], None)
+            if len(at):
+                names, x = part.column(0).to_numpy()[at], unit(x)
+                sides.setdefault(n, []).extend((names[k : k + ASKED_AT_ONCE], x[k : k + ASKED_AT_ONCE]) for k in range(0, len(x), ASKED_AT_ONCE))
+    ship(spark)
+    sent = spark.sparkContext.broadcast(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {n: (np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)) for n, (names, _) in sides.items()}
-        for b in batches:
-            for n, (_, questions) in sides.items():
+        sides = sent.value
+        single = {n: [questions.astype(np.float32) for _, questions in own] for n, own in sides.items()}
+        held = {n: [(np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)) for names, _ in own] for n, own in sides.items()}
+        for b in (whole.slice(k, AT_ONCE) for whole in batches for k in range(0, whole.num_rows, AT_ONCE)):
+            for n, own in sides.items():
                 at, x = matrix(b.column(1), n)
-                if not len(x):
-                    continue
-                held[n] = _best_of(*held[n], np.round(-(questions @ x.T) / np.sqrt((x * x).sum(1)), ROUND), b.column(0).to_numpy()[at], limit)
-        for n, (names, _) in sides.items():
-            score, ids = held[n]
-            if ids.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(-score.ravel())], ["query_id", "chunk_id", "sim"])
-
-    return chunks.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, chunk_id long, sim double")
+                if len(x):
+                    ids = b.column(0).to_numpy()[at]
+                    held[n] = [_nearer(*best, questions, less, x, ids, limit) for best, (_, questions), less in zip(held[n], own, single[n])]
+        for n, own in sides.items():
+            for (score, ids), (names, _) in zip(held[n], own):
+                if ids.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(-score.ravel())], ["query_id", "chunk_id", "sim"])
+
+    vector = F.col("embedding")
+    if chunks.schema["embedding"].dataType.simpleString() != "array<float>":  # tasks widen these themselves
+        vector = vector.cast("array<double>")
+    return chunks.select("id", vector.alias("embedding")).mapInArrow(run, "query_id long, chunk_id long, sim double")
+
+
+def _nearer(score: np.ndarray, ids: np.ndarray, questions: np.ndarray, single: np.ndarray, x: np.ndarray, names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``limit`` best of each question so far, and of the vectors x; ``single`` holds the questions in single precision."""
+    norm = np.sqrt((x * x).sum(1))
+    compared = lambda q: np.round(-(q @ x.T) / norm, ROUND)
+    if not limit or score.shape[1] < limit:
+        return _best_of(score, ids, compared(questions), names, limit)
+    # Unit vectors' products in single precision are off by less than a unit of the last place a dimension, however they are added.
+    slack = (x.shape[1] + 16) * 2.0**-23 + 10.0**-ROUND
+    edge = score[:, -1]
+    row, at = np.nonzero(~(single @ (x / norm[:, None]).astype(np.float32).T < (-edge - slack).astype(np.float32)[:, None]))
+    many = np.bincount(row, minlength=len(score)) > len(x) // FEW
+    if many.any():
+        score[many], ids[many] = _best_of(score[many], ids[many], compared(questions[many]), names, limit)
+        row, at = row[~many[row]], at[~many[row]]
+    new = np.empty(len(row))
+    for k in range(0, len(row), PAIRS):
+        r, a = row[k : k + PAIRS], at[k : k + PAIRS]
+        new[k : k + PAIRS] = np.round(-np.einsum("ij,ij->i", questions[r], x[a]) / norm[a], ROUND)
+    better = new <= edge[row]
+    row, at, new = row[better], at[better], new[better]
+    if len(row):
+        hit = np.unique(row)
+        rows = np.concatenate([np.repeat(hit, limit), row])
+        scores, known = np.concatenate([score[hit].ravel(), new]), np.concatenate([ids[hit].ravel(), names[at]])
+        order = np.lexsort((known, scores, rows))
+        order = order[np.searchsorted(rows[order], hit)[:, None] + np.arange(limit)]
+        score[hit], ids[hit] = scores[order], known[order]
+    return score, ids
 
 
 def _best_of(score: np.ndarray, ids: np.ndarray, new: np.ndarray, names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

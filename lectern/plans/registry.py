@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.functions import text as T
 from lectern.operators import ann, bm25, chunking, embedding, lexical, lsa, rag, sampling, sections, upsert, vector_search
-from lectern.runtime import load, shared_folder, written
+from lectern.runtime import discard, load, shared_folder, written
 from lectern.sources import corpus, filelist, jats
 
 QUESTION = "the hation thing of trash nd ores the onea is token"
@@ -115,7 +115,9 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained_vectors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors trained on all documents; the nearest of all documents to each whose id is divisible by 100."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    vectors = written(embedding.embedded(docs, lsa.provider(spark, lsa.fit(docs)), "text").select("id", "embedding"))
+    rows = written(lsa.counted(docs))
+    vectors = written(lsa.vectors(rows, lsa.fit_counted(rows)))
+    discard(rows)
     asked = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     found = vector_search.nearest_in_blocks(vectors, asked, EVIDENCE * TOP_PAPERS)
     return found.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"))
