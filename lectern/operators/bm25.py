@@ -66,6 +66,34 @@ def index(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") ->
 PACKED = "term string, chunk_ids array<{key}>, tfs array<int>, dls array<int>, df int, words long"
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of PACK_BYTES, about."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= PACK_BYTES:
+            whole, held, size = pa.concat_batches(held), [], 0
+            yield whole
+            pa.default_memory_pool().release_unused()  # else a worker grows with the number of batches
+    if held:
+        yield pa.concat_batches(held)
+
+
+def by_term(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, ends, row, tf, dl) of a batch's lists of words: between its two ends, the rows that have a term and how often; and each row's length."""
+    n = len(lists)
+    dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+    coded = pc.dictionary_encode(lists.flatten())
+    cells = coded.indices.to_numpy().astype(np.int64)
+    cells *= n
+    cells += np.repeat(np.arange(n, dtype=np.int32), dl)
+    cells, tf = np.unique(cells, return_counts=True)
+    term, row = np.divmod(cells, max(1, n))
+    ends = np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+    return coded.dictionary, ends, row, tf.astype(np.int32), dl
+
+
 def packed(words: DataFrame) -> DataFrame:
     """Postings of (chunk_id, words), those of a term together as far as a batch of chunks goes; chunk ids are distinct.
 
@@ -73,35 +101,15 @@ def packed(words: DataFrame) -> DataFrame:
     """
     bound_batches(words.sparkSession)
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= PACK_BYTES:
-                whole, held, size = pa.concat_batches(held), [], 0
-                yield whole
-        if held:
-            yield pa.concat_batches(held)
-
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, lists = b.column(0), b.column(1)
-        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
-        coded = pc.dictionary_encode(lists.flatten())
-        cells = coded.indices.to_numpy().astype(np.int64)
-        cells *= b.num_rows
-        cells += np.repeat(np.arange(b.num_rows, dtype=np.int32), dl)
-        cells, tf = np.unique(cells, return_counts=True)
-        term, row = np.divmod(cells, max(1, b.num_rows))
-        ends = np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-        sums = np.diff(np.concatenate([[0], np.cumsum(tf)])[ends])
-        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dl[row]))]
-        return pa.RecordBatch.from_arrays([coded.dictionary, *lists, pa.array(np.diff(ends)), pa.array(sums)], ["term", "chunk_ids", "tfs", "dls", "df", "words"])
+        terms, ends, row, tf, dl = by_term(b.column(1))
+        sums = np.diff(np.concatenate([[0], np.cumsum(tf, dtype=np.int64)])[ends])
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (b.column(0).take(pa.array(row)), pa.array(tf), pa.array(dl[row]))]
+        return pa.RecordBatch.from_arrays([terms, *lists, pa.array(np.diff(ends)), pa.array(sums)], ["term", "chunk_ids", "tfs", "dls", "df", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
             yield pack(b)
-            pa.default_memory_pool().release_unused()  # else a worker grows with the number of batches
 
     return words.select("chunk_id", "words").mapInArrow(run, PACKED.format(key=words.schema["chunk_id"].dataType.simpleString()))
 
