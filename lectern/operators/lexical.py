@@ -34,6 +34,8 @@ from lectern.sources.store import VersionedFolder
 
 #: Segments of one level that are merged into one of the next.
 MERGE = 4
+#: Tasks for each core of the cluster that write a segment, at most.
+TASKS = 4
 #: The folder of the rows that hold a block's ids and lengths.
 BLOCKS = -1
 
@@ -130,7 +132,9 @@ class LexicalIndex(VersionedFolder):
 
     def upsert(self, chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") -> None:
         """Chunks that the index has are replaced, others are added."""
-        folder = self._segment(blocks(chunks.select(F.col(key).cast("long").alias("chunk_id"), bm25.tokens(F.col(text)).alias("words"))))
+        words = chunks.select(F.col(key).cast("long").alias("chunk_id"), bm25.tokens(F.col(text)).alias("words"))
+        # A task writes a file in each folder, so there are no more tasks than the cluster runs a few times over.
+        folder = self._segment(blocks(words.coalesce(TASKS * self.spark.sparkContext.defaultParallelism)))
         held = self._blocks([{"folder": folder, "seq": 0}]).select(F.explode(F.arrays_zip("chunk_ids", "dls")).alias("c"))
         seen = held.agg(F.count("*").alias("n"), F.count_distinct("c.chunk_ids").alias("distinct"), F.coalesce(F.sum("c.dls"), F.lit(0)).alias("words")).first()
         if seen["n"] != seen["distinct"] or not seen["n"]:
